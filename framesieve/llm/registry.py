@@ -4,5 +4,6 @@ from . import queries as q
 
 QUERIES = {
     "op2_packing": q.op2_packing,
+    "op9_token_files": q.op9_token_files,
 }
 ORACLES: dict[str, str] = {}
