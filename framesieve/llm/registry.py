@@ -5,6 +5,7 @@ from . import queries as q
 QUERIES = {
     "op2_packing": q.op2_packing,
     "op7_simhash": q.op7_simhash,
+    "op8_decontaminate": q.op8_decontaminate,
     "op9_token_files": q.op9_token_files,
 }
 ORACLES: dict[str, str] = {}
