@@ -48,10 +48,10 @@ class ChunkEncoder:
         found: dict[bytes, bytes | None] = {}
         plain = []
         for c in chunks:
-            if _ODD.search(c) or self.mark in c:
-                found[c] = self._whole(c) if self._safe_alone(c) else None
-            elif not c.strip():
+            if not c.strip(b" \n"):
                 found[c] = self._whole(c)
+            elif _ODD.search(c) or self.mark in c:
+                found[c] = self._whole(c) if self._safe_alone(c) else None
             else:
                 plain.append(c)
         for at in range(0, len(plain), 4096):
