@@ -24,7 +24,7 @@ _BYTE_CHUNKS = re.compile(rb" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
 class ChunkEncoder:
     """Encodes texts given as UTF-8; keeps the ids of at most max_chunks distinct chunks at a time."""
 
-    def __init__(self, path: str, byte_level: bool, max_chunks: int = 500_000, max_chunk_bytes: int = 200):
+    def __init__(self, path: str, byte_level: bool, max_chunks: int = 800_000, max_chunk_bytes: int = 200):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,8 +54,8 @@ class ChunkEncoder:
                 found[c] = self._whole(c) if self._safe_alone(c) else None
             else:
                 plain.append(c)
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
+        for at in range(0, len(plain), 64):
+            part = plain[at : at + 64]
             raw = self.join.join(part).decode("utf-8")
             [one] = self.tokenizer.encode_batch_fast([raw], add_special_tokens=False)
             ids = np.array(one.ids, self.kind)
