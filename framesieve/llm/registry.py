@@ -4,6 +4,7 @@ from . import queries as q
 
 QUERIES = {
     "op2_packing": q.op2_packing,
+    "op3_pii": q.op3_pii,
     "op6_toxicity": q.op6_toxicity,
     "op7_simhash": q.op7_simhash,
     "op8_decontaminate": q.op8_decontaminate,
