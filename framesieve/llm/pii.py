@@ -24,7 +24,7 @@ from .tagger import PAD, Tagger, char_ids
 KINDS = ["email", "ip", "card", "phone"]
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -190,11 +190,13 @@ def all_spans(model: Tagger | None, texts: list[str]) -> list[tuple[list, list]]
 # -- training ----------------------------------------------------------------------------------------------------------
 
 
-def train(docs: DataFrame, sample_docs: int = 1500, epochs: int = 8, hidden: int = 16) -> Tagger | None:
+def train(
+    docs: DataFrame, sample_docs: int = 1500, epochs: int = 6, hidden: int = 16, least_steps: int = 300
+) -> Tagger | None:
     """A model fitted on excerpts of at most sample_docs documents; None if no excerpt has a base span.
 
     The sample is the documents with a digit or an at sign that have the least hash of their text; an excerpt is 400
-    characters around the first such character.
+    characters around the first such character.  Small samples are gone through until least_steps batches are seen.
     """
     rows = docs.select("text").where(F.col("text").rlike("[0-9@]"))
     picked = rows.select(
@@ -221,7 +223,9 @@ def train(docs: DataFrame, sample_docs: int = 1500, epochs: int = 8, hidden: int
     if not tags or not any(t.any() for t in tags):
         return None
     model = Tagger(KINDS, hidden)
-    model.losses = model.fit(np.stack(ids), np.stack(tags), epochs)
+    batch = 32
+    rounds = max(epochs, -(-least_steps * batch // len(ids)))
+    model.losses = model.fit(np.stack(ids), np.stack(tags), rounds, batch)
     return model
 
 

@@ -39,9 +39,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             ",",
         )
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *counts, F.sha2(named("base"), 256).alias("base_sha256"), named("spans").alias("spans")
+        "doc_id", *map(count, pii.KINDS), F.sha2(named("base"), 256).alias("base_sha256"), named("spans").alias("spans")
     )
 
 
