@@ -1,8 +1,10 @@
 """The queries of this folder, by name, and the SQL of those that SQL can express."""
 
+from . import oracles
 from . import queries as q
 
 QUERIES = {
+    "op1_quality": q.op1_quality,
     "op2_packing": q.op2_packing,
     "op3_pii": q.op3_pii,
     "op6_toxicity": q.op6_toxicity,
@@ -10,4 +12,6 @@ QUERIES = {
     "op8_decontaminate": q.op8_decontaminate,
     "op9_token_files": q.op9_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality": oracles.OP1_QUALITY,
+}

@@ -79,7 +79,7 @@ def test_query(spark, sf):
 
 
 def test_model_learns(spark, sf):
-    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
     model = pii.train(docs)
     assert model.losses[-1] < 0.1 * model.losses[0]
     texts = [f"Theron ered +1 (31{i}) 555-77{i}0 edea, then a.0{i}@mail{i}.example.com onre of the." for i in range(10)]
