@@ -71,3 +71,14 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(len(loss) AS BIGINT)
        regexp_full_match(shape, 'S?(UA)*U?') AS valid
 FROM g
 """
+
+OP4_WARC = r"""
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+         sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS html FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN last_id END AS refers_to
+FROM m
+"""

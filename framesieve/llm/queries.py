@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pii, quality, simhash, token_files, toxicity
+from . import chat, decontaminate, packing, pii, quality, simhash, token_files, toxicity, warc
 from .common import table
 
 
@@ -62,6 +62,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.merged(warc.write(table(spark, sf_dir, "pages")))
+    return warc.read(index, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame(

@@ -7,6 +7,7 @@ QUERIES = {
     "op1_quality": q.op1_quality,
     "op2_packing": q.op2_packing,
     "op3_pii": q.op3_pii,
+    "op4_warc": q.op4_warc,
     "op5_chat": q.op5_chat,
     "op6_toxicity": q.op6_toxicity,
     "op7_simhash": q.op7_simhash,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_quality": oracles.OP1_QUALITY,
+    "op4_warc": oracles.OP4_WARC,
     "op5_chat": oracles.OP5_CHAT,
 }
