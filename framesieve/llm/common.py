@@ -47,6 +47,17 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def hash_sample(df: DataFrame, keys: list[str], rows: int, total: int) -> DataFrame:
+    """About rows of the total rows of df: those whose keys hash lowest.  Each task passes on only its share of them.
+
+    No more than twice as many come out where keys repeat.
+    """
+    if total <= rows:
+        return df
+    bound = int((1 << 64) * rows / total) - (1 << 63)
+    return df.where(F.xxhash64(*keys) < F.lit(bound)).limit(2 * rows)
+
+
 def exclusive_prefix(totals: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """totals with the sum of value over all earlier rows.
 

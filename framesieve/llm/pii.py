@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
 from .tagger import PAD, Tagger, char_ids
 
 # The kinds in their order and the characters of their patterns.
@@ -195,11 +196,11 @@ def train(
 ) -> Tagger | None:
     """A model fitted on excerpts of at most sample_docs documents; None if no excerpt has a base span.
 
-    The sample is the documents with a digit or an at sign that have the least hash of their text; an excerpt is 400
-    characters around the first such character.  Small samples are gone through until least_steps batches are seen.
+    The sample comes from the 20 * sample_docs documents whose ids hash lowest: of those with a digit or an at sign, the
+    ones with the least hash of their text.  An excerpt is 400 characters around the first such character.  Small samples are gone through until least_steps batches are seen.
     """
-    rows = docs.select("text").where(F.col("text").rlike("[0-9@]"))
-    picked = rows.select(
+    picked = hash_sample(docs.select("doc_id", "text"), ["doc_id"], 20 * sample_docs, docs.count())
+    picked = picked.where(F.col("text").rlike("[0-9@]")).select(
         F.xxhash64("text").alias("h"),
         F.expr("substring(text, greatest(1, regexp_instr(text, '[0-9@]') - 150), 400)").alias("part"),
     )

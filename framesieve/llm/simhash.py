@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, stored, text_bytes
+from .common import LOWER_ASCII, hash_sample, stored, text_bytes
 from .components import components
 
 BITS = 64
@@ -271,8 +271,8 @@ def links(distinct: DataFrame, limit: int = 4, sample_rows: int = 20_000, most_b
     total = distinct.count()
     if total < 2:
         return spark.createDataFrame([], "x long, y long")
-    picked = distinct.orderBy(F.xxhash64("fp")).limit(sample_rows).toPandas()
-    groups, thresholds = plan(picked["fp"].to_numpy().view(np.uint64), total, limit)
+    picked = hash_sample(distinct, ["fp"], sample_rows, total).toPandas()["fp"].to_numpy().view(np.uint64)
+    groups, thresholds = plan(np.sort(picked), total, limit)
     keyed = distinct.mapInArrow(_keys(groups, thresholds), "key long, probe boolean, fp long")
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most_bucket)
     large = stored(large.withColumn("blocks", F.ceil(F.col("n") / (most_bucket / 2)).cast("int")), "large-buckets")
