@@ -13,6 +13,7 @@ QUERIES = {
     "op7_simhash": q.op7_simhash,
     "op8_decontaminate": q.op8_decontaminate,
     "op9_token_files": q.op9_token_files,
+    "op10_html_text": q.op10_html_text,
 }
 ORACLES: dict[str, str] = {
     "op1_quality": oracles.OP1_QUALITY,
