@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
@@ -17,6 +16,8 @@ import numpy as np
 _ODD = re.compile(
     rb"[\t\r\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|"
 )
+#: Lead bytes of what lies beyond Latin-1, where lower case and composition are no longer one character to one.
+_WIDE = re.compile(rb"[\xc4-\xff]")
 #: A blank and what follows it, white space before more white space, white space.
 _BYTE_CHUNKS = re.compile(rb" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
 
@@ -32,6 +33,10 @@ class ChunkEncoder:
         self.max_chunks, self.max_chunk_bytes = max_chunks, max_chunk_bytes
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 1 << 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes | None] = {}
+        self.plain = None
+        if not byte_level:  # the kind that composes (NFC), drops white space and lower-cases
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
         # A line feed is a token of its own before a chunk; a lone control is one where white space is dropped.
         self.mark, self.join = (b"\n", b"\n") if byte_level else (b"\x01", b" \x01 ")
         [self.mark_id] = self.tokenizer.encode(self.mark.decode(), add_special_tokens=False).ids
@@ -46,28 +51,44 @@ class ChunkEncoder:
     def _learn(self, chunks) -> dict[bytes, bytes | None]:
         """Ids of chunks that are new: encoded many to a text, parted by a mark that stands in no chunk."""
         found: dict[bytes, bytes | None] = {}
-        plain = []
-        for c in chunks:
-            if not c.strip(b" \n"):
-                found[c] = self._whole(c)
-            elif _ODD.search(c) or self.mark in c:
-                found[c] = self._whole(c) if self._safe_alone(c) else None
-            else:
-                plain.append(c)
-        for at in range(0, len(plain), 64):
-            part = plain[at : at + 64]
-            raw = self.join.join(part).decode("utf-8")
-            [one] = self.tokenizer.encode_batch_fast([raw], add_special_tokens=False)
-            ids = np.array(one.ids, self.kind)
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            item, start, flat = self.kind.itemsize, 0, ids.tobytes()
+        chunks, item = list(chunks), self.kind.itemsize
+        for at in range(0, len(chunks), 64):
+            part = chunks[at : at + 64]
+            raw = self.join.join(part)
+            if _ODD.search(raw) or raw.count(self.mark) >= len(part) or not all(map(bytes.strip, part)):
+                part = [c for c in part if not self._alone(c, found)]
+                if not part:
+                    continue
+                raw = self.join.join(part)
+            ids = np.array(self._encode(raw), self.kind)
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * item
             if len(ends) != len(part):
                 raise ValueError("the vocabulary does not keep chunks apart")
+            flat, start = ids.tobytes(), 0
             for c, end in zip(part, ends.tolist()):
-                found[c] = flat[start * item : end * item]
-                start = end + 1
+                found[c] = flat[start:end]
+                start = end + item
         return found
 
+    def _encode(self, raw: bytes) -> list[int]:
+        """Ids of a text; the library's normaliser is spared where Python's lower() does all it would do."""
+        text = raw.decode("utf-8")
+        coder = self.tokenizer
+        if self.plain is not None and not _WIDE.search(raw):
+            coder, text = self.plain, text.lower()
+        [one] = coder.encode_batch_fast([text], add_special_tokens=False)
+        return one.ids
+
+    def _alone(self, c: bytes, found: dict) -> bool:
+        """Whether a chunk must not be joined to others; found then has its ids, or None where its text decides."""
+        if not c.strip(b" \n"):
+            found[c] = self._whole(c)
+        elif _ODD.search(c) or self.mark in c:
+            found[c] = self._whole(c) if self._safe_alone(c) else None
+        else:
+            return False
+        return True
+
     def _safe_alone(self, chunk: bytes) -> bool:
         """Whether a chunk with unusual bytes still stands alone: word vocabularies drop all white space."""
         return not self.byte_level and b"<|" not in chunk
@@ -77,20 +98,21 @@ class ChunkEncoder:
         split = [self._split(t) for t in texts]
         if len(self.known) > self.max_chunks:
             self.known = {}
-        new = set(chain.from_iterable(split)).difference(self.known)
         ids = self.known
-        if new:
-            learnt = self._learn(new)
-            if len(new) > self.max_chunks or any(len(c) > self.max_chunk_bytes for c in new):
-                ids = self.known | learnt
-                learnt = {c: v for c, v in learnt.items() if len(c) <= self.max_chunk_bytes}
-            self.known.update(learnt)
+        got = [list(map(ids.get, chunks)) for chunks in split]
+        new = {c for chunks, found in zip(split, got) for c, x in zip(chunks, found) if x is None}
+        new = [c for c in new if c not in ids]
+        learnt = self._learn(new)
+        if len(learnt) <= self.max_chunks:
+            ids.update((c, v) for c, v in learnt.items() if len(c) <= self.max_chunk_bytes)
         out = []
-        for text, chunks in zip(texts, split):
-            try:
-                out.append(b"".join(map(ids.__getitem__, chunks)))
-            except TypeError:  # a chunk without ids of its own
+        for text, chunks, found in zip(texts, split, got):
+            if None in found:
+                found = [ids.get(c) or learnt.get(c) if x is None else x for c, x in zip(chunks, found)]
+            if None in found:  # a chunk without ids of its own
                 out.append(self._whole(text))
+            else:
+                out.append(b"".join(found))
         return out
 
 
@@ -100,7 +122,7 @@ def encoder(path: str, byte_level: bool) -> ChunkEncoder:
     return ChunkEncoder(path, byte_level)
 
 
-def slices(column, most_bytes: int = 4_000_000):
+def slices(column, most_bytes: int = 300_000):
     """The values of an Arrow binary column as lists whose bytes stay below a bound (one value at least)."""
     part, size = [], 0
     for value in column:
