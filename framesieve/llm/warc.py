@@ -296,7 +296,14 @@ def _read(with_payload: bool):
     return run
 
 
-def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Every record that the index names, checked against its digest; revisits have no payload of their own."""
-    rows = index.select("file", "at", "size").repartition("file").sortWithinPartitions("file", "at")
+def read(index: DataFrame, with_payload: bool = True, stretch: int = 1 << 23) -> DataFrame:
+    """Every record that the index names, checked against its digest; revisits have no payload of their own.
+
+    Each archive is read in stretches of stretch bytes (a power of two), in the order of the file.
+    """
+    rows = index.select("file", "at", "size").withColumn("stretch", F.col("at").bitwiseAND(F.lit(-stretch)))
+    # Rows are short and what they name is long: a task per stretch of archive, not per size of its rows.
+    total = index.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, min(-(-2 * total // stretch), 20_000))
+    rows = rows.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "at").drop("stretch")
     return rows.mapInArrow(_read(with_payload), RECORDS)
