@@ -1,4 +1,6 @@
 """Every registered query of the photo operators, by name, with its oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import grading
+
+QUERIES: dict = {**grading.QUERIES}
+ORACLES: dict = {**grading.ORACLES}
