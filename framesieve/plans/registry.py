@@ -1,6 +1,6 @@
 """Every registered query of the photo operators, by name, with its oracle SQL."""
 
-from . import grading
+from . import archive, grading
 
-QUERIES: dict = {**grading.QUERIES}
-ORACLES: dict = {**grading.ORACLES}
+QUERIES: dict = {**grading.QUERIES, **archive.QUERIES}
+ORACLES: dict = {**grading.ORACLES, **archive.ORACLES}
