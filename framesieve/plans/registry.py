@@ -1,6 +1,6 @@
 """Every registered query of the photo operators, by name, with its oracle SQL."""
 
-from . import archive, grading
+from . import archive, detail, grading
 
-QUERIES: dict = {**grading.QUERIES, **archive.QUERIES}
-ORACLES: dict = {**grading.ORACLES, **archive.ORACLES}
+QUERIES: dict = {**grading.QUERIES, **archive.QUERIES, **detail.QUERIES}
+ORACLES: dict = {**grading.ORACLES, **archive.ORACLES, **detail.ORACLES}
