@@ -38,7 +38,7 @@ def _walk(c: GroupConfig):
         segment = segment.sort_values("place", kind="stable")
         scene, size, anchor, out = -1, 0, None, []
         for known, gap, has_hash, mark in zip(
-            segment["gap"].notna(), segment["gap"], segment["dhash"].notna(), segment["dhash"]
+            segment["gap"].notna(), segment["gap"], segment["hashed"], segment["dhash"]
         ):
             mark = int(mark) & 0xFFFFFFFFFFFFFFFF if has_hash else None
             apart = bin(mark ^ anchor).count("1") if mark is not None and anchor is not None else 0
@@ -63,7 +63,9 @@ def with_scenes(frames: DataFrame, config: GroupConfig | None = None) -> DataFra
     df = gaps(frames).withColumn("place", F.row_number().over(w))
     hard = F.when(F.col("gap") > c.time_gap_seconds, 1).otherwise(0)
     df = df.withColumn("segment", F.sum(hard).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    narrow = df.select("batch_id", "segment", "place", "gap", F.col("dhash"))
+    # A missing hash travels as a flag: pandas would turn a nullable long into a double and lose its low bits.
+    mark = F.coalesce("dhash", F.lit(0).cast("long")).alias("dhash")
+    narrow = df.select("batch_id", "segment", "place", "gap", F.col("dhash").isNotNull().alias("hashed"), mark)
     schema = "batch_id string, segment long, place int, scene int"
     walked = narrow.groupBy("batch_id", "segment").applyInPandas(_walk(c), schema)
     counts = walked.groupBy("batch_id", "segment").agg((F.max("scene") + 1).alias("n"))
