@@ -30,17 +30,23 @@ def _metres(lat1, lon1, lat2, lon2):
 
 
 def _walk(radius: float):
-    def walk(segment: pd.DataFrame) -> pd.DataFrame:
-        segment = segment.sort_values("place", kind="stable")
-        cluster, n, lat, lon, out = -1, 0, 0.0, 0.0, []
-        for y, x in zip(segment["latitude"].tolist(), segment["longitude"].tolist()):
-            if cluster < 0 or _metres(lat, lon, y, x) > radius:
-                cluster, n, lat, lon = cluster + 1, 0, 0.0, 0.0
-            n += 1
-            lat, lon = lat + (y - lat) / n, lon + (x - lon) / n
-            out.append(cluster)
-        segment["cluster"] = out
-        return segment[["batch_id", "segment", "place", "cluster"]]
+    """Walks rows that come sorted by batch, segment and place; what it carries is one cluster's centre."""
+
+    def walk(frames):
+        at, cluster, n, lat, lon = None, 0, 0, 0.0, 0.0
+        for rows in frames:
+            out = []
+            for batch, segment, y, x in zip(rows["batch_id"], rows["segment"], rows["latitude"], rows["longitude"]):
+                if (batch, segment) != at:
+                    at, cluster, n = (batch, segment), 0, 0
+                elif _metres(lat, lon, y, x) > radius:
+                    cluster, n = cluster + 1, 0
+                if not n:
+                    lat, lon = 0.0, 0.0
+                n += 1
+                lat, lon = lat + (y - lat) / n, lon + (x - lon) / n
+                out.append(cluster)
+            yield rows[["batch_id", "segment", "place"]].assign(cluster=pd.Series(out, index=rows.index, dtype="int32"))
 
     return walk
 
@@ -55,9 +61,9 @@ def with_places(frames: DataFrame, radius: float = 250.0, min_cluster: int = 2)
     )
     hard = F.when(F.col("jump") > 2.02 * radius, 1).otherwise(0)
     located = located.withColumn("segment", F.sum(hard).over(Window.partitionBy("batch_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
-    walked = located.groupBy("batch_id", "segment").applyInPandas(
-        _walk(radius), "batch_id string, segment long, place int, cluster int"
-    )
+    narrow = located.select("batch_id", "segment", "place", "latitude", "longitude")
+    dealt = narrow.repartition("batch_id", "segment").sortWithinPartitions("batch_id", "segment", "place")
+    walked = dealt.mapInPandas(_walk(radius), "batch_id string, segment long, place int, cluster int")
     sizes = walked.groupBy("batch_id", "segment", "cluster").agg(F.count("*").alias("n")).where(F.col("n") >= min_cluster)
     number = F.row_number().over(Window.partitionBy("batch_id").orderBy("segment", "cluster"))
     named = sizes.select("batch_id", "segment", "cluster", number.alias("place_id"))

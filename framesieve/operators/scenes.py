@@ -34,21 +34,26 @@ def gaps(frames: DataFrame) -> DataFrame:
 
 
 def _walk(c: GroupConfig):
-    def walk(segment: pd.DataFrame) -> pd.DataFrame:
-        segment = segment.sort_values("place", kind="stable")
-        scene, size, anchor, out = -1, 0, None, []
-        for known, gap, has_hash, mark in zip(
-            segment["gap"].notna(), segment["gap"], segment["hashed"], segment["dhash"]
-        ):
-            mark = int(mark) & 0xFFFFFFFFFFFFFFFF if has_hash else None
-            apart = bin(mark ^ anchor).count("1") if mark is not None and anchor is not None else 0
-            limit = c.scene_change_distance if known else c.no_time_hash_distance
-            if scene < 0 or (known and gap > c.time_gap_seconds) or apart > limit or size >= c.max_group_size:
-                scene, size, anchor = scene + 1, 0, mark
-            size += 1
-            out.append(scene)
-        segment["scene"] = out
-        return segment[["batch_id", "segment", "place", "scene"]]
+    """Walks rows that come sorted by batch, segment and place; what it carries is one scene's state."""
+
+    def walk(frames):
+        at, scene, size, anchor = None, 0, 0, None
+        for rows in frames:
+            out = []
+            for batch, segment, known, hashed, mark in zip(
+                rows["batch_id"], rows["segment"], rows["gap"].notna(), rows["hashed"], rows["dhash"]
+            ):
+                mark = int(mark) & 0xFFFFFFFFFFFFFFFF if hashed else None
+                if (batch, segment) != at:  # a hard break: everything starts anew
+                    at, scene, size, anchor = (batch, segment), 0, 0, mark
+                else:
+                    apart = (mark ^ anchor).bit_count() if mark is not None and anchor is not None else 0
+                    limit = c.scene_change_distance if known else c.no_time_hash_distance
+                    if apart > limit or size >= c.max_group_size:
+                        scene, size, anchor = scene + 1, 0, mark
+                size += 1
+                out.append(scene)
+            yield rows[["batch_id", "segment", "place"]].assign(scene=pd.Series(out, index=rows.index, dtype="int32"))
 
     return walk
 
@@ -67,7 +72,8 @@ def with_scenes(frames: DataFrame, config: GroupConfig | None = None) -> DataFra
     mark = F.coalesce("dhash", F.lit(0).cast("long")).alias("dhash")
     narrow = df.select("batch_id", "segment", "place", "gap", F.col("dhash").isNotNull().alias("hashed"), mark)
     schema = "batch_id string, segment long, place int, scene int"
-    walked = narrow.groupBy("batch_id", "segment").applyInPandas(_walk(c), schema)
+    dealt = narrow.repartition("batch_id", "segment").sortWithinPartitions("batch_id", "segment", "place")
+    walked = dealt.mapInPandas(_walk(c), schema)
     counts = walked.groupBy("batch_id", "segment").agg((F.max("scene") + 1).alias("n"))
     before = Window.partitionBy("batch_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
