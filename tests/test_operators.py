@@ -93,7 +93,7 @@ def test_score_is_the_sum_of_its_lines(spark):
         rows.append(
             frame(
                 i, error=rng.choice([None, None, None, "x"]), sharpness=rng.uniform(0, 100), source=rng.choice(["eye", "face", "af", "tile", "frame", "odd"]),
-                face_count=rng.randrange(3), face_area_ratio=rng.choice([0, 0.0002, 0.0003, 0.01, 0.03, 0.4]), background_sharpness=rng.uniform(0, 100),
+                face_count=rng.randrange(3), face_area_ratio=rng.choice([0.0, 0.0002, 0.0003, 0.01, 0.03, 0.4]), background_sharpness=rng.uniform(0, 100),
                 clipped_highlights=rng.choice([0.25, 0.254, 0.9]), clipped_shadows=rng.choice([0.5, 0.51, 0.9]), mean_luma=rng.choice([8.0, 247.0, 7.9, 250.0]),
                 eyes_open=rng.choice([-1.0, 0.0, 0.25, 0.2]),
             )
