@@ -133,3 +133,90 @@ def tone_quantiles(counts: DataFrame, steps: int = 16) -> DataFrame:
     shares = [0.02 + 0.96 * i / (steps - 1) for i in range(steps)]
     q = F.expr(f"percentile(level, array({', '.join(f'{s!r}D' for s in shares)}), n)")
     return counts.where("channel = 'luma'").groupBy("frame_id").agg(q.alias("q"))
+
+
+# -- regions -----------------------------------------------------------------------------------------------------------
+
+TILES = "path string, row int, col int, x int, y int, w int, h int, energy double"
+
+
+def _tiles_of(frames):
+    names = [x.split()[0] for x in TILES.split(", ")]
+    for frame in frames:
+        out = []
+        for path, height, width, channels, data in frame.itertuples(index=False):
+            if data is None or len(data) != height * width * channels:
+                continue
+            image = gray(np.frombuffer(data, np.uint8).reshape(height, width, channels).squeeze())
+            for r in range(4):
+                for c in range(6):
+                    y0, y1 = r * height // 4, (r + 1) * height // 4
+                    x0, x1 = c * width // 6, (c + 1) * width // 6
+                    if y1 > y0 and x1 > x0:
+                        gx = np.diff(image[y0:y1, x0:x1], axis=1)
+                        gy = np.diff(image[y0:y1, x0:x1], axis=0)
+                        energy = float((gx**2).mean() if gx.size else 0) + float((gy**2).mean() if gy.size else 0)
+                        out.append((path, r, c, x0, y0, x1 - x0, y1 - y0, energy))
+        yield pd.DataFrame(out, columns=names)
+
+
+def tiles(images: DataFrame) -> DataFrame:
+    """The 6 by 4 tiles of every picture with their gradient energy; pictures of a wrong size have none."""
+    return images.select("path", "height", "width", "channels", "data").mapInPandas(_tiles_of, TILES)
+
+
+def best_tile(tile_rows: DataFrame, faces: DataFrame | None = None) -> DataFrame:
+    """(path, tile, energy): the tile of most energy, the first in reading order of equals.
+
+    With faces (path, x, y, w, h), tiles that overlap one are left out: what is left is the background.
+    """
+    rows = tile_rows
+    if faces is not None:
+        f = faces.select(F.col("path").alias("_p"), *(F.col(c).alias(f"_{c}") for c in "xywh"))
+        meet = (
+            (F.col("path") == F.col("_p"))
+            & (F.col("x") < F.col("_x") + F.col("_w")) & (F.col("_x") < F.col("x") + F.col("w"))
+            & (F.col("y") < F.col("_y") + F.col("_h")) & (F.col("_y") < F.col("y") + F.col("h"))
+        )
+        rows = rows.join(f, meet, "left_anti")
+    order = F.struct(-F.col("energy"), "row", "col")
+    return rows.groupBy("path").agg(F.min_by(F.struct("x", "y", "w", "h"), order).alias("tile"), F.max("energy").alias("energy"))
+
+
+def choose_region(least: int = 24, use_af: bool = False):
+    """(source, roi) of eye, face, af, tile (structs x, y, w, h or null) and the whole frame: the first large enough."""
+    names = ["eye", "face", *(["af"] if use_af else []), "tile"]
+    source = None
+    for n in names:
+        big = (F.col(n)["w"] >= least) & (F.col(n)["h"] >= least)
+        source = F.when(big, n) if source is None else source.when(big, n)
+    source = source.otherwise("frame")
+    roi = None
+    for n in names:
+        roi = F.when(source == n, F.col(n)) if roi is None else roi.when(source == n, F.col(n))
+    return F.struct(source.alias("source"), roi.alias("roi"))
+
+
+MEANS = "path string, mean_b double, mean_g double, mean_r double, pixels long"
+
+
+def _means_of(frames):
+    names = [x.split()[0] for x in MEANS.split(", ")]
+    for frame in frames:
+        out = []
+        for path, height, width, channels, data in frame.itertuples(index=False):
+            if data is None or channels != 3 or len(data) != height * width * 3:
+                continue
+            p = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.float64)
+            low, high = p.min(axis=1), p.max(axis=1)
+            usable = (low > 16) & (high < 240)
+            neutral = usable & (high - low <= 0.1 * high)
+            chosen = neutral if neutral.sum() >= 100 else usable
+            b, g, r = p[chosen].mean(axis=0) if chosen.any() else (0.0, 0.0, 0.0)
+            out.append((path, b, g, r, int(chosen.sum())))
+        yield pd.DataFrame(out, columns=names)
+
+
+def channel_means(images: DataFrame) -> DataFrame:
+    """Channel means of the neutral pixels of every colour picture, or of all usable ones where those are few."""
+    return images.select("path", "height", "width", "channels", "data").mapInPandas(_means_of, MEANS)

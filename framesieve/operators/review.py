@@ -76,3 +76,11 @@ def with_measurements(frames: DataFrame, edits: DataFrame) -> DataFrame:
     for c in names:
         df = df.withColumn(c, F.when(F.col("_edited"), F.col(f"_new_{c}")).otherwise(F.col(c)))
     return df.drop("_path", "_edited", *(f"_new_{c}" for c in names))
+
+
+def raw_count(frames: DataFrame) -> DataFrame:
+    """(raws, others): frames by whether their name is that of a raw file."""
+    from framesieve.sources.inventory import kind
+
+    raw = F.coalesce(kind(F.col("name")) == "raw", F.lit(False))
+    return frames.agg(F.count_if(raw).alias("raws"), F.count_if(~raw).alias("others"))

@@ -180,3 +180,25 @@ def test_small_rules(spark):
     name = lambda p: row.select(export.filename(p, F.lit(3), "20000101000000", F.lit(".ARW")).alias("n")).first().n
     assert name("{name}_{index}_{date}{odd}_{score}") == "a_b_0003_20240501{odd}_8.ARW" and name(" . ") == "a_b.ARW"
     assert store.latest(spark.createDataFrame([("p", 1, 5), ("p", 2, 6)], "path string, written_at int, v int")).first().v == 6
+
+
+def test_regions_and_means(spark):
+    image = np.full((80, 120), 100, np.uint8)
+    image[20:40, 40:60] = np.random.default_rng(3).integers(0, 255, (20, 20))
+    image[60:80, 100:120:2] = 130
+    colour = np.full((20, 20, 3), 120, np.uint8)
+    colour[:, :, 2] = 126
+    rows = [("/a", 80, 120, 1, image.tobytes()), ("/c", 20, 20, 3, colour.tobytes()), ("/bad", 5, 5, 3, b"x"), ("/none", 5, 5, 3, None)]
+    pictures = spark.createDataFrame(rows, "path string, height int, width int, channels int, data binary")
+    tiles = images.tiles(pictures.where("path = '/a'"))
+    assert images.best_tile(tiles).first().tile.asDict() == {"x": 40, "y": 20, "w": 20, "h": 20}
+    face = spark.createDataFrame([("/a", 45, 25, 5, 5)], "path string, x int, y int, w int, h int")
+    assert images.best_tile(tiles, face).first().tile.asDict() == {"x": 100, "y": 60, "w": 20, "h": 20}
+    means = images.channel_means(pictures).collect()
+    assert [(r.path, r.mean_b, r.mean_r) for r in means] == [("/c", 120.0, 126.0)]
+    box = "struct<x:int,y:int,w:int,h:int>"
+    chosen = spark.createDataFrame([((0, 0, 9, 9), None, None, (1, 2, 30, 30))], f"eye {box}, face {box}, af {box}, tile {box}")
+    assert chosen.select(images.choose_region().alias("c")).first().c.source == "tile"
+    cams = spark.createDataFrame([(2, "A", "x1"), (1, "b", "x2"), (3, "A", "x0")], "position int, maker string, model string")
+    assert [r.label for r in lenses.available_cameras(cams, "X", 2).collect()] == ["A x1", "b x2"]
+    assert tuple(review.raw_count(spark.createDataFrame([("a.ARW",), ("b.jpg",), ("c",)], "name string")).first()) == (1, 2)
