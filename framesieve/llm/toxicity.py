@@ -4,8 +4,8 @@ Expressions are words, modelled as character sequences: one interpolated Kneser-
 and one of ordinary documents, over all labelled training documents.  Orders up to shared_order draw their counts from
 both classes together, so an expression that neither class knows well gets nearly the same likelihood from both.  A word's
 log-likelihood ratio depends on the word alone; a document's evidence is its ratio per character and what its most
-telling words add, normalised by length.  A logistic curve over that evidence, fitted on a bounded sample of labelled
-documents that the counts have not seen, gives the score.
+telling words add, normalised by length.  A logistic curve over that evidence gives the score.  It is fitted on a bounded
+sample of labelled documents, with a model whose counts lack that sample; the model that scores counts the sample too.
 
 Counts of the longest n-grams are summed on Spark from one partial count per task; all lower orders are counts of distinct
 extensions of the next higher order.  The models keep at most most_grams n-grams of each order, the most frequent ones;
@@ -31,7 +31,7 @@ START, STOP = "\x02", "\x03"
 
 
 def fold(doc_id):
-    """crc32 of the id as text, mod 4: 2 is held out, 0 and 1 feed the counts, 3 the curve."""
+    """crc32 of the id as text, mod 4: 2 is held out, all others feed the counts, 3 the curve too."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4))
 
 
@@ -44,26 +44,26 @@ def grams_of(word: str, order: int) -> list[str]:
 
 
 def _partial(order: int, most_words: int = 200_000):
-    """Per task the n-grams of its documents' distinct words, by class."""
+    """Per task the n-grams of its documents' distinct words, by class, and apart from them those of the curve's sample."""
 
     def spill(words, grams):
-        for label in (0, 1):
+        for label in range(4):
             for raw, n in words[label].items():
                 for g in grams_of(raw.decode("utf-8", "replace"), order):
                     grams[label][g] += n
             words[label].clear()
 
     def run(batches):
-        words, grams = (Counter(), Counter()), (Counter(), Counter())
+        words, grams = [Counter() for _ in range(4)], [Counter() for _ in range(4)]
         for batch in batches:
-            labels = batch.column(1).to_pylist()
-            for cell, label in zip(batch.column(0), labels):
-                words[label].update(set(words_of(cell.as_py() or b"")))
-            if len(words[0]) + len(words[1]) > most_words:
+            labels, picked = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for cell, label, apart in zip(batch.column(0), labels, picked):
+                words[label + 2 * apart].update(set(words_of(cell.as_py() or b"")))
+            if sum(map(len, words)) > most_words:
                 spill(words, grams)
-            if len(grams[0]) + len(grams[1]) > 10 * most_words:
+            if sum(map(len, grams)) > 10 * most_words:
                 yield _rows(grams)
-                grams = (Counter(), Counter())
+                grams = [Counter() for _ in range(4)]
         spill(words, grams)
         yield _rows(grams)
 
@@ -71,9 +71,9 @@ def _partial(order: int, most_words: int = 200_000):
 
 
 def _rows(grams):
-    keys = list(grams[0].keys() | grams[1].keys())
+    keys = list(set().union(*grams))
     counts = [pa.array([c[k] for k in keys], pa.int64()) for c in grams]
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *counts], ["gram", "n0", "n1"])
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *counts], ["gram", "n0", "n1", "p0", "p1"])
 
 
 def _levels(top: DataFrame, order: int, most_grams: int):
@@ -248,7 +248,7 @@ def train(
     most_grams: int = 400_000,
     curve_rows: int = 20_000,
 ) -> Model:
-    """Fit both models on the labelled documents of folds 0 and 1 and the curve on at most curve_rows of fold 3.
+    """Fit both models on all labelled documents but those of fold 2, and the curve on at most curve_rows of fold 3.
 
     docs needs doc_id and text, labels doc_id and toxic; other columns are left out.  A doc_id with several labels takes
     the largest; null labels and null ids are left out.  Where a class or all labels are missing, every text gets the
@@ -260,23 +260,29 @@ def train(
         F.max((F.col("toxic") > 0).cast("int")).alias("toxic")
     )
     known = known.withColumn("fold", fold("_id")).where("fold <> 2")
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_bytes().alias("raw"))
-    # Labels grow with the corpus, so they are never sent to all tasks: the join deals both sides by id at every size.
-    counted = rows.where(fold("_id") < 2).join(known.where("fold < 2").drop("fold").hint("merge"), "_id")
-    top = counted.select("raw", "toxic").mapInArrow(_partial(order), "gram string, n0 long, n1 long")
-    top = stored(top.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-grams")
-    model = kneser_ney(list(_levels(top, order, most_grams)), order, discount, shared_order)
     n = known.agg(
         F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.count_if(F.col("fold") == 3).alias("curve")
     ).first()
-    model.prior = ((n.toxic or 0) + 1) / (n.n + 2)
     # A bounded number of ids, so the sample may be sent to all workers.
-    picked = hash_sample(known.where("fold = 3").select("_id", "toxic"), ["_id"], curve_rows, n.curve)
-    shared = spark.sparkContext.broadcast(model)
+    picked = stored(hash_sample(known.where("fold = 3").select("_id", "toxic"), ["_id"], curve_rows, n.curve), "toxicity-curve")
+    flagged = known.join(F.broadcast(picked.select("_id", F.lit(True).alias("picked"))), "_id", "left")
+    flagged = flagged.select("_id", "toxic", F.coalesce("picked", F.lit(False)).alias("picked"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_bytes().alias("raw"))
+    # Labels grow with the corpus, so they are never sent to all tasks: the join deals both sides by id at every size.
+    counted = rows.where(fold("_id") != 2).join(flagged.hint("merge"), "_id")
+    classes = ("n0", "n1", "p0", "p1")
+    top = counted.select("raw", "toxic", "picked").mapInArrow(_partial(order), "gram string, n0 long, n1 long, p0 long, p1 long")
+    top = stored(top.groupBy("gram").agg(*(F.sum(c).alias(c) for c in classes)), "toxicity-grams")
+    unseen = top.where("n0 + n1 > 0").select("gram", "n0", "n1")
+    curve = kneser_ney(list(_levels(unseen, order, most_grams)), order, discount, shared_order)
+    shared = spark.sparkContext.broadcast(curve)
     sample = rows.join(F.broadcast(picked), "_id").select("raw", "toxic").mapInArrow(
         _evidence(shared), "toxic int, evidence array<double>"
     )
     found = sample.toPandas()
+    every = top.select("gram", (F.col("n0") + F.col("p0")).alias("n0"), (F.col("n1") + F.col("p1")).alias("n1"))
+    model = kneser_ney(list(_levels(every, order, most_grams)), order, discount, shared_order)
+    model.prior = ((n.toxic or 0) + 1) / (n.n + 2)
     if len(found) and 0 < found["toxic"].sum() < len(found):
         fit_curve(model, np.array(found["evidence"].tolist(), np.float64), found["toxic"].to_numpy(np.float64))
     return model

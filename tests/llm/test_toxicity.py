@@ -54,3 +54,14 @@ def test_odd_rows(spark, odd_docs):
     assert toxicity.scored(odd_docs.limit(0), model).collect() == []
     kept = toxicity.clean(odd_docs, labels.withColumn("part", F.lit(1)), limit=1.1)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
+
+
+def test_counts_cover_fold_3(spark):
+    """An expression that stands only in labelled documents of fold 3 is known to the model."""
+    folds = {i: zlib.crc32(str(i).encode()) % 4 for i in range(400)}
+    docs = [(i, f"plain words of a text {'zxqvkj' if k == 3 and i % 2 else 'again'} {i}") for i, k in folds.items()]
+    labels = [(i, int(i % 2 and k == 3 or i % 9 == 0)) for i, k in folds.items()]
+    model = toxicity.train(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    )
+    assert model.word(b"zxqvkj") > 3
