@@ -6,8 +6,8 @@ document's shingles.  Rarity is counted over all documents.  Each document joins
 place of the shingle in the window gives the one possible start, which must leave room for the window on both sides, and
 the window's words are then compared in full.
 
-Benchmarks are query sets.  Items are taken in blocks of a bounded number of bytes; each block is sent to the workers and
-meets every document, and with several blocks the hits of a document are united by doc_id.
+Benchmarks are query sets.  Items are taken in blocks of a bounded number of bytes; each block is counted and sent to the
+workers by itself.  All blocks meet a document in one pass, so its hits are united within its row.
 """
 
 from __future__ import annotations
@@ -102,15 +102,19 @@ def _count(wanted: dict[int, set]):
     return run
 
 
-def _match(probe):
+def _match(probes):
     def run(batches):
         for batch in batches:
             n_words, spans, items = [], [], []
             for cell in batch.column(1):
                 words = words_of(cell.as_py() or b"")
-                found, of = probe.value.find(words)
+                found, of = [], set()
+                for probe in probes:
+                    more, named = probe.value.find(words)
+                    found += more
+                    of |= named
                 n_words.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in found])
+                spans.append([{"start": a, "end": b} for a, b in joined(found)])
                 items.append(sorted(of))
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
@@ -150,12 +154,12 @@ def hits(
 
     docs needs doc_id and text, benchmark item_id and text; other columns are left out.  A null or empty text has no
     words; an item without words or without item_id has no window; items that share an item_id count as one item.  An
-    empty benchmark hits nothing.  most_bytes bounds the item text that is held and sent at a time; with more than one
-    block, rows of one doc_id are united, so there doc_id must be unique.
+    empty benchmark hits nothing.  most_bytes bounds the item text of one block; the rows are the same for any number of
+    blocks, but the workers hold the windows of all of them.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw"))
-    parts = []
+    probes = []
     for block in _blocks(benchmark, most_bytes):
         windows: dict[tuple, list[int]] = defaultdict(list)
         for item, words in block:
@@ -169,29 +173,8 @@ def hits(
         counted = rows.select("raw").mapInArrow(_count(dict(wanted)), "shingle binary, n long")
         seen = counted.groupBy("shingle").agg(F.sum("n").alias("n")).collect()
         rarity = {tuple(bytes(r.shingle).split(b" ")): r.n for r in seen}
-        probe = spark.sparkContext.broadcast(Probe(dict(windows), rarity, shingle))
-        parts.append(rows.mapInArrow(_match(probe), HITS))
-    if not parts:
-        probe = spark.sparkContext.broadcast(Probe({}, {}, shingle))
-        return rows.mapInArrow(_match(probe), HITS)
-    if len(parts) == 1:
-        return parts[0]
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.union(part)
-    grouped = united.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return grouped.mapInPandas(_join_spans, HITS)
-
-
-def _join_spans(frames):
-    for frame in frames:
-        spans = [joined((s["start"], s["end"]) for s in x) for x in frame["spans"]]
-        frame["spans"] = [[{"start": a, "end": b} for a, b in x] for x in spans]
-        yield frame
+        probes.append(spark.sparkContext.broadcast(Probe(dict(windows), rarity, shingle)))
+    return rows.mapInArrow(_match(probes), HITS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, **tune) -> DataFrame:

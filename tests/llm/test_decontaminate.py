@@ -56,6 +56,19 @@ def test_odd_rows(spark, odd_docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "7", "None"]
 
 
+def test_every_row_comes_back_at_any_number_of_blocks(spark):
+    """Repeated rows, different texts that share an id, and null ids."""
+    rows = [(1, "hello word word"), (1, "hello word word"), (1, "other text"), (None, "word word"), (None, "it's a test"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(1, "word word"), (2, "the café of it"), (3, "IT'S a test"), (4, "hello word")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([x[:4] + x[5:] for x in slow(rows, items)], key=str)
+    for most in (8_000_000, 5):
+        found = decontaminate.contamination(docs, bench, most_bytes=most)
+        got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in found.collect()]
+        assert sorted(got, key=str) == want
+
+
 def test_bounds():
     window = tuple(b"a b c d e".split())
     probe = decontaminate.Probe({window: [1]}, {}, 3)
