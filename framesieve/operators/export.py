@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +51,14 @@ def numbered(frames: DataFrame, grades=None) -> DataFrame:
     return chosen.withColumn("index", F.row_number().over(w))
 
 
-def plan(frames: DataFrame, existing: DataFrame, root: str, pattern: str = "{name}", grades=None, places: DataFrame | None = None, by_grade: bool = True, run_time: str = "20000101000000") -> tuple[DataFrame, DataFrame]:
+def plan(frames: DataFrame, existing: DataFrame, root: str, pattern: str = "{name}", grades=None, places: DataFrame | None = None, by_grade: bool = True, run_time: str = "20000101000000", shared_root: bool = False) -> tuple[DataFrame, DataFrame]:
     """(operations, skipped) of an export.
 
     frames needs batch_id, path, input_order, final_grade, capture_time, score, stem and suffix (with its dot); existing
     lists the paths that exist; places (batch_id, place_id, label) makes place folders.  Missing sources are skipped but
-    keep their number.  Names that meet get _1, _2, ... in the order of the plan.
+    keep their number.  A name that stands among existing or that an earlier operation has, whatever the case of its
+    letters, gets _1, _2, ... until it is free, in the order of the plan.  shared_root says that all batches go into root
+    together, so that they are numbered as one plan in the order of batch_id; else each batch is a plan of its own.
     """
     df = numbered(frames, grades)
     folder = F.lit(root)
@@ -68,17 +71,47 @@ def plan(frames: DataFrame, existing: DataFrame, root: str, pattern: str = "{nam
     found = existing.select(F.col("path").alias("_there"), F.lit(True).alias("_is_there")).distinct()
     df = df.join(found, df["path"] == found["_there"], "left")
     skipped = df.where("_is_there is null").select("batch_id", "path", F.lit("missing source").alias("reason"))
-    w = Window.partitionBy("batch_id", "folder", F.lower("file")).orderBy("index")
-    df = df.where("_is_there").withColumn("_clash", F.row_number().over(w) - 1)
-    name = F.when(F.col("_clash") == 0, F.col("file")).otherwise(
-        F.concat(F.regexp_replace("file", r"\.[^.]*$", ""), F.lit("_"), F.col("_clash").cast("string"), F.col("suffix"))
+    # Names can only meet where they are equal but for numbers at their end, so each such family is walked by itself.
+    family = lambda stem, suffix: F.concat(F.regexp_replace(F.lower(stem), r"(_[0-9]+)+$", ""), F.lit("/"), F.lower(suffix))
+    stem = F.expr("substring(file, 1, length(file) - length(suffix))")
+    chosen = df.where("_is_there").select(
+        "batch_id", "index", "path", "final_grade", "folder", "file", stem.alias("stem"), "suffix", family(stem, F.col("suffix")).alias("_family"), F.lit(False).alias("_taken")
     )
-    operations = df.select(
-        "batch_id", "index", F.col("path").alias("source"), F.concat("folder", F.lit("/"), name).alias("destination"), F.col("final_grade").alias("grade")
+    scope = ["folder", "_family"] if shared_root else ["batch_id", "folder", "_family"]
+    keys = chosen.groupBy(*scope).agg(F.first("suffix").alias("suffix"), *([F.min("batch_id").alias("batch_id")] if shared_root else []))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    stands = existing.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), name.alias("file"), F.regexp_extract(name, r"\.[^.]*$", 0).alias("suffix"))
+    stands = stands.withColumn("_family", family(stem, F.col("suffix"))).drop("suffix").distinct()
+    none = F.lit(None).cast("string")
+    taken = stands.join(keys, ["folder", "_family"]).select(
+        "batch_id", F.lit(0).alias("index"), none.alias("path"), none.alias("final_grade"), "folder", "file", F.lit("").alias("stem"), "suffix", "_family", F.lit(True).alias("_taken")
+    )
+    made = chosen.schema["batch_id"].dataType.simpleString()
+    operations = chosen.unionByName(taken).groupBy(*scope).applyInPandas(
+        _free_names, f"batch_id {made}, index int, source string, destination string, grade string"
     )
     return operations, skipped
 
 
+def _free_names(frame: pd.DataFrame) -> pd.DataFrame:
+    """The operations of one family of names, each with the first name that is free."""
+    used = set(frame.loc[frame["_taken"], "file"].str.lower())
+    rows = frame[~frame["_taken"]].sort_values(["batch_id", "index"], kind="stable")
+    tried: dict[str, int] = {}
+    names = []
+    for file, stem, suffix in zip(rows["file"], rows["stem"], rows["suffix"]):
+        name, k = file, tried.get(file.lower(), 0)
+        while name.lower() in used:
+            k += 1
+            name = f"{stem}_{k}{suffix}"
+        tried[file.lower()] = k
+        used.add(name.lower())
+        names.append(name)
+    return pd.DataFrame(
+        {"batch_id": rows["batch_id"], "index": rows["index"], "source": rows["path"], "destination": rows["folder"] + "/" + pd.Series(names, rows.index, dtype=object), "grade": rows["final_grade"]}
+    )
+
+
 def plan_counts(operations: DataFrame) -> DataFrame:
     return operations.groupBy("batch_id").agg(*(F.count_if(F.col("grade") == g).alias(g) for g in GRADES))
 

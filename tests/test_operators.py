@@ -202,3 +202,18 @@ def test_regions_and_means(spark):
     cams = spark.createDataFrame([(2, "A", "x1"), (1, "b", "x2"), (3, "A", "x0")], "position int, maker string, model string")
     assert [r.label for r in lenses.available_cameras(cams, "X", 2).collect()] == ["A x1", "b x2"]
     assert tuple(review.raw_count(spark.createDataFrame([("a.ARW",), ("b.jpg",), ("c",)], "name string")).first()) == (1, 2)
+
+
+def test_export_names_are_free(spark):
+    """A name is held against existing files, other frames' own names and, in a shared root, other batches."""
+    rows = [(1, "/a/x.arw", 1, "x"), (1, "/b/x.arw", 2, "x"), (1, "/c/x_1.arw", 3, "x_1"), (1, "/d/y.arw", 4, "y"), (2, "/e/X.arw", 1, "X")]
+    frames = spark.createDataFrame(rows, "batch_id long, path string, input_order int, stem string").withColumns(
+        {"final_grade": F.lit("keep"), "capture_time": F.lit(None).cast("timestamp"), "score": F.lit(1.0), "suffix": F.lit(".arw")}
+    )
+    there = frames.select("path").union(spark.createDataFrame([("/out/_keep/y.arw",), ("/out/_keep/Y_1.arw",), ("/other/x.arw",)], "path string"))
+    want = {"/a/x.arw": "x", "/b/x.arw": "x_1", "/c/x_1.arw": "x_1_1", "/d/y.arw": "y_2", "/e/X.arw": "X"}
+    for shared in (False, True):
+        operations, skipped = export.plan(frames, there, "/out", shared_root=shared)
+        got = {r.source: r.destination for r in operations.collect()}
+        assert got == {k: f"/out/_keep/{v}.arw" for k, v in (want | ({"/e/X.arw": "X_2"} if shared else {})).items()}
+        assert skipped.count() == 0
