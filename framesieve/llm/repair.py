@@ -1,9 +1,10 @@
 """Re-Pair grammar compression of id sequences, in numpy, and the shard format that holds it.
 
 Each round counts all adjacent pairs of the sequence, makes nonterminals of the most frequent ones and replaces their
-occurrences from left to right.  Rules of a round name only ids and nonterminals of earlier rounds, so decoding undoes
+occurrences, until no pair is frequent.  Rules of a round name only ids and nonterminals of earlier rounds, so decoding undoes
 the rounds in turn.  Shards keep rules, expansion lengths and the expanded offset of every block of symbols, which lets a
-reader decode any range of ids without the rest.
+reader decode any range of ids without the rest.  Symbols take as many bits as the last nonterminal's number needs; a
+block of them fills whole bytes.
 """
 
 from __future__ import annotations
@@ -12,54 +13,84 @@ import struct
 
 import numpy as np
 
-MAGIC = b"RPG1"
-_HEAD = struct.Struct("<4sIIIIQQ")  # magic, first nonterminal, rules, documents, bytes of a symbol, symbols, ids
+MAGIC = b"RPG2"
+_HEAD = struct.Struct("<4sIIIIQQ")  # magic, first nonterminal, rules, documents, bits of a length, symbols, ids
 BLOCK = 4096
-_TABLE_BITS = 18
 
 
-def _pair_slots(seq: np.ndarray) -> np.ndarray:
-    """Each adjacent pair's slot in the count table."""
-    left = seq[:-1] * np.uint32(0x9E3779B1)
-    return ((left ^ (left >> np.uint32(15))) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _TABLE_BITS)
-
-
-def compress(ids: np.ndarray, first: int, rounds: int = 3, per_round: int = 1024, least: int = 4):
-    """(symbols, rules): rules[k] is the pair that nonterminal first + k stands for."""
-    seq = np.ascontiguousarray(ids, np.uint32)
-    rules = np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
+def _apart(at: np.ndarray) -> np.ndarray:
+    """Of ascending places, every second one of those next to each other, from the left."""
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = at[1:] != at[:-1] + 1
+    order = np.arange(len(at))
+    return (order - np.maximum.accumulate(np.where(fresh, order, 0))) % 2 == 0
+
+
+def compress(ids: np.ndarray, first: int, rounds: int | None = None, per_round: int = 1024, least: int = 4):
+    """(symbols, rules): rules[k] is the pair that nonterminal first + k stands for.
+
+    Rounds go on until no pair occurs least times, or for at most rounds of them.
+    """
+    seq = np.array(ids, np.uint32)
+    rules, made = [np.zeros((0, 2), np.uint32)], 0
+    live = np.arange(max(0, len(seq) - 1))  # places whose pair may occur least times; counts of old pairs only fall
+    while len(live) and (rounds is None or rounds > 0):
+        rounds = None if rounds is None else rounds - 1
+        pairs = (seq[live].astype(np.uint64) << np.uint64(32)) | seq[live + 1]
+        # Occurrences in a run of one symbol overlap, so every second one counts.
+        same = np.flatnonzero(seq[live] == seq[live + 1])
+        if len(same):
+            counts_here = np.ones(len(live), bool)
+            counts_here[same] = _apart(live[same])
+            skipped = live[~counts_here]
+            live, pairs = live[counts_here], pairs[counts_here]
+        else:
+            skipped = live[:0]
+        order = np.argsort(pairs)
+        ordered = pairs[order]
+        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        sizes = np.diff(np.append(starts, len(ordered)))
+        frequent = np.flatnonzero(sizes >= least)
+        if not len(frequent):
             break
-        slots = _pair_slots(seq)
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        owner = np.zeros(1 << _TABLE_BITS, np.uint64)
-        owner[slots] = pairs  # of pairs that share a slot, one owns it in this round
-        own = owner[slots] == pairs
-        counts = np.bincount(slots[own], minlength=1 << _TABLE_BITS)
-        top = np.flatnonzero(counts >= least)
+        top = frequent
         if len(top) > per_round:
-            top = np.sort(top[np.argpartition(counts[top], -per_round)[-per_round:]])
-        if not len(top):
-            break
-        rule_of = np.full(1 << _TABLE_BITS, -1, np.int32)
-        rule_of[top] = np.arange(len(top), dtype=np.int32)
-        at = np.flatnonzero(own & (rule_of[slots] >= 0))
-        # In a run of places next to each other every second one is replaced, from the left.
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = at[1:] != at[:-1] + 1
-        order = np.arange(len(at))
-        run_start = np.maximum.accumulate(np.where(fresh, order, 0))
-        at = at[(order - run_start) % 2 == 0]
-        names = first + len(rules) + rule_of[slots[at]]
-        made = np.stack((owner[top] >> np.uint64(32), owner[top] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32)
-        rules = np.concatenate((rules, made))
-        seq = seq.copy()
-        seq[at] = names
+            top = top[np.argpartition(sizes[top], -per_round)[-per_round:]]
+        top = top[np.argsort(-sizes[top], kind="stable")]
+        group_rank = np.where(sizes >= least, len(top), len(top) + 1).astype(np.int32)
+        group_rank[top] = np.arange(len(top), dtype=np.int32)
+        rank = np.empty(len(live), np.int32)
+        rank[order] = np.repeat(group_rank, sizes)
+        at, of = live[rank < len(top)], rank[rank < len(top)]
+        # Of places that overlap the more frequent pair is replaced, so the first pair of all is replaced everywhere.
+        wins = np.ones(len(at), bool)
+        touch = np.flatnonzero(at[1:] == at[:-1] + 1)
+        wins[touch[of[touch] > of[touch + 1]]] = False
+        wins[touch[of[touch] < of[touch + 1]] + 1] = False
+        at, of = at[wins], of[wins]
+        used = np.bincount(of, minlength=len(top)) >= least
+        at, of = at[used[of]], of[used[of]]
+        name = np.cumsum(used) - 1
+        pair = ordered[starts[top[used]]]
+        rules.append(np.stack((pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
+        seq[at] = first + made + name[of]
+        made += len(pair)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        # Live stay the places of frequent pairs; new are the two pairs of each new symbol.
+        alive = np.zeros(len(seq) + 1, bool)
+        alive[live[rank <= len(top)]] = True
+        alive[skipped] = True
+        alive[at] = True
+        alive[at - 1] = True  # of place 0 the spare last cell
+        back = at[at > 1]
+        back = back[~keep[back - 1]]
+        alive[back - 2] = True  # the symbol before was made in this round too
+        alive = alive[:-1][keep]
+        alive[-1:] = False
         seq = seq[keep]
-    return seq, rules
+        live = np.flatnonzero(alive)
+    return seq, np.concatenate(rules)
 
 
 def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -88,6 +119,22 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     return seq
 
 
+def symbol_bits(first: int, n_rules: int) -> int:
+    return max(1, first + n_rules - 1).bit_length()
+
+
+def pack(values: np.ndarray, bits: int) -> bytes:
+    """values of that many bits each, highest bit first."""
+    wide = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
+    return np.packbits(wide[:, 32 - bits :]).tobytes()
+
+
+def unpack(raw: np.ndarray, bits: int, count: int) -> np.ndarray:
+    wide = np.zeros((count, 32), np.uint8)
+    wide[:, 32 - bits :] = np.unpackbits(raw, count=count * bits).reshape(count, bits)
+    return np.packbits(wide, axis=1).view(">u4").ravel().astype(np.uint32)
+
+
 def encode_shard(ids: np.ndarray, counts: np.ndarray, keys: np.ndarray, known: np.ndarray, first: int, **tune) -> bytes:
     """One shard: ids of documents in a row, how many each has, their keys and whether the key is not null."""
     symbols, rules = compress(ids, first, **tune)
@@ -96,16 +143,16 @@ def encode_shard(ids: np.ndarray, counts: np.ndarray, keys: np.ndarray, known: n
     named = symbols >= first
     wide[named] = lengths[symbols[named] - np.uint32(first)]
     starts = np.cumsum(wide) - wide
-    kind = np.dtype("<u2") if first + len(rules) <= 1 << 16 else np.dtype("<u4")
+    bits, width = symbol_bits(first, len(rules)), int(lengths.max(initial=1)).bit_length()
     parts = [
-        _HEAD.pack(MAGIC, first, len(rules), len(counts), kind.itemsize, len(symbols), len(ids)),
-        rules.astype("<u4").tobytes(),
-        lengths.astype("<u4").tobytes(),
+        _HEAD.pack(MAGIC, first, len(rules), len(counts), width, len(symbols), len(ids)),
+        pack(rules.ravel(), bits),
+        pack(lengths, width),
         starts[::BLOCK].astype("<u8").tobytes(),
         np.asarray(keys, "<i8").tobytes(),
         np.asarray(known, "u1").tobytes(),
         np.asarray(counts, "<u8").tobytes(),
-        symbols.astype(kind).tobytes(),
+        pack(symbols, bits),
     ]
     return b"".join(parts)
 
@@ -114,7 +161,7 @@ class Shard:
     """A shard's bytes, read in parts."""
 
     def __init__(self, raw: bytes):
-        magic, self.first, n_rules, n_docs, item, n_symbols, self.n_ids = _HEAD.unpack_from(raw)
+        magic, self.first, n_rules, n_docs, width, n_symbols, self.n_ids = _HEAD.unpack_from(raw)
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
         at = _HEAD.size
@@ -125,12 +172,18 @@ class Shard:
             at += got.nbytes
             return got
 
-        self.rules = take("<u4", 2 * n_rules).reshape(-1, 2)
-        self.lengths = take("<u4", n_rules)
+        self.bits = symbol_bits(self.first, n_rules)
+        self.rules = unpack(take("u1", -(-2 * n_rules * self.bits // 8)), self.bits, 2 * n_rules).reshape(-1, 2)
+        self.lengths = unpack(take("u1", -(-n_rules * width // 8)), width, n_rules)
         self.blocks = take("<u8", -(-n_symbols // BLOCK)).astype(np.int64)
         self.keys, self.known = take("<i8", n_docs), take("u1", n_docs)
         self.counts = take("<u8", n_docs).astype(np.int64)
-        self.symbols = take(f"<u{item}", n_symbols)
+        self.n_symbols, self.packed = n_symbols, take("u1", -(-n_symbols * self.bits // 8))
+
+    def symbols(self, low: int, high: int) -> np.ndarray:
+        """The symbols of blocks low to high."""
+        count = min(high * BLOCK, self.n_symbols) - low * BLOCK
+        return unpack(self.packed[low * BLOCK * self.bits // 8 : -(-high * BLOCK * self.bits // 8)], self.bits, count)
 
     def decode(self, start: int, length: int) -> np.ndarray:
         """ids[start : start + length] of the shard, from the blocks that hold them."""
@@ -138,9 +191,9 @@ class Shard:
             return np.zeros(0, np.uint32)
         low = int(np.searchsorted(self.blocks, start, "right")) - 1
         high = int(np.searchsorted(self.blocks, start + length, "left"))
-        ids = expand(self.symbols[low * BLOCK : high * BLOCK], self.rules, self.first)
+        ids = expand(self.symbols(low, high), self.rules, self.first)
         skip = start - int(self.blocks[low])
         return ids[skip : skip + length]
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first)
+        return expand(self.symbols(0, len(self.blocks)), self.rules, self.first)

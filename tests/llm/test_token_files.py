@@ -31,6 +31,17 @@ def test_random_access():
         assert np.array_equal(shard.decode(a, n), ids[a : a + n])
 
 
+def test_no_frequent_pair_is_left():
+    """Long repeats are folded until no pair occurs four times, however many rounds that takes."""
+    rng = np.random.default_rng(2)
+    ids = np.tile(rng.integers(0, 5000, 2000), 200).astype(np.uint32)
+    symbols, rules = repair.compress(ids, 5000)
+    assert np.array_equal(repair.expand(symbols, rules, 5000), ids)
+    pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+    assert np.unique(pairs[symbols[:-1] != symbols[1:]], return_counts=True)[1].max(initial=0) < 4
+    assert len(symbols) < 2000
+
+
 def test_not_a_shard():
     with pytest.raises(ValueError):
         repair.Shard(b"x" * 64)
