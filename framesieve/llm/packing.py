@@ -57,14 +57,21 @@ def tokenised(docs: DataFrame, path: str, end_id: int, byte_level: bool = False)
     return stored(rows.mapInArrow(_tokenise(path, byte_level, end_id), TOKENIZED), "packing-ids")
 
 
-def _cut(width: int, item: int):
+def _pieces(out: list[list]):
+    kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
+
+
+def _cut(width: int, item: int, most_ids: int = 1_000_000):
+    """Pieces of each row; a batch goes out when it holds most_ids, or after the row that reaches them."""
+
     def run(batches):
+        out, held = [[] for _ in range(8)], 0
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
             rows = zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3))
             for doc, first, count, cell in rows:
-                raw = cell.as_py()
-                ids = np.frombuffer(raw, f"<u{item}").astype("<u4")
+                ids = np.frombuffer(cell.as_py(), f"<u{item}").astype("<u4")
                 at = 0
                 while at < count:
                     sequence, offset = divmod(first + at, width)
@@ -73,9 +80,11 @@ def _cut(width: int, item: int):
                     for column, value in zip(out, piece):
                         column.append(value)
                     at += take
-            kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
-            names = [x.split()[0] for x in PIECES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
+                held += count
+                if held >= most_ids:
+                    yield _pieces(out)
+                    out, held = [[] for _ in range(8)], 0
+        yield _pieces(out)
 
     return run
 

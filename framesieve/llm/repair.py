@@ -26,6 +26,21 @@ def _apart(at: np.ndarray) -> np.ndarray:
     return (order - np.maximum.accumulate(np.where(fresh, order, 0))) % 2 == 0
 
 
+def _sorted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, pairs in that order): sorted as one number each, pair and place, where these fit 64 bits."""
+    place = np.uint64(len(pairs).bit_length())
+    half = np.uint64(int(max((pairs >> np.uint64(32)).max(), (pairs & np.uint64(0xFFFFFFFF)).max())).bit_length())
+    if 2 * int(half) + int(place) > 64:
+        order = np.argsort(pairs)
+        return order, pairs[order]
+    low = (np.uint64(1) << half) - np.uint64(1)
+    short = (pairs >> np.uint64(32) << half) | (pairs & low)
+    keys = np.sort(short << place | np.arange(len(pairs), dtype=np.uint64))
+    order = (keys & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+    keys >>= place
+    return order, (keys >> half << np.uint64(32)) | (keys & low)
+
+
 def compress(ids: np.ndarray, first: int, rounds: int | None = None, per_round: int = 1024, least: int = 4):
     """(symbols, rules): rules[k] is the pair that nonterminal first + k stands for.
 
@@ -46,8 +61,7 @@ def compress(ids: np.ndarray, first: int, rounds: int | None = None, per_round:
             live, pairs = live[counts_here], pairs[counts_here]
         else:
             skipped = live[:0]
-        order = np.argsort(pairs)
-        ordered = pairs[order]
+        order, ordered = _sorted(pairs)
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         sizes = np.diff(np.append(starts, len(ordered)))
         frequent = np.flatnonzero(sizes >= least)

@@ -94,18 +94,23 @@ def write(
     return stored(ranged.mapInArrow(run, MANIFEST), "token-manifest")
 
 
-def _read(batches):
+def _read(batches, most_docs: int = 2000, most_ids: int = 1 << 18):
+    """Decodes each shard by ranges of documents, each from the blocks that hold it."""
     for batch in batches:
         for row in batch.to_pylist():
             with storage.open_file(row["file"]) as f:
                 f.seek(row["at"])
                 shard = repair.Shard(f.read(row["size"]))
-            ids = shard.all_ids().astype("<u4")
             ends = np.cumsum(shard.counts)
             starts = ends - shard.counts
-            for low in range(0, len(ends), 2000):
-                part = slice(low, low + 2000)
-                cells = [ids[a:b].tobytes() for a, b in zip(starts[part].tolist(), ends[part].tolist())]
+            low = 0
+            while low < len(ends):
+                high = int(np.searchsorted(ends, starts[low] + most_ids, "right"))
+                high = max(low + 1, min(high, low + most_docs))
+                part = slice(low, high)
+                begin = int(starts[low])
+                ids = shard.decode(begin, int(ends[high - 1]) - begin).astype("<u4")
+                cells = [ids[a:b].tobytes() for a, b in zip((starts[part] - begin).tolist(), (ends[part] - begin).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shard.keys[part], mask=shard.known[part] == 0),
@@ -115,10 +120,14 @@ def _read(batches):
                     ],
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
+                low = high
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Every document of the files: its ids (little-endian, 32 bits each) and the ids before it in all files."""
+    """Every document of the files: its ids (little-endian, 32 bits each) and the ids before it in all files.
+
+    manifest is what write() returned; an empty one gives no row, a null doc_id comes back null, repeated rows repeated.
+    """
     # One row per shard of about a million ids, so the window over all of them is small.
     based = exclusive_prefix(manifest, ["part", "shard"], "n_ids", "base")
     # Rows are few and what they name is large, so their number sets the number of tasks.

@@ -1,128 +1,184 @@
 """Tokenisation of whole texts with the public vocabularies.
 
 A BPE vocabulary of the two kinds used here never merges across the borders that its own pre-tokeniser draws, so the ids
-of a text are those of its chunks in a row.  The library encodes each distinct chunk once per worker; texts with white
-space or control strings that the split below does not treat exactly as the library does go to the library whole.
+of a text are those of its chunks in a row, and each distinct chunk is encoded once per worker.  Letters followed by
+punctuation go to the library's merges directly, all other chunks through its pre-tokeniser too; texts with white space
+or control strings that the split below does not treat exactly as the library does go to the library whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space that only some engines count as such, and the start of control strings, in UTF-8.
 _ODD = re.compile(
     rb"[\t\r\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|"
 )
-#: Lead bytes of what lies beyond Latin-1, where lower case and composition are no longer one character to one.
-_WIDE = re.compile(rb"[\xc4-\xff]")
 #: A blank and what follows it, white space before more white space, white space.
 _BYTE_CHUNKS = re.compile(rb" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
+#: Letters of ASCII and Latin-1, then ASCII punctuation but the apostrophe: two pre-tokens at most.
+_PLAIN = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)?( ?[!-&(-/:-@\[-`{-~]+)?")
+
+
+#: Texts that are split by the rules above instead of at every single blank: blanks or line feeds in a row, a blank at an
+#: end, a mark that may belong to what stands before it, and the control that stands for no blank below.
+_UNEVEN_MARK = r"[^\p{L}\p{N}][.,][ \n]|\x01"
+_UNEVEN = r"[ \n][ \n]| $|" + _UNEVEN_MARK
+GLUE = "\x01"
+
+_MARKS = frozenset((b".", b",", b";", b":", b"!", b"?", b")"))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+class _Chunks(dict):
+    """Ids by chunk; what is missing is learnt.  lead stands before every key's text.
+
+    A word with a mark behind it is put together from both, so that the table holds words only.
+    """
+
+    def __init__(self, coder: ChunkEncoder, lead: bytes):
+        super().__init__()
+        self.coder, self.lead, self.shown = coder, lead, "\u0120" if lead else ""
+
+    def __missing__(self, chunk: bytes) -> bytes | None:
+        coder = self.coder
+        if chunk.isalpha():
+            text = chunk.decode() if coder.byte_level else chunk.decode().lower()
+            ids = array(coder.code, [t.id for t in coder.merges.tokenize(self.shown + text)]).tobytes()
+        elif chunk[:1] == b"\x01" and self.lead:
+            ids = coder.first[chunk[1:]]
+        elif chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + coder.first[chunk[-1:]]
+        else:
+            ids = coder.learn(self.lead + chunk)
+        if len(chunk) <= coder.max_chunk_bytes and (b"\n" not in chunk or not chunk.strip(b"\n")):
+            self[chunk] = ids
+        return ids
 
 
 class ChunkEncoder:
-    """Encodes texts given as UTF-8; keeps the ids of at most max_chunks distinct chunks at a time."""
+    """Encodes texts given as UTF-8; keeps the ids of at most max_chunks distinct chunks, of max_chunk_bytes each."""
 
-    def __init__(self, path: str, byte_level: bool, max_chunks: int = 800_000, max_chunk_bytes: int = 200):
+    def __init__(self, path: str, byte_level: bool, max_chunks: int = 400_000, max_chunk_bytes: int = 60):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.byte_level = byte_level
         self.max_chunks, self.max_chunk_bytes = max_chunks, max_chunk_bytes
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 1 << 16 else np.dtype("<u4")
-        self.known: dict[bytes, bytes | None] = {}
-        self.plain = None
-        if not byte_level:  # the kind that composes (NFC), drops white space and lower-cases
-            self.plain = Tokenizer.from_file(path)
-            self.plain.normalizer = None
-        # A line feed is a token of its own before a chunk; a lone control is one where white space is dropped.
-        self.mark, self.join = (b"\n", b"\n") if byte_level else (b"\x01", b" \x01 ")
-        [self.mark_id] = self.tokenizer.encode(self.mark.decode(), add_special_tokens=False).ids
-
-    def _split(self, raw: bytes) -> list[bytes]:
-        return _BYTE_CHUNKS.findall(raw) if self.byte_level else raw.split()
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.letters = _byte_letters()
+        self.first, self.after = _Chunks(self, b""), _Chunks(self, b" ")
 
     def _whole(self, raw: bytes) -> bytes:
         ids = self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids
         return np.array(ids, self.kind).tobytes()
 
-    def _learn(self, chunks) -> dict[bytes, bytes | None]:
-        """Ids of chunks that are new: encoded many to a text, parted by a mark that stands in no chunk."""
-        found: dict[bytes, bytes | None] = {}
-        chunks, item = list(chunks), self.kind.itemsize
-        for at in range(0, len(chunks), 64):
-            part = chunks[at : at + 64]
-            raw = self.join.join(part)
-            if _ODD.search(raw) or raw.count(self.mark) >= len(part) or not all(map(bytes.strip, part)):
-                part = [c for c in part if not self._alone(c, found)]
-                if not part:
-                    continue
-                raw = self.join.join(part)
-            ids = np.array(self._encode(raw), self.kind)
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * item
-            if len(ends) != len(part):
-                raise ValueError("the vocabulary does not keep chunks apart")
-            flat, start = ids.tobytes(), 0
-            for c, end in zip(part, ends.tolist()):
-                found[c] = flat[start:end]
-                start = end + item
-        return found
+    def _merged(self, raw: bytes) -> bytes:
+        """Ids of one pre-token of plain characters."""
+        if not self.byte_level:  # a kind that lower-cases; composed Latin-1 is normalised already
+            raw = raw.decode("utf-8").lower().encode()
+        return array(self.code, [t.id for t in self.merges.tokenize(raw.decode("latin-1").translate(self.letters))]).tobytes()
+
+    def learn(self, chunk: bytes) -> bytes | None:
+        """Ids of a chunk, None where the text around it decides."""
+        plain = _PLAIN.fullmatch(chunk)
+        if plain and b"<|" not in chunk:
+            letters, marks = plain.groups()
+            if not letters or not marks:
+                return self._merged(chunk) if chunk.strip() else self._spaces(chunk)
+            return (self.after[letters[1:]] if letters[:1] == b" " else self.first[letters]) + self.first[marks]
+        if _ODD.search(chunk):  # word vocabularies drop all white space, so only control strings reach beyond a chunk
+            return None if self.byte_level or b"<|" in chunk else self._whole(chunk)
+        if b"\n" in chunk and chunk.strip(b" \n"):
+            return self._parts(chunk)
+        return self._whole(chunk)
+
+    def _spaces(self, chunk: bytes) -> bytes:
+        return self._whole(chunk) if chunk and self.byte_level else b""
+
+    def _parts(self, raw: bytes) -> bytes | None:
+        found = []
+        for chunk in _BYTE_CHUNKS.findall(raw) if self.byte_level else raw.split():
+            led = chunk[:1] == b" " and chunk.strip(b" \n")
+            found.append(self.after[chunk[1:]] if led else self.first[chunk])
+        return None if None in found else b"".join(found)
+
+    def _one(self, raw: bytes) -> bytes:
+        """Ids of a text whose blanks are no single ones between chunks, or with a chunk that its text decides."""
+        ids = self._parts(raw)
+        return self._whole(raw) if ids is None else ids
 
-    def _encode(self, raw: bytes) -> list[int]:
-        """Ids of a text; the library's normaliser is spared where Python's lower() does all it would do."""
-        text = raw.decode("utf-8")
-        coder = self.tokenizer
-        if self.plain is not None and not _WIDE.search(raw):
-            coder, text = self.plain, text.lower()
-        [one] = coder.encode_batch_fast([text], add_special_tokens=False)
-        return one.ids
-
-    def _alone(self, c: bytes, found: dict) -> bool:
-        """Whether a chunk must not be joined to others; found then has its ids, or None where its text decides."""
-        if not c.strip(b" \n"):
-            found[c] = self._whole(c)
-        elif _ODD.search(c) or self.mark in c:
-            found[c] = self._whole(c) if self._safe_alone(c) else None
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian integers of self.kind.
+
+        Texts are split and their distinct chunks found in Arrow; each distinct chunk is looked up once, and the ids of
+        all chunks are gathered at once.
+        """
+        if len(self.first) + len(self.after) > self.max_chunks:
+            self.first.clear()
+            self.after.clear()
+        cells = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        odd = pc.match_substring_regex(cells, _UNEVEN if self.byte_level else _UNEVEN_MARK).to_numpy(zero_copy_only=False)
+        for mark in ("\n", ". ", ", "):  # these become chunks of their own; GLUE says that no blank leads a chunk
+            apart = f" {GLUE}{mark.strip(' ')} " + (GLUE if mark == "\n" else "")
+            cells = pc.replace_substring(cells, mark, apart if self.byte_level else f" {mark.strip()} ")
+        pieces = pc.split_pattern(cells, " ")
+        ends = pieces.offsets.to_numpy().astype(np.int64)
+        flat = pieces.flatten().dictionary_encode()
+        at, chunks = flat.indices.to_numpy().astype(np.int64), _cells(flat.dictionary)
+        if self.byte_level:  # the first chunk of a text has no blank before it
+            heads = ends[:-1]
+            ids = list(map(self.after.__getitem__, chunks)) + [self.first[chunks[i]] for i in at[heads].tolist()]
+            at[heads] = np.arange(len(chunks), len(ids))
         else:
-            return False
-        return True
+            ids = list(map(self.first.__getitem__, chunks))
+        if None in ids:  # chunks without ids of their own: their texts go to the library whole
+            none = np.fromiter((x is None for x in ids), bool, len(ids))
+            odd |= np.logical_or.reduceat(none[at], ends[:-1])
+            ids = [x or b"" for x in ids]
+        item = self.kind.itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // item
+        known = np.frombuffer(b"".join(ids), self.kind)
+        starts = np.cumsum(sizes) - sizes
+        width = sizes[at]
+        total = np.concatenate(([0], np.cumsum(width)))
+        out = known[np.repeat(starts[at] - total[:-1], width) + np.arange(total[-1])].tobytes()
+        bounds = (total[ends] * item).tolist()
+        found = [out[a:b] for a, b in zip(bounds, bounds[1:])]
+        for i in np.flatnonzero(odd).tolist():
+            found[i] = self._one(texts[i])
+        return found
 
-    def _safe_alone(self, chunk: bytes) -> bool:
-        """Whether a chunk with unusual bytes still stands alone: word vocabularies drop all white space."""
-        return not self.byte_level and b"<|" not in chunk
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian integers of self.kind."""
-        split = [self._split(t) for t in texts]
-        if len(self.known) > self.max_chunks:
-            self.known = {}
-        ids = self.known
-        got = [list(map(ids.get, chunks)) for chunks in split]
-        new = {c for chunks, found in zip(split, got) for c, x in zip(chunks, found) if x is None}
-        new = [c for c in new if c not in ids]
-        learnt = self._learn(new)
-        if len(learnt) <= self.max_chunks:
-            ids.update((c, v) for c, v in learnt.items() if len(c) <= self.max_chunk_bytes)
-        out = []
-        for text, chunks, found in zip(texts, split, got):
-            if None in found:
-                found = [ids.get(c) or learnt.get(c) if x is None else x for c, x in zip(chunks, found)]
-            if None in found:  # a chunk without ids of its own
-                out.append(self._whole(text))
-            else:
-                out.append(b"".join(found))
-        return out
-
-
-@lru_cache(maxsize=4)
+def _cells(column) -> list[bytes]:
+    """The values of an Arrow column of large binaries without nulls."""
+    _, places, data = column.buffers()
+    places = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    data = data.to_pybytes() if data is not None else b""
+    return [data[a:b] for a, b in zip(places, places[1:])]
+
+
+@lru_cache(maxsize=2)
 def encoder(path: str, byte_level: bool) -> ChunkEncoder:
     """One encoder per worker process and vocabulary."""
     return ChunkEncoder(path, byte_level)
 
 
-def slices(column, most_bytes: int = 300_000):
+def slices(column, most_bytes: int = 3_000_000):
     """The values of an Arrow binary column as lists whose bytes stay below a bound (one value at least)."""
     part, size = [], 0
     for value in column:
