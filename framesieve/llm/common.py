@@ -18,6 +18,8 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-framesieve-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -47,6 +49,14 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as keep it apart from the columns of df, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hash_sample(df: DataFrame, keys: list[str], rows: int, total: int) -> DataFrame:
     """About rows of the total rows of df: those whose keys hash lowest.  Each task passes on only its share of them.
 

@@ -94,12 +94,13 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    found = toxicity.scored(docs, model)
+    found = toxicity.scored(docs, model, ratio="ratio")
     return found.select(
         "doc_id",
         (toxicity.fold("doc_id") == 2).alias("held_out"),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "ratio",
     )
 
 

@@ -1,22 +1,25 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Expressions are words, modelled as character sequences: one interpolated Kneser-Ney model of the words of toxic documents
+Expressions are words, modelled as sequences of symbols: one interpolated Kneser-Ney model of the words of toxic documents
 and one of ordinary documents, over all labelled training documents.  Orders up to shared_order draw their counts from
 both classes together, so an expression that neither class knows well gets nearly the same likelihood from both.  A word's
-log-likelihood ratio depends on the word alone; a document's evidence is its ratio per character and what its most
-telling words add, normalised by length.  A logistic curve over that evidence gives the score.  It is fitted on a bounded
-sample of labelled documents, with a model whose counts lack that sample; the model that scores counts the sample too.
-
-Counts of the longest n-grams are summed on Spark from one partial count per task; all lower orders are counts of distinct
-extensions of the next higher order.  The models keep at most most_grams n-grams of each order, the most frequent ones;
-the rest back off.  That bounds what is sent to the workers.
+log-likelihood ratio depends on the word alone; a document's evidence is its ratio per symbol (the length-normalised
+comparison of both models) and what its most telling words add.  A logistic curve over that evidence gives the score.  It
+is fitted on a bounded sample of labelled documents, with a model whose counts lack that sample; the model that scores
+counts the sample too.
+
+Symbols are a fixed alphabet of SYMBOLS: letters without their accents, digits as one, letters of other scripts in a few
+classes, and the border of a word.  All n-grams of an order therefore fit a dense table: none is dropped, whatever the
+corpus, and what is sent to the workers has one size.  Counts of the longest n-grams are summed on Spark from one partial
+count per task; all lower orders are counts of distinct extensions of the next higher order.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, stored, text_bytes
-from .decontaminate import words_of
+from .common import free_name, hash_sample, stored, text_bytes
 
-START, STOP = "\x02", "\x03"
+#: 0 is the border of a word, 1-26 are letters, 27 is any digit, the rest classes of other letters.
+SYMBOLS, DIGIT, OTHERS = 40, 27, 12
+FEATURES = 5
 
 
 def fold(doc_id):
@@ -35,71 +39,133 @@ def fold(doc_id):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4))
 
 
-def grams_of(word: str, order: int) -> list[str]:
-    padded = START * (order - 1) + word + STOP
-    return [padded[i : i + order] for i in range(len(padded) - order + 1)]
+# -- words as symbols --------------------------------------------------------------------------------------------------
 
 
-# -- counts ------------------------------------------------------------------------------------------------------------
+@lru_cache(maxsize=1)
+def alphabet() -> np.ndarray:
+    """The symbol of each code point below 2^16; beyond, every character counts as a letter."""
+    out = np.zeros(1 << 16, np.uint8)
+    for point in range(1 << 16):
+        c = chr(point)
+        if not c.isalnum():
+            continue
+        base = unicodedata.normalize("NFD", c.lower())[0]
+        out[point] = ord(base) - 96 if "a" <= base <= "z" else DIGIT if c.isdecimal() else DIGIT + 1 + point % OTHERS
+    return out
 
 
-def _partial(order: int, most_words: int = 200_000):
-    """Per task the n-grams of its documents' distinct words, by class, and apart from them those of the curve's sample."""
+def segments(raw: bytes, most: int = 1_000_000):
+    """raw in parts of at most most bytes, cut at blanks or line feeds; a longer word stays whole."""
+    at = 0
+    while len(raw) - at > most:
+        cut = max(raw.rfind(b" ", at, at + most), raw.rfind(b"\n", at, at + most))
+        if cut <= at:
+            nexts = [x for x in (raw.find(b" ", at + most), raw.find(b"\n", at + most)) if x > 0]
+            if not nexts:
+                break
+            cut = min(nexts)
+        yield raw[at:cut]
+        at = cut
+    yield raw[at:]
 
-    def spill(words, grams):
-        for label in range(4):
-            for raw, n in words[label].items():
-                for g in grams_of(raw.decode("utf-8", "replace"), order):
-                    grams[label][g] += n
-            words[label].clear()
 
-    def run(batches):
-        words, grams = [Counter() for _ in range(4)], [Counter() for _ in range(4)]
-        for batch in batches:
-            labels, picked = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for cell, label, apart in zip(batch.column(0), labels, picked):
-                words[label + 2 * apart].update(set(words_of(cell.as_py() or b"")))
-            if sum(map(len, words)) > most_words:
-                spill(words, grams)
-            if sum(map(len, grams)) > 10 * most_words:
-                yield _rows(grams)
-                grams = [Counter() for _ in range(4)]
-        spill(words, grams)
-        yield _rows(grams)
+@dataclass
+class Words:
+    """grams: for each symbol of each word, its closing border included, the n-gram that ends there; starts and sizes of the
+    words in grams; owner: the text of each word."""
+
+    grams: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    owner: np.ndarray
+
+
+def words_in(raws: list[bytes], order: int) -> Words:
+    texts = [x.decode("utf-8", "replace") for x in raws]
+    points = np.frombuffer("".join(f"{t}\n" for t in texts).encode("utf-32-le", "replace"), "<u4")
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    low = points < 1 << 16
+    codes = np.where(low, alphabet()[np.where(low, points, 0)], (DIGIT + 1 + points % OTHERS).astype(np.uint8))
+    border = codes == 0
+    keep = np.flatnonzero(~(border & np.concatenate(([True], border[:-1]))))
+    symbols = codes[keep].astype(np.int32)
+    last = np.flatnonzero(symbols == 0)
+    starts = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
+    sizes = last - starts + 1
+    place = np.arange(len(symbols)) - np.repeat(starts, sizes)
+    grams = symbols.copy()
+    for back in range(1, order):
+        before = np.zeros_like(symbols)
+        before[back:] = np.where(place[back:] >= back, symbols[:-back], 0)
+        grams += before * np.int32(SYMBOLS**back)
+    return Words(grams, starts, sizes, np.searchsorted(ends, keep[starts], "right"))
+
+
+def distinct_words(words: Words) -> np.ndarray:
+    """Which words are the first of their kind in their text; words are told apart by 64-bit hashes."""
+    if not len(words.starts):
+        return np.zeros(0, bool)
+    place = np.arange(len(words.grams)) - np.repeat(words.starts, words.sizes)
+    mixed = _mix(words.grams.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = _mix(np.add.reduceat(mixed, words.starts) + words.owner.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    first = np.zeros(len(key), bool)
+    first[np.unique(key, return_index=True)[1]] = True
+    return first
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def batched(raws, most: int = 1_000_000):
+    """(parts, their texts' places): segments of all texts, together at most most bytes unless one is longer."""
+    parts, owners, size = [], [], 0
+    for i, raw in enumerate(raws):
+        for part in segments(raw, most):
+            if parts and size + len(part) > most:
+                yield parts, np.array(owners)
+                parts, owners, size = [], [], 0
+            parts.append(part)
+            owners.append(i)
+            size += len(part)
+    if parts:
+        yield parts, np.array(owners)
 
-    return run
 
+# -- counts ------------------------------------------------------------------------------------------------------------
 
-def _rows(grams):
-    keys = list(set().union(*grams))
-    counts = [pa.array([c[k] for k in keys], pa.int64()) for c in grams]
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *counts], ["gram", "n0", "n1", "p0", "p1"])
 
+def _partial(order: int, most_keys: int = 4_000_000):
+    """Per task the n-grams of its documents' distinct words: key is the n-gram and its class (toxic, and in the sample)."""
 
-def _levels(top: DataFrame, order: int, most_grams: int):
-    """[(order, grams)] from the highest down: gram, n0, n1 of the most frequent ones.
+    def summed(held):
+        keys, counts = (np.concatenate(x) for x in zip(*held))
+        keys, at = np.unique(keys, return_inverse=True)
+        return keys, np.bincount(at, counts).astype(np.int64)
 
-    Lower orders count in how many ways a gram is extended to the left, in each class.
-    """
-    level = top
-    for k in range(order, 0, -1):
-        yield k, _most_frequent(level, most_grams).toPandas()
-        if k > 1:
-            shorter = level.groupBy(F.expr("substring(gram, 2)").alias("gram"))
-            level = shorter.agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1"))
-
-
-def _most_frequent(level: DataFrame, most: int) -> DataFrame:
-    """The n-grams above the least count that leaves at most most of them; counts are graded in steps of a sixteenth octave."""
-    grade = F.floor(16 * F.log2(F.col("n0") + F.col("n1"))).cast("int")
-    sizes = level.groupBy(grade.alias("grade")).agg(F.count("*").alias("n")).collect()  # a few hundred grades
-    kept, least = 0, 0
-    for row in sorted(sizes, key=lambda r: -r.grade):
-        kept += row.n
-        if kept > most:
-            least = row.grade + 1
-            break
-    return level.where(grade >= least)
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            label, picked = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            kinds = label.astype(np.int64) + 2 * picked.astype(np.int64)
+            # A text cut into segments may count a word once in each; such texts are beyond a million bytes.
+            for parts, owners in batched(x.as_py() or b"" for x in batch.column(0)):
+                words = words_in(parts, order)
+                first = distinct_words(words)
+                kind = kinds[owners[words.owner]]
+                keys = words.grams.astype(np.int64) * 4 + np.repeat(kind, words.sizes)
+                held.append(np.unique(keys[np.repeat(first, words.sizes)], return_counts=True))
+                size += len(held[-1][0])
+                if size > most_keys:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+        keys, counts = summed(held) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+
+    return run
 
 
 # -- the models --------------------------------------------------------------------------------------------------------
@@ -107,121 +173,83 @@ def _most_frequent(level: DataFrame, most: int) -> DataFrame:
 
 @dataclass
 class Model:
-    """ratio: log-likelihood ratio of each known n-gram; drop: what backing off from a context adds to it."""
+    """ratio: log P(symbol | toxic) - log P(symbol | ordinary) of every n-gram; the rest is the curve's."""
 
     order: int
-    ratio: dict[str, float] = field(default_factory=dict)
-    drop: dict[str, float] = field(default_factory=dict)
+    ratio: np.ndarray
     weights: list[float] = field(default_factory=list)
     centre: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
     prior: float = 0.5
 
-    def word(self, raw: bytes) -> float:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        n, total = self.order, 0.0
-        padded = START * (n - 1) + raw.decode("utf-8", "replace") + STOP
-        ratio, drop = self.ratio, self.drop
-        for i in range(len(padded) - n + 1):
-            gram = padded[i : i + n]
-            while gram and gram not in ratio:
-                total += drop.get(gram[:-1], 0.0)
-                gram = gram[1:]
-            if gram:
-                total += ratio[gram]
-        return total
-
-
-def kneser_ney(levels, order: int, discount: float = 0.8, shared_order: int = 2) -> Model:
-    """Interpolated probabilities of both classes for all n-grams given, and their contexts' back-off weights."""
-    model = Model(order)
-    known: dict[str, tuple[float, float]] = {"": (1 / 1000, 1 / 1000)}
-    for k, frame in sorted(levels, key=lambda x: x[0]):
-        counts = {g: (a, b) for g, a, b in zip(*(frame[c].tolist() for c in ("gram", "n0", "n1")))}
+
+def probabilities(counts: np.ndarray, discount: float = 0.8, shared_order: int = 2) -> np.ndarray:
+    """Interpolated Kneser-Ney probabilities of both classes: [class, symbols before..., symbol].
+
+    counts: [class, symbols before..., symbol] of the longest n-grams.  Each shorter order counts the distinct symbols to
+    the left; orders up to shared_order add both classes.
+    """
+    levels = [counts.astype(np.float64)]
+    while levels[-1].ndim > 2:
+        levels.append((levels[-1] > 0).sum(axis=1).astype(np.float64))
+    p = np.full((2,), 1 / SYMBOLS)[:, None]
+    for k, n in enumerate(reversed(levels), 1):
         if k <= shared_order:
-            counts = {g: (a + b, a + b) for g, (a, b) in counts.items()}
-        total: dict[str, list[int]] = {}
-        for g, both in counts.items():
-            t = total.setdefault(g[:-1], [0, 0, 0, 0])
-            for c in (0, 1):
-                t[c] += both[c]
-                t[2 + c] += both[c] > 0
-        back = {}
-        for h, t in total.items():
-            back[h] = tuple(discount * t[2 + c] / t[c] if t[c] else 1.0 for c in (0, 1))
-            model.drop[h] = math.log(back[h][1] / back[h][0])
-        made = {}
-        for g, both in counts.items():
-            h, low = g[:-1], _lower(known, model, g[1:])
-            t = total[h]
-            made[g] = tuple(
-                (max(both[c] - discount, 0) / t[c] if t[c] else 0.0) + back[h][c] * low[c] for c in (0, 1)
-            )
-            model.ratio[g] = math.log(made[g][1] / made[g][0])
-        known = made | {"": known[""]} if k == 1 else made | known
-        known["_back"] = known.get("_back", {}) | back
-    return model
+            n = np.broadcast_to(n.sum(axis=0, keepdims=True), n.shape)
+        total = n.sum(axis=-1, keepdims=True)
+        known = np.maximum(total, 1)
+        back = np.where(total > 0, discount * (n > 0).sum(axis=-1, keepdims=True) / known, 1.0)
+        p = np.maximum(n - discount, 0) / known + back * (p if k == 1 else p[:, None])
+    return p
 
 
-def _lower(known, model, gram):
-    """Both classes' probability of the last character of gram by the orders below."""
-    scale = [1.0, 1.0]
-    while gram and gram not in known:
-        back = known.get("_back", {}).get(gram[:-1], (1.0, 1.0))
-        scale = [scale[c] * back[c] for c in (0, 1)]
-        gram = gram[1:]
-    return tuple(scale[c] * known[gram][c] for c in (0, 1))
+def kneser_ney(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order: int, discount: float, shared_order: int) -> Model:
+    counts = np.zeros((2, SYMBOLS**order))
+    counts[0, keys], counts[1, keys] = ordinary, toxic
+    p = probabilities(counts.reshape((2,) + (SYMBOLS,) * order), discount, shared_order)
+    return Model(order, (np.log(p[1]) - np.log(p[0])).astype(np.float32).ravel())
 
 
 # -- evidence and curve ------------------------------------------------------------------------------------------------
 
 
-class Scorer:
-    """Evidence and score of texts; remembers the ratio of at most most_words distinct words."""
-
-    def __init__(self, model: Model, most_words: int = 400_000):
-        self.model, self.most_words = model, most_words
-        self.known: dict[bytes, float] = {}
-
-    def evidence(self, raw: bytes) -> list[float]:
-        words = words_of(raw)
-        if not words:
-            return [0.0] * 5
-        if len(self.known) > self.most_words:
-            self.known = {}
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = self.model.word(w)
-        ratios = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-        letters = len(raw) + 1
-        strong = np.maximum(ratios - 2.0, 0.0)
-        top = np.sort(ratios)[-3:]
-        return [
-            float(ratios.sum()) / letters,
-            math.log1p(float(strong.sum())),
-            math.log1p(float(strong.sum()) / math.sqrt(len(words)) * 10),
-            float(np.clip(top.mean(), -10, 30)),
-            math.log1p(len(words)),
-        ]
-
-    def score(self, raw: bytes) -> float:
-        m = self.model
-        if not m.weights:
-            return m.prior
-        x = [1.0] + [(v - c) / s for v, c, s in zip(self.evidence(raw), m.centre, m.scale)]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(map(float.__mul__, x, m.weights))))))
-
-
-_SCORERS: dict[int, tuple[object, Scorer]] = {}
-
-
-def _scorer(shared) -> Scorer:
-    """One scorer per worker process and broadcast model."""
-    model = shared.value
-    if id(model) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(model)] = (model, Scorer(model))
-    return _SCORERS[id(model)][1]
+def evidence(model: Model, raws: list[bytes], strong_from: float = 2.0, most_top: int = 3) -> np.ndarray:
+    """Per text: ratio per symbol; strong words' ratios, summed and by the root of the words; the top words' mean; words."""
+    n = len(raws)
+    total, symbols, words, strong = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    tops = []
+    for parts, owners in batched(raws):
+        found = words_in(parts, model.order)
+        if not len(found.starts):
+            continue
+        text = owners[found.owner]
+        ratios = np.add.reduceat(model.ratio[found.grams].astype(np.float64), found.starts)
+        total += np.bincount(text, ratios, n)
+        symbols += np.bincount(text, found.sizes, n)
+        words += np.bincount(text, minlength=n)
+        strong += np.bincount(text, np.maximum(ratios - strong_from, 0), n)
+        tops.append(_top(text[ratios > 0], ratios[ratios > 0], most_top))
+    text, ratios = _top(*(np.concatenate(x) for x in zip(*tops)), most_top) if tops else (np.zeros(0, np.int64), np.zeros(0))
+    top = np.bincount(text, ratios, n) / most_top
+    root = np.sqrt(np.maximum(words, 1))
+    out = (total / np.maximum(symbols, 1), np.log1p(strong), np.log1p(10 * strong / root), np.minimum(top, 30), np.log1p(words))
+    return np.stack(out, axis=1)
+
+
+def _top(text: np.ndarray, ratios: np.ndarray, most: int):
+    """The most largest ratios of each text."""
+    order = np.lexsort((-ratios, text))
+    text, ratios = text[order], ratios[order]
+    fresh = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, np.int64)
+    rank = np.arange(len(text)) - np.repeat(fresh, np.diff(np.append(fresh, len(text))))
+    return text[rank < most], ratios[rank < most]
+
+
+def scores(model: Model, found: np.ndarray) -> np.ndarray:
+    if not model.weights:
+        return np.full(len(found), model.prior)
+    x = (found - model.centre) / model.scale @ np.array(model.weights[1:]) + model.weights[0]
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def fit_curve(model: Model, evidence: np.ndarray, labels: np.ndarray, steps: int = 60, ridge: float = 1.0) -> None:
@@ -242,10 +270,9 @@ def fit_curve(model: Model, evidence: np.ndarray, labels: np.ndarray, steps: int
 def train(
     docs: DataFrame,
     labels: DataFrame,
-    order: int = 5,
+    order: int = 4,
     discount: float = 0.8,
     shared_order: int = 2,
-    most_grams: int = 400_000,
     curve_rows: int = 20_000,
 ) -> Model:
     """Fit both models on all labelled documents but those of fold 2, and the curve on at most curve_rows of fold 3.
@@ -269,19 +296,19 @@ def train(
     flagged = flagged.select("_id", "toxic", F.coalesce("picked", F.lit(False)).alias("picked"))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_bytes().alias("raw"))
     # Labels grow with the corpus, so they are never sent to all tasks: the join deals both sides by id at every size.
-    counted = rows.where(fold("_id") != 2).join(flagged.hint("merge"), "_id")
-    classes = ("n0", "n1", "p0", "p1")
-    top = counted.select("raw", "toxic", "picked").mapInArrow(_partial(order), "gram string, n0 long, n1 long, p0 long, p1 long")
-    top = stored(top.groupBy("gram").agg(*(F.sum(c).alias(c) for c in classes)), "toxicity-grams")
-    unseen = top.where("n0 + n1 > 0").select("gram", "n0", "n1")
-    curve = kneser_ney(list(_levels(unseen, order, most_grams)), order, discount, shared_order)
-    shared = spark.sparkContext.broadcast(curve)
+    counted = rows.where(fold("_id") != 2).join(flagged.hint("merge"), "_id").select("raw", "toxic", "picked")
+    top = counted.mapInArrow(_partial(order), "key long, n long").groupBy((F.col("key") / 4).cast("long").alias("gram"))
+    top = top.agg(*(F.sum(F.when(F.col("key") % 4 == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(4)))
+    # One row per n-gram of the alphabet at most, SYMBOLS ** order of them, whatever the documents.
+    grams = top.toPandas()
+    keys, (n0, n1, p0, p1) = grams["gram"].to_numpy(), (grams[f"c{c}"].to_numpy() for c in range(4))
+    shared = spark.sparkContext.broadcast(kneser_ney(keys, n1, n0, order, discount, shared_order))
     sample = rows.join(F.broadcast(picked), "_id").select("raw", "toxic").mapInArrow(
         _evidence(shared), "toxic int, evidence array<double>"
     )
     found = sample.toPandas()
-    every = top.select("gram", (F.col("n0") + F.col("p0")).alias("n0"), (F.col("n1") + F.col("p1")).alias("n1"))
-    model = kneser_ney(list(_levels(every, order, most_grams)), order, discount, shared_order)
+    shared.unpersist()
+    model = kneser_ney(keys, n1 + p1, n0 + p0, order, discount, shared_order)
     model.prior = ((n.toxic or 0) + 1) / (n.n + 2)
     if len(found) and 0 < found["toxic"].sum() < len(found):
         fit_curve(model, np.array(found["evidence"].tolist(), np.float64), found["toxic"].to_numpy(np.float64))
@@ -291,27 +318,37 @@ def train(
 def _evidence(shared):
     def run(batches):
         for batch in batches:
-            scorer = _scorer(shared)
-            values = [scorer.evidence(x.as_py() or b"") for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(values, pa.list_(pa.float64()))], ["toxic", "evidence"]
-            )
+            values = evidence(shared.value, [x.as_py() or b"" for x in batch.column(0)])
+            cells = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), FEATURES).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), cells], ["toxic", "evidence"])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs, all rows and columns, with the toxicity of text (0 to 1) in column name; null and empty texts too."""
+def scored(docs: DataFrame, model: Model, name: str = "score", ratio: str | None = None) -> DataFrame:
+    """docs, all rows and columns, with the toxicity of text (0 to 1) in column name; null and empty texts too.
+
+    ratio names a second new column: log P(text | toxic) - log P(text | ordinary) per symbol.  A column of docs that has
+    one of these names is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def toxicity(cells: pd.Series) -> pd.Series:
-        scorer = _scorer(shared)
-        return pd.Series([scorer.score(x) for x in cells], dtype="float64")
+    @F.pandas_udf("struct<score double, ratio double>")
+    def toxicity(cells: pd.Series) -> pd.DataFrame:
+        found = evidence(shared.value, list(cells))
+        return pd.DataFrame({"score": scores(shared.value, found), "ratio": found[:, 0]})
 
-    return docs.withColumn(name, toxicity(text_bytes()))
+    both = free_name(docs, "_toxicity")
+    out = docs.withColumn(both, toxicity(text_bytes())).withColumn(name, F.col(f"{both}.score"))
+    if ratio:
+        out = out.withColumn(ratio, F.col(f"{both}.ratio"))
+    return out.drop(both)
 
 
 def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.3, **tune) -> DataFrame:
-    """docs whose toxicity is below limit, all columns kept."""
-    return scored(docs, train(docs, labels, **tune), "_toxicity").where(F.col("_toxicity") < limit).drop("_toxicity")
+    """docs whose toxicity is below limit, all columns kept, whatever their names.
+
+    Null and empty texts are scored as all others; repeated rows stay or go together; an empty table stays empty.
+    """
+    name = free_name(docs, "_score")
+    return scored(docs, train(docs, labels, **tune), name).where(F.col(name) < limit).drop(name)

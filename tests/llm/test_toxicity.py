@@ -1,33 +1,112 @@
+import math
+import random
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from framesieve.llm import queries, toxicity
 
 
-def test_probabilities_add_up():
-    """The interpolated probabilities of what may follow a known context leave little for unknown characters."""
-    words = ["aab", "ab", "abb", "ba", "b"]
-    counts = {}
-    for label, part in ((0, words), (1, words[:2])):
-        for w in part:
-            for g in toxicity.grams_of(w, 3):
-                counts.setdefault(g, [0, 0])[label] += 1
-    levels = []
-    for k in (3, 2, 1):
-        levels.append((k, pd.DataFrame([(g, *n) for g, n in counts.items()], columns=["gram", "n0", "n1"])))
-        shorter = {}
-        for g, n in counts.items():
-            m = shorter.setdefault(g[1:], [0, 0])
-            m[0] += n[0] > 0
-            m[1] += n[1] > 0
-        counts = shorter
-    model = toxicity.kneser_ney(levels, 3)
-    assert all(np.isfinite(v) for v in [*model.ratio.values(), *model.drop.values()])
-    assert model.word(b"ab") > model.word(b"bb")
-    assert np.isfinite(model.word("ézz".encode()))
+def plain_symbols(text):
+    """Words of a text as tuples of symbols, each with its closing border."""
+    words, word = [], []
+    for c in [*text, "\n"]:
+        base = unicodedata.normalize("NFD", c.lower())[0]
+        if ord(c) < 1 << 16 and not c.isalnum():
+            if word:
+                words.append((*word, 0))
+            word = []
+        elif "a" <= base <= "z":
+            word.append(ord(base) - 96)
+        else:
+            word.append(27 if c.isdecimal() and ord(c) < 1 << 16 else 28 + ord(c) % 12)
+    return words
+
+
+class PlainModel:
+    """Interpolated Kneser-Ney by its definition, over dictionaries."""
+
+    def __init__(self, order, counts, discount, shared):
+        self.order, self.discount, self.levels = order, discount, {}
+        level = [Counter(counts[0]), Counter(counts[1])]
+        for k in range(order, 0, -1):
+            used = [level[0] + level[1]] * 2 if k <= shared else level
+            self.levels[k] = used
+            level = [Counter({g: len({x[0] for x in c if x[1:] == g}) for g in {x[1:] for x in c}}) for c in level]
+
+    def p(self, cls, gram):
+        if not gram:
+            return 1 / toxicity.SYMBOLS
+        counts = self.levels[len(gram)][cls]
+        beside = [n for g, n in counts.items() if g[:-1] == gram[:-1]]
+        if not beside:
+            return self.p(cls, gram[1:])
+        own = max(counts.get(gram, 0) - self.discount, 0)
+        return (own + self.discount * len(beside) * self.p(cls, gram[1:])) / sum(beside)
+
+
+def grams(word, order):
+    padded = (0,) * (order - 1) + word
+    return [padded[i : i + order] for i in range(len(word))]
+
+
+def test_against_the_definition():
+    rng = random.Random(3)
+    docs = [" ".join(rng.choice(["aab", "Éa", "b1", "bba", "ж"]) for _ in range(6)) for _ in range(12)]
+    counts = [Counter(), Counter()]
+    for i, text in enumerate(docs):
+        for word in set(plain_symbols(text)):
+            counts[i % 2].update(grams(word, 3))
+    dense = np.zeros((2, *[toxicity.SYMBOLS] * 3))
+    for cls in (0, 1):
+        for g, n in counts[cls].items():
+            dense[(cls, *g)] = n
+    p = toxicity.probabilities(dense, 0.8, 1)
+    assert np.allclose(p.sum(axis=-1), 1)
+    plain = PlainModel(3, counts, 0.8, 1)
+    for g in [*counts[0], *counts[1], (1, 2, 9), (0, 0, 5), (7, 7, 7)]:
+        for cls in (0, 1):
+            assert math.isclose(p[(cls, *g)], plain.p(cls, g))
+    keys = np.array([(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c for a, b, c in counts[0] | counts[1]])
+    order = [tuple(g) for g in counts[0] | counts[1]]
+    n0, n1 = ([c[g] for g in order] for c in counts)
+    model = toxicity.kneser_ney(keys, np.array(n1), np.array(n0), 3, 0.8, 1)
+    texts = ["aab ÉA, b1!", "", " ..", "bba ж zz", "x" * 50]
+    for text, got in zip(texts, toxicity.evidence(model, [t.encode() for t in texts])):
+        ratios = [sum(math.log(plain.p(1, g) / plain.p(0, g)) for g in grams(w, 3)) for w in plain_symbols(text)]
+        letters = sum(map(len, plain_symbols(text)))
+        assert math.isclose(got[0], sum(ratios) / max(letters, 1), abs_tol=1e-5)
+        top = sum(sorted((r for r in ratios if r > 0), reverse=True)[:3]) / 3
+        assert math.isclose(got[3], top, abs_tol=1e-4)
+        assert math.isclose(got[4], math.log1p(len(ratios)))
+
+
+def test_counts_of_a_task():
+    """Each distinct word of a text counts once, however the texts are batched."""
+    import pyarrow as pa
+
+    texts = ["aa aa b", "b", "", "c aa"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([t.encode() for t in texts]), pa.array([1, 0, 1, 0], pa.int32()), pa.array([False, False, True, True])],
+        ["raw", "toxic", "picked"],
+    )
+    [out] = list(toxicity._partial(2)(iter([batch])))
+    want = Counter()
+    for text, kind in zip(texts, (1, 0, 3, 2)):
+        for word in set(plain_symbols(text)):
+            want.update((a * toxicity.SYMBOLS + b) * 4 + kind for a, b in grams(word, 2))
+    assert dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist())) == dict(want)
+
+
+def test_long_texts_are_read_whole():
+    raw = ("plain words " * 200_000 + "zq" + "x" * 1_500_000 + " end").encode()
+    parts = list(toxicity.segments(raw))
+    assert b"".join(parts) == raw and len(parts) > 2 and max(map(len, parts)) < 1_600_000
+    model = toxicity.Model(2, np.zeros(toxicity.SYMBOLS**2, np.float32))
+    assert toxicity.evidence(model, [raw, b"a b"])[0, 4] == math.log1p(400_002)
 
 
 def test_held_out_accuracy(spark, sf):
@@ -52,6 +131,11 @@ def test_odd_rows(spark, odd_docs):
         assert got.count() == odd_docs.count()
         assert got.where("score between 0 and 1").count() == odd_docs.count()
     assert toxicity.scored(odd_docs.limit(0), model).collect() == []
+    clash = odd_docs.withColumns({"_toxicity": F.lit(7), "_score": F.lit(8), "score": F.lit(9)})
+    kept = toxicity.clean(clash, labels.withColumn("part", F.lit(1)), limit=1.1)
+    assert kept.columns == clash.columns and kept.where("_toxicity = 7 and _score = 8 and score = 9").count() == odd_docs.count()
+    assert toxicity.clean(clash.limit(0), labels).collect() == []
+    assert {"score", "ratio"} < set(toxicity.scored(clash, model, ratio="ratio").columns)
     kept = toxicity.clean(odd_docs, labels.withColumn("part", F.lit(1)), limit=1.1)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
 
@@ -64,4 +148,5 @@ def test_counts_cover_fold_3(spark):
     model = toxicity.train(
         spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     )
-    assert model.word(b"zxqvkj") > 3
+    [known, plain] = toxicity.evidence(model, [b"zxqvkj", b"again"])
+    assert known[3] > 1 and known[3] > plain[3]
