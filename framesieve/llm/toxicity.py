@@ -8,8 +8,7 @@ comparison of both models) and what its most telling words add.  A logistic curv
 is fitted on a bounded sample of labelled documents, with a model whose counts lack that sample; the model that scores
 counts the sample too.
 
-Symbols are a fixed alphabet of SYMBOLS: letters without their accents, digits as one, letters of other scripts in a few
-classes, and the border of a word.  All n-grams of an order therefore fit a dense table: none is dropped, whatever the
+Symbols are a fixed alphabet of SYMBOLS: the letters a to z, digits as one, all other letters in a few classes, and the border of a word.  All n-grams of an order therefore fit a dense table: none is dropped, whatever the
 corpus, and what is sent to the workers has one size.  Counts of the longest n-grams are summed on Spark from one partial
 count per task; all lower orders are counts of distinct extensions of the next higher order.
 """
@@ -17,7 +16,6 @@ count per task; all lower orders are counts of distinct extensions of the next h
 from __future__ import annotations
 
 import math
-import unicodedata
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -50,8 +48,8 @@ def alphabet() -> np.ndarray:
         c = chr(point)
         if not c.isalnum():
             continue
-        base = unicodedata.normalize("NFD", c.lower())[0]
-        out[point] = ord(base) - 96 if "a" <= base <= "z" else DIGIT if c.isdecimal() else DIGIT + 1 + point % OTHERS
+        low = c.lower()[0]
+        out[point] = ord(low) - 96 if "a" <= low <= "z" else DIGIT if c.isdecimal() else DIGIT + 1 + ord(low) % OTHERS
     return out
 
 

@@ -1,6 +1,5 @@
 import math
 import random
-import unicodedata
 import zlib
 from collections import Counter
 
@@ -14,7 +13,7 @@ def plain_symbols(text):
     """Words of a text as tuples of symbols, each with its closing border."""
     words, word = [], []
     for c in [*text, "\n"]:
-        base = unicodedata.normalize("NFD", c.lower())[0]
+        base = c.lower()[0]
         if ord(c) < 1 << 16 and not c.isalnum():
             if word:
                 words.append((*word, 0))
@@ -22,7 +21,7 @@ def plain_symbols(text):
         elif "a" <= base <= "z":
             word.append(ord(base) - 96)
         else:
-            word.append(27 if c.isdecimal() and ord(c) < 1 << 16 else 28 + ord(c) % 12)
+            word.append(27 if c.isdecimal() and ord(c) < 1 << 16 else 28 + ord(base) % 12)
     return words
 
 
