@@ -1,11 +1,13 @@
 """Quality rules: statistics of each text, and the frequency of its lines across the documents of its host.
 
-Everything here is DataFrame functions.  The statistics of a text are computed within its row, without a shuffle: words
-become an array, windows of words a hash each, and equal windows are found by sorting hashes that carry their place.
-
-A line counts once per distinct text of a host, so exact copies of a document do not make its lines frequent.  Lines above
-the limit are removed; a document left with too little is depleted.  Only hashes and counts are shuffled, summed before
-the shuffle; the join that marks a document's frequent lines is one that adaptive execution splits at a hot line.
+Everything here is DataFrame functions.  Each text is parsed once, within its row and without a shuffle: words become an
+array, windows of words a hash each, lines a hash of host and normalised line.  What the parse gives is stored, so that
+the frequency of lines and their removal both read hashes instead of texts.  Only texts with a repeated window pay for the
+sort that finds where it lies.
+
+Documents are told apart by their text: exact copies of a document are one document, and do not make its lines frequent.
+Lines above the limit are removed; a document left with too little is depleted.  Only hashes and counts are shuffled,
+summed before the shuffle; the join that marks frequent lines is one that adaptive execution splits at a hot line.
 """
 
 from __future__ import annotations
@@ -13,15 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP
+from .common import WORD_GAP, stored
 
 #: The characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
-
-
-def _words(text: Column) -> Column:
-    """The words of a text; empty strings at the ends of the split are dropped."""
-    return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
+#: White space that a normalised line does not have: runs, and anything but a blank.
+UNEVEN = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -31,52 +30,44 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     windows are taken as equal where their 64-bit hashes are.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_w", _words(whole))
-    df = df.withColumn("_n", F.size("_w"))
+    words = F.split(F.regexp_replace(whole, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), WORD_GAP)
+    df = docs.withColumn("_w", F.when(words[0] == "", F.array().cast("array<string>")).otherwise(words))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = df.withColumn("_lines", lines)
-    # Each window's hash, the lowest bits replaced by its place: sorting brings equal windows next to each other.
     hashes = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.col("_n") - 3, F.lit(0))),
-        lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)),
+        F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0))),
+        lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)),
     )
-    df = df.withColumn("_h", F.when(F.col("_n") > 3, hashes).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_bits", F.length(F.bin("_n")))
-    low = F.expr("shiftleft(1L, _bits) - 1")
-    packed = F.transform("_h", lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
-    df = df.withColumn("_s", F.sort_array(packed))
-
-    def same(a: Column, b: Column) -> Column:
-        near = a.bitwiseXOR(b).bitwiseAND(F.bitwise_not(low)) == 0
-        return near & (
-            F.get("_h", a.bitwiseAND(low).cast("int")) == F.get("_h", b.bitwiseAND(low).cast("int"))
-        )
-
-    twice = F.filter(
-        "_s",
-        lambda x, j: F.coalesce(same(x, F.get("_s", j + 1)), F.lit(False))
-        | F.coalesce(same(x, F.get("_s", F.greatest(j - 1, F.lit(0)))) & (j > 0), F.lit(False)),
-    )
-    df = df.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low))))
+    df = df.withColumn("_h", hashes)
+    # Sorted with their places, equal windows stand next to each other.
+    placed = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed).otherwise(none))
+
+    def other(j: Column) -> Column:
+        return F.get("_s", j)["h"]
+
+    twice = F.filter("_s", lambda x, j: F.coalesce(x["h"] == other(j + 1), F.lit(False)) | F.coalesce(x["h"] == other(j - 1), F.lit(False)))
+    df = df.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["i"])))
     # A window adds three words, less those that the next one holds too.
     covered = F.transform("_at", lambda x, j: F.least(F.lit(3), F.coalesce(F.get("_at", j + 1) - x, F.lit(3))))
     return df.withColumns(
         {
-            "n_words": F.col("_n").cast("long"),
-            "word_chars": F.length(F.regexp_replace(whole, WORD_GAP, "")).cast("long"),
+            "n_words": F.size("_w").cast("long"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
             "n_symbols": (F.length(whole) - F.length(F.regexp_replace(whole, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.aggregate(covered, F.lit(0).cast("long"), lambda n, x: n + x),
         }
-    ).drop("_w", "_n", "_lines", "_h", "_bits", "_s", "_at")
+    ).drop("_w", "_lines", "_h", "_s", "_at")
 
 
-def _line_keys(text: Column, host: Column) -> Column:
+def line_keys(text: Column, host: Column) -> Column:
     """Per line with a word its key (hash of host and normalised line) and its words.
 
     Normalised: lower case, white space runs as one blank, trimmed.
     """
-    flat = F.regexp_replace(F.lower(text), "[\\x20\\x09\\x0B-\\x0D]+", " ")
+    flat = F.regexp_replace(F.lower(text), UNEVEN, " ")
     lines = F.filter(F.transform(F.split(flat, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
     return F.transform(
         lines,
@@ -87,19 +78,17 @@ def _line_keys(text: Column, host: Column) -> Column:
     )
 
 
-def frequent_line_words(docs: DataFrame, most_texts: int = 10, id_col: str = "doc_id", host_col: str = "source") -> DataFrame:
-    """(id_col, removed): words on lines that more than most_texts distinct texts of the same host hold."""
-    rows = docs.select(
-        F.col(id_col).alias("_id"),
-        F.xxhash64("text").alias("_text"),
-        _line_keys(F.coalesce("text", F.lit("")), F.coalesce(host_col, F.lit(""))).alias("_keys"),
-    )
-    once = rows.select("_text", F.explode(F.array_distinct(F.transform("_keys", lambda x: x["key"]))).alias("_key"))
+def frequent_line_words(parsed: DataFrame, most_texts: int = 10) -> DataFrame:
+    """(_row, removed): words on lines that more than most_texts distinct texts of the same host hold.
+
+    parsed needs _row, _text (the text's hash) and _keys (line_keys).
+    """
+    once = parsed.select("_text", F.explode(F.array_distinct(F.transform("_keys", lambda x: x["key"]))).alias("_key"))
     spread = once.distinct().groupBy("_key").agg(F.count("*").alias("_texts"))
     frequent = spread.where(F.col("_texts") > most_texts).select("_key")
-    lines = rows.select("_id", F.explode("_keys").alias("_line")).select("_id", "_line.words", "_line.key")
+    lines = parsed.select("_row", F.explode("_keys").alias("_line")).select("_row", "_line.words", "_line.key")
     found = lines.join(frequent, F.col("key") == F.col("_key"), "left_semi")
-    return found.groupBy(F.col("_id").alias(id_col)).agg(F.sum("words").alias("removed"))
+    return found.groupBy("_row").agg(F.sum("words").alias("removed"))
 
 
 def judged(
@@ -114,12 +103,13 @@ def judged(
     docs needs doc_id, text and source; other columns are left out.  base_failed: under least_words words, or more than
     most_repeat_percent of them in repeated windows.  kept: not base_failed, and after the frequent lines are removed
     least_words words and least_left_percent of all words are left.  Null and empty texts fail; a null source is a host
-    of its own; rows without doc_id lose no lines; rows that share a doc_id share what is removed.
+    of its own; every row is judged by itself, those without doc_id and those that repeat one too.
     """
-    narrow = docs.select("doc_id", "text", "source")
-    base = with_statistics(narrow).drop("text", "source")
-    removed = frequent_line_words(narrow.where("doc_id is not null"), most_texts)
-    df = base.join(removed, "doc_id", "left")
+    narrow = docs.select("doc_id", "text", "source").withColumn("_row", F.monotonically_increasing_id())
+    keys = line_keys(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")))
+    parsed = with_statistics(narrow).withColumns({"_text": F.xxhash64("text"), "_keys": keys}).drop("text", "source")
+    parsed = stored(parsed, "quality-lines")
+    df = parsed.drop("_text", "_keys").join(frequent_line_words(parsed, most_texts), "_row", "left").drop("_row")
     left = F.col("n_words") - F.col("removed_words")
     failed = (F.col("n_words") < least_words) | (
         100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words")
