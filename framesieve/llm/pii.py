@@ -1,11 +1,12 @@
-"""Personal data: fixed patterns, and a bidirectional LSTM with CRF transitions that learns from their matches.
-
-The patterns give the base spans.  The model is trained on the driver from a bounded sample of excerpts whose base spans
-are the labels.  It reads every stretch that can hold a span: all four kinds hold a digit or an at sign, so a span lies
-within reach of one, and text without either has no other tagging than O.  Stretches are cut into overlapping windows;
-the emissions of windows that overlap are blended, each weighted by its distance from the window's border, and one
-decoding over the whole stretch reconciles them.  Spans of the model are added where no base span is and where their form
-is that of their kind.
+"""Personal data: fixed patterns, and a bidirectional LSTM with CRF transitions that finds what they miss.
+
+The patterns give the base spans.  The model is trained on the driver from a bounded sample of excerpts with labelled spans:
+the base spans as they stand, the same data in forms that the patterns do not know (other separators, spelled-out signs),
+and secrets, such as keys and tokens, written into the excerpts.  It reads every stretch that can hold a span: all kinds
+hold a digit, an at sign or a spelled-out one, so a span lies within reach of one, and text without any has no other
+tagging than O.  Stretches are cut into overlapping windows; the emissions of windows that overlap are blended, each
+weighted by its distance from the window's border, and one decoding over the whole stretch reconciles them.  Spans of the
+model are added where no base span is and where what they hold can be of their kind.
 """
 
 from __future__ import annotations
@@ -21,15 +22,18 @@ from pyspark.sql import functions as F
 from .common import hash_sample
 from .tagger import PAD, Tagger, char_ids
 
-# The kinds in their order and the characters of their patterns.
-KINDS = ["email", "ip", "card", "phone"]
+# The kinds in their order (the last one without a pattern) and the characters of the patterns.
+KINDS = ["email", "ip", "card", "phone", "secret"]
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_BASE = re.compile(r"[0-9@]")
+_AT = re.compile(r"\s*(?:@|\(at\)|\[at\])\s*")
+_DOT = re.compile(r"\s*(?:\.|\(dot\)|\[dot\])\s*")
 WINDOW, STRIDE, REACH = 64, 32, 32
 
 
@@ -68,7 +72,7 @@ def _ips(text):
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) by start, then kind; places in code points, end exclusive."""
-    if not _TRIGGER.search(text):
+    if not _BASE.search(text):
         return []
     found = [(a, b, 0) for a, b in _emails(text)] + [(a, b, 1) for a, b in _ips(text)]
     for m in _CARD.finditer(text):
@@ -103,17 +107,24 @@ _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(
 
 
 def _fits(text: str, kind: int) -> bool:
-    """Whether a span of the model has the form of its kind."""
+    """Whether what a span of the model holds can be of its kind, however it is written."""
     digits = "".join(c for c in text if c in "0123456789")
     if kind == 0:
-        left, mark, right = text.partition("@")
-        return bool(mark and left and right) and not re.search(r"\s", text)
+        sides = _AT.split(text)
+        return len(sides) == 2 and len(_DOT.split(sides[1])) > 1 and not re.search(r"\s", _DOT.sub(".", "@".join(sides)))
     if kind == 1:
         parts = re.split(r"[^0-9]+", text)
-        return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts) and not re.search(r"[^0-9 .,()\[\]]", text)
     if kind == 2:
-        return 14 <= len(digits) <= 19 and _luhn(digits)
-    return 10 <= len(digits) <= 15 and not re.search(r"[^\x20+().0-9-]", text) and text[0] in "+(0123456789"
+        return 14 <= len(digits) <= 19 and _luhn(digits) and not re.search(r"[^0-9 ./_-]", text)
+    if kind == 3:
+        apart = len(re.findall(r"[0-9]+", text)) > 2 or text[0] in "+("
+        return 10 <= len(digits) <= 15 and apart and not re.search(r"[^\x20+()./0-9-]", text) and text[0] in "+(0123456789"
+    if not re.fullmatch(r"[A-Za-z0-9_+/=-]{16,}", text) or len(set(text)) < 8:
+        return False
+    # Digits, small and large letters by turns: no word and no number alone.
+    kinds = [c.isdigit() + 2 * c.isupper() for c in text]
+    return sum(a != b for a, b in zip(kinds, kinds[1:])) >= 4 and any(map(str.isdigit, text))
 
 
 def _trim(text: str, a: int, b: int) -> tuple[int, int]:
@@ -191,24 +202,97 @@ def all_spans(model: Tagger | None, texts: list[str]) -> list[tuple[list, list]]
 # -- training ----------------------------------------------------------------------------------------------------------
 
 
+#: Values for made secrets: names that stand before them, what parts both, the alphabets.
+_NAMES = ["token", "key", "secret", "api_key", "password", "access token", "auth", "Bearer"]
+_PARTED = [' = "', ": ", "=", " ", ": '", ' := "']
+_ALPHABETS = ["0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
+
+
+def other_form(text: str, kind: int, rng) -> str:
+    """The data of a base span in a form that its pattern does not know."""
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    if kind == 0:
+        return text.replace("@", pick(" @ ", " (at) ", "(at)", "[at]", " [at] ")).replace(".", pick(".", " (dot) ", "[dot]", " . "))
+    if kind == 1:
+        return text.replace(".", pick(" . ", "[.]", ",", ". ", "(.)"))
+    digits = re.sub("[^0-9]", "", text)
+    if kind == 2:
+        mark, at = pick(".", "/", "_", " - ", "  "), 4
+        return mark.join(digits[i : i + at] for i in range(0, len(digits), at))
+    country, area, rest = digits[:-10], digits[-10:-7], digits[-7:]
+    local = rest[:3] + pick("-", ".", " ", "/") + rest[3:]
+    return pick("", f"00{country} ", f"{country} " if country else "") + pick(f"({area}) ", f"{area}-", f"{area}.", f"{area}/") + local
+
+
+def secret(rng) -> tuple[str, int, int]:
+    """(text, start, end) of a made secret with its name."""
+    letters = _ALPHABETS[int(rng.integers(2))]
+    value = ""
+    while not value or not _fits(value, 4):
+        value = "".join(letters[i] for i in rng.integers(0, len(letters), int(rng.integers(20, 49))))
+    lead = _NAMES[int(rng.integers(len(_NAMES)))] + _PARTED[int(rng.integers(len(_PARTED)))]
+    close = lead[-1] if lead[-1] in "\"'" else ""
+    return lead + value + close, len(lead), len(lead) + len(value)
+
+
+def labelled(text: str, rng, copies: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """A text with its spans; copies with some in other forms and some made secrets between the words, one if it has none."""
+    base = base_spans(text)
+    # Secrets that stand in the text already must not be taught as ordinary words.
+    keys = [(m.start(), m.end(), 4) for m in re.finditer("[A-Za-z0-9_+/=-]{20,}", text) if _fits(m[0], 4)]
+    keys = [k for k in keys if not any(k[0] < b and a < k[1] for a, b, _ in base)]
+    own = sorted(base + keys)
+    return [(text, own), *(_varied(text, own, rng) for _ in range(copies if base else 1))]
+
+
+def _varied(text: str, own, rng) -> tuple[str, list[tuple[int, int, int]]]:
+    at, parts, spans, size = 0, [], [], 0
+
+    def add(piece):
+        nonlocal size
+        parts.append(piece)
+        size += len(piece)
+
+    cuts = [m.start() for m in re.finditer(" ", text)]
+    made = [(cuts[int(i)], cuts[int(i)], 4) for i in rng.integers(0, len(cuts), 1 + int(rng.integers(2)))] if cuts else []
+    for a, b, kind in sorted(own + made):
+        if a < at:
+            continue
+        add(text[at:a])
+        if kind == 4 and a == b:
+            piece, low, high = secret(rng)
+            add(" ")
+            spans.append((size + low, size + high, 4))
+            add(piece)
+        else:
+            piece = other_form(text[a:b], kind, rng) if kind < 4 and rng.random() < 0.7 else text[a:b]
+            spans.append((size, size + len(piece), kind))
+            add(piece)
+        at = b
+    add(text[at:])
+    return "".join(parts), spans
+
+
 def train(
-    docs: DataFrame, sample_docs: int = 1500, epochs: int = 6, hidden: int = 16, least_steps: int = 300
+    docs: DataFrame, sample_docs: int = 1500, epochs: int = 6, hidden: int = 16, least_steps: int = 400
 ) -> Tagger | None:
-    """A model fitted on excerpts of at most sample_docs documents; None if no excerpt has a base span.
+    """A model fitted on excerpts of at most sample_docs documents; None if no excerpt has a digit or an at sign.
 
     The sample comes from the 20 * sample_docs documents whose ids hash lowest: of those with a digit or an at sign, the
-    ones with the least hash of their text.  An excerpt is 400 characters around the first such character.  Small samples are gone through until least_steps batches are seen.
+    ones with the least hash of their text.  An excerpt is 400 characters around the first such character.  Small samples
+    are gone through until least_steps batches are seen.
     """
-    picked = hash_sample(docs.select("doc_id", "text"), ["doc_id"], 20 * sample_docs, docs.count())
-    picked = picked.where(F.col("text").rlike("[0-9@]")).select(
+    rows = docs.where(F.col("text").rlike("[0-9@]")).select(
+        "doc_id",
         F.xxhash64("text").alias("h"),
         F.expr("substring(text, greatest(1, regexp_instr(text, '[0-9@]') - 150), 400)").alias("part"),
     )
+    picked = hash_sample(rows, ["doc_id"], 20 * sample_docs, docs.count())
     parts = [r.part for r in picked.orderBy("h", "part").limit(sample_docs).collect()]
-    ids, tags = [], []
-    for text in dict.fromkeys(parts):
+    ids, tags, rng = [], [], np.random.default_rng(7)
+    for text, spans in (x for part in dict.fromkeys(parts) for x in labelled(part, rng)):
         gold, codes = np.zeros(len(text), np.int64), char_ids(text)
-        for a, b, kind in base_spans(text):
+        for a, b, kind in spans:
             if not gold[a:b].any():
                 gold[a:b] = 2 * kind + 2
                 gold[a] -= 1
@@ -278,7 +362,10 @@ def redact_text(text: str, spans) -> str:
 
 
 def redacted(docs: DataFrame, model: Tagger | None) -> DataFrame:
-    """docs, all rows and columns, with every span of text replaced by its kind's mark; n_chars, if there, follows."""
+    """docs, all rows and columns, with every span of text replaced by its kind's mark; n_chars, if there, follows.
+
+    Null texts stay null, empty ones empty; repeated rows stay repeated; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
@@ -287,7 +374,7 @@ def redacted(docs: DataFrame, model: Tagger | None) -> DataFrame:
         out = [redact_text(t, s) for t, (_, s) in zip(texts, all_spans(shared.value, texts))]
         return pd.Series(out, dtype=object)
 
-    text = F.when(F.col("text").rlike("[0-9@]"), redact("text")).otherwise(F.col("text"))
+    text = F.when(F.col("text").rlike(_TRIGGER.pattern), redact("text")).otherwise(F.col("text"))
     out = docs.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -58,7 +58,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select(
-        "doc_id", *map(count, pii.KINDS), F.sha2(named("base"), 256).alias("base_sha256"), named("spans").alias("spans")
+        "doc_id",
+        *map(count, pii.KINDS[:4]),
+        F.sha2(named("base"), 256).alias("base_sha256"),
+        named("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"),
     )
 
 
