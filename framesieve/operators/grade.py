@@ -103,43 +103,73 @@ def suffix(name: str = "name") -> Column:
     return F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
 
 
-def _text(pattern: str, value: Column, digits: int) -> Column:
-    return F.format_string(pattern, F.bround(value, digits))
+#: What is said for each reason; {} stands for its number or name.
+WORDS = {
+    "roi_sharpness": "measured sharpness {}, region: {}",
+    "not_raw": "{} file, not a RAW file",
+    "face_count": "faces found: {}",
+    "af_mismatch": "the camera focused on another face than the main one",
+    "face_defocus": "background is {} points sharper than the face",
+    "highlight_clip": "{}% of the picture has burnt highlights",
+    "shadow_clip": "{}% of the picture has blocked shadows",
+    "eyes_unknown": "no eye could be measured",
+    "eyes_closed": "closed eyes: ratio {} under {}",
+    "eyes_open": "open eyes: ratio {}",
+    "frame_black": "nearly no light in the picture",
+    "frame_white": "nearly only white in the picture",
+    "batch_bottom": "among the weakest of the batch, under {}",
+    "better_in_group": "the scene has a picture {} points better",
+}
+REGIONS = {"eye": "eyes", "face": "face", "tile": "likely subject", "frame": "full picture"}
+
+
+def _said(key: str, *values: Column) -> Column:
+    parts = WORDS[key].split("{}")
+    pieces = [F.lit(parts[0])]
+    for value, text in zip(values, parts[1:]):
+        pieces += [value, F.lit(text)]
+    return F.concat(*pieces)
+
+
+def _number(value: Column, digits: int = 0) -> Column:
+    return F.format_string(f"%.{digits}f", F.bround(value, digits))
 
 
 def reasons(graded_frames: DataFrame, config: ScoreConfig | None = None) -> DataFrame:
-    """(path, pos, key, reason): why a frame got its grade, in the fixed order."""
+    """(path, pos, key, reason): why a frame got its grade, in the fixed order of keys."""
     c = sanitise(config or ScoreConfig())
-    region = (
-        F.when(F.col("source") == "eye", "eye area")
-        .when(F.col("source") == "face", "face area")
-        .when(F.col("source") == "tile", "estimated subject")
-        .when(F.col("source") == "frame", "whole frame")
-        .otherwise(F.col("source"))
-    )
-    closed, measured = eyes_are_closed(c), F.col("eyes_open") >= 0
-    ear = _text("%.2f", F.col("eyes_open"), 2)
-    deficit = F.col("group_best") - F.col("score")
-    gap = F.col("background_sharpness") - F.col("sharpness")
-    rows = [
-        (F.lit(True), "roi_sharpness", F.concat(F.lit("sharpness "), _text("%.0f", F.col("sharpness"), 0), F.lit(" on the "), region)),
-        (suffix().isin(EDITABLE), "not_raw", F.concat(F.upper(suffix()), F.lit(" source — less latitude than RAW"))),
-        (F.col("face_count") > 0, "face_count", F.concat(F.col("face_count").cast("string"), F.lit(" face(s)"))),
-        (face_defocus(c) > 0, "face_defocus", F.concat(F.lit("focus missed the face (background sharper by "), _text("%.0f", gap, 0), F.lit(")"))),
-        (F.lit(bool(c.penalty_highlight_clip)) & (F.col("clipped_highlights") > c.max_clipped_highlights), "highlight_clip", F.concat(F.lit("highlights "), _text("%.0f", F.col("clipped_highlights") * 100, 0), F.lit("% clipped"))),
-        (F.lit(bool(c.penalty_shadow_clip)) & (F.col("clipped_shadows") > c.max_clipped_shadows), "shadow_clip", F.concat(F.lit("shadows "), _text("%.0f", F.col("clipped_shadows") * 100, 0), F.lit("% crushed"))),
-        (F.lit(c.face_priority) & ~measured, "eyes_unknown", F.lit("eyes not measured (profile, occluded or too small)")),
-        (F.lit(c.face_priority) & measured & closed, "eyes_closed", F.concat(F.lit("eyes look closed (EAR "), ear, F.lit(f" < {c.eyes_closed_below:.2f})"))),
-        (F.lit(c.face_priority) & measured & ~closed, "eyes_open", F.concat(F.lit("eyes open (EAR "), ear, F.lit(")"))),
-        (F.col("mean_luma") < 8, "frame_black", F.lit("frame is almost black")),
-        (F.col("mean_luma") > 247, "frame_white", F.lit("frame is almost white")),
-        (F.round("score", 9) < F.col("threshold"), "batch_bottom", F.concat(F.lit("bottom of the batch (below "), _text("%.0f", F.col("threshold"), 0), F.lit(")"))),
-        (deficit >= c.reject_below_group_best, "better_in_group", F.concat(F.lit("a shot "), _text("%.0f", deficit, 0), F.lit(" points better exists in this scene"))),
-    ]
-    if "af_face" in graded_frames.columns:
-        other = (F.col("af_face") >= 0) & (F.col("main_face") >= 0) & (F.col("af_face") != F.col("main_face"))
-        rows.insert(3, (other, "af_mismatch", F.lit("main subject uncertain — camera focused on someone else")))
-    parts = [F.when(when, F.struct(F.lit(key).alias("key"), text.alias("reason"))) for when, key, text in rows]
+    names = F.create_map(*(F.lit(x) for pair in REGIONS.items() for x in pair))
+    region = F.coalesce(F.try_element_at(names, F.col("source")), F.col("source"))
+    measured, closed = F.col("eyes_open") >= 0, eyes_are_closed(c)
+    ear, luma, deficit = _number(F.col("eyes_open"), 2), F.col("mean_luma"), F.col("group_best") - F.col("score")
+    other_face = F.lit(False)
+    if {"af_face", "main_face"} <= set(graded_frames.columns):
+        other_face = (F.col("af_face") >= 0) & (F.col("main_face") >= 0) & (F.col("af_face") != F.col("main_face"))
+    share = lambda name: _number(F.col(name) * 100)
+    found: list[tuple[str, Column, list[Column]]] = [
+        ("roi_sharpness", F.lit(True), [_number(F.col("sharpness")), region]),
+        ("not_raw", suffix().isin(EDITABLE), [F.upper(suffix())]),
+        ("face_count", F.col("face_count") > 0, [F.col("face_count").cast("string")]),
+        ("af_mismatch", other_face, []),
+        ("face_defocus", face_defocus(c) > 0, [_number(F.col("background_sharpness") - F.col("sharpness"))]),
+    ]
+    if c.penalty_highlight_clip:
+        found.append(("highlight_clip", F.col("clipped_highlights") > c.max_clipped_highlights, [share("clipped_highlights")]))
+    if c.penalty_shadow_clip:
+        found.append(("shadow_clip", F.col("clipped_shadows") > c.max_clipped_shadows, [share("clipped_shadows")]))
+    if c.face_priority:
+        found += [
+            ("eyes_unknown", ~measured, []),
+            ("eyes_closed", measured & closed, [ear, F.lit(f"{c.eyes_closed_below:.2f}")]),
+            ("eyes_open", measured & ~closed, [ear]),
+        ]
+    found += [
+        ("frame_black", luma < 8, []),
+        ("frame_white", luma > 247, []),
+        ("batch_bottom", F.round("score", 9) < F.col("threshold"), [_number(F.col("threshold"))]),
+        ("better_in_group", deficit >= c.reject_below_group_best, [_number(deficit)]),
+    ]
+    rows = [F.when(when, F.struct(F.lit(key).alias("key"), _said(key, *values).alias("reason"))) for key, when, values in found]
     failed = F.array(F.struct(F.lit("error").alias("key"), F.coalesce("error", F.lit("")).alias("reason")))
-    found = F.when(is_ok(), F.filter(F.array(*parts), lambda x: x.isNotNull())).otherwise(failed)
-    return graded_frames.select("path", F.posexplode(found).alias("pos", "r")).select("path", "pos", "r.key", "r.reason")
+    every = F.when(is_ok(), F.filter(F.array(*rows), lambda x: x.isNotNull())).otherwise(failed)
+    return graded_frames.select("path", F.posexplode(every).alias("pos", "r")).select("path", "pos", "r.key", "r.reason")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesieve.operators import faces, images, lenses, report
@@ -22,7 +22,7 @@ def _tags(spark, sf_dir):
         "EXIF SubSecTimeOriginal": F.when(n % 5 == 0, text(n % 1000)).when(n % 31 == 0, F.lit("x")),
         "Image Make": F.lit("Canon"),
         "Image Model": text("Canon EOS R", n % 7),
-        "EXIF LensModel": F.when(n % 4 == 0, F.lit("----")).when(n % 4 == 1, text("RF", n % 50 + 10, "mm F2")),
+        "EXIF LensModel": F.when(n % 4 == 0, F.lit("----")).when(n % 8 == 3, F.lit("Manual Lens")).when(n % 8 == 7, F.lit("NA")).when(n % 4 == 1, text("RF", n % 50 + 10, "mm F2")),
         "MakerNote LensType": F.when(n % 3 == 0, F.lit("61182")).otherwise(F.lit("Lens B")),
         "EXIF ISOSpeedRatings": F.when(n % 6 != 0, text(n % 100 * 50)),
         "EXIF ExposureTime": F.when(n % 8 == 0, F.lit("1/0")).otherwise(text("1/", n % 500 + 1)),
@@ -106,39 +106,34 @@ def settings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _faces(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     k = F.col("l_partkey")
+    # Line numbers repeat within an order, so faces are numbered by all that tells them apart.
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_discount", "l_quantity")
     return li.select(
-        F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("idx"), (k % 900).cast("double").alias("x"), (k % 500).cast("double").alias("y"),
+        F.col("l_orderkey").alias("frame_id"), (k % 900).cast("double").alias("x"), (k % 500).cast("double").alias("y"),
         (k % 80 + 20).cast("double").alias("w"), (k % 70 + 24).cast("double").alias("h"), (F.lit(0.5) + F.col("l_discount") * 5).alias("score"),
-        (k % 17).cast("double").alias("contrast"), F.col("l_quantity").alias("energy"),
-    ).dropDuplicates(["frame_id", "idx"])
-
-
-_FACES_SQL = """WITH f AS (SELECT l_orderkey AS frame_id, l_linenumber AS idx, (l_partkey % 900)::DOUBLE AS x, (l_partkey % 500)::DOUBLE AS y, (l_partkey % 80 + 20)::DOUBLE AS w,
-  (l_partkey % 70 + 24)::DOUBLE AS h, 0.5::DOUBLE + l_discount * 5 AS score, (l_partkey % 17)::DOUBLE AS contrast, l_quantity AS energy FROM lineitem
-  QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)"""
+        (k % 17).cast("double").alias("contrast"), F.col("l_quantity").alias("energy"), F.row_number().over(place).alias("idx"),
+    )
 
 
-def _unique_faces(spark, sf_dir):
-    df = _faces(spark, sf_dir)
-    once = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("idx")).count()
-    return df.join(once.where("count = 1").drop("count"), ["frame_id", "idx"], "left_semi")
+_FACES_SQL = """WITH f AS (SELECT l_orderkey AS frame_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_discount, l_quantity) AS INTEGER) AS idx, (l_partkey % 900)::DOUBLE AS x, (l_partkey % 500)::DOUBLE AS y, (l_partkey % 80 + 20)::DOUBLE AS w,
+  (l_partkey % 70 + 24)::DOUBLE AS h, 0.5::DOUBLE + l_discount * 5 AS score, (l_partkey % 17)::DOUBLE AS contrast, l_quantity AS energy FROM lineitem)"""
 
 
 def top_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return faces.top_faces(_unique_faces(spark, sf_dir), 2).select("frame_id", "idx", "prominence")
+    return faces.top_faces(_faces(spark, sf_dir), 2).select("frame_id", "idx", "prominence")
 
 
 def main_face(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return faces.main_face(_unique_faces(spark, sf_dir))
+    return faces.main_face(_faces(spark, sf_dir))
 
 
 def central_face(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return faces.central_face(_unique_faces(spark, sf_dir), 1000.0, 600.0)
+    return faces.central_face(_faces(spark, sf_dir), 1000.0, 600.0)
 
 
 def nearest_face(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame_id"), (F.col("o_custkey") % 1000).cast("double").alias("x"), F.lit(300.0).alias("y"))
-    return faces.nearest_face(points, _unique_faces(spark, sf_dir))
+    return faces.nearest_face(points, _faces(spark, sf_dir))
 
 
 # -- pictures: embeddings as 8 by 8 pictures, enlarged -----------------------------------------------------------------
@@ -182,7 +177,7 @@ def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalogue(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey % 4 <> 3")
+    p = table(spark, sf_dir, "part")
     low = F.col("p_partkey") % 90 + 10
     return p.select(
         F.col("p_brand").alias("maker"), F.concat(low.cast("string"), F.lit("-"), (low * 3).cast("string"), F.lit("mm f/"), (F.col("p_partkey") % 5 + 2).cast("string")).alias("model"),
@@ -190,7 +185,7 @@ def _catalogue(spark, sf_dir):
     )
 
 
-_CATALOGUE_SQL = "cat AS (SELECT p_brand AS maker, (p_partkey % 90 + 10) || '-' || (p_partkey % 90 + 10) * 3 || 'mm f/' || (p_partkey % 5 + 2) AS model, (p_partkey % 90 + 10)::DOUBLE AS low FROM part WHERE p_partkey % 4 <> 3)"
+_CATALOGUE_SQL = "cat AS (SELECT p_brand AS maker, (p_partkey % 90 + 10) || '-' || (p_partkey % 90 + 10) * 3 || 'mm f/' || (p_partkey % 5 + 2) AS model, (p_partkey % 90 + 10)::DOUBLE AS low FROM part)"
 
 
 def lens_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,14 +10,12 @@ from framesieve.operators import grade, places, review, scenes, score
 from framesieve.sources.tables import FRAMES_SQL, frames
 
 #: Event days hold a frame every few minutes, so scenes are cut at five.
-GROUPS = GroupConfig(time_gap_seconds=300.0)
 TIGHT = GroupConfig(time_gap_seconds=300.0, scene_change_distance=30)
 TARGET = ScoreConfig(target_keep_ratio=0.35, min_keep_score=40.0)
 
 
-def _graded(spark, sf_dir, config=None, groups=None):
-    df = frames(spark, sf_dir)
-    df = scenes.with_scenes(df, groups) if groups else scenes.scenes_by_time(df, GROUPS)
+def _graded(spark, sf_dir, config=None):
+    df = scenes.with_scenes(frames(spark, sf_dir), TIGHT)
     return grade.graded(score.scored(df, config), config)
 
 
@@ -99,7 +97,7 @@ def main_face_regrade(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path", (F.col("sharpness") - 20).alias("sharpness"), F.lit(0.02).alias("face_area_ratio"), F.lit(0.1).alias("eyes_open")
     )
     changed = review.with_measurements(df, edits)
-    redone = grade.graded(score.scored(scenes.scenes_by_time(changed, GROUPS)))
+    redone = grade.graded(score.scored(scenes.with_scenes(changed, TIGHT)))
     return redone.select("batch_id", "path", "grade")
 
 
@@ -167,10 +165,20 @@ scored AS (SELECT *, CASE WHEN ok THEN greatest(0.0::DOUBLE, least(100.0::DOUBLE
 
 _ORDER = "capture_time IS NULL, capture_time, name, input_order"
 _GAPS = f"""
-gapped AS (SELECT *, (epoch_us(capture_time) - epoch_us(lag(capture_time) OVER (PARTITION BY batch_id ORDER BY {_ORDER}))) / 1e6::DOUBLE AS gap,
+gapped AS MATERIALIZED (SELECT *, (epoch_us(capture_time) - epoch_us(lag(capture_time) OVER (PARTITION BY batch_id ORDER BY {_ORDER}))) / 1e6::DOUBLE AS gap,
   row_number() OVER (PARTITION BY batch_id ORDER BY {_ORDER}) AS rn FROM scored)"""
-_BY_TIME = f"""{_GAPS},
-scened AS (SELECT *, CAST(sum(CASE WHEN gap > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id ORDER BY rn) AS INTEGER) AS group_id FROM gapped)"""
+_WALK = """
+fold AS (
+  SELECT batch_id, rn, path, 0 AS group_id, 1 AS size, h1 AS a1, h2 AS a2 FROM gapped WHERE rn = 1
+  UNION ALL
+  SELECT batch_id, rn, path, CASE WHEN cut THEN prev + 1 ELSE prev END, CASE WHEN cut THEN 1 ELSE size + 1 END,
+    CASE WHEN cut THEN h1 ELSE a1 END, CASE WHEN cut THEN h2 ELSE a2 END
+  FROM (SELECT g.batch_id, g.rn, g.path, f.group_id AS prev, f.size, f.a1, f.a2, g.h1, g.h2,
+      coalesce(g.gap > 300, false) OR f.size >= 40
+      OR coalesce(bit_count(xor(g.h1, f.a1)) + bit_count(xor(g.h2, f.a2)) > CASE WHEN g.gap IS NULL THEN 16 ELSE 30 END, false) AS cut
+    FROM fold f JOIN gapped g ON g.batch_id = f.batch_id AND g.rn = f.rn + 1))"""
+_SCENED = f"""{_GAPS}, {_WALK},
+scened AS (SELECT gapped.*, fold.group_id FROM gapped JOIN fold USING (batch_id, rn))"""
 
 
 def _grades_sql(ratio=None, least: float = 0.0) -> str:
@@ -197,20 +205,11 @@ graded AS (SELECT ranked.*, threshold, keep_at, CASE WHEN NOT ok THEN 'reject' W
   FROM ranked JOIN cut USING (batch_id) JOIN keeps USING (batch_id))"""
 
 
-_PLAIN = f"WITH {FRAMES_SQL}, {_terms_sql()}"
-_GRADED = f"{_PLAIN}, {_BY_TIME}, {_grades_sql()}"
-_TARGET = f"{_PLAIN}, {_BY_TIME}, {_grades_sql(0.35, 40.0)}"
+_PLAIN = f"WITH RECURSIVE {FRAMES_SQL}, {_terms_sql()}"
+_GRADED = f"{_PLAIN}, {_SCENED}, {_grades_sql()}"
+_TARGET = f"{_PLAIN}, {_SCENED}, {_grades_sql(0.35, 40.0)}"
 
-_FOLD = f"""WITH RECURSIVE {FRAMES_SQL}, scored AS (SELECT * FROM frames), {_GAPS},
-fold AS (
-  SELECT batch_id, rn, path, 0 AS group_id, 1 AS size, h1 AS a1, h2 AS a2 FROM gapped WHERE rn = 1
-  UNION ALL
-  SELECT batch_id, rn, path, CASE WHEN cut THEN prev + 1 ELSE prev END, CASE WHEN cut THEN 1 ELSE size + 1 END,
-    CASE WHEN cut THEN h1 ELSE a1 END, CASE WHEN cut THEN h2 ELSE a2 END
-  FROM (SELECT g.batch_id, g.rn, g.path, f.group_id AS prev, f.size, f.a1, f.a2, g.h1, g.h2,
-      coalesce(g.gap > 300, false) OR f.size >= 40
-      OR coalesce(bit_count(xor(g.h1, f.a1)) + bit_count(xor(g.h2, f.a2)) > CASE WHEN g.gap IS NULL THEN 16 ELSE 30 END, false) AS cut
-    FROM fold f JOIN gapped g ON g.batch_id = f.batch_id AND g.rn = f.rn + 1))"""
+_FOLD = f"WITH RECURSIVE {FRAMES_SQL}, scored AS (SELECT * FROM frames), {_GAPS}, {_WALK}"
 
 _HAVERSINE = """2 * 6371000.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(g.latitude - f.lat) / 2), 2)
   + cos(radians(f.lat)) * cos(radians(g.latitude)) * pow(sin(radians(g.longitude - f.lon) / 2), 2))))"""
@@ -230,20 +229,20 @@ placed AS (SELECT walk.batch_id, path, place_id FROM walk JOIN big USING (batch_
 
 _REASON_ROWS = """
   SELECT path, 0 AS k, 'error' AS key, coalesce(error, '') AS reason FROM graded WHERE NOT ok
-  UNION ALL SELECT path, 1, 'roi_sharpness', 'sharpness ' || CAST(CAST(round_even(sharpness, 0) AS BIGINT) AS VARCHAR) || ' on the ' ||
-    CASE source WHEN 'eye' THEN 'eye area' WHEN 'face' THEN 'face area' WHEN 'tile' THEN 'estimated subject' WHEN 'frame' THEN 'whole frame' ELSE source END FROM graded WHERE ok
-  UNION ALL SELECT path, 2, 'not_raw', upper(regexp_extract(name, '\\.([^./]+)$', 1)) || ' source — less latitude than RAW' FROM graded WHERE ok AND lower(name) SIMILAR TO '.*\\.(jpg|jpeg|hif|heic|heif)'
-  UNION ALL SELECT path, 3, 'face_count', face_count || ' face(s)' FROM graded WHERE ok AND face_count > 0
-  UNION ALL SELECT path, 4, 'face_defocus', 'focus missed the face (background sharper by ' || CAST(CAST(round_even(background_sharpness - sharpness, 0) AS BIGINT) AS VARCHAR) || ')' FROM graded WHERE ok AND t1 IS NOT NULL
-  UNION ALL SELECT path, 5, 'highlight_clip', 'highlights ' || CAST(CAST(round_even(clipped_highlights * 100, 0) AS BIGINT) AS VARCHAR) || '% clipped' FROM graded WHERE ok AND clipped_highlights > 0.25::DOUBLE
-  UNION ALL SELECT path, 6, 'shadow_clip', 'shadows ' || CAST(CAST(round_even(clipped_shadows * 100, 0) AS BIGINT) AS VARCHAR) || '% crushed' FROM graded WHERE ok AND clipped_shadows > 0.5::DOUBLE
-  UNION ALL SELECT path, 7, 'eyes_unknown', 'eyes not measured (profile, occluded or too small)' FROM graded WHERE ok AND eyes_open < 0
-  UNION ALL SELECT path, 8, 'eyes_closed', 'eyes look closed (EAR ' || printf('%.2f', eyes_open) || ' < 0.25)' FROM graded WHERE ok AND closed
-  UNION ALL SELECT path, 9, 'eyes_open', 'eyes open (EAR ' || printf('%.2f', eyes_open) || ')' FROM graded WHERE ok AND NOT closed AND eyes_open >= 0
-  UNION ALL SELECT path, 10, 'frame_black', 'frame is almost black' FROM graded WHERE ok AND mean_luma < 8
-  UNION ALL SELECT path, 11, 'frame_white', 'frame is almost white' FROM graded WHERE ok AND mean_luma > 247
-  UNION ALL SELECT path, 12, 'batch_bottom', 'bottom of the batch (below ' || CAST(CAST(round_even(threshold, 0) AS BIGINT) AS VARCHAR) || ')' FROM graded WHERE ok AND round(score, 9) < threshold
-  UNION ALL SELECT path, 13, 'better_in_group', 'a shot ' || CAST(CAST(round_even(group_best - score, 0) AS BIGINT) AS VARCHAR) || ' points better exists in this scene' FROM graded WHERE ok AND group_best - score >= 10"""
+  UNION ALL SELECT path, 1, 'roi_sharpness', 'measured sharpness ' || CAST(CAST(round_even(sharpness, 0) AS BIGINT) AS VARCHAR) || ', region: ' ||
+    CASE source WHEN 'eye' THEN 'eyes' WHEN 'tile' THEN 'likely subject' WHEN 'frame' THEN 'full picture' ELSE source END FROM graded WHERE ok
+  UNION ALL SELECT path, 2, 'not_raw', upper(regexp_extract(name, '\\.([^./]+)$', 1)) || ' file, not a RAW file' FROM graded WHERE ok AND lower(name) SIMILAR TO '.*\\.(jpg|jpeg|hif|heic|heif)'
+  UNION ALL SELECT path, 3, 'face_count', 'faces found: ' || face_count FROM graded WHERE ok AND face_count > 0
+  UNION ALL SELECT path, 4, 'face_defocus', 'background is ' || CAST(CAST(round_even(background_sharpness - sharpness, 0) AS BIGINT) AS VARCHAR) || ' points sharper than the face' FROM graded WHERE ok AND t1 IS NOT NULL
+  UNION ALL SELECT path, 5, 'highlight_clip', CAST(CAST(round_even(clipped_highlights * 100, 0) AS BIGINT) AS VARCHAR) || '% of the picture has burnt highlights' FROM graded WHERE ok AND clipped_highlights > 0.25::DOUBLE
+  UNION ALL SELECT path, 6, 'shadow_clip', CAST(CAST(round_even(clipped_shadows * 100, 0) AS BIGINT) AS VARCHAR) || '% of the picture has blocked shadows' FROM graded WHERE ok AND clipped_shadows > 0.5::DOUBLE
+  UNION ALL SELECT path, 7, 'eyes_unknown', 'no eye could be measured' FROM graded WHERE ok AND eyes_open < 0
+  UNION ALL SELECT path, 8, 'eyes_closed', 'closed eyes: ratio ' || printf('%.2f', eyes_open) || ' under 0.25' FROM graded WHERE ok AND closed
+  UNION ALL SELECT path, 9, 'eyes_open', 'open eyes: ratio ' || printf('%.2f', eyes_open) FROM graded WHERE ok AND NOT closed AND eyes_open >= 0
+  UNION ALL SELECT path, 10, 'frame_black', 'nearly no light in the picture' FROM graded WHERE ok AND mean_luma < 8
+  UNION ALL SELECT path, 11, 'frame_white', 'nearly only white in the picture' FROM graded WHERE ok AND mean_luma > 247
+  UNION ALL SELECT path, 12, 'batch_bottom', 'among the weakest of the batch, under ' || CAST(CAST(round_even(threshold, 0) AS BIGINT) AS VARCHAR) FROM graded WHERE ok AND round(score, 9) < threshold
+  UNION ALL SELECT path, 13, 'better_in_group', 'the scene has a picture ' || CAST(CAST(round_even(group_best - score, 0) AS BIGINT) AS VARCHAR) || ' points better' FROM graded WHERE ok AND group_best - score >= 10"""
 
 _KEYS = [(0, "sharpness"), (1, "face_defocus"), (2, "focus_on_face"), (3, "no_face"), (4, "face_detected"), (6, "eye_detected"),
          (7, "eyes_closed"), (8, "eyes_open"), (9, "eyes_unknown"), (10, "highlight_clip"), (11, "shadow_clip"), (12, "extreme_luma")]
@@ -270,7 +269,7 @@ ORACLES = {
     "dropped_scenes": f"{_TARGET} SELECT batch_id, count(*) FILTER (k = 0) AS dropped FROM (SELECT batch_id, group_id, count(*) FILTER (grade = 'keep') AS k FROM graded GROUP BY 1, 2) GROUP BY 1",
     "score_statistics": f"{_PLAIN}, n AS (SELECT batch_id, count(*) AS n FROM scored GROUP BY 1), p AS (SELECT batch_id, score, row_number() OVER (PARTITION BY batch_id ORDER BY score DESC) AS place FROM scored) SELECT batch_id, round(min(score), 9) AS low, round(avg(score), 6) AS mean, round(max(score), 9) AS high, round(max(score) FILTER (place = greatest(1, CAST(round_even(n * 0.25::DOUBLE, 0) AS BIGINT))), 9) AS cutoff FROM p JOIN n USING (batch_id) GROUP BY 1",
     "sorted_frames": f"{_PLAIN} SELECT batch_id, path, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY score DESC, name, input_order) AS INTEGER) AS position FROM scored",
-    "main_face_regrade": f"WITH {FRAMES_SQL}, changed AS (SELECT * REPLACE (CASE WHEN input_order % 50 = 3 THEN sharpness - 20 ELSE sharpness END AS sharpness, CASE WHEN input_order % 50 = 3 THEN 0.02::DOUBLE ELSE face_area_ratio END AS face_area_ratio, CASE WHEN input_order % 50 = 3 THEN 0.1::DOUBLE ELSE eyes_open END AS eyes_open) FROM frames), {_terms_sql(True, 'changed')}, {_BY_TIME}, {_grades_sql()} SELECT batch_id, path, grade FROM graded",
+    "main_face_regrade": f"WITH RECURSIVE {FRAMES_SQL}, changed AS (SELECT * REPLACE (CASE WHEN input_order % 50 = 3 THEN sharpness - 20 ELSE sharpness END AS sharpness, CASE WHEN input_order % 50 = 3 THEN 0.02::DOUBLE ELSE face_area_ratio END AS face_area_ratio, CASE WHEN input_order % 50 = 3 THEN 0.1::DOUBLE ELSE eyes_open END AS eyes_open) FROM frames), {_terms_sql(True, 'changed')}, {_SCENED}, {_grades_sql()} SELECT batch_id, path, grade FROM graded",
     "place_clusters": f"{_PLACES} SELECT batch_id, path, place_id FROM placed",
     "place_labels": f"{_PLACES}, g AS (SELECT p.batch_id, place_id, count(*) AS n, avg(latitude) AS lat, avg(longitude) AS lon FROM placed p JOIN frames USING (path) GROUP BY 1, 2) SELECT batch_id, place_id, n, printf('%02d', place_id) || '_' || printf('%.4f', round(lat + 1e-9, 6) + 1e-9) || 'N_' || printf('%.4f', round(lon + 1e-9, 6) + 1e-9) || 'E' AS label, round(lat + 1e-9, 6) AS latitude, round(lon + 1e-9, 6) AS longitude FROM g",
     "place_coverage": f"{_PLACES} SELECT f.batch_id, count(DISTINCT place_id) AS places, count(latitude) AS located, count(*) AS total FROM frames f LEFT JOIN placed USING (path) GROUP BY 1",

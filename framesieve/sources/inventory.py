@@ -73,10 +73,14 @@ def with_order(df: DataFrame, key: Column) -> DataFrame:
     """df with input_order from 0 in the order of key.
 
     Rows are dealt by ranges of key and numbered inside them; a range's first number is the sum of what lies before it.
+    The ranges are stored with their numbers: what sizes and places are counted from must be one and the same dealing.
     """
     from pyspark.sql import Window
 
+    from .shared import stored
+
     ranged = df.withColumn("_key", key).repartitionByRange("_key").withColumn("_part", F.spark_partition_id())
+    ranged = stored(ranged, "ranges")
     own = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The lens tags in the order in which they are trusted, and what stands for no lens.
 LENS_TAGS = ["EXIF LensModel", "Image LensModel", "MakerNote LensModel", "MakerNote Lens", "MakerNote LensType"]
-NO_LENS = ["----", "n/a", "none", "unknown", "unknown lens"]
+NO_LENS = ["unknown", "n/a", "na", "----", "none", "manual lens"]
 
 
 def tag(*names: str) -> Column:
