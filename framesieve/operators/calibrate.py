@@ -61,3 +61,14 @@ def camera_gains(gains: DataFrame, least: int = 4, neutral: float = 0.02) -> Dat
     return df.select(
         "camera_key", "samples", *(F.when(drift < neutral, 1.0).otherwise(p).alias(f"gain_{c}") for p, c in zip(parts, "bgr"))
     )
+
+
+def first_camera(frames: DataFrame, least: int = 4) -> DataFrame:
+    """(camera_key, camera, samples) of the camera that comes first in input order among those with least frames.
+
+    camera is the name on its first frame.  frames needs camera_key, camera_model and input_order.
+    """
+    cameras = frames.where(F.col("camera_key") != "").groupBy("camera_key").agg(
+        F.min_by("camera_model", "input_order").alias("camera"), F.min("input_order").alias("_first"), F.count("*").alias("samples")
+    )
+    return cameras.where(F.col("samples") >= least).orderBy("_first").limit(1).drop("_first")

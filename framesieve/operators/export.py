@@ -15,7 +15,10 @@ _ILLEGAL = r'[<>:"/\\|?*]'
 
 
 def wanted_grades(grades) -> list[str]:
-    """Known grades of a selection in their order; all of them where it names none."""
+    """The grades of a selection in their order; all of them where it is empty.  An unknown grade is an error."""
+    unknown = set(grades or []) - set(GRADES)
+    if unknown:
+        raise ValueError(f"unknown grades: {', '.join(sorted(unknown))}")
     found = [g for g in GRADES if g in (grades or [])]
     return found or list(GRADES)
 

@@ -54,15 +54,16 @@ def overlap(a: str, b: str) -> Column:
     return (p["x"] < q["x"] + q["w"]) & (q["x"] < p["x"] + p["w"]) & (p["y"] < q["y"] + q["h"]) & (q["y"] < p["y"] + p["h"])
 
 
-def eye_ratio(points: DataFrame, least_width: float = 12.0) -> DataFrame:
-    """(frame_id, face_idx, ear): height over width of the wider-open eye; -1 where no eye is least_width wide.
+def eye_ratio(points: DataFrame, least_width: float = 12.0, mean: bool = False) -> DataFrame:
+    """(frame_id, face_idx, ear): height over width of the wider-open eye, or of both eyes on average; -1 where no eye is
+    least_width wide.
 
     points: eye, and the eye's six points p0..p5 as structs x, y: corner, two above, corner, two below.
     """
     d = lambda a, b: F.sqrt(F.pow(F.col(a)["x"] - F.col(b)["x"], F.lit(2)) + F.pow(F.col(a)["y"] - F.col(b)["y"], F.lit(2)))
     width = d("p0", "p3")
     ear = F.when(width >= least_width, (d("p1", "p5") + d("p2", "p4")) / (2 * width))
-    return points.groupBy("frame_id", "face_idx").agg(F.coalesce(F.max(ear), F.lit(-1.0)).alias("ear"))
+    return points.groupBy("frame_id", "face_idx").agg(F.coalesce(F.avg(ear) if mean else F.max(ear), F.lit(-1.0)).alias("ear"))
 
 
 def rotate_box(box: str, orientation: str, width: str, height: str) -> Column:
@@ -82,3 +83,30 @@ def main_face_box(faces: str, index: str, width: str, height: str) -> Column:
     f = F.get(F.col(faces), F.when(F.col(index) >= 0, F.col(index)))
     ok = f.isNotNull() & (F.col(width) > 0) & (F.col(height) > 0)
     return F.when(ok, F.struct((f["x"] / F.col(width)).alias("x"), (f["y"] / F.col(height)).alias("y"), (f["w"] / F.col(width)).alias("w"), (f["h"] / F.col(height)).alias("h")))
+
+
+def _whole(value: Column) -> Column:
+    return F.bround(value, 0).cast("int")
+
+
+def scale_box(box: str, base: tuple[str, str], preview: tuple[str, str]) -> Column:
+    """A box around a centre (struct x, y, w, h in the base picture) in the preview, at least a pixel and never outside.
+
+    Null where the base picture has no size.
+    """
+    b, (width, height), (most_x, most_y) = F.col(box), map(F.col, base), map(F.col, preview)
+    across, down = most_x / width, most_y / height
+    x = F.greatest(F.lit(0), F.least(most_x - 1, _whole((b["x"] - b["w"] / 2) * across)))
+    y = F.greatest(F.lit(0), F.least(most_y - 1, _whole((b["y"] - b["h"] / 2) * down)))
+    w = F.greatest(F.lit(1), F.least(most_x - x, _whole(b["w"] * across)))
+    h = F.greatest(F.lit(1), F.least(most_y - y, _whole(b["h"] * down)))
+    return F.when((width > 0) & (height > 0), F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")))
+
+
+def clip_box(box: str, width: str, height: str) -> Column:
+    """A box cut at the borders of the picture, its corners rounded half to even."""
+    b = F.col(box)
+    left, top = F.greatest(F.lit(0), _whole(b["x"])), F.greatest(F.lit(0), _whole(b["y"]))
+    right, bottom = F.least(F.col(width), _whole(b["x"] + b["w"])), F.least(F.col(height), _whole(b["y"] + b["h"]))
+    w, h = F.greatest(F.lit(0), right - left), F.greatest(F.lit(0), bottom - top)
+    return F.struct(left.alias("x"), top.alias("y"), w.alias("w"), h.alias("h"))

@@ -32,27 +32,73 @@ def facts() -> Column:
     return F.concat_ws(" | ", body, focal, exposure, place)
 
 
+def with_reasons(frames: DataFrame, reasons: DataFrame) -> DataFrame:
+    """frames with reasons: the texts of reasons (path, pos, reason) in order, as an array."""
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("pos", "reason"))), lambda x: x["reason"])
+    texts = reasons.groupBy("path").agg(cells.alias("reasons"))
+    return frames.join(texts, "path", "left")
+
+
+def iso_time(time: str = "capture_time") -> Column:
+    """yyyy-mm-ddThh:mm:ss, with microseconds where there are any."""
+    return F.regexp_replace(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+
+
 def report_rows(frames: DataFrame) -> DataFrame:
-    """The report's columns as text, numbers to two places."""
-    numbers = ["score", "sharpness", "frame_sharpness", "background_sharpness"]
+    """The table report: 15 columns as text, numbers to two places, nothing for what is unknown.
+
+    frames needs the graded columns, final_grade, lens_model, iso, shutter_speed and reasons.
+    """
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    known = F.col("focus_known") if "focus_known" in frames.columns else F.col("sharpness").isNotNull()
     return frames.select(
         "name",
+        "final_grade",
+        fixed(F.col("score"), 2).alias("score"),
         F.col("group_id").cast("string").alias("group_id"),
         F.col("group_rank").cast("string").alias("group_rank"),
-        F.col("grade"),
-        *(fixed(F.col(n), 2).alias(n) for n in numbers),
-        "source",
-        F.col("face_count").cast("string").alias("face_count"),
-        F.coalesce("error", F.lit("")).alias("error"),
+        blank(fixed(F.col("sharpness"), 2)).alias("sharpness"),
+        blank(fixed(F.col("frame_sharpness"), 2)).alias("frame_sharpness"),
+        F.when(known, F.col("source")).otherwise("").alias("source"),
+        F.when(known, F.col("face_count").cast("string")).otherwise("0").alias("face_count"),
+        blank(iso_time()).alias("capture_time"),
+        blank(F.col("lens_model")).alias("lens"),
+        blank(F.col("iso").cast("string")).alias("iso"),
+        shutter().alias("shutter"),
+        F.array_join("reasons", "; ").alias("reasons"),
+        blank(F.col("error")).alias("error"),
+    )
+
+
+def json_rows(frames: DataFrame) -> DataFrame:
+    """The record report: 15 fields with their types, numbers to two places, null for what is unknown."""
+    return frames.select(
+        "path",
+        F.col("final_grade").alias("grade"),
+        F.bround("score", 2).alias("score"),
+        "group_id",
+        "group_rank",
+        F.bround("sharpness", 2).alias("sharpness"),
+        F.bround("frame_sharpness", 2).alias("frame_sharpness"),
+        F.when(F.col("sharpness").isNotNull(), F.col("source")).alias("focus_source"),
+        F.when(F.col("sharpness").isNotNull(), F.col("face_count")).otherwise(0).alias("face_count"),
+        iso_time().alias("capture_time"),
+        F.col("lens_model").alias("lens"),
+        "iso",
+        shutter().alias("shutter"),
+        "reasons",
+        "error",
     )
 
 
 def write_csv(frames: DataFrame, path: str) -> None:
-    report_rows(frames).write.mode("overwrite").option("header", True).csv(path)
+    """Part files of report_rows(); a spreadsheet that wants a mark of the encoding takes it from the header's first name."""
+    rows = report_rows(frames)
+    rows.withColumnRenamed("name", "\ufeffname").write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(frames: DataFrame, path: str) -> None:
-    frames.withColumn("score", F.bround("score", 2)).write.mode("overwrite").json(path)
+    json_rows(frames).write.mode("overwrite").json(path)
 
 
 def write_by_grade(frames: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesieve.config import ScoreConfig
+from framesieve.operators.score import is_ok
 
 
 def with_final(frames: DataFrame, edits: DataFrame | None = None) -> DataFrame:
@@ -84,3 +85,31 @@ def raw_count(frames: DataFrame) -> DataFrame:
 
     raw = F.coalesce(kind(F.col("name")) == "raw", F.lit(False))
     return frames.agg(F.count_if(raw).alias("raws"), F.count_if(~raw).alias("others"))
+
+
+def by_grade(frames: DataFrame, grade: str) -> DataFrame:
+    """The frames of one final grade; an unknown grade is an error."""
+    if grade not in ("keep", "review", "reject"):
+        raise ValueError(f"unknown grade: {grade}")
+    return frames.where(F.col("final_grade") == grade)
+
+
+def failed(frames: DataFrame) -> DataFrame:
+    return frames.where(~is_ok())
+
+
+def located(frames: DataFrame) -> DataFrame:
+    return frames.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+
+
+def not_raw(frames: DataFrame) -> DataFrame:
+    from framesieve.sources.inventory import kind
+
+    return frames.where(kind(F.col("name")).isin("jpeg", "heif"))
+
+
+def first_failures(frames: DataFrame, most: int = 5) -> DataFrame:
+    """(batch_id, name, error) of the first failed frames of each batch in input order."""
+    w = Window.partitionBy("batch_id").orderBy("input_order")
+    found = failed(frames).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return found.select("batch_id", "name", F.coalesce("error", F.lit("")).alias("error"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesieve.operators import faces, images, lenses, report
-from framesieve.plans.grading import _GRADED, _graded
 from framesieve.sources import metadata as meta
 from framesieve.sources.tables import table
 
@@ -85,12 +84,6 @@ def shot_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("path", report.facts().alias("facts"))
 
 
-def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One place less than the report prints: at ties of the third place the engines' ways of rounding part.
-    df = _graded(spark, sf_dir)
-    return report.report_rows(df.withColumns({"score": F.round("score", 1), "sharpness": F.round("sharpness", 1)}))
-
-
 def settings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     n = F.col("o_orderkey")
@@ -213,7 +206,7 @@ def catalogue_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        exif_metadata, patched_metadata, af_modes, shot_facts, report_rows, settings_merge, top_faces, main_face, central_face,
+        exif_metadata, patched_metadata, af_modes, shot_facts, settings_merge, top_faces, main_face, central_face,
         nearest_face, level_histogram, exposure, tone_quantiles, image_features, lens_match, camera_variants, available_lenses,
         catalogue_coverage,
     )
@@ -224,7 +217,6 @@ ORACLES = {
     "patched_metadata": f"WITH {_META_SQL} SELECT path, CASE WHEN n % 2 = 0 THEN coalesce(iso, 100) ELSE iso END AS iso, CASE WHEN n % 2 = 0 THEN coalesce(lens_model, 'side lens') ELSE lens_model END AS lens_model, CASE WHEN n % 2 = 0 THEN coalesce(focal_length_35mm, 35.0::DOUBLE) ELSE focal_length_35mm END AS focal_length_35mm FROM meta",
     "af_modes": "SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 2 = 0 THEN CASE o_orderkey % 5 WHEN 0 THEN 'Multi' WHEN 1 THEN 'Center' END ELSE CASE o_orderkey % 5 WHEN 0 THEN 'Single Area' WHEN 3 THEN 'Dynamic' END END AS af_area_mode FROM orders",
     "shot_facts": f"WITH {_META_SQL} SELECT path, concat_ws(' | ', camera_model, CAST(focal_length AS BIGINT) || 'mm' || CASE WHEN abs(focal_length_35mm - focal_length) > 0.02::DOUBLE * focal_length THEN ' (' || CAST(focal_length_35mm AS BIGINT) || 'mm)' ELSE '' END, concat_ws(' ', CASE WHEN shutter_speed IS NULL THEN '-' WHEN shutter_speed < 1 THEN '1/' || CAST(round_even(1 / shutter_speed, 0) AS BIGINT) || 's' ELSE '1s' END, 'f/' || printf('%.1f', aperture), 'ISO ' || iso), printf('%.3f', latitude) || ', ' || printf('%.3f', longitude)) AS facts FROM meta",
-    "report_rows": f"{_GRADED} SELECT name, CAST(group_id AS VARCHAR) AS group_id, CAST(group_rank AS VARCHAR) AS group_rank, grade, printf('%.2f', round(score, 1)) AS score, printf('%.2f', round(sharpness, 1)) AS sharpness, printf('%.2f', frame_sharpness) AS frame_sharpness, printf('%.2f', background_sharpness) AS background_sharpness, source, CAST(face_count AS VARCHAR) AS face_count, coalesce(error, '') AS error FROM graded",
     "settings_merge": """SELECT o_orderkey AS id, '{"exposure":' || CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 ELSE o_orderkey % 5 END || ',"crop":"c' || o_orderkey || '"}' AS settings FROM orders""",
     "top_faces": f"{_FACES_SQL} SELECT frame_id, idx, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY w * h * score DESC, idx) AS INTEGER) AS prominence FROM f QUALIFY prominence <= 2",
     "main_face": f"""{_FACES_SQL}, a AS (SELECT *, max(score >= 0.75) OVER (PARTITION BY frame_id) AS sure FROM f), b AS (SELECT *, max(contrast >= 8) OVER (PARTITION BY frame_id) AS rich FROM a WHERE NOT sure OR score >= 0.75),

@@ -217,3 +217,31 @@ def test_export_names_are_free(spark):
         got = {r.source: r.destination for r in operations.collect()}
         assert got == {k: f"/out/_keep/{v}.arw" for k, v in (want | ({"/e/X.arw": "X_2"} if shared else {})).items()}
         assert skipped.count() == 0
+
+
+def test_listing_order_keeps_every_row(spark):
+    """Ranges that adaptive execution joins in different ways must not lose or repeat rows."""
+    from pyspark.sql import functions as F
+
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        files = spark.range(200_000).select(
+            F.concat(F.lit("/a/b"), (F.col("id") % 97).cast("string"), F.lit("/f"), F.col("id").cast("string"), F.lit(".ARW")).alias("path"),
+            F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("wide"),
+        )
+        got = inventory.with_order(files, F.split("path", "/"))
+        n = got.agg(F.count("*"), F.count_distinct("input_order"), F.min("input_order"), F.max("input_order")).first()
+        assert tuple(n) == (200_000, 200_000, 0, 199_999)
+        names = [r.path for r in got.where("input_order < 500").orderBy("input_order").collect()]
+        assert names == sorted(names, key=lambda x: x.split("/"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+
+
+def test_unknown_grades_are_errors(spark):
+    with pytest.raises(ValueError):
+        export.wanted_grades(["keep", "best"])
+    with pytest.raises(ValueError):
+        review.by_grade(spark.createDataFrame([("keep",)], "final_grade string"), "best")
+    assert export.wanted_grades(["reject", "keep"]) == ["keep", "reject"] and export.wanted_grades([]) == export.GRADES
