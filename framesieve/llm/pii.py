@@ -274,7 +274,7 @@ def _varied(text: str, own, rng) -> tuple[str, list[tuple[int, int, int]]]:
 
 
 def train(
-    docs: DataFrame, sample_docs: int = 1500, epochs: int = 6, hidden: int = 16, least_steps: int = 400
+    docs: DataFrame, sample_docs: int = 1500, epochs: int = 2, hidden: int = 16, least_steps: int = 1200
 ) -> Tagger | None:
     """A model fitted on excerpts of at most sample_docs documents; None if no excerpt has a digit or an at sign.
 
