@@ -2,7 +2,7 @@
 
 OP1_QUALITY = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS host, text, coalesce(text, '') AS t,
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 wide AS (
@@ -20,13 +20,13 @@ dup AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
   FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 lines AS (
-  SELECT doc_id, host, text,
+  SELECT doc_id, host,
          unnest(string_split(regexp_replace(lower(t), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))) AS line
   FROM d),
 norm AS (
-  SELECT doc_id, host, text, trim(line, ' ') AS line FROM lines WHERE trim(line, ' ') <> ''),
+  SELECT doc_id, host, trim(line, ' ') AS line FROM lines WHERE trim(line, ' ') <> ''),
 frequent AS (
-  SELECT host, line FROM norm GROUP BY host, line HAVING count(DISTINCT text) > 10),
+  SELECT host, line FROM norm GROUP BY host, line HAVING count(DISTINCT doc_id) > 10),
 removed AS (
   SELECT doc_id, sum(len(line) - len(replace(line, ' ', '')) + 1) AS removed_words
   FROM norm JOIN frequent USING (host, line) GROUP BY doc_id),

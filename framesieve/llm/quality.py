@@ -5,8 +5,9 @@ array, windows of words a hash each, lines a hash of host and normalised line.
 the frequency of lines and their removal both read hashes instead of texts.  Only texts with a repeated window pay for the
 sort that finds where it lies.
 
-Documents are told apart by their text: exact copies of a document are one document, and do not make its lines frequent.
-Lines above the limit are removed; a document left with too little is depleted.  Only hashes and counts are shuffled,
+Documents are told apart by doc_id: copies are documents of their own and make their lines frequent; rows that repeat an
+id are one document, rows without one are documents of their own.  Lines above the limit are removed; a document left
+with too little is depleted.  Only hashes and counts are shuffled,
 summed before the shuffle; the join that marks frequent lines is one that adaptive execution splits at a hot line.
 """
 
@@ -78,14 +79,18 @@ def line_keys(text: Column, host: Column) -> Column:
     )
 
 
-def frequent_line_words(parsed: DataFrame, most_texts: int = 10) -> DataFrame:
-    """(_row, removed): words on lines that more than most_texts distinct texts of the same host hold.
+def frequent_line_words(parsed: DataFrame, most_docs: int = 10) -> DataFrame:
+    """(_row, removed): words on lines that more than most_docs distinct documents of the same host hold.
 
-    parsed needs _row, _text (the text's hash) and _keys (line_keys).
+    parsed needs _row, doc_id and _keys (line_keys).
     """
-    once = parsed.select("_text", F.explode(F.array_distinct(F.transform("_keys", lambda x: x["key"]))).alias("_key"))
-    spread = once.distinct().groupBy("_key").agg(F.count("*").alias("_texts"))
-    frequent = spread.where(F.col("_texts") > most_texts).select("_key")
+    once = parsed.select(
+        "doc_id",
+        F.when(F.col("doc_id").isNull(), F.col("_row")).alias("_unnamed"),
+        F.explode(F.array_distinct(F.transform("_keys", lambda x: x["key"]))).alias("_key"),
+    )
+    spread = once.distinct().groupBy("_key").agg(F.count("*").alias("_docs"))
+    frequent = spread.where(F.col("_docs") > most_docs).select("_key")
     lines = parsed.select("_row", F.explode("_keys").alias("_line")).select("_row", "_line.words", "_line.key")
     found = lines.join(frequent, F.col("key") == F.col("_key"), "left_semi")
     return found.groupBy("_row").agg(F.sum("words").alias("removed"))
@@ -95,7 +100,7 @@ def judged(
     docs: DataFrame,
     least_words: int = 50,
     most_repeat_percent: int = 50,
-    most_texts: int = 10,
+    most_docs: int = 10,
     least_left_percent: int = 50,
 ) -> DataFrame:
     """(doc_id, n_words, ..., removed_words, base_failed, kept) for every row of docs.
@@ -103,13 +108,14 @@ def judged(
     docs needs doc_id, text and source; other columns are left out.  base_failed: under least_words words, or more than
     most_repeat_percent of them in repeated windows.  kept: not base_failed, and after the frequent lines are removed
     least_words words and least_left_percent of all words are left.  Null and empty texts fail; a null source is a host
-    of its own; every row is judged by itself, those without doc_id and those that repeat one too.
+    of its own; every row is judged by itself, those without doc_id and those that repeat one too.  An empty table gives an
+    empty table.
     """
     narrow = docs.select("doc_id", "text", "source").withColumn("_row", F.monotonically_increasing_id())
     keys = line_keys(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")))
-    parsed = with_statistics(narrow).withColumns({"_text": F.xxhash64("text"), "_keys": keys}).drop("text", "source")
+    parsed = with_statistics(narrow).withColumn("_keys", keys).drop("text", "source")
     parsed = stored(parsed, "quality-lines")
-    df = parsed.drop("_text", "_keys").join(frequent_line_words(parsed, most_texts), "_row", "left").drop("_row")
+    df = parsed.drop("_keys").join(frequent_line_words(parsed, most_docs), "_row", "left").drop("_row")
     left = F.col("n_words") - F.col("removed_words")
     failed = (F.col("n_words") < least_words) | (
         100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words")

@@ -59,16 +59,19 @@ def test_frequent_lines(spark):
     own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
     menu = " ".join(f"m{k}" for k in range(70))
     rows = [(i, own(i) + "\n" + menu.upper() + "  ", "h") for i in range(12)]
-    rows += [(20 + i, own(99), "h") for i in range(30)]  # exact copies are one text
+    rows += [(20 + i, own(99), "h") for i in range(30)]  # exact copies are documents of their own
+    rows += [(70, own(70), "h")] * 30  # one document
+    rows += [(None, own(71), "h")] * 11
     rows += [(60, own(60) + "\n" + menu, "other"), (61, None, None), (62, "", "h"), (None, menu, "h")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = defaultdict(list)
     for r in quality.judged(docs).collect():
         got[r.doc_id].append(r)
     assert all(got[i][0].removed_words == 70 and not got[i][0].kept for i in range(12))
-    assert all(got[20 + i][0].kept for i in range(30))
+    assert all(got[20 + i][0].removed_words == 60 and not got[20 + i][0].kept for i in range(30))
+    assert len(got[70]) == 30 and all(r.kept and r.removed_words == 0 for r in got[70])
     assert got[60][0].kept and not got[61][0].kept and got[62][0].base_failed
-    assert len(got[None]) == 1
+    assert sorted(r.removed_words for r in got[None]) == [60] * 11 + [70]
     assert quality.judged(docs.limit(0)).collect() == []
 
 
