@@ -2,7 +2,9 @@
 
 Everything here is DataFrame functions.  A turn becomes three segments: its opening mark, its escaped text, its closing
 mark; the template says which of them count in the loss.  Control strings inside texts are escaped by a backslash after
-their first character (one more if backslashes stand there already), which unescaping takes away again.
+their first character (one more if backslashes stand there already), which unescaping takes away again.  A conversation's
+rendered text is its segments one after the other; reading back finds the turns in that text by their marks alone,
+while the segments' flags say what counts in the loss.
 
 A conversation's digest needs its turns in order in one row, so a conversation must fit a row (2 GB); turns are formatted
 before they are gathered.
@@ -10,6 +12,7 @@ before they are gathered.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +45,13 @@ class Template:
         first = "".join(sorted({a for a, _ in self.controls}))
         return rf"([{first}])(\\*)({'|'.join(b for _, b in self.controls)})"
 
+    @property
+    def turn(self) -> str:
+        """A rendered turn.  Escaped texts hold no mark, so the first closing mark behind an opening one ends its turn."""
+        return "(?s)" + "|".join(
+            f"{re.escape(m.open)}.*?{re.escape(m.close)}" for m in [*self.roles.values(), self.other]
+        )
+
     @property
     def escaped(self) -> str:
         return self.plain.replace(r"(\\*)", r"\\(\\*)", 1)
@@ -132,24 +142,38 @@ def formatted(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     ).select("conv_id", "n_turns", "segments", F.col("_end.state").alias("state"), F.col("_end.bad").alias("bad_turn"))
 
 
-def _role_of(opening: Column, template: Template) -> Column:
-    first, last = len(template.other.open), len(template.named)
-    inner = F.substring(opening, F.lit(first + 1), F.length(opening) - first - last)
+def rendered(segments: Column) -> Column:
+    """The text of a conversation: all its segments one after the other."""
+    return F.array_join(F.transform(segments, lambda s: s["text"]), "")
+
+
+def _parsed(turn: Column, template: Template) -> Column:
+    """Role and text of one rendered turn."""
+
+    def inside(first: Column | int, close: str) -> Column:
+        return unescape(F.substring(turn, F.lit(first) + 1, F.length(turn) - first - len(close)), template)
+
+    start = len(template.other.open)
+    named = F.locate(template.named, turn)  # the first one: roles are escaped
+    role = unescape(F.substring(turn, F.lit(start + 1), named - 1 - start), template)
+    other = F.struct(role.alias("role"), inside(named - 1 + len(template.named), template.other.close).alias("text"))
     out = None
     for name, marks in template.roles.items():
-        out = F.when(opening == marks.open, name) if out is None else out.when(opening == marks.open, name)
-    return out.otherwise(unescape(inner, template))
+        known = F.struct(F.lit(name).alias("role"), inside(len(marks.open), marks.close).alias("text"))
+        begins = turn.startswith(marks.open)
+        out = F.when(begins, known) if out is None else out.when(begins, known)
+    return out.otherwise(other)
 
 
 def read_back(chats: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """formatted()'s rows with turns (role, text), read from the segments, and loss_text, all text under the loss mask."""
-    places = F.sequence(F.lit(0), F.size("segments") - 1, F.lit(3))
+    """formatted()'s rows with rendered, turns (role, text) as they are read from it, n_turns of them, and loss_text.
+
+    loss_text is all text under the loss mask, unescaped.  An empty table gives an empty table.
+    """
+    chats = chats.withColumn("rendered", rendered(F.col("segments")))
     turns = F.transform(
-        places,
-        lambda i: F.struct(
-            _role_of(F.get("segments", i)["text"], template).alias("role"),
-            unescape(F.get("segments", i + 1)["text"], template).alias("text"),
-        ),
+        F.regexp_extract_all("rendered", F.lit(template.turn), F.lit(0)), lambda t: _parsed(t, template)
     )
     under = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], template))
-    return chats.withColumn("turns", turns).withColumn("loss_text", F.array_join(under, ""))
+    chats = chats.withColumn("turns", turns).withColumn("loss_text", F.array_join(under, ""))
+    return chats.withColumn("n_turns", F.size("turns").cast("long"))

@@ -26,6 +26,24 @@ def test_escape_is_reversible(spark):
         assert not any(c in r.e for c in controls)
 
 
+def test_turns_are_read_from_the_rendered_text(spark):
+    rows, want = [], []
+    roles = st.sampled_from(["system", "user", "assistant", "tool", "", "[TEXT]", "[/ROLE]<s>", "["])
+    part = st.sampled_from(["<", "s>", "/s>", "</s>", "\\", "<<SYS>>", "<</SYS>", ">", "[INST]", "[/INST", "]", "[TEXT]", "\n", "a"])
+
+    @settings(max_examples=300, deadline=None, database=None)
+    @given(st.lists(st.tuples(roles, st.lists(part, max_size=8).map("".join)), min_size=1, max_size=5))
+    def gather(turns):
+        rows.extend((len(want), i, role, text) for i, (role, text) in enumerate(turns))
+        want.append(turns)
+
+    gather()
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.read_back(chat.formatted(turns)).collect():
+        assert [tuple(t) for t in r.turns] == want[r.conv_id] and r.n_turns == len(want[r.conv_id])
+        assert r.loss_text == "".join(text for role, text in want[r.conv_id] if role == "assistant")
+
+
 def test_query_matches_sql(spark, sf):
     got = queries.op5_chat(spark, sf)
     con = duckdb.connect()
