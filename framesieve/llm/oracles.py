@@ -75,10 +75,20 @@ FROM g
 OP4_WARC = r"""
 WITH p AS (
   SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
-         sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS html FROM pages),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last_id FROM p)
+         sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS html,
+         regexp_extract(coalesce(url, ''), '^[a-zA-Z]+://(?:www\.)?([^/?#]*)([^?#]*)(\?[^#]*)?',
+                        ['host', 'path', 'query']) AS u
+  FROM pages),
+k AS (
+  SELECT *, lower(array_to_string(list_reverse(string_split(u.host, '.')), ',') || ')'
+                  || CASE WHEN u.path = '' THEN '/' ELSE u.path END || u.query) AS urlkey FROM p),
+m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS last_id,
+         row_number() OVER (ORDER BY urlkey, page_id) - 1 AS capture_rank
+  FROM k)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN last_id END AS refers_to
+       CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN last_id END AS refers_to,
+       CAST(capture_rank AS BIGINT) AS capture_rank
 FROM m
 """

@@ -70,7 +70,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.merged(warc.write(table(spark, sf_dir, "pages")))
     return warc.read(index, with_payload=False).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_rank"
     )
 
 
@@ -91,7 +91,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
-        F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + F.length(s["text"])).alias("formatted_chars"),
+        F.length("rendered").cast("long").alias("formatted_chars"),
         (F.col("state") != "error").alias("valid"),
     )
 

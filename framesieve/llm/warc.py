@@ -3,8 +3,10 @@
 Payloads that occur before are written as revisits; which ones is decided from digests alone, by a grouped maximum and a
 join that adaptive execution can split at a hot payload.  Each task writes archives of its own, one gzip member per
 record, and returns runs of index rows sorted by URL key and timestamp.  The runs are merged into globally ordered
-capture histories: rows are dealt by ranges of (URL key, timestamp, page), and each range merges the slices of all runs
-through a loser tree.  Reading takes the merged index, file by file.
+capture histories: rows are dealt by ranges of (URL key, timestamp, page, place in the archives), as many as hold a task
+to a bounded number of rows, and each range merges the slices of all runs through a loser tree.  The merged index is
+stored, and every row gets its rank in the order of all captures from the ranges' sizes.  Reading takes the records where
+they lie, file by file, and gives each its rank, so that the histories come back by it.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .common import new_folder, stored, text_bytes
+from .common import exclusive_prefix, new_folder, stored, text_bytes
 
 INDEX = (
     "run long, pos long, urlkey string, captured string, page_id long, file string, at long, size long, kind string"
 )
 RECORDS = (
     "page_id long, url string, captured string, record_type string, refers_to long, payload_bytes long, "
-    "payload_digest string, payload binary"
+    "payload_digest string, payload binary, capture_rank long"
 )
 #: Pages carry no capture time; page n counts as taken n seconds after this.
 FIRST_CAPTURE = datetime(2000, 1, 1)
@@ -236,14 +238,20 @@ def _merge(batches):
     yield from ordered.combine_chunks().to_batches()
 
 
-def merged(index: DataFrame) -> DataFrame:
-    """The index in the order of (urlkey, captured, page_id): part and place number the rows, range by range.
+def merged(index: DataFrame, range_rows: int = 100_000) -> DataFrame:
+    """The index, stored, with capture_rank: each row's place from 0 in the order (urlkey, captured, page_id).
 
-    A hot URL key is no hot range, since ranges cut within it by time and page.
+    part and place number the rows range by range; a range holds about range_rows rows at any size of the index.  A hot
+    URL key or a repeated page is no hot range, since ranges cut within it by time, page and place in the archives.  Null
+    pages come first, equal rows in the order of their runs.  An empty index stays empty.
     """
-    ranged = index.repartitionByRange("urlkey", "captured", "page_id").sortWithinPartitions("run", "pos")
+    tasks = max(1, -(-index.count() // range_rows))
+    ranged = index.repartitionByRange(tasks, "urlkey", "captured", "page_id", "run", "pos").sortWithinPartitions("run", "pos")
     schema = INDEX.removeprefix("run long, pos long, ") + ", part int, place long"
-    return ranged.mapInArrow(_merge, schema)
+    ordered = stored(ranged.mapInArrow(_merge, schema), "warc-index")
+    sizes = exclusive_prefix(ordered.groupBy("part").agg(F.count("*").alias("rows")), ["part"], "rows", "before")
+    ranked = ordered.join(F.broadcast(sizes.drop("rows")), "part")
+    return ranked.withColumn("capture_rank", F.col("before") + F.col("place")).drop("before")
 
 
 # -- reading -----------------------------------------------------------------------------------------------------------
@@ -271,7 +279,7 @@ def _read(with_payload: bool):
         source, uri = None, None
         for batch in batches:
             out: list[tuple] = []
-            for file, at, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for file, at, size, rank in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if file != uri:
                     if source is not None:
                         source.close()
@@ -286,9 +294,9 @@ def _read(with_payload: bool):
                 refers_to = _page(headers["warc-refers-to"]) if "warc-refers-to" in headers else None
                 captured = re.sub(r"\D", "", headers["warc-date"])
                 body = payload if with_payload and kind == "response" else None
-                out.append((_page(headers["warc-record-id"]), headers["warc-target-uri"], captured, kind, refers_to, n_bytes, digest, body))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            columns = list(zip(*out)) or [()] * 8
+                out.append((_page(headers["warc-record-id"]), headers["warc-target-uri"], captured, kind, refers_to, n_bytes, digest, body, rank))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
+            columns = list(zip(*out)) or [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _names(RECORDS))
         if source is not None:
             source.close()
@@ -297,11 +305,12 @@ def _read(with_payload: bool):
 
 
 def read(index: DataFrame, with_payload: bool = True, stretch: int = 1 << 23) -> DataFrame:
-    """Every record that the index names, checked against its digest; revisits have no payload of their own.
+    """Every record that the merged index names, checked against its digest; revisits have no payload of their own.
 
-    Each archive is read in stretches of stretch bytes (a power of two), in the order of the file.
+    Each archive is read in stretches of stretch bytes (a power of two), in the order of the file; capture_rank orders the
+    records by URL and time.  A page without an id comes back without one, and an empty index gives no record.
     """
-    rows = index.select("file", "at", "size").withColumn("stretch", F.col("at").bitwiseAND(F.lit(-stretch)))
+    rows = index.select("file", "at", "size", "capture_rank").withColumn("stretch", F.col("at").bitwiseAND(F.lit(-stretch)))
     # Rows are short and what they name is long: a task per stretch of archive, not per size of its rows.
     total = index.agg(F.sum("size")).first()[0] or 0
     tasks = max(1, min(-(-2 * total // stretch), 20_000))

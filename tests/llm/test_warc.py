@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -29,7 +30,9 @@ def test_url_key():
     assert warc.url_key("http://[bad") == "http://[bad"
 
 
-def test_query_matches_sql(spark, sf):
+@pytest.mark.parametrize("scale", ["0.001", "0.1"])
+def test_query_matches_sql(spark, sf, scale):
+    sf = sf.replace("0.001", scale)
     got = queries.op4_warc(spark, sf)
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet')")
@@ -45,10 +48,13 @@ def test_odd_rows(spark):
     rows += [(10 + i, f"http://h{random.Random(i).randrange(5)}.org/p", f"é{i}" * 600, 0) for i in range(40)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(3)
     index = warc.write(pages, run_rows=5, file_bytes=2000)
-    order = sorted(warc.merged(index).collect(), key=lambda r: (r.part, r.place))
+    order = sorted(warc.merged(index, range_rows=7).collect(), key=lambda r: r.capture_rank)
+    assert [r.capture_rank for r in order] == list(range(len(rows))) and len({r.part for r in order}) > 3
     keys = [(r.urlkey, r.captured, -1 if r.page_id is None else r.page_id) for r in order]
     assert keys == sorted(keys) and len(keys) == len(rows)
-    found = warc.read(warc.merged(index)).collect()
+    found = warc.read(warc.merged(index, range_rows=7)).collect()
+    history = [r.page_id for r in sorted(found, key=lambda r: r.capture_rank)]
+    assert history == [r.page_id for r in order]
     by_id = {r.page_id: r for r in found}
     assert (by_id[1].record_type, by_id[1].refers_to, by_id[1].payload) == ("revisit", 3, None)
     assert by_id[2].refers_to == 3 and by_id[1].payload_bytes == 1000
