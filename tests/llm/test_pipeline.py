@@ -1,11 +1,69 @@
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_decontaminate import slow
 from tests.llm.test_packing import _ids
 from tests.llm.test_simhash import slow_components, slow_print
 
 from framesieve.llm import pii, toxicity
+from framesieve.llm.common import stored
+
+
+@pytest.fixture(scope="module")
+def odd(spark, sf, tmp_path_factory):
+    """A folder of tables: odd rows beside ordinary ones, and extra columns with names that the stages use themselves."""
+    path = tmp_path_factory.mktemp("odd")
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    item = " ".join(f"item{i}" for i in range(12))
+    rows = [
+        (9001, None, "en", "s", None), (9002, "", "en", None, 0), (9003, " \n", None, "s", 2),
+        (None, "a text without an id, " + " ".join(f"none{i}" for i in range(30)), "en", "s", 9),
+        (9004, "mail a.b@c.de " + " ".join(f"w{i}" for i in range(60)), "en", "s", 9),
+        (9004, "mail a.b@c.de " + " ".join(f"w{i}" for i in range(60)), "en", "s", 9),
+        (9005, "long " + " ".join(f"v{i}" for i in range(30_000)), "en", "s", 9),
+        (9006, "leaked " + item + " passage", "en", "s", 9),
+    ]
+    docs = texts.union(spark.createDataFrame(rows, texts.schema))
+    names = ["score", "_score", "_toxicity", "fp", "component_id", "_gone_id", "contaminated", "ids", "part", "base", "_row"]
+    docs = docs.withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{path}/labels.parquet")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
+    bench.write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_odd_rows(spark, odd):
+    first = spark.read.parquet(f"{odd}/documents.parquet")
+    now, kept = first, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stored(stage(spark, now, odd), f"odd-{name}")
+        assert now.columns == first.columns and now.dtypes == first.dtypes
+        kept[name] = now.where("doc_id > 9000 OR doc_id IS NULL").collect()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, odd).collect()
+
+    def ids(name):
+        return sorted((-1 if r.doc_id is None else r.doc_id) for r in kept[name])
+
+    assert ids("toxicity") == [-1, 9001, 9002, 9003, 9004, 9004, 9005, 9006]
+    # No word: a fingerprint of zero, which the given documents' empty texts have too.
+    assert {9002, 9003}.isdisjoint(ids("near_duplicates"))
+    assert [i for i in ids("near_duplicates") if i != 9001] == [-1, 9004, 9004, 9005, 9006]
+    assert [i for i in ids("decontamination") if i != 9001] == [-1, 9004, 9004, 9005]
+    for r in kept["personal_data"]:
+        if r.doc_id == 9004:
+            assert r.text.startswith("mail <EMAIL> w0") and r.n_chars == len(r.text)
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in now.select("doc_id").collect()}
+    assert sum(r.doc_id == 9004 and r.start == 0 for r in pieces) == 2
+
+
+def test_empty_tables(spark, odd, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{odd}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_stages_and_run(spark, sf):
