@@ -92,3 +92,21 @@ SELECT page_id, payload_bytes, payload_digest,
        CAST(capture_rank AS BIGINT) AS capture_rank
 FROM m
 """
+
+OP12_LINE_DEDUP = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d),
+f AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE len(key) >= 40 GROUP BY key
+  HAVING count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INT)) >= 5),
+m AS (
+  SELECT k.*, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM f.keeper AS lost FROM k LEFT JOIN f USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count_if(lost)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM m GROUP BY r
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pii, quality, simhash, token_files, toxicity, warc, wrapper
+from . import chat, decontaminate, line_dedup, packing, pii, quality, simhash, token_files, toxicity, warc, wrapper
 from .common import table
 
 
@@ -132,3 +132,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wrapper.main_text(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

@@ -14,9 +14,11 @@ QUERIES = {
     "op8_decontaminate": q.op8_decontaminate,
     "op9_token_files": q.op9_token_files,
     "op10_html_text": q.op10_html_text,
+    "op12_line_dedup": q.op12_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_quality": oracles.OP1_QUALITY,
     "op4_warc": oracles.OP4_WARC,
     "op5_chat": oracles.OP5_CHAT,
+    "op12_line_dedup": oracles.OP12_LINE_DEDUP,
 }
