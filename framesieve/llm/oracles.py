@@ -110,3 +110,33 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count_if(lost)::BIGINT
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
 FROM m GROUP BY r
 """
+
+OP13_SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+i AS (
+  SELECT row_number() OVER () AS q, item_id,
+         list_distinct(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms
+  FROM benchmark),
+it AS (SELECT q, item_id, unnest(terms) AS term FROM i),
+tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) t
+  WHERE term IN (SELECT term FROM it) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+p AS (
+  SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)) AS p FROM tf, s),
+sc AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(w * p) AS BIGINT) AS score
+  FROM it JOIN p USING (term) JOIN w USING (term) GROUP BY ALL HAVING sum(w * p) > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM sc)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""

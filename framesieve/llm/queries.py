@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, packing, pii, quality, simhash, token_files, toxicity, warc, wrapper
+from . import chat, decontaminate, line_dedup, packing, pii, quality, search, simhash, token_files, toxicity, warc, wrapper
 from .common import table
 
 
@@ -137,3 +137,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicated(table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)

@@ -15,10 +15,12 @@ QUERIES = {
     "op9_token_files": q.op9_token_files,
     "op10_html_text": q.op10_html_text,
     "op12_line_dedup": q.op12_line_dedup,
+    "op13_search": q.op13_search,
 }
 ORACLES: dict[str, str] = {
     "op1_quality": oracles.OP1_QUALITY,
     "op4_warc": oracles.OP4_WARC,
     "op5_chat": oracles.OP5_CHAT,
     "op12_line_dedup": oracles.OP12_LINE_DEDUP,
+    "op13_search": oracles.OP13_SEARCH,
 }
