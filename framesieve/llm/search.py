@@ -1,9 +1,9 @@
 """Ranked lexical search over hashed max-sketches.
 
-Index: each text is read once.  A document's sketch has two rows of `width` cells; a term falls into one cell of each row,
-and a cell holds the greatest frequency among its terms, as a one-byte code that rounds up.  Within a document the impact
-of a term grows with its frequency only, so the cell stands for the greatest impact as well.  Beside the documents each
-task leaves its terms' document frequencies.
+Index: each text is read once.  A document's sketch has two rows of cells, eight to sixteen times as many as it has terms; a
+term falls into one cell of each row, and a cell holds the greatest frequency among its terms, as a one-byte code that
+rounds up.  Within a document the impact of a term grows with its frequency only, so the cell stands for the greatest
+impact as well.  Beside the documents each task leaves its terms' document frequencies.
 
 Search: items go in blocks.  For a block, one pass over the sketches gives every document an upper bound for each item:
 the sum of term weight times the lesser impact of its two cells.  The documents with the highest bounds are scored exactly
@@ -20,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,42 +46,51 @@ def frequency_codes() -> np.ndarray:
 FREQUENCY = frequency_codes()
 
 
-class _Cells(dict):
-    """The two cells of a term; at most most_terms terms are remembered."""
+#: Cells of a row per distinct term, at least; rows have a power of two of them.
+LOAD = 8
+LEAST_CELLS = 256
 
-    def __init__(self, width: int, most_terms: int = MOST_TERMS):
-        super().__init__()
-        self.width, self.most_terms = width, most_terms
+
+class _Hashes(dict):
+    """Two 32-bit hashes of a term, packed in one number; at most MOST_TERMS terms are remembered."""
 
     def __missing__(self, term: bytes) -> int:
-        if len(self) >= self.most_terms:
+        if len(self) >= MOST_TERMS:
             self.clear()
         low = zlib.crc32(term)
-        # Cells of the first row, then of the second, packed in one number.
-        cell = (low % self.width) << 32 | (self.width + zlib.crc32(b"\x00", low) // 7 % self.width)
-        self[term] = cell
-        return cell
+        # The second is a mix of the first: independent bits matter for cells, equal pairs do not occur any more often.
+        found = low << 32 | (low * 0x9E3779B1 >> 7) & 0xFFFFFFFF
+        self[term] = found
+        return found
+
+
+def cells_of(hashes: np.ndarray, width):
+    """The cell of each packed hash in the first row and in the second, which lies behind it."""
+    return hashes >> 32 & (width - 1), (hashes & 0xFFFFFFFF & (width - 1)) + width
 
 
 def terms(raw: bytes) -> Counter:
     return Counter(TERM.findall(raw.translate(LOWER_ASCII)))
 
 
-def _sketches(counted: list[Counter], cells: _Cells, width: int) -> np.ndarray:
-    """One row of 2 * width codes per document."""
+def _sketches(counted: list[Counter], hashes: _Hashes) -> list[bytes]:
+    """The two rows of codes of each document."""
     sizes = np.fromiter(map(len, counted), np.int64, len(counted))
     total = int(sizes.sum())
-    held = np.fromiter((cells[t] for c in counted for t in c), np.int64, total)
+    packed = np.fromiter((hashes[t] for c in counted for t in c), np.uint64, total).astype(np.int64)
     often = np.fromiter((f for c in counted for f in c.values()), np.int64, total)
+    width = np.maximum(LEAST_CELLS, 1 << np.ceil(np.log2(np.maximum(1, LOAD * sizes))).astype(np.int64))
+    ends = np.cumsum(2 * width)
+    base, wide = np.repeat(ends - 2 * width, sizes), np.repeat(width, sizes)
+    flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     codes = np.searchsorted(FREQUENCY, often).astype(np.uint8)
-    flat = np.zeros(len(counted) * 2 * width, np.uint8)
-    base = np.repeat(np.arange(len(counted)) * 2 * width, sizes)
-    np.maximum.at(flat, base + (held >> 32), codes)
-    np.maximum.at(flat, base + (held & 0xFFFFFFFF), codes)
-    return flat.reshape(len(counted), 2 * width)
+    for cell in cells_of(packed, wide):
+        np.maximum.at(flat, base + cell, codes)
+    whole = flat.tobytes()
+    return [whole[a:b] for a, b in zip((ends - 2 * width).tolist(), ends.tolist())]
 
 
-def _index(width: int):
+def _index():
     def rows(n, row=None, doc=None, text=None, count=None, sketch=None, term=None, df=None):
         none = [None] * n
         return pa.RecordBatch.from_arrays(
@@ -100,7 +110,7 @@ def _index(width: int):
         return rows(len(held), term=list(held), df=list(held.values()))
 
     def run(batches):
-        cells, held = _Cells(width), Counter()
+        hashes, held = _Hashes(), Counter()
         for batch in batches:
             at = 0
             ids, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -111,7 +121,7 @@ def _index(width: int):
                     if len(held) >= MOST_TERMS:
                         yield spilled(held)
                         held = Counter()
-                sketch = [s.tobytes() for s in _sketches(counted, cells, width)]
+                sketch = _sketches(counted, hashes)
                 end = at + len(texts)
                 yield rows(len(texts), ids[at:end], docs[at:end], texts, [c.total() for c in counted], sketch)
                 at = end
@@ -121,7 +131,7 @@ def _index(width: int):
     return run
 
 
-def index(docs: DataFrame, width: int = 1024) -> DataFrame:
+def index(docs: DataFrame) -> DataFrame:
     """The stored index of docs: a row per document with its text, number of terms and sketch, and rows of terms' counts.
 
     docs needs doc_id and text; other columns are left out.  A null text is empty; every row is a document of its own.
@@ -130,7 +140,7 @@ def index(docs: DataFrame, width: int = 1024) -> DataFrame:
     narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
     path = new_folder(spark, "search-index")
     # Small row groups: bounds need no texts, scores only some of them.
-    written = narrow.mapInArrow(_index(width), INDEX).write.option("compression", "zstd")
+    written = narrow.mapInArrow(_index(), INDEX).write.option("compression", "zstd")
     written.option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(INDEX).parquet(path)
 
@@ -139,56 +149,58 @@ def _length_part(n: int, docs: int, total: int) -> int:
     return 100 - 90 + (90 * n * docs) // total
 
 
-def _bounds(block: list, docs: int, total: int, width: int, most: int | None, floor: dict):
-    """(item, row, bound) of the documents whose bound reaches the item's floor; with most, about that many a task.
+def _bounds(block: list, docs: int, total: int, most: int | None, floor: dict, rows: int = 1024):
+    """(item, row, bound) of the documents whose bound reaches the item's floor; with most, the highest of a task only.
 
     block holds (item, [(term, weight)]).
     """
-    cells = _Cells(width)
-    wanted = []
-    for item, weighted in block:
-        pairs = [cells[t] for t, _ in weighted]
-        first = np.array([p >> 32 for p in pairs], np.int64)
-        second = np.array([p & 0xFFFFFFFF for p in pairs], np.int64)
-        wanted.append((item, first, second, np.array([w for _, w in weighted], np.float64)))
+    hashes = _Hashes()
+    wanted = [
+        (item, np.array([hashes[t] for t, _ in weighted], np.uint64).astype(np.int64), np.array([w for _, w in weighted], np.float64))
+        for item, weighted in block
+    ]
 
     def run(batches):
-        best = {}  # item -> bounds, rows so far
+        best = {}  # item -> bounds and rows so far, the highest first
+        places = {}  # width -> cells of each item's terms
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            n = np.asarray(batch.column(1))
-            packed = batch.column(2)
-            for low in range(0, len(ids), 1024):
-                part = slice(low, low + 1024)
-                m = np.array([_length_part(x, docs, total) for x in n[part].tolist()], np.int64)
-                codes = np.frombuffer(b"".join(packed.slice(low, 1024).to_pylist()), np.uint8).reshape(len(m), 2 * width)
-                impact = 1_000_000_000 * FREQUENCY[None, :-1] // (1000 * FREQUENCY[None, :-1] + 8 * m[:, None])
-                impact = np.concatenate([impact, np.full((len(m), 1), 1_000_000)], 1).astype(np.float64)
-                spread = np.take_along_axis(impact, codes.astype(np.intp), 1)
-                out_items, out_rows, out_bounds = [], [], []
-                for item, first, second, weight in wanted:
-                    bound = np.minimum(spread[:, first], spread[:, second]) @ weight
-                    least = max(1, floor.get(item, 1))
-                    if most is not None and item in best and len(best[item][0]) >= most:
-                        least = max(least, best[item][0][-1])
-                    hit = np.flatnonzero(bound >= least)
-                    if not len(hit):
-                        continue
-                    if most is None:
-                        out_items.append(np.full(len(hit), item))
-                        out_rows.append(ids[part][hit])
-                        out_bounds.append(bound[hit])
-                        continue
-                    now, at = bound[hit], ids[part][hit]
-                    if item in best:
-                        now, at = np.concatenate([best[item][0], now]), np.concatenate([best[item][1], at])
-                    order = np.argsort(-now, kind="stable")[:most]
-                    best[item] = now[order], at[order]
-                if out_items:
-                    yield _triples(out_items, out_rows, out_bounds)
+            ids, counts = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            sizes = np.asarray(pc.binary_length(batch.column(2))).astype(np.int64)
+            order = np.argsort(sizes, kind="stable")
+            for size in np.unique(sizes).tolist():
+                width = size // 2
+                if width not in places:
+                    places[width] = [cells_of(h, width) for _, h, _ in wanted]
+                chosen = order[np.searchsorted(sizes[order], size) : np.searchsorted(sizes[order], size, "right")]
+                step = max(1, min(rows, (64 << 20) // (8 * size)))
+                for low in range(0, len(chosen), step):
+                    at = chosen[low : low + step]
+                    m = np.array([_length_part(x, docs, total) for x in counts[at].tolist()], np.int64)
+                    codes = np.frombuffer(b"".join(batch.column(2).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), size)
+                    impact = 1_000_000_000 * FREQUENCY[None, :-1] // (1000 * FREQUENCY[None, :-1] + 8 * m[:, None])
+                    impact = np.concatenate([impact, np.full((len(at), 1), 1_000_000)], 1).astype(np.float64)
+                    spread = np.ascontiguousarray(np.take_along_axis(impact, codes.astype(np.intp), 1).T)
+                    found = []
+                    for (item, _, weight), (first, second) in zip(wanted, places[width]):
+                        bound = weight @ np.minimum(spread[first], spread[second])
+                        least = max(1, floor.get(item, 1))
+                        if item in best and len(best[item][0]) >= most:
+                            least = max(least, best[item][0][-1])
+                        hit = np.flatnonzero(bound >= least)
+                        if not len(hit):
+                            continue
+                        now, at_rows = bound[hit], ids[at[hit]]
+                        if most is None:
+                            found.append((np.full(len(hit), item), at_rows, now))
+                            continue
+                        if item in best:
+                            now, at_rows = np.concatenate([best[item][0], now]), np.concatenate([best[item][1], at_rows])
+                        top = np.argsort(-now, kind="stable")[:most]
+                        best[item] = now[top], at_rows[top]
+                    if found:
+                        yield _triples(*zip(*found))
         if best:
-            items = [np.full(len(b), item) for item, (b, _) in best.items()]
-            yield _triples(items, [r for _, r in best.values()], [b for b, _ in best.values()])
+            yield _triples(*zip(*((np.full(len(b), item), r, b) for item, (b, r) in best.items())))
 
     return run
 
@@ -231,53 +243,52 @@ def _scores(block: list, docs: int, total: int):
     return run
 
 
-def _ranked(triples: DataFrame, extra: list) -> DataFrame:
-    order = [F.col("value").desc(), *extra, F.col("row")]
-    return triples.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*order)))
+def _highest(triples: DataFrame, most: int, *ties) -> DataFrame:
+    """The most highest of each item with their rank; tasks pass on only their own highest."""
+    order = [F.col("value").desc(), *ties, F.col("row")]
+    ranked_rows = triples.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*order)))
+    return ranked_rows.where(F.col("rank") <= most)
 
 
-def _block_results(indexed: DataFrame, block: list, docs: int, total: int, width: int, top: int, portion: int) -> DataFrame:
+def _block_results(indexed: DataFrame, block: list, docs: int, total: int, top: int, portions: tuple[int, ...]) -> DataFrame:
     """(item, rank, doc_id, value) for the items of a block."""
     spark = indexed.sparkSession
-    sketches = indexed.where(F.col("row").isNotNull()).select("row", "n", "sketch")
-    texts = indexed.where(F.col("row").isNotNull()).select("row", "text", "n", "doc_id")
+    rows = indexed.where(F.col("row").isNotNull())
+    sketches, texts = rows.select("row", "n", "sketch"), rows.select("row", "text", "n")
 
     def scored(wanted: DataFrame) -> DataFrame:
         asked = wanted.groupBy("row").agg(F.collect_list("item").alias("items"))
         read = texts.join(asked, "row").select("row", "text", "n", "items")
-        values = read.mapInArrow(_scores(block, docs, total), TRIPLES).where(F.col("value") > 0)
-        return stored(values, "search-scores")
+        return stored(read.mapInArrow(_scores(block, docs, total), TRIPLES), "search-scores")
 
     def floors(values: DataFrame) -> dict:
-        ends = _ranked(values, []).where(F.col("rank") == top).select("item", "value").collect()
-        return {r.item: r.value for r in ends}
+        ends = _highest(values.where(F.col("value") > 0), top).where(F.col("rank") == top)
+        return {r.item: r.value for r in ends.select("item", "value").collect()}
+
+    def bounds(most: int | None, floor: dict) -> DataFrame:
+        return sketches.mapInArrow(_bounds(block, docs, total, most, floor), TRIPLES)
 
     # The highest bounds of every task, and of these the highest of all, give each item a floor to start with.
-    heads = sketches.mapInArrow(_bounds(block, docs, total, width, top, {}), TRIPLES)
-    heads = _ranked(heads, []).where(F.col("rank") <= portion).select("item", "row")
-    values = scored(heads)
+    values = scored(_highest(bounds(portions[0], {}), portions[0]))
     floor = floors(values)
-    reach = stored(sketches.mapInArrow(_bounds(block, docs, total, width, None, floor), TRIPLES), "search-bounds")
-    rest = _ranked(reach.join(values.select("item", "row"), ["item", "row"], "left_anti"), [])
-    rest = stored(rest.select("item", "row", "value", "rank"), "search-bounds")
-    done, step = 0, 4 * portion
-    while True:
+    reach = stored(bounds(None, floor), "search-bounds")
+    for portion in (*portions[1:], None):  # in descending order of bound; the last portion is all that is left
         least = spark.createDataFrame(list(floor.items()) or [(-1, 0)], "item int, floor long")
-        ahead = rest.where(F.col("rank") > done).join(F.broadcast(least), "item", "left")
-        ahead = ahead.where(F.col("value") >= F.coalesce("floor", F.lit(1)))
-        now = ahead.where(F.col("rank") <= done + step)
-        if ahead.isEmpty():
-            break
-        # Both parts stored, so the union reads files only.
-        values = values.unionByName(scored(now.select("item", "row")))
-        floor = floors(values)
-        done, step = done + step, 4 * step
-    named = values.join(texts.select("row", "doc_id"), "row")
-    return _ranked(named, [F.col("doc_id").asc_nulls_last()]).where(F.col("rank") <= top).select("item", "rank", "doc_id", "value")
+        ahead = reach.join(F.broadcast(least), "item", "left").where(F.col("value") >= F.coalesce("floor", F.lit(1)))
+        ahead = ahead.join(values.select("item", "row"), ["item", "row"], "left_anti").select("item", "row", "value")
+        now = ahead if portion is None else _highest(ahead, portion)
+        values = values.unionByName(scored(now))
+        if portion is not None:
+            floor = floors(values)
+    # All that reach the last score in question get their doc_id, which settles ties.
+    last = _highest(values.where(F.col("value") > 0), top).groupBy("item").agg(F.min("value").alias("last"))
+    able = values.join(last, "item").where(F.col("value") >= F.col("last")).drop("last")
+    named = able.join(rows.select("row", "doc_id"), "row")
+    return _highest(named, top, F.col("doc_id").asc_nulls_last()).select("item", "rank", "doc_id", "value")
 
 
 def ranked(
-    docs: DataFrame, items: DataFrame, top: int = 10, width: int = 1024, block_items: int = 1000, portion: int = 64
+    docs: DataFrame, items: DataFrame, top: int = 10, block_items: int = 1000, portions: tuple[int, ...] = (64, 250, 999)
 ) -> DataFrame:
     """(item_id, rank, doc_id, score): for each row of items the top documents with a score above 0.
 
@@ -288,7 +299,7 @@ def ranked(
     """
     spark = docs.sparkSession
     empty = spark.createDataFrame([], f"item_id {items.schema['item_id'].dataType.simpleString()}, rank int, doc_id long, score long")
-    indexed = index(docs, width)
+    indexed = index(docs)
     sizes = indexed.where(F.col("n") > 0).agg(F.count("*").alias("docs"), F.sum("n").alias("total")).first()
     asked = items.select("item_id", text_bytes().alias("raw")).withColumn("item", F.monotonically_increasing_id())
     blocks = max(1, -(-items.count() // block_items))
@@ -308,7 +319,7 @@ def ranked(
         block = [(i, ts) for i, ts in block if ts]
         if not block:
             continue
-        result = _block_results(indexed, block, sizes.docs, sizes.total, width, top, portion)
+        result = _block_results(indexed, block, sizes.docs, sizes.total, top, portions)
         names = spark.createDataFrame([(i, r.item) for i, r in enumerate(held)], "item int, place long")
         named = result.join(F.broadcast(names), "item").drop("item")
         found.append(stored(named.select("place", "rank", "doc_id", F.col("value").alias("score")), "search-found"))
