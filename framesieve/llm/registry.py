@@ -14,6 +14,7 @@ QUERIES = {
     "op8_decontaminate": q.op8_decontaminate,
     "op9_token_files": q.op9_token_files,
     "op10_html_text": q.op10_html_text,
+    "op11_align": q.op11_align,
     "op12_line_dedup": q.op12_line_dedup,
     "op13_search": q.op13_search,
 }
