@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -57,16 +58,16 @@ class PieceEncoder:
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Ids of chunks; None where the pieces' bytes are not the chunk's."""
-        if len(self.known) + len(chunks) > self.max_chunks:
-            self.known.clear()
         found = self.model.encode([c[1:].decode() for c in chunks], num_threads=1)
         for chunk, ids in zip(chunks, found):
             ids = ids or self.blank  # the model adds no blank to an empty text
             same = b"".join(map(self.bytes_of.__getitem__, ids)) == chunk
-            self.known[chunk] = np.array(ids, "<u2").tobytes() if same else None
+            self.known[chunk] = array("H", ids).tobytes() if same else None
 
     def encode(self, texts: list[bytes]) -> list[bytes | None]:
         """Little-endian 16-bit ids of each text, None where joined pieces are not the text.  Texts begin with a blank."""
+        if len(self.known) > self.max_chunks:
+            self.known.clear()
         cells = pa.array([t[1:] for t in texts], pa.large_binary()).cast(pa.large_string())
         single = pc.split_pattern(cells, " ")
         ends = single.offsets.to_numpy().astype(np.int64)
