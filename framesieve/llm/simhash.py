@@ -292,23 +292,28 @@ def links(distinct: DataFrame, limit: int = 4, sample_rows: int = 20_000, most_b
 
 
 def classes(marks: DataFrame, limit: int = 4) -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint of marks (doc_id, fp): the least doc_id that links reach."""
+    """(fp, component_id) for every distinct fingerprint of marks (doc_id, fp): the least doc_id that links reach.
+
+    Links join fingerprints, so rows without doc_id connect others as all rows do.
+    """
     least = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
     found = stored(links(least.select("fp"), limit), "fingerprint-links")
-    name = lambda col: least.select(F.col("fp").alias(col), F.col("least").alias(f"{col}_id"))
-    edges = found.join(name("x"), "x").join(name("y"), "y").select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
-    joined = components(edges.where("a is not null and b is not null"))
-    return least.join(joined, least["least"] == joined["node"], "left").select(
-        "fp", F.coalesce("component", "least").alias("component_id")
+    joined = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    named = least.join(joined, least["fp"] == joined["node"], "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component")
     )
+    named = stored(named, "fingerprint-classes")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return named.join(ids, "component").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, limit: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
     docs needs doc_id and text; other columns are left out.  Null, empty and wordless texts have fingerprint 0 and link
-    to whatever else lies within limit bits of it.  A row without doc_id gets the component of its fingerprint but never
-    names one; if no row of a class has an id, component_id is null.  Repeated rows come back repeated.
+    to whatever else lies within limit bits of it.  A row without doc_id connects others and gets the component of its
+    fingerprint, but never names one; if no row of a component has an id, component_id is null.  Repeated rows come back
+    repeated.
     """
     marks = stored(fingerprints(docs, width, seed), "fingerprints")
     found = classes(marks, limit)

@@ -80,6 +80,19 @@ def test_links_lose_nothing(spark):
         assert {i: got.get(i, i) for i in range(len(fps))} == want
 
 
+def test_rows_without_id_connect_others(spark):
+    """A null id between two others, alone, and in a chain that has one id at its end only."""
+    chain = [0, 0b1111, 0b1111 << 4 | 0b1111, 0b1111 << 8 | 0b11111111]
+    rows = [(1, chain[0]), (None, chain[1]), (2, chain[2]), (None, 1 << 40 | (1 << 20) - 1), (None, chain[3])]
+    far = (1 << 60) - 1
+    rows += [(None, far), (None, far ^ 1), (9, far ^ 0b11111 ^ 1)]
+    marks = spark.createDataFrame(rows, "doc_id long, fp long")
+    got = {r.fp: r.component_id for r in simhash.classes(marks).collect()}
+    assert [got[x] for x in chain] == [1, 1, 1, 1]
+    assert got[1 << 40 | (1 << 20) - 1] is None
+    assert [got[far], got[far ^ 1], got[far ^ 0b11111 ^ 1]] == [9, 9, 9]
+
+
 def test_query(spark, sf):
     docs = {r.doc_id: slow_print(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     want = slow_components(docs)
