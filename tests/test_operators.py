@@ -175,7 +175,7 @@ def test_small_rules(spark):
     assert text(report.fixed(F.lit(2.5), 0)) == "2" and text(report.fixed(F.lit(None).cast("double"), 2)) is None
     assert text(calibrate.camera_key(F.lit("Canon "), F.lit("Canon EOS R6/3"))) == "Canon_EOS_R6_3"
     assert text(metadata.number(F.lit("1/0"))) is None and text(metadata.number(F.lit("1/4"))) == 0.25
-    assert export.wanted_grades(["nope"]) == ["keep", "review", "reject"] and export.wanted_grades(["reject", "keep"]) == ["keep", "reject"]
+    assert export.wanted_grades([]) == ["keep", "review", "reject"] and export.wanted_grades(["reject", "keep"]) == ["keep", "reject"]
     row = spark.createDataFrame([("a:b", "keep", START, 7.5, None)], "stem string, final_grade string, capture_time timestamp_ntz, score double, x string")
     name = lambda p: row.select(export.filename(p, F.lit(3), "20000101000000", F.lit(".ARW")).alias("n")).first().n
     assert name("{name}_{index}_{date}{odd}_{score}") == "a_b_0003_20240501{odd}_8.ARW" and name(" . ") == "a_b.ARW"
