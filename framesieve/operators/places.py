@@ -2,7 +2,8 @@
 
 Frames in time order join the current cluster while they lie within the radius of its centre, which then moves by the
 running mean.  A jump of more than twice the radius between neighbours always starts a cluster, so such jumps cut a batch
-into segments that are walked on their own.  Longitudes are averaged as numbers, so a place on the date line is not found.
+into segments that are walked on their own.  Jumps, segments and numbers come from scans over ranges, so a batch of any size
+spreads over all tasks.  Longitudes are averaged as numbers, so a place on the date line is not found.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framesieve.operators.ordered import in_ranges, sums_before, with_before, with_segments
+
 EARTH_METRES = 6_371_000.0
 
 
@@ -30,48 +33,50 @@ def _metres(lat1, lon1, lat2, lon2):
 
 
 def _walk(radius: float):
-    """Walks rows that come sorted by batch, segment and place; what it carries is one cluster's centre."""
+    """Walks rows that come sorted by segment and place; what it carries is one cluster's centre."""
 
     def walk(frames):
-        at, cluster, n, lat, lon = None, 0, 0, 0.0, 0.0
+        at, start, n, lat, lon = None, 0, 0, 0.0, 0.0
         for rows in frames:
-            out = []
-            for batch, segment, y, x in zip(rows["batch_id"], rows["segment"], rows["latitude"], rows["longitude"]):
-                if (batch, segment) != at:
-                    at, cluster, n = (batch, segment), 0, 0
+            starts = []
+            for segment, seq, y, x in zip(rows["_segment"], rows["_seq"], rows["latitude"], rows["longitude"]):
+                if segment != at:
+                    at, n = segment, 0
                 elif _metres(lat, lon, y, x) > radius:
-                    cluster, n = cluster + 1, 0
+                    n = 0
                 if not n:
-                    lat, lon = 0.0, 0.0
+                    start, lat, lon = seq, 0.0, 0.0
                 n += 1
                 lat, lon = lat + (y - lat) / n, lon + (x - lon) / n
-                out.append(cluster)
-            yield rows[["batch_id", "segment", "place"]].assign(cluster=pd.Series(out, index=rows.index, dtype="int32"))
+                starts.append(start)
+            yield rows[["batch_id", "_seq"]].assign(cluster=pd.Series(starts, index=rows.index, dtype="int64"))
 
     return walk
 
 
 def with_places(frames: DataFrame, radius: float = 250.0, min_cluster: int = 2) -> DataFrame:
-    """frames with place_id from 1 in the order of time; null for frames without a position or in a smaller cluster."""
-    order = [F.col("capture_time").asc_nulls_first(), F.col("name"), F.col("input_order")]
-    w = Window.partitionBy("batch_id").orderBy(*order)
-    located = frames.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
-        "batch_id", "path", "latitude", "longitude", F.row_number().over(w).alias("place"),
-        haversine(F.lag("latitude").over(w), F.lag("longitude").over(w), F.col("latitude"), F.col("longitude")).alias("jump"),
-    )
-    hard = F.when(F.col("jump") > 2.02 * radius, 1).otherwise(0)
-    located = located.withColumn("segment", F.sum(hard).over(Window.partitionBy("batch_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
-    narrow = located.select("batch_id", "segment", "place", "latitude", "longitude")
-    dealt = narrow.repartition("batch_id", "segment").sortWithinPartitions("batch_id", "segment", "place")
-    walked = dealt.mapInPandas(_walk(radius), "batch_id string, segment long, place int, cluster int")
-    sizes = walked.groupBy("batch_id", "segment", "cluster").agg(F.count("*").alias("n")).where(F.col("n") >= min_cluster)
-    number = F.row_number().over(Window.partitionBy("batch_id").orderBy("segment", "cluster"))
-    named = sizes.select("batch_id", "segment", "cluster", number.alias("place_id"))
-    found = (
-        walked.join(named, ["batch_id", "segment", "cluster"])
-        .join(located.select("batch_id", "place", "path"), ["batch_id", "place"])
-        .select("batch_id", "path", "place_id")
+    """frames with place_id from 1 in the order of time; null for frames without a position or in a smaller cluster.
+
+    A cluster is named by the place of its first frame, so clusters are numbered by counting those that begin earlier.
+    """
+    order = [F.col("batch_id"), F.col("capture_time").asc_nulls_first(), F.col("name"), F.col("input_order")]
+    located = frames.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    located = located.select("batch_id", "path", "capture_time", "name", "input_order", "latitude", "longitude")
+    ranged = in_ranges(located, order, "place-ranges").drop("capture_time", "name", "input_order")
+    df = with_before(ranged, ["batch_id", "latitude", "longitude"])
+    same = F.coalesce(F.col("_before.batch_id") == F.col("batch_id"), F.lit(False))
+    jump = haversine(F.col("_before.latitude"), F.col("_before.longitude"), F.col("latitude"), F.col("longitude"))
+    cut = with_segments(df.withColumn("_hard", ~same | (jump > 2.02 * radius)).drop("_before"), F.col("_hard"), "place-segments")
+    narrow = cut.select("batch_id", "_segment", "_seq", "latitude", "longitude")
+    dealt = narrow.repartition("_segment").sortWithinPartitions("_segment", "_seq")
+    walked = dealt.mapInPandas(_walk(radius), "batch_id string, _seq long, cluster long")
+    sizes = walked.groupBy("batch_id", "cluster").agg(F.count("*").alias("n")).where(F.col("n") >= min_cluster)
+    sizes = sizes.select("batch_id", F.col("cluster").alias("_seq"), F.lit(1).alias("one"))
+    named = sums_before(sizes, "batch_id", "one", "earlier").select(
+        F.col("_seq").alias("cluster"), (F.col("earlier") + 1).cast("int").alias("place_id")
     )
+    found = walked.join(named, "cluster").select("_seq", "place_id")
+    found = found.join(ranged.select("_seq", "batch_id", "path"), "_seq").select("batch_id", "path", "place_id")
     return frames.join(found, ["batch_id", "path"], "left")
 
 

@@ -63,6 +63,43 @@ def test_scenes_match_the_plain_walk(spark):
     assert got == want
 
 
+def slow_places(rows):
+    own = [r for r in rows if r[18] is not None]
+    own.sort(key=lambda r: (r[5] is not None, r[5] or START, r[2], r[3]))
+    clusters = []
+    for r in own:
+        if clusters and places._metres(clusters[-1][1], 5.0, r[18], 5.0) <= 250:
+            paths, lat = clusters[-1]
+            paths.append(r[1])
+            clusters[-1] = (paths, lat + (r[18] - lat) / len(paths))
+        else:
+            clusters.append(([r[1]], r[18]))
+    big = [c for c, _ in clusters if len(c) > 1]
+    return {r[1]: None for r in rows} | {p: k for k, c in enumerate(big, 1) for p in c}
+
+
+def test_one_batch_spreads_over_all_tasks(spark):
+    """Scenes and places of one large batch: every task holds its share."""
+    rng, rows, t, lat = random.Random(8), [], 0.0, 10.0
+    for i in range(6000):
+        t += rng.choice([0.0, 0.2, 0.2, 2.0, 4.0])
+        lat += rng.choice([0, 0.0005, 0.0015, 0.02, -0.02])
+        rows.append(frame(i, "b", rng.choice([None, t, t, t]), rng.choice([None, 0, rng.getrandbits(63)]), rng.choice([None, lat]), 5.0))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frames = spark.createDataFrame(rows, FRAME)
+        parts = [r["count"] for r in scenes._ranged(frames).groupBy("_part").count().collect()]
+        assert len(parts) == 4 and max(parts) < 2500
+        got = {r.path: r.group_id for r in scenes.with_scenes(frames).collect()}
+        assert got == slow_scenes(rows, GroupConfig())
+        by_time = {r.path: r.group_id for r in scenes.scenes_by_time(frames).collect()}
+        assert by_time == slow_scenes([(*r[:6], None, *r[7:]) for r in rows], GroupConfig(max_group_size=10**6))
+        assert {r.path: r.place_id for r in places.with_places(frames).collect()} == slow_places(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
 def test_places_match_the_plain_walk(spark):
     rng, rows = random.Random(9), []
     for b in range(15):
@@ -72,19 +109,8 @@ def test_places_match_the_plain_walk(spark):
             rows.append(frame(i, f"b{b}", rng.choice([None, i]), lat=rng.choice([None, lat, lat]), lon=5.0))
     got = {r.path: r.place_id for r in places.with_places(spark.createDataFrame(rows, FRAME)).collect()}
     for b in range(15):
-        own = [r for r in rows if r[0] == f"b{b}" and r[18] is not None]
-        own.sort(key=lambda r: (r[5] is not None, r[5] or START, r[2], r[3]))
-        clusters = []
-        for r in own:
-            if clusters and places._metres(clusters[-1][1], 5.0, r[18], 5.0) <= 250:
-                paths, lat = clusters[-1]
-                paths.append(r[1])
-                clusters[-1] = (paths, lat + (r[18] - lat) / len(paths))
-            else:
-                clusters.append(([r[1]], r[18]))
-        big = [c for c, _ in clusters if len(c) > 1]
-        want = {p: k for k, c in enumerate(big, 1) for p in c}
-        assert {p: k for p, k in got.items() if k is not None and p.startswith(f"/b{b}/")} == want
+        want = slow_places([r for r in rows if r[0] == f"b{b}"])
+        assert {p: k for p, k in got.items() if p.startswith(f"/b{b}/")} == want
 
 
 def test_score_is_the_sum_of_its_lines(spark):
