@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURES = (
@@ -135,6 +135,53 @@ def tone_quantiles(counts: DataFrame, steps: int = 16) -> DataFrame:
     return counts.where("channel = 'luma'").groupBy("frame_id").agg(q.alias("q"))
 
 
+def interpolated(x: Column, xs: Column, ys: Column) -> Column:
+    """The value at x of the line through (xs, ys); xs ascends, of equal ones the last counts, outside the ends hold."""
+    at = F.size(F.filter(xs, lambda v: v <= x))
+    left, right = F.get(xs, at - 1), F.get(xs, at)
+    low, high = F.get(ys, at - 1), F.get(ys, at)
+    return (
+        F.when(at == 0, F.get(ys, F.lit(0)))
+        .when(at == F.size(xs), low)
+        .otherwise(low + (x - left) * (high - low) / (right - left))
+    )
+
+
+def tone_table(render: DataFrame, target: DataFrame, steps: int = 16) -> DataFrame:
+    """(frame_id, tone): 256 levels that lead each frame's luma to its target's.
+
+    render and target are histograms (frame_id, channel, level, n).  Equal shares of both are paired, held by (0, 0) and
+    (255, 255), and made to never fall; between them the table is linear.  Quantiles are settled at nine places.  Frames
+    that one of the tables lacks get none.
+    """
+
+    def curve(q: str) -> Column:
+        ends = F.concat(F.array(F.lit(0.0)), F.transform(q, lambda v: F.round(v, 9)), F.array(F.lit(255.0)))
+        return F.transform(ends, lambda v, i: F.array_max(F.slice(ends, 1, i + 1)))
+
+    both = tone_quantiles(render, steps).select("frame_id", curve("q").alias("src"))
+    both = both.join(tone_quantiles(target, steps).select("frame_id", curve("q").alias("dst")), "frame_id")
+    levels = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: i.cast("double"))
+    return both.select("frame_id", F.transform(levels, lambda x: interpolated(x, F.col("src"), F.col("dst"))).alias("tone"))
+
+
+def look_errors(pixels: DataFrame, tones: DataFrame) -> DataFrame:
+    """(frame_id, luma_before, luma_error, chroma_error): mean absolute differences before and after the tone table.
+
+    pixels (frame_id, luma, cb, cr, target_luma, target_cb, target_cr) has integer luma levels; the chroma error is the mean
+    over both chroma channels, which a tone table leaves alone.
+    """
+    means = pixels.join(tones, "frame_id").select(
+        "frame_id",
+        F.abs(F.col("luma") - F.col("target_luma")).cast("double").alias("before"),
+        F.abs(F.get("tone", F.col("luma")) - F.col("target_luma")).alias("after"),
+        ((F.abs(F.col("cb") - F.col("target_cb")) + F.abs(F.col("cr") - F.col("target_cr"))) / 2).alias("chroma"),
+    )
+    return means.groupBy("frame_id").agg(
+        F.avg("before").alias("luma_before"), F.avg("after").alias("luma_error"), F.avg("chroma").alias("chroma_error")
+    )
+
+
 # -- regions -----------------------------------------------------------------------------------------------------------
 
 TILES = "path string, row int, col int, x int, y int, w int, h int, energy double"
