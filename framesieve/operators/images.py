@@ -70,9 +70,9 @@ def saturate(value: float, k: float) -> float:
     return 100 * value / (value + k) if value > 0 else 0.0
 
 
-def measure(pixels: np.ndarray) -> dict:
+def measure(pixels: np.ndarray, tile: int = 96) -> dict:
     image = gray(pixels)
-    sigma = noise(image)
+    sigma = noise(image, tile)
     lap, ten = patch_sharpness(image, sigma)
     lap, ten = saturate(lap, 0.053), saturate(ten, 1.63)
     return {
@@ -87,24 +87,32 @@ def measure(pixels: np.ndarray) -> dict:
     }
 
 
-def _measure_all(frames):
+def _measure_all(tile: int):
     names = [x.split()[0] for x in FEATURES.split(", ")]
-    for frame in frames:
-        out = []
-        for path, height, width, channels, data in frame.itertuples(index=False):
-            try:
-                pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels).squeeze()
-                out.append({"path": path, "error": None, **measure(pixels)})
-            except Exception as failed:  # one bad picture is a row with an error, not a failed job
-                out.append({"path": path, "error": f"{type(failed).__name__}: {failed}"})
-        rows = pd.DataFrame(out, columns=names)
-        rows["dhash"] = rows["dhash"].astype("Int64")
-        yield rows
-
-
-def features(images: DataFrame) -> DataFrame:
-    """images (path, height, width, channels, data: BGR or gray bytes) measured; errors become text."""
-    return images.select("path", "height", "width", "channels", "data").mapInPandas(_measure_all, FEATURES)
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for path, height, width, channels, data in frame.itertuples(index=False):
+                try:
+                    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels).squeeze()
+                    out.append({"path": path, "error": None, **measure(pixels, tile)})
+                except Exception as failed:  # one bad picture is a row with an error, not a failed job
+                    out.append({"path": path, "error": f"{type(failed).__name__}: {failed}"})
+            rows = pd.DataFrame(out, columns=names)
+            # From whole numbers: beside a missing hash pandas would turn all others into doubles.
+            rows["dhash"] = pd.array([x.get("dhash") for x in out], dtype="Int64")
+            yield rows
+
+    return run
+
+
+def features(images: DataFrame, tile: int = 96) -> DataFrame:
+    """images (path, height, width, channels, data: BGR or gray bytes) measured; errors become text.
+
+    tile is the side of the squares over which noise is taken.
+    """
+    return images.select("path", "height", "width", "channels", "data").mapInPandas(_measure_all(tile), FEATURES)
 
 
 # -- histograms --------------------------------------------------------------------------------------------------------

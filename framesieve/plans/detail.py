@@ -156,14 +156,45 @@ def tone_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    row = lambda i: F.flatten(F.transform(F.slice("embedding", i * 8 + 1, 8), lambda x: F.array_repeat(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 0.5) * 255).cast("int"))).cast("long")), 16)))
-    line = lambda i: F.repeat(F.array_join(F.transform(row(i), lambda h: F.lpad(h, 2, "0")), ""), F.lit(16))
-    pictures = e.select(
-        F.concat(F.lit("/p/"), F.col("vec_id").cast("string")).alias("path"), F.lit(128).alias("height"), F.lit(128).alias("width"), F.lit(1).alias("channels"),
-        F.unhex(F.concat(*(line(i) for i in range(8)))).alias("data"),
-    )
-    return images.features(pictures)
+    """Gray pictures of 32 by 36 pixels from embeddings: blocks of one number with the grain of others; some are cut short."""
+    r, c = (lambda i: F.floor(i / 36)), (lambda i: i % 36)
+    number = lambda k: F.get("embedding", k.cast("int")).cast("double")
+    block = lambda i: number(F.floor(r(i) / 4) * 8 + F.floor(c(i) * 8 / 36))
+    grain = lambda i: number((r(i) * 7 + c(i) * 13 + r(i) * c(i) % 11) % 64)
+    level = lambda i: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((block(i) * 0.8 + grain(i) * 0.2 + 0.5) * 255).cast("int")))
+    shown = F.transform(F.sequence(F.lit(0), F.lit(32 * 36 - 1)), lambda i: F.lpad(F.hex(level(i).cast("long")), 2, "0"))
+    data = F.unhex(F.array_join(F.when(F.col("vec_id") % 50 == 7, F.slice(shown, 1, 100)).otherwise(shown), ""))
+    pictures = table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("/p/"), F.col("vec_id").cast("string")).alias("path"), F.lit(32).alias("height"), F.lit(36).alias("width"), F.lit(1).alias("channels"), data.alias("data")
+    )
+    found = images.features(pictures, tile=24)
+    measures = ("mean_luma", "clipped_highlights", "clipped_shadows", "noise", "laplacian", "tenengrad", "sharpness")
+    return found.select("path", F.col("error").isNotNull().alias("failed"), "dhash", *(F.round(m, 6).alias(m) for m in measures))
+
+
+_FEATURES_SQL = """WITH g AS (SELECT CAST(unnest(range(0, 1152)) AS INTEGER) AS i),
+px AS MATERIALIZED (SELECT vec_id, i // 36 AS r, i % 36 AS c, greatest(0, least(255, CAST(floor((embedding[(i // 36) // 4 * 8 + (i % 36) * 8 // 36 + 1]::DOUBLE * 0.8::DOUBLE
+  + embedding[((i // 36) * 7 + (i % 36) * 13 + (i // 36) * (i % 36) % 11) % 64 + 1]::DOUBLE * 0.2::DOUBLE + 0.5::DOUBLE) * 255) AS INTEGER))) AS v
+  FROM embeddings, g WHERE vec_id % 50 <> 7),
+side AS (SELECT vec_id, r, c, v, coalesce(lag(v) OVER w, lead(v) OVER w) AS l, coalesce(lead(v) OVER w, lag(v) OVER w) AS o FROM px WINDOW w AS (PARTITION BY vec_id, r ORDER BY c)),
+near AS (SELECT *, coalesce(lag(v) OVER w, lead(v) OVER w) AS u, coalesce(lag(l) OVER w, lead(l) OVER w) AS ul, coalesce(lag(o) OVER w, lead(o) OVER w) AS uo,
+  coalesce(lead(v) OVER w, lag(v) OVER w) AS d, coalesce(lead(l) OVER w, lag(l) OVER w) AS dl, coalesce(lead(o) OVER w, lag(o) OVER w) AS dq FROM side WINDOW w AS (PARTITION BY vec_id, c ORDER BY r)),
+st AS MATERIALIZED (SELECT vec_id, r, c, v, u + d + l + o - 4 * v AS lap, (uo + 2 * o + dq) - (ul + 2 * l + dl) AS gx, (dl + 2 * d + dq) - (ul + 2 * u + uo) AS gy,
+  abs((ul - 2 * u + uo) - 2 * (l - 2 * v + o) + (dl - 2 * d + dq)) AS mask FROM near),
+tiles AS (SELECT y, x FROM (SELECT unnest([0, 2, 4, 6, 8]) AS y), (SELECT unnest([0, 3, 6, 9, 12]) AS x)),
+tiled AS (SELECT vec_id, y, x, 1.4826::DOUBLE * median(mask) / 6 AS n FROM st JOIN tiles ON r >= y AND r < y + 24 AND c >= x AND c < x + 24 GROUP BY 1, 2, 3),
+noise AS (SELECT vec_id, median(n) AS s FROM tiled GROUP BY 1),
+small AS (SELECT vec_id, r // 4 AS y, c // 4 AS x, round_even(sum(v) / 16::DOUBLE, 0) AS m FROM px GROUP BY 1, 2, 3),
+bits AS (SELECT vec_id, y, x, lead(m) OVER (PARTITION BY vec_id, y ORDER BY x) > m AS b FROM small),
+hash AS (SELECT vec_id, sum(CASE WHEN b THEN CAST(1 AS HUGEINT) << CAST(63 - y * 8 - x AS INTEGER) ELSE 0 END) AS h FROM bits WHERE x < 8 GROUP BY 1),
+whole AS (SELECT vec_id, avg(v) AS mean, avg(CASE WHEN v >= 250 THEN 1.0::DOUBLE ELSE 0.0 END) AS high, avg(CASE WHEN v <= 5 THEN 1.0::DOUBLE ELSE 0.0 END) AS low,
+  var_pop(v) AS var, var_pop(lap) AS lap, avg(gx * gx + gy * gy) AS ten FROM st GROUP BY 1),
+net AS (SELECT *, CASE WHEN var - s * s < 25 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, lap - 20 * s * s) / (var - s * s) END AS a,
+  CASE WHEN var - s * s < 25 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, ten - 24 * s * s) / (var - s * s) END AS b FROM whole JOIN noise USING (vec_id)),
+sat AS (SELECT *, 100 * a / (a + 0.053::DOUBLE) AS la, 100 * b / (b + 1.63::DOUBLE) AS te FROM net)
+SELECT '/p/' || e.vec_id AS path, e.vec_id % 50 = 7 AS failed, CAST(CASE WHEN h >= CAST(1 AS HUGEINT) << 63 THEN h - (CAST(1 AS HUGEINT) << 64) ELSE h END AS BIGINT) AS dhash,
+  round(mean, 6) AS mean_luma, round(high, 6) AS clipped_highlights, round(low, 6) AS clipped_shadows, round(s, 6) AS noise, round(la, 6) AS laplacian, round(te, 6) AS tenengrad,
+  round(0.4::DOUBLE * la + 0.6::DOUBLE * te, 6) AS sharpness FROM embeddings e LEFT JOIN sat USING (vec_id) LEFT JOIN hash USING (vec_id)"""
 
 
 # -- lenses: parts as a catalogue --------------------------------------------------------------------------------------
@@ -228,6 +259,7 @@ SELECT frame_id, first(idx ORDER BY w * h * score DESC, idx) AS main_face FROM d
     "level_histogram": f"{_LEVELS_SQL} SELECT frame_id, channel, level, n, round(ln(1 + n) / ln(1 + max(n) OVER (PARTITION BY frame_id)), 9) AS height FROM c",
     "exposure": f"{_LEVELS_SQL} SELECT frame_id, round(avg(level), 9) AS mean_luma, round(avg(CASE WHEN level >= 250 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS clipped_highlights, round(avg(CASE WHEN level <= 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS clipped_shadows FROM l GROUP BY 1",
     "tone_quantiles": f"{_LEVELS_SQL}, q AS (SELECT frame_id, quantile_cont(level::DOUBLE, [{', '.join(repr(0.02 + 0.96 * i / 15) for i in range(16))}]) AS q FROM l GROUP BY 1) SELECT frame_id, CAST(unnest(range(0, 16)) AS INTEGER) AS step, round(unnest(q), 6) AS level FROM q",
+    "image_features": _FEATURES_SQL,
     "lens_match": f"""WITH {_CATALOGUE_SQL}, s AS (SELECT o_orderkey AS id, o_orderkey % 11 = 0 AS unnamed, o_orderkey % 7 = 0 AS far, o_orderkey % 90 + 10 AS low, (o_orderkey % 90 + 10) || '-' || (o_orderkey % 90 + 10) * 3 || 'mm f/' || (o_orderkey % 6 + 2) AS model FROM orders),
 k AS (SELECT DISTINCT model FROM cat) SELECT id, CASE WHEN NOT unnamed AND NOT far THEN k.model END AS matched_model, CASE WHEN unnamed THEN 'no_name' WHEN k.model IS NULL THEN 'unknown_lens' WHEN far THEN 'focal_differs' ELSE 'ok' END AS reason FROM s LEFT JOIN k USING (model)""",
     "camera_variants": """WITH v AS (SELECT o_orderkey AS id, 'EOS R' || o_orderkey % 9 AS a, o_orderkey % 2 = 0 AS m FROM orders), l AS (SELECT id, CASE WHEN m THEN [a || ' Mark III', a || 'm3', 'Canon ' || a || ' Mark III', 'Canon ' || a || 'm3'] ELSE [a, 'Canon ' || a] END AS x FROM v)
