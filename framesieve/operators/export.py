@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framesieve.operators.ordered import in_ranges, sums_before
+from framesieve.sources.shared import stored
+
 GRADES = ["keep", "review", "reject"]
 #: The folder of frames without a place, and the name of frames whose name has no usable character.
 NO_PLACE, NO_NAME = "_위치없음", "이름없음"
@@ -74,45 +76,84 @@ def plan(frames: DataFrame, existing: DataFrame, root: str, pattern: str = "{nam
     found = existing.select(F.col("path").alias("_there"), F.lit(True).alias("_is_there")).distinct()
     df = df.join(found, df["path"] == found["_there"], "left")
     skipped = df.where("_is_there is null").select("batch_id", "path", F.lit("missing source").alias("reason"))
-    # Names can only meet where they are equal but for numbers at their end, so each such family is walked by itself.
-    family = lambda stem, suffix: F.concat(F.regexp_replace(F.lower(stem), r"(_[0-9]+)+$", ""), F.lit("/"), F.lower(suffix))
     stem = F.expr("substring(file, 1, length(file) - length(suffix))")
-    chosen = df.where("_is_there").select(
-        "batch_id", "index", "path", "final_grade", "folder", "file", stem.alias("stem"), "suffix", family(stem, F.col("suffix")).alias("_family"), F.lit(False).alias("_taken")
-    )
-    scope = ["folder", "_family"] if shared_root else ["batch_id", "folder", "_family"]
-    keys = chosen.groupBy(*scope).agg(F.first("suffix").alias("suffix"), *([F.min("batch_id").alias("batch_id")] if shared_root else []))
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    stands = existing.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), name.alias("file"), F.regexp_extract(name, r"\.[^.]*$", 0).alias("suffix"))
-    stands = stands.withColumn("_family", family(stem, F.col("suffix"))).drop("suffix").distinct()
-    none = F.lit(None).cast("string")
-    taken = stands.join(keys, ["folder", "_family"]).select(
-        "batch_id", F.lit(0).alias("index"), none.alias("path"), none.alias("final_grade"), "folder", "file", F.lit("").alias("stem"), "suffix", "_family", F.lit(True).alias("_taken")
-    )
-    made = chosen.schema["batch_id"].dataType.simpleString()
-    operations = chosen.unionByName(taken).groupBy(*scope).applyInPandas(
-        _free_names, f"batch_id {made}, index int, source string, destination string, grade string"
-    )
-    return operations, skipped
-
-
-def _free_names(frame: pd.DataFrame) -> pd.DataFrame:
-    """The operations of one family of names, each with the first name that is free."""
-    used = set(frame.loc[frame["_taken"], "file"].str.lower())
-    rows = frame[~frame["_taken"]].sort_values(["batch_id", "index"], kind="stable")
-    tried: dict[str, int] = {}
-    names = []
-    for file, stem, suffix in zip(rows["file"], rows["stem"], rows["suffix"]):
-        name, k = file, tried.get(file.lower(), 0)
-        while name.lower() in used:
-            k += 1
-            name = f"{stem}_{k}{suffix}"
-        tried[file.lower()] = k
-        used.add(name.lower())
-        names.append(name)
-    return pd.DataFrame(
-        {"batch_id": rows["batch_id"], "index": rows["index"], "source": rows["path"], "destination": rows["folder"] + "/" + pd.Series(names, rows.index, dtype=object), "grade": rows["final_grade"]}
-    )
+    chosen = df.where("_is_there").select("batch_id", "index", "path", "final_grade", "folder", stem.alias("stem"), "suffix")
+    named = _free_names(chosen, existing, shared_root)
+    return named.select(
+        "batch_id", "index", F.col("path").alias("source"), F.concat("folder", F.lit("/"), "name").alias("destination"), F.col("final_grade").alias("grade")
+    ), skipped
+
+
+#: A number that names get behind their stem, as plans write it.
+_NUMBERED = r"^(.*)_([1-9][0-9]{0,8})$"
+
+
+def _count_before(points: DataFrame, marks: DataFrame, at: str, inclusive: bool) -> DataFrame:
+    """points with _marks: how many marks (_key, _at) of their _key lie before them, or at their place too."""
+    seen = marks.select("_key", F.col("_at").alias("_place"), F.lit(1).alias("_mark"))
+    seen = seen.withColumn("_turn", F.lit(0 if inclusive else 2))
+    asked = points.withColumn("_place", F.col(at).cast("long")).withColumn("_mark", F.lit(0)).withColumn("_turn", F.lit(1))
+    both = asked.unionByName(seen.withColumn("_place", F.col("_place").cast("long")), allowMissingColumns=True)
+    ranged = in_ranges(both, [F.col("_key"), F.col("_place"), F.col("_turn")], "export-names")
+    found = sums_before(ranged, "_key", "_mark", "_marks")
+    return found.where("_turn = 1").drop("_place", "_mark", "_turn", "_seq", "_part")
+
+
+def _free_names(chosen: DataFrame, existing: DataFrame, shared_root: bool) -> DataFrame:
+    """chosen (batch_id, index, folder, stem, suffix, ...) with name: the first of stem, stem_1, ... that is free.
+
+    Rows with one stem take its free numbers in their order, 0 standing for the plain name: the row with r before it gets
+    the r-th number that nothing stands at.  Stems meet others only where one is another with a number behind: then the
+    plain name of the longer goes to whoever comes first, which is settled in rounds until nothing changes.  Every count is
+    a scan over ranges, so a stem that all rows share spreads over all tasks.
+    """
+    scope = [] if shared_root else [F.col("batch_id").cast("string")]
+    low = lambda c: F.lower(c)
+    key = F.concat_ws("\n", *scope, "folder", low("stem"), low("suffix"))
+    ranged = in_ranges(chosen.withColumn("_key", key), [F.col("_key"), F.col("batch_id"), F.col("index")], "export-rows")
+    rows = sums_before(ranged.withColumn("_one", F.lit(1)), "_key", "_one", "_rank").drop("_one", "_seq", "_part")
+    first = F.min(F.struct("batch_id", "index")).alias("_first")
+    stems = rows.groupBy("_key").agg(
+        first, F.first("folder").alias("folder"), F.first(low("stem")).alias("_stem"), F.first(low("suffix")).alias("_suffix"),
+        *([] if shared_root else [F.first("batch_id").alias("batch_id")]),
+    )
+    stems = stored(stems, "export-stems")
+    parent, number = F.regexp_extract("_stem", _NUMBERED, 1), F.nullif(F.regexp_extract("_stem", _NUMBERED, 2), F.lit("")).cast("long")
+
+    # What stands: a name is the plain one of its stem, and a numbered one of the stem before its number.
+    file = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
+    stands = existing.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), file.alias("_file"))
+    stands = stands.withColumn("_suffix", F.regexp_extract("_file", r"\.[^.]*$", 0))
+    stands = stands.withColumn("_stem", F.expr("substring(_file, 1, length(_file) - length(_suffix))"))
+    plain = stands.select("folder", "_stem", "_suffix", F.lit(0).cast("long").alias("_at"))
+    behind = stands.where(number.isNotNull()).select("folder", parent.alias("_stem"), "_suffix", number.alias("_at"))
+    taken = plain.union(behind).join(stems, ["folder", "_stem", "_suffix"]).select("_key", "_at").distinct()
+    taken = stored(taken, "export-stands")
+
+    where = ["folder", "_suffix", *([] if shared_root else ["batch_id"])]
+    longer = stems.where(number.isNotNull()).select(*where, parent.alias("_stem"), number.alias("_at"), F.col("_key").alias("_child"), "_first")
+    longer = longer.join(stems.select(*where, "_stem", "_key"), [*where, "_stem"]).select("_key", "_at", "_child", "_first")
+    longer = longer.join(taken, ["_key", "_at"], "left_anti").withColumn("_own", F.lit(False))
+    longer = stored(longer, "export-longer")
+    changed = not longer.isEmpty()
+    while changed:
+        held = taken.union(longer.where("_own").select("_key", "_at"))
+        asked = _count_before(longer, held, "_at", inclusive=False)
+        turn = rows.select("_key", F.col("_rank").alias("_turn_rank"), F.struct("batch_id", "index").alias("_turn_at"))
+        met = asked.join(turn.withColumnRenamed("_key", "_turn_key"), (F.col("_key") == F.col("_turn_key")) & (F.col("_at") - F.col("_marks") == F.col("_turn_rank")), "left")
+        own = F.col("_turn_at").isNull() | (F.col("_first") < F.col("_turn_at"))
+        new = stored(met.select("_key", "_at", "_child", "_first", F.col("_own").alias("_was"), own.alias("_own")), "export-longer")
+        changed = not new.where("_own <> _was").isEmpty()
+        longer = new.drop("_was")
+
+    lost = longer.where("not _own").select(F.col("_child").alias("_key"), F.lit(0).cast("long").alias("_at"))
+    held = taken.union(longer.where("_own").select("_key", "_at")).union(lost).distinct()
+    # The n-th taken number less n: so many free ones lie before it.
+    places = _count_before(held, held, "_at", inclusive=False).select("_key", (F.col("_at") - F.col("_marks")).alias("_at"))
+    found = _count_before(rows, places, "_rank", inclusive=True)
+    number = F.col("_rank") + F.col("_marks")
+    name = F.concat("stem", F.when(number > 0, F.concat(F.lit("_"), number.cast("string"))).otherwise(""), "suffix")
+    return found.withColumn("name", name)
 
 
 def plan_counts(operations: DataFrame) -> DataFrame:

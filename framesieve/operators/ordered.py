@@ -59,8 +59,8 @@ def sums_before(rows: DataFrame, group: str, value: str, name: str) -> DataFrame
     rows = rows.withColumn("_part", F.shiftright("_seq", RANGE_BITS))
     inside = Window.partitionBy("_part", group).orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(group, "_part").agg(F.sum(value).alias("_total"))
-    totals = totals.select(group, "_part", F.sum("_total").over(earlier).alias("_earlier"))
+    totals = rows.groupBy(group, "_part").agg(F.sum(value).alias("__total"))
+    totals = totals.select(group, "_part", F.sum("__total").over(earlier).alias("__earlier"))
     zero = F.lit(0).cast("long")
-    found = rows.withColumn("_own", F.sum(value).over(inside)).join(totals, [group, "_part"])
-    return found.withColumn(name, F.coalesce("_own", zero) + F.coalesce("_earlier", zero)).drop("_own", "_earlier", "_part")
+    found = rows.withColumn("__own", F.sum(value).over(inside)).join(totals, [group, "_part"])
+    return found.withColumn(name, F.coalesce("__own", zero) + F.coalesce("__earlier", zero)).drop("__own", "__earlier", "_part")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framesieve.operators import calibrate, export, review, store
 from framesieve.plans.grading import _GRADED, _graded
 from framesieve.sources import inventory as inv
+from framesieve.sources.shared import stored
 from framesieve.sources.tables import table
 
 KEY, SCHEMA = "k1", 3
@@ -133,7 +134,7 @@ def analysis_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edited(spark, sf_dir):
-    edits = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(
+    edits = table(spark, sf_dir, "orders").select(
         (F.col("o_custkey") * 7).alias("frame"), F.col("o_orderkey").alias("seq"),
         F.when(F.col("o_orderstatus") == "F", "keep").when(F.col("o_orderstatus") == "O", "reject").otherwise("review").alias("manual_grade"),
     )
@@ -142,7 +143,7 @@ def _edited(spark, sf_dir):
 
 
 _EDITED_SQL = f"""{_GRADED}, edits AS (SELECT path, arg_max(CASE o_orderstatus WHEN 'F' THEN 'keep' WHEN 'O' THEN 'reject' ELSE 'review' END, o_orderkey) AS manual_grade
-  FROM orders JOIN graded ON o_custkey * 7 = input_order WHERE o_orderkey % 9 = 0 GROUP BY path),
+  FROM orders JOIN graded ON o_custkey * 7 = input_order GROUP BY path),
 final AS (SELECT graded.*, coalesce(manual_grade, grade) AS final_grade, regexp_replace(name, '\\.[^.]*$', '') AS stem, regexp_extract(name, '\\.[^.]*$') AS ext FROM graded LEFT JOIN edits USING (path))"""
 
 
@@ -151,17 +152,29 @@ def manual_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plan(spark, sf_dir):
+    """All batches go into one folder, in which some names stand already, in capitals and with numbers."""
     df = _edited(spark, sf_dir).withColumns(
         {"stem": F.regexp_replace("name", r"\.[^.]*$", ""), "suffix": F.regexp_extract("name", r"\.[^.]*$", 0)}
     )
-    existing = df.where("input_order % 29 <> 0").select("path")
-    return export.plan(df, existing, "/out", "{grade}_{score}", ["keep", "review"])
+    n = F.col("input_order")
+    standing = F.concat(
+        F.lit("/out/_"), "final_grade", F.lit("/"), F.upper("final_grade"), F.lit("_"), (n % 90).cast("string"),
+        F.when(n % 4 > 0, F.concat(F.lit("_"), (n % 12).cast("string"))).otherwise(""), "suffix",
+    )
+    # Graded once; the plan and the listing both come from it.
+    df = stored(df.select("batch_id", "path", "input_order", "final_grade", "capture_time", "score", "stem", "suffix"), "export-frames")
+    existing = df.where(n % 29 != 0).select("path").union(df.where(n % 31 == 0).select(standing.alias("path")))
+    return export.plan(df, existing, "/out", "{grade}_{score}", ["keep", "review"], shared_root=True)
 
 
 _PLAN_SQL = f"""{_EDITED_SQL}, numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY input_order) AS INTEGER) AS index FROM final WHERE final_grade IN ('keep', 'review')),
-ops AS (SELECT *, final_grade || '_' || CAST(CAST(round_even(score, 0) AS BIGINT) AS VARCHAR) AS base,
-  row_number() OVER (PARTITION BY batch_id, final_grade, lower(CAST(CAST(round_even(score, 0) AS BIGINT) AS VARCHAR) || ext) ORDER BY index) - 1 AS clash FROM numbered WHERE input_order % 29 <> 0),
-plan AS (SELECT batch_id, index, path AS source, '/out/_' || final_grade || '/' || base || CASE WHEN clash = 0 THEN '' ELSE '_' || clash END || ext AS destination, final_grade AS grade FROM ops)"""
+ops AS (SELECT *, final_grade || '_' || CAST(CAST(round_even(score, 0) AS BIGINT) AS VARCHAR) AS base FROM numbered WHERE input_order % 29 <> 0),
+turns AS (SELECT *, row_number() OVER (PARTITION BY lower(base || ext) ORDER BY batch_id, index) - 1 AS r FROM ops),
+stands AS (SELECT DISTINCT lower(final_grade || '_' || input_order % 90 || ext) AS name, CASE WHEN input_order % 4 > 0 THEN input_order % 12 ELSE 0 END AS k
+  FROM final WHERE input_order % 31 = 0 AND NOT (input_order % 4 > 0 AND input_order % 12 = 0)),
+free AS (SELECT name, list(k - j) AS gs FROM (SELECT name, k, row_number() OVER (PARTITION BY name ORDER BY k) - 1 AS j FROM stands) GROUP BY 1),
+placed AS (SELECT turns.*, r + coalesce(len(list_filter(gs, lambda g: g <= r)), 0) AS k FROM turns LEFT JOIN free ON free.name = lower(base || ext)),
+plan AS (SELECT batch_id, index, path AS source, '/out/_' || final_grade || '/' || base || CASE WHEN k = 0 THEN '' ELSE '_' || k END || ext AS destination, final_grade AS grade FROM placed)"""
 
 
 def export_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

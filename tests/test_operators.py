@@ -245,6 +245,31 @@ def test_export_names_are_free(spark):
         assert skipped.count() == 0
 
 
+@pytest.mark.parametrize("shared", [True, False])
+def test_export_names_match_the_plain_walk(spark, shared):
+    """Stems that are others with a number behind, in chains, against names that stand: one after the other by hand."""
+    rng = random.Random(12)
+    pool = ["x", "X", "x_1", "x_2", "x_1_1", "x_1_2", "X_3", "x_01", "y_2", "y", "z_1_1", "z"]
+    rows = [(rng.randrange(3), f"/s/{i}.arw", i, rng.choice(pool)) for i in range(160)]
+    frames = spark.createDataFrame(rows, "batch_id int, path string, input_order int, stem string").withColumns(
+        {"final_grade": F.lit("keep"), "capture_time": F.lit(None).cast("timestamp"), "score": F.lit(1.0), "suffix": F.lit(".arw")}
+    )
+    standing = [f"/out/_keep/{x}.ARW" for x in ("x_2", "x_4", "x_5", "X_1_1", "y", "y_1", "z_1_1_1", "x_1_1_2", "z_0")]
+    there = frames.select("path").union(spark.createDataFrame([(x,) for x in standing], "path string"))
+    operations, _ = export.plan(frames, there, "/out", shared_root=shared)
+    got = {r.source: r.destination for r in operations.collect()}
+    want, used = {}, {}
+    for batch, path, _, stem in sorted(rows, key=lambda r: (r[0], r[2])):
+        names = used.setdefault(0 if shared else batch, {x.lower() for x in standing})
+        k, name = 0, f"/out/_keep/{stem}.arw"
+        while name.lower() in names:
+            k += 1
+            name = f"/out/_keep/{stem}_{k}.arw"
+        names.add(name.lower())
+        want[path] = name
+    assert got == want
+
+
 def test_listing_order_keeps_every_row(spark):
     """Ranges that adaptive execution joins in different ways must not lose or repeat rows."""
     from pyspark.sql import functions as F
