@@ -73,10 +73,14 @@ def patched_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def af_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    codes = o.select(F.col("o_orderkey").cast("string").alias("path"), F.when(F.col("o_orderkey") % 2 == 0, "Sony").otherwise("Nikon").alias("camera_make"), (F.col("o_orderkey") % 5).alias("code"))
-    modes = spark.createDataFrame([("Sony", 0, "Multi"), ("Sony", 1, "Center"), ("Nikon", 0, "Single Area"), ("Nikon", 3, "Dynamic")], "camera_make string, code long, af_area_mode string")
-    return meta.af_mode(codes, modes).select("path", "af_area_mode")
+    """AF modes of all orders by the package's table: three makers and one unknown, old and new records, codes without a name."""
+    n = F.col("o_orderkey")
+    make = F.get(F.array(*map(F.lit, ("Canon", "NIKON CORPORATION", "SONY", "Other"))), (n % 4).cast("int"))
+    code = F.when(n % 3 == 0, 197 + n % 12).otherwise(n % 15)
+    codes = table(spark, sf_dir, "orders").select(
+        n.cast("string").alias("path"), make.alias("camera_make"), F.when(n % 5 > 0, (n % 5 * 100).cast("int")).alias("version"), code.alias("code")
+    )
+    return meta.af_mode(codes, meta.af_mode_table(spark)).select("path", "af_area_mode")
 
 
 def shot_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +250,14 @@ QUERIES = {
 ORACLES = {
     "exif_metadata": f"WITH {_META_SQL} SELECT path, strftime(capture_time, '%Y-%m-%d %H:%M:%S.%f') AS capture_time, camera_make, camera_model, lens_model, iso, shutter_speed, aperture, focal_length, focal_length_35mm, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude, colour_space FROM timed",
     "patched_metadata": f"WITH {_META_SQL} SELECT path, CASE WHEN n % 2 = 0 THEN coalesce(iso, 100) ELSE iso END AS iso, CASE WHEN n % 2 = 0 THEN coalesce(lens_model, 'side lens') ELSE lens_model END AS lens_model, CASE WHEN n % 2 = 0 THEN coalesce(focal_length_35mm, 35.0::DOUBLE) ELSE focal_length_35mm END AS focal_length_35mm FROM meta",
-    "af_modes": "SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 2 = 0 THEN CASE o_orderkey % 5 WHEN 0 THEN 'Multi' WHEN 1 THEN 'Center' END ELSE CASE o_orderkey % 5 WHEN 0 THEN 'Single Area' WHEN 3 THEN 'Dynamic' END END AS af_area_mode FROM orders",
+    "af_modes": """WITH c AS (SELECT o_orderkey AS n, o_orderkey % 5 * 100 AS v, CASE WHEN o_orderkey % 3 = 0 THEN 197 + o_orderkey % 12 ELSE o_orderkey % 15 END AS code FROM orders)
+SELECT CAST(n AS VARCHAR) AS path, CASE n % 4
+  WHEN 0 THEN CASE code WHEN 0 THEN 'Off (Manual Focus)' WHEN 1 THEN 'AF Point Expansion (surround)' WHEN 2 THEN 'Single-point AF' WHEN 4 THEN 'Auto' WHEN 5 THEN 'Face Detect AF'
+    WHEN 6 THEN 'Face + Tracking' WHEN 7 THEN 'Zone AF' WHEN 8 THEN 'AF Point Expansion (4 point)' WHEN 9 THEN 'Spot AF' WHEN 10 THEN 'AF Point Expansion (8 point)'
+    WHEN 11 THEN 'Flexizone Multi (49 point)' WHEN 12 THEN 'Flexizone Multi (9 point)' WHEN 13 THEN 'Flexizone Single' WHEN 14 THEN 'Large Zone AF' END
+  WHEN 1 THEN CASE WHEN v >= 300 THEN CASE code WHEN 197 THEN 'Auto-area' WHEN 207 THEN '3D-tracking' WHEN 208 THEN 'Wide (C1/C2)' END
+    ELSE CASE code WHEN 0 THEN 'Single Area' WHEN 4 THEN 'Dynamic Area (9 points)' WHEN 14 THEN 'Dynamic Area (25 points)' END END
+  WHEN 2 THEN CASE code WHEN 11 THEN 'Zone' END END AS af_area_mode FROM c""",
     "shot_facts": f"WITH {_META_SQL} SELECT path, concat_ws(' | ', camera_model, CAST(focal_length AS BIGINT) || 'mm' || CASE WHEN abs(focal_length_35mm - focal_length) > 0.02::DOUBLE * focal_length THEN ' (' || CAST(focal_length_35mm AS BIGINT) || 'mm)' ELSE '' END, concat_ws(' ', CASE WHEN shutter_speed IS NULL THEN '-' WHEN shutter_speed < 1 THEN '1/' || CAST(round_even(1 / shutter_speed, 0) AS BIGINT) || 's' ELSE '1s' END, 'f/' || printf('%.1f', aperture), 'ISO ' || iso), printf('%.3f', latitude) || ', ' || printf('%.3f', longitude)) AS facts FROM meta",
     "settings_merge": """SELECT o_orderkey AS id, '{"exposure":' || CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 ELSE o_orderkey % 5 END || ',"crop":"c' || o_orderkey || '"}' AS settings FROM orders""",
     "top_faces": f"{_FACES_SQL} SELECT frame_id, idx, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY w * h * score DESC, idx) AS INTEGER) AS prominence FROM f QUALIFY prominence <= 2",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The lens tags in the order in which they are trusted, and what stands for no lens.
@@ -99,6 +101,27 @@ def patched(meta: DataFrame, side: DataFrame) -> DataFrame:
     return df.withColumns({n: F.coalesce(n, f"_{n}") for n in names}).drop(*(f"_{n}" for n in names))
 
 
+#: The package's table of AF area modes; lines that begin with # are remarks.
+AF_MODES = Path(__file__).with_name("af_modes.csv")
+
+
+def af_mode_table(spark: SparkSession, file: Path = AF_MODES) -> DataFrame:
+    """(maker, since, code, af_area_mode) of a table of AF modes, a file of a few lines on the driver."""
+    lines = [x.split(",", 3) for x in file.read_text().splitlines() if x and not x.startswith("#")]
+    rows = [(maker.lower(), int(since), int(code), name) for maker, since, code, name in lines]
+    return spark.createDataFrame(rows, "maker string, since int, code long, af_area_mode string")
+
+
 def af_mode(codes: DataFrame, modes: DataFrame) -> DataFrame:
-    """codes (path, camera_make, code) with the maker's name of each AF mode; a code that the table lacks has none."""
-    return codes.join(modes, ["camera_make", "code"], "left")
+    """codes (path, camera_make, version, code) with the maker's name of each AF mode.
+
+    A maker's table with the greatest since up to the record's version holds; a code that it lacks has no name, even where
+    an older table knows it.  A maker's name counts up to its first blank, whatever its case; a null version is 0.
+    """
+    maker = F.lower(F.split(F.btrim("camera_make"), " ")[0])
+    version = F.coalesce("version", F.lit(0))
+    since = modes.groupBy("maker").agg(F.array_sort(F.collect_set("since")).alias("_since")).withColumnRenamed("maker", "_of")
+    held = codes.withColumn("_maker", maker).join(since, F.col("_maker") == F.col("_of"), "left").drop("_of")
+    held = held.withColumn("_table", F.array_max(F.filter("_since", lambda s: s <= version))).drop("_since")
+    names = modes.select(F.col("maker").alias("_maker"), F.col("since").alias("_table"), "code", "af_area_mode")
+    return held.join(names, ["_maker", "_table", "code"], "left").drop("_maker", "_table")
