@@ -32,8 +32,9 @@ def _tones(spark, sf_dir):
 
 
 def tone_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables in steps of 1/1024 of a level: unlike decimal places these have no ties that engines round apart."""
     found = _tones(spark, sf_dir).select("frame_id", F.posexplode("tone").alias("level", "tone"))
-    return found.withColumn("tone", F.round("tone", 6))
+    return found.withColumn("tone", F.floor(F.col("tone") * 1024).cast("long"))
 
 
 def look_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,7 +329,7 @@ _OWN = ", ".join(_GIVEN.format(c, d, c if c != '"left"' else c) for c, d in (("a
 _MARKED = ", ".join(_GIVEN.format(c, d, c) for c, d in (("enabled", "false"), ("text", "''")))
 
 ORACLES = {
-    "tone_table": f"{_TONE_SQL} SELECT frame_id, level, round(tone, 6) AS tone FROM t",
+    "tone_table": f"{_TONE_SQL} SELECT frame_id, level, CAST(floor(tone * 1024) AS BIGINT) AS tone FROM t",
     "look_errors": f"{_TONE_SQL} SELECT p.frame_id, round(avg(abs(luma - target_luma)), 6) AS luma_before, round(avg(abs(tone - target_luma)), 6) AS luma_error, round(avg((abs(cb - target_cb) + abs(cr - target_cr)) / 2::DOUBLE), 6) AS chroma_error FROM p JOIN t ON p.frame_id = t.frame_id AND p.luma = t.level GROUP BY 1",
     "lens_lookup": _lookup_sql("CASE o_orderkey % 7 WHEN 0 THEN 900.0::DOUBLE WHEN 1 THEN 0.0 WHEN 2 THEN NULL ELSE (o_orderkey % 90 + 10)::DOUBLE END"),
     "lens_by_name": _lookup_sql("NULL::DOUBLE"),
