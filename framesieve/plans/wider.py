@@ -248,11 +248,14 @@ def chosen_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channel_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of the usable pixels of colour pictures: embeddings as rows of 21 pixels."""
-    level = lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 0.5) * 255).cast("int"))).cast("long")), 2, "0")
-    data = F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 63), level), ""))
+    """Means of colour pictures of 640 pixels from embeddings: nearly gray ones, and every third in strong colours."""
+    number = lambda k: F.get("embedding", (k % 64).cast("int")).cast("double")
+    level = lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x + 0.5) * 255).cast("int"))).cast("long")), 2, "0")
+    strong = F.col("vec_id") % 3 == 0
+    other = lambda i, step, share: F.when(strong, number(i + step)).otherwise(number(i) + number(i * step) * share)
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(639)), lambda i: F.concat(level(number(i)), level(other(i, 7, 0.05)), level(other(i, 11, 0.05))))
     df = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("string").alias("path"), F.lit(1).alias("height"), F.lit(21).alias("width"), F.lit(3).alias("channels"), data.alias("data")
+        F.col("vec_id").cast("string").alias("path"), F.lit(20).alias("height"), F.lit(32).alias("width"), F.lit(3).alias("channels"), F.unhex(F.array_join(pixels, "")).alias("data")
     )
     found = images.channel_means(df)
     return found.select("path", *(F.round(f"mean_{c}", 6).alias(f"mean_{c}") for c in "bgr"), "pixels")
@@ -327,7 +330,15 @@ ORACLES = {
     "eye_ratio_means": f"{_EYE_SQL} SELECT frame_id, face_idx, round(coalesce(avg(ear), -1.0::DOUBLE), 9) AS ear FROM r GROUP BY 1, 2",
     "background_tiles": "WITH t AS (SELECT l_orderkey AS id, l_partkey % 4 AS r, l_partkey % 6 AS c, l_quantity AS energy FROM lineitem), m AS (SELECT t.* FROM t WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = id AND c * 100 < o_custkey % 500 + 80 AND o_custkey % 500 < c * 100 + 100 AND r * 100 < o_custkey % 300 + 60 AND o_custkey % 300 < r * 100 + 100)) SELECT CAST(id AS VARCHAR) AS path, CAST(first(c ORDER BY energy DESC, r, c) * 100 AS INTEGER) AS x, CAST(first(r ORDER BY energy DESC, r, c) * 100 AS INTEGER) AS y, max(energy) AS energy FROM m GROUP BY 1",
     "chosen_regions": "WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 50 >= 24 THEN 'eye' WHEN o_orderkey % 4 = 0 AND o_orderkey % 40 >= 24 THEN 'face' WHEN o_orderkey % 5 = 0 AND o_orderkey % 60 >= 24 THEN 'af' WHEN o_orderkey % 2 = 0 AND o_orderkey % 30 >= 24 THEN 'tile' ELSE 'frame' END AS source FROM orders) SELECT id, source, CAST(CASE source WHEN 'eye' THEN id % 50 WHEN 'face' THEN id % 40 WHEN 'af' THEN id % 60 WHEN 'tile' THEN id % 30 END AS INTEGER) AS w FROM c",
-    "channel_means": "WITH p AS (SELECT vec_id, i, [greatest(0, least(255, CAST(floor((x::DOUBLE + 0.5::DOUBLE) * 255) AS INTEGER))) FOR x IN embedding[3 * i + 1 : 3 * i + 3]] AS c FROM embeddings, (SELECT unnest(range(0, 21)) AS i)), u AS (SELECT * FROM p WHERE list_min(c) > 16 AND list_max(c) < 240) SELECT CAST(e.vec_id AS VARCHAR) AS path, round(coalesce(avg(c[1]), 0.0::DOUBLE), 6) AS mean_b, round(coalesce(avg(c[2]), 0.0::DOUBLE), 6) AS mean_g, round(coalesce(avg(c[3]), 0.0::DOUBLE), 6) AS mean_r, count(i) AS pixels FROM embeddings e LEFT JOIN u USING (vec_id) GROUP BY 1",
+    "channel_means": """WITH p AS (SELECT vec_id, embedding AS e, vec_id % 3 = 0 AS strong, unnest(range(0, 640)) AS i FROM embeddings),
+x AS (SELECT vec_id, e[i % 64 + 1]::DOUBLE AS b, CASE WHEN strong THEN e[(i + 7) % 64 + 1]::DOUBLE ELSE e[i % 64 + 1]::DOUBLE + e[i * 7 % 64 + 1]::DOUBLE * 0.05::DOUBLE END AS g,
+  CASE WHEN strong THEN e[(i + 11) % 64 + 1]::DOUBLE ELSE e[i % 64 + 1]::DOUBLE + e[i * 11 % 64 + 1]::DOUBLE * 0.05::DOUBLE END AS r FROM p),
+v AS (SELECT vec_id, greatest(0, least(255, CAST(floor((b + 0.5::DOUBLE) * 255) AS INTEGER))) AS b, greatest(0, least(255, CAST(floor((g + 0.5::DOUBLE) * 255) AS INTEGER))) AS g,
+  greatest(0, least(255, CAST(floor((r + 0.5::DOUBLE) * 255) AS INTEGER))) AS r FROM x),
+u AS (SELECT *, greatest(b, g, r) - least(b, g, r) <= 0.1::DOUBLE * greatest(b, g, r) AS neutral FROM v WHERE least(b, g, r) > 16 AND greatest(b, g, r) < 240),
+c AS (SELECT *, count(*) FILTER (neutral) OVER (PARTITION BY vec_id) >= 100 AS enough FROM u)
+SELECT CAST(e.vec_id AS VARCHAR) AS path, round(coalesce(avg(b), 0), 6) AS mean_b, round(coalesce(avg(g), 0), 6) AS mean_g, round(coalesce(avg(r), 0), 6) AS mean_r, count(c.vec_id) AS pixels
+FROM embeddings e LEFT JOIN c ON c.vec_id = e.vec_id AND (neutral OR NOT enough) GROUP BY e.vec_id""",
     "camera_match": f"WITH {_CAMERAS_SQL}, k AS (SELECT DISTINCT label FROM cams) SELECT o_orderkey AS id, label AS camera FROM orders LEFT JOIN k ON o_orderkey % 13 <> 0 AND label = 'Canon EOS R' || o_orderkey % 9 || CASE WHEN o_orderkey % 2 = 0 THEN 'm3' ELSE '' END",
     "available_cameras": f"WITH {_CAMERAS_SQL} SELECT DISTINCT label FROM (SELECT label FROM cams WHERE contains(lower(label), 'm3') ORDER BY position LIMIT 9)",
     "catalogue_counts": "SELECT (SELECT count(*) FROM part) AS lenses, (SELECT count(*) FROM supplier) AS cameras",
