@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framesieve.operators.numbers import fixed
 from framesieve.operators.ordered import in_ranges, sums_before, with_before, with_segments
 
 EARTH_METRES = 6_371_000.0
@@ -81,19 +82,22 @@ def with_places(frames: DataFrame, radius: float = 250.0, min_cluster: int = 2)
 
 
 def places(frames: DataFrame) -> DataFrame:
-    """(batch_id, place_id, latitude, longitude, n, label) of every place."""
+    """(batch_id, place_id, latitude, longitude, n, label) of every place.
+
+    Means come from sums in decimals of nine places, so that neither order nor partitions move a label's last digit.
+    """
+    mean = lambda c: F.sum(F.col(c).cast("decimal(12,9)")).cast("double") / F.count("*")
     found = frames.where(F.col("place_id").isNotNull()).groupBy("batch_id", "place_id").agg(
-        F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.count("*").alias("n")
+        mean("latitude").alias("latitude"), mean("longitude").alias("longitude"), F.count("*").alias("n")
     )
     return found.withColumn("label", label(F.col("place_id"), F.col("latitude"), F.col("longitude")))
 
 
 def label(number: Column, lat: Column, lon: Column) -> Column:
     """Two-digit number, then the position to four places with its hemisphere."""
-    y = F.format_string("%.4f", F.bround(F.abs(lat), 4))
-    x = F.format_string("%.4f", F.bround(F.abs(lon), 4))
     ns, ew = F.when(lat >= 0, "N").otherwise("S"), F.when(lon >= 0, "E").otherwise("W")
-    return F.concat(F.format_string("%02d", number), F.lit("_"), y, ns, F.lit("_"), x, ew)
+    position = F.concat(fixed(F.abs(lat), 4), ns, F.lit("_"), fixed(F.abs(lon), 4), ew)
+    return F.concat(F.format_string("%02d", number), F.lit("_"), position)
 
 
 def coverage(frames: DataFrame) -> DataFrame:

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def fixed(value: Column, digits: int) -> Column:
-    """A number with so many places, half to even; format_string alone would round half up."""
-    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", F.bround(value, digits)))
+from framesieve.operators.numbers import fixed, rounded
 
 
 def shutter(seconds: str = "shutter_speed") -> Column:
@@ -32,6 +29,50 @@ def facts() -> Column:
     return F.concat_ws(" | ", body, focal, exposure, place)
 
 
+#: What a caption may show, in its order, and what stands between its parts.
+CAPTION = ("filename", "camera", "lens", "focal_length", "aperture", "shutter", "iso", "datetime")
+BETWEEN = "  ·  "
+
+
+def short(value: Column) -> Column:
+    """A number to six digits without zeros at its end: 24, 2.8, 0.0125; for values from a ten-thousandth to a million."""
+    x = value.cast("double")
+    text = F.when(x.isNull(), F.lit(None).cast("string"))
+    for power in range(-4, 6):
+        cut = fixed(x, 5 - power)
+        text = text.when(rounded(x, 5 - power) < 10.0 ** (power + 1), F.regexp_replace(cut, r"\.?0+$", "") if power < 5 else cut)
+    return text.otherwise(x.cast("string"))
+
+
+def caption(include=CAPTION, custom: str = "", known: Column | None = None) -> Column:
+    """(left, right): the chosen parts of a shot's data in CAPTION's order, and a text of one's own.
+
+    Needs name and the columns of metadata; what is null or zero is left out, and so are empty names.  known says whether a
+    picture has data at all (default: any of the fields); one without shows its name alone.  An unknown part is an error.
+    """
+    unknown = set(include) - set(CAPTION)
+    if unknown:
+        raise ValueError(f"unknown parts: {', '.join(sorted(unknown))}")
+    number = lambda c: F.when(F.col(c) != 0, F.col(c))
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    parts = {
+        "camera": given("camera_model"),
+        "lens": given("lens_model"),
+        "focal_length": F.concat(short(number("focal_length")), F.lit("mm")),
+        "aperture": F.concat(F.lit("f/"), short(number("aperture"))),
+        "shutter": F.when(number("shutter_speed").isNotNull(), shutter()),
+        "iso": F.concat(F.lit("ISO "), number("iso").cast("string")),
+        "datetime": F.date_format("capture_time", "yyyy-MM-dd HH:mm"),
+    }
+    if known is None:
+        fields = ("camera_model", "lens_model", "focal_length", "aperture", "shutter_speed", "iso", "capture_time")
+        known = F.coalesce(*(F.col(c).cast("string") for c in fields)).isNotNull()
+    shown = F.array(*(parts[n] for n in CAPTION if n in parts and n in include)) if set(include) & set(parts) else F.array().cast("array<string>")
+    name = F.col("name") if "filename" in include else F.when(~known, F.col("name"))
+    texts = F.concat(F.array(name), F.when(known, shown).otherwise(F.array().cast("array<string>")))
+    return F.struct(F.array_join(texts, BETWEEN).alias("left"), F.lit(custom).alias("right"))
+
+
 def with_reasons(frames: DataFrame, reasons: DataFrame) -> DataFrame:
     """frames with reasons: the texts of reasons (path, pos, reason) in order, as an array."""
     cells = F.transform(F.array_sort(F.collect_list(F.struct("pos", "reason"))), lambda x: x["reason"])
@@ -75,11 +116,11 @@ def json_rows(frames: DataFrame) -> DataFrame:
     return frames.select(
         "path",
         F.col("final_grade").alias("grade"),
-        F.bround("score", 2).alias("score"),
+        rounded(F.col("score"), 2).alias("score"),
         "group_id",
         "group_rank",
-        F.bround("sharpness", 2).alias("sharpness"),
-        F.bround("frame_sharpness", 2).alias("frame_sharpness"),
+        rounded(F.col("sharpness"), 2).alias("sharpness"),
+        rounded(F.col("frame_sharpness"), 2).alias("frame_sharpness"),
         F.when(F.col("sharpness").isNotNull(), F.col("source")).alias("focus_source"),
         F.when(F.col("sharpness").isNotNull(), F.col("face_count")).otherwise(0).alias("face_count"),
         iso_time().alias("capture_time"),

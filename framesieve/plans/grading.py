@@ -107,11 +107,7 @@ def place_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = places.places(places.with_places(frames(spark, sf_dir)))
-    lat, lon = F.round(F.col("latitude") + 1e-9, 6), F.round(F.col("longitude") + 1e-9, 6)
-    # Means of the fixture lie on ties of the fourth place, where the engines' last bits differ: a nudge settles them.
-    name = places.label(F.col("place_id"), lat + 1e-9, lon + 1e-9)
-    return found.select("batch_id", "place_id", "n", name.alias("label"), lat.alias("latitude"), lon.alias("longitude"))
+    return places.places(places.with_places(frames(spark, sf_dir)))
 
 
 def place_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,6 +267,6 @@ ORACLES = {
     "sorted_frames": f"{_PLAIN} SELECT batch_id, path, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY score DESC, name, input_order) AS INTEGER) AS position FROM scored",
     "main_face_regrade": f"WITH RECURSIVE {FRAMES_SQL}, changed AS (SELECT * REPLACE (CASE WHEN input_order % 50 = 3 THEN sharpness - 20 ELSE sharpness END AS sharpness, CASE WHEN input_order % 50 = 3 THEN 0.02::DOUBLE ELSE face_area_ratio END AS face_area_ratio, CASE WHEN input_order % 50 = 3 THEN 0.1::DOUBLE ELSE eyes_open END AS eyes_open) FROM frames), {_terms_sql(True, 'changed')}, {_SCENED}, {_grades_sql()} SELECT batch_id, path, grade FROM graded",
     "place_clusters": f"{_PLACES} SELECT batch_id, path, place_id FROM placed",
-    "place_labels": f"{_PLACES}, g AS (SELECT p.batch_id, place_id, count(*) AS n, avg(latitude) AS lat, avg(longitude) AS lon FROM placed p JOIN frames USING (path) GROUP BY 1, 2) SELECT batch_id, place_id, n, printf('%02d', place_id) || '_' || printf('%.4f', round(lat + 1e-9, 6) + 1e-9) || 'N_' || printf('%.4f', round(lon + 1e-9, 6) + 1e-9) || 'E' AS label, round(lat + 1e-9, 6) AS latitude, round(lon + 1e-9, 6) AS longitude FROM g",
+    "place_labels": f"{_PLACES}, g AS (SELECT p.batch_id, place_id, count(*) AS n, CAST(sum(CAST(latitude AS DECIMAL(12, 9))) AS DOUBLE) / count(*) AS lat, CAST(sum(CAST(longitude AS DECIMAL(12, 9))) AS DOUBLE) / count(*) AS lon FROM placed p JOIN frames USING (path) GROUP BY 1, 2) SELECT batch_id, place_id, n, printf('%02d_%.4f%s_%.4f%s', place_id, abs(lat), CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END, abs(lon), CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END) AS label, lat AS latitude, lon AS longitude FROM g",
     "place_coverage": f"{_PLACES} SELECT f.batch_id, count(DISTINCT place_id) AS places, count(latitude) AS located, count(*) AS total FROM frames f LEFT JOIN placed USING (path) GROUP BY 1",
 }

@@ -25,16 +25,13 @@ def _new_path(spark, tag: str) -> str:
 
 
 def _reported(spark, sf_dir):
-    """Graded frames with their reasons and the shot data of the order of their number.
-
-    One place less than the report prints: at ties of the third place the engines' ways of rounding part.
-    """
+    """Graded frames with their reasons and the shot data of the order of their number."""
     df = review.with_final(_graded(spark, sf_dir))
     tags = meta.metadata(_tags(spark, sf_dir)).select(
         F.col("path").cast("long").alias("_n"), "lens_model", "iso", "shutter_speed"
     )
     df = df.join(tags, df["input_order"] == tags["_n"], "left").drop("_n")
-    return report.with_reasons(df, grade.reasons(df)).withColumns({n: F.round(n, 1) for n in ("score", "sharpness")})
+    return report.with_reasons(df, grade.reasons(df))
 
 
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,8 +304,8 @@ _EYE_SQL = f"""{_FACES_SQL}, e AS (SELECT frame_id, CAST((idx - 1) // 2 AS INTEG
 r AS (SELECT *, CASE WHEN width >= 12 THEN 2 * opening / (2 * width) END AS ear FROM e)"""
 
 ORACLES = {
-    "report_rows": f"{_REPORT_SQL} SELECT name, grade AS final_grade, printf('%.2f', round(score, 1)) AS score, CAST(group_id AS VARCHAR) AS group_id, CAST(group_rank AS VARCHAR) AS group_rank, coalesce(printf('%.2f', round(sharpness, 1)), '') AS sharpness, printf('%.2f', frame_sharpness) AS frame_sharpness, CASE WHEN sharpness IS NULL THEN '' ELSE source END AS source, CASE WHEN sharpness IS NULL THEN '0' ELSE CAST(face_count AS VARCHAR) END AS face_count, coalesce(taken, '') AS capture_time, coalesce(lens_model, '') AS lens, coalesce(CAST(iso AS VARCHAR), '') AS iso, shutter, reasons, coalesce(error, '') AS error FROM rep",
-    "report_records": f"{_REPORT_SQL} SELECT path, grade, round(score, 1) AS score, group_id, group_rank, round(sharpness, 1) AS sharpness, round(frame_sharpness, 2) AS frame_sharpness, CASE WHEN sharpness IS NOT NULL THEN source END AS focus_source, CASE WHEN sharpness IS NULL THEN 0 ELSE face_count END AS face_count, taken AS capture_time, lens_model AS lens, iso, shutter, reasons, error FROM rep",
+    "report_rows": f"{_REPORT_SQL} SELECT name, grade AS final_grade, printf('%.2f', score) AS score, CAST(group_id AS VARCHAR) AS group_id, CAST(group_rank AS VARCHAR) AS group_rank, coalesce(printf('%.2f', sharpness), '') AS sharpness, printf('%.2f', frame_sharpness) AS frame_sharpness, CASE WHEN sharpness IS NULL THEN '' ELSE source END AS source, CASE WHEN sharpness IS NULL THEN '0' ELSE CAST(face_count AS VARCHAR) END AS face_count, coalesce(taken, '') AS capture_time, coalesce(lens_model, '') AS lens, coalesce(CAST(iso AS VARCHAR), '') AS iso, shutter, reasons, coalesce(error, '') AS error FROM rep",
+    "report_records": f"{_REPORT_SQL} SELECT path, grade, CAST(printf('%.2f', score) AS DOUBLE) AS score, group_id, group_rank, CAST(printf('%.2f', sharpness) AS DOUBLE) AS sharpness, CAST(printf('%.2f', frame_sharpness) AS DOUBLE) AS frame_sharpness, CASE WHEN sharpness IS NOT NULL THEN source END AS focus_source, CASE WHEN sharpness IS NULL THEN 0 ELSE face_count END AS face_count, taken AS capture_time, lens_model AS lens, iso, shutter, reasons, error FROM rep",
     "results_by_grade": f"{_PLACES}, {_GRADED.removeprefix('WITH RECURSIVE ').replace(FRAMES_SQL + ',', '', 1)} SELECT coalesce('p' || place_id, 'none') AS place_label, grade, count(*) AS frames FROM graded LEFT JOIN placed USING (path) GROUP BY 1, 2",
     "kept_frames": f"{_EDITED_SQL} SELECT batch_id, path FROM final WHERE final_grade = 'keep'",
     "failed_frames": f"WITH {FRAMES_SQL} SELECT path, error FROM frames WHERE error IS NOT NULL OR sharpness IS NULL",
