@@ -63,8 +63,10 @@ def plan(frames: DataFrame, existing: DataFrame, root: str, pattern: str = "{nam
     lists the paths that exist; places (batch_id, place_id, label) makes place folders.  Missing sources are skipped but
     keep their number.  A name that stands among existing or that an earlier operation has, whatever the case of its
     letters, gets _1, _2, ... until it is free, in the order of the plan.  shared_root says that all batches go into root
-    together, so that they are numbered as one plan in the order of batch_id; else each batch is a plan of its own.
+    together, so that they are numbered as one plan in the order of batch_id; else each batch is a plan of its own.  A column
+    develop of frames (the settings to develop with, or null) goes along with the operations.
     """
+    develop = [c for c in ("develop",) if c in frames.columns]
     df = numbered(frames, grades)
     folder = F.lit(root)
     if places is not None:
@@ -77,10 +79,10 @@ def plan(frames: DataFrame, existing: DataFrame, root: str, pattern: str = "{nam
     df = df.join(found, df["path"] == found["_there"], "left")
     skipped = df.where("_is_there is null").select("batch_id", "path", F.lit("missing source").alias("reason"))
     stem = F.expr("substring(file, 1, length(file) - length(suffix))")
-    chosen = df.where("_is_there").select("batch_id", "index", "path", "final_grade", "folder", stem.alias("stem"), "suffix")
+    chosen = df.where("_is_there").select("batch_id", "index", "path", "final_grade", "folder", stem.alias("stem"), "suffix", *develop)
     named = _free_names(chosen, existing, shared_root)
     return named.select(
-        "batch_id", "index", F.col("path").alias("source"), F.concat("folder", F.lit("/"), "name").alias("destination"), F.col("final_grade").alias("grade")
+        "batch_id", "index", F.col("path").alias("source"), F.concat("folder", F.lit("/"), "name").alias("destination"), F.col("final_grade").alias("grade"), *develop
     ), skipped
 
 
@@ -157,7 +159,9 @@ def _free_names(chosen: DataFrame, existing: DataFrame, shared_root: bool) -> Da
 
 
 def plan_counts(operations: DataFrame) -> DataFrame:
-    return operations.groupBy("batch_id").agg(*(F.count_if(F.col("grade") == g).alias(g) for g in GRADES))
+    """Operations of each batch by grade, and how many of them are developed (none without a column develop)."""
+    develop = F.count("develop") if "develop" in operations.columns else F.lit(0).cast("long")
+    return operations.groupBy("batch_id").agg(*(F.count_if(F.col("grade") == g).alias(g) for g in GRADES), develop.alias("develop"))
 
 
 def undo(log: DataFrame, existing: DataFrame) -> DataFrame:
@@ -214,5 +218,10 @@ def queue_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return df.agg(F.count_if(F.col("_known").isNull()).alias("added"), F.count_if(F.col("_known")).alias("updated"))
 
 
+def queue_counts(entries: DataFrame) -> DataFrame:
+    """(entries, develop): how many sources a queue holds, and how many of them with settings to develop."""
+    return queue(entries).agg(F.count("*").alias("entries"), F.count("develop").alias("develop"))
+
+
 def without(entries: DataFrame, removed: DataFrame) -> DataFrame:
     return entries.join(removed.select("source").distinct(), "source", "left_anti")

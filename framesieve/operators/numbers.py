@@ -14,13 +14,13 @@ def _bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _nearest(x: Column, digits: int) -> Column:
-    """x * 10^digits to the nearest whole number, ties to even; null where the product is too large to tell.
+def _nearest(x: Column, step: Column) -> Column:
+    """x * step, a power of ten up to 10^11, to the nearest whole number, ties to even; null where the product is too large to tell.
 
     The product of two doubles and its rounding error are both doubles; a product at a half step is a tie only where the
     error is zero, else the error tells the side.
     """
-    step, spread = F.lit(float(10**digits)), F.lit(float(2**27 + 1))
+    spread = F.lit(float(2**27 + 1))
 
     def settle(s):
         half = F.abs(s["product"] - F.rint(s["product"])) == 0.5
@@ -41,7 +41,22 @@ def rounded(value: Column, digits: int) -> Column:
     Null stays null.  From 2^51 / 10^digits on, and for NaN and infinities, bround answers.
     """
     x = value.cast("double")
-    return F.coalesce(_nearest(x, digits) / F.lit(float(10**digits)), F.bround(x, digits))
+    step = F.lit(float(10**digits))
+    return F.coalesce(_nearest(x, step) / step, F.bround(x, digits))
+
+
+def short(value: Column) -> Column:
+    """A number to six digits without zeros at its end: 24, 2.8, 0.0125; for values from a ten-thousandth to a million.
+
+    Others keep the text of their double.
+    """
+
+    def text(s):
+        cut = (_nearest(s["x"], s["step"]) / s["step"]).cast("decimal(20,10)").cast("string")
+        return F.when((s["x"] >= 1e-4) & (s["x"] < 999999.5), F.regexp_replace(cut, r"\.?0+$", "")).otherwise(s["x"].cast("string"))
+
+    step = lambda v: F.pow(F.lit(10.0), F.lit(5) - F.floor(F.log10(v)))
+    return _bound(value.cast("double"), lambda v: _bound(F.struct(v.alias("x"), step(v).alias("step")), text))
 
 
 def fixed(value: Column, digits: int) -> Column:
@@ -55,4 +70,4 @@ def fixed(value: Column, digits: int) -> Column:
         known = F.concat(sign, F.call_function("div", whole, unit).cast("string"), *places)
         return F.when(s["n"].isNotNull(), known).when(s["x"].isNotNull(), F.format_string(f"%.{digits}f", s["x"]))
 
-    return _bound(value.cast("double"), lambda v: _bound(F.struct(v.alias("x"), _nearest(v, digits).alias("n")), text))
+    return _bound(value.cast("double"), lambda v: _bound(F.struct(v.alias("x"), _nearest(v, F.lit(float(10**digits))).alias("n")), text))

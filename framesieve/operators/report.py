@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesieve.operators.numbers import fixed, rounded
+from framesieve.operators.numbers import fixed, rounded, short
 
 
 def shutter(seconds: str = "shutter_speed") -> Column:
@@ -34,16 +34,6 @@ CAPTION = ("filename", "camera", "lens", "focal_length", "aperture", "shutter",
 BETWEEN = "  ·  "
 
 
-def short(value: Column) -> Column:
-    """A number to six digits without zeros at its end: 24, 2.8, 0.0125; for values from a ten-thousandth to a million."""
-    x = value.cast("double")
-    text = F.when(x.isNull(), F.lit(None).cast("string"))
-    for power in range(-4, 6):
-        cut = fixed(x, 5 - power)
-        text = text.when(rounded(x, 5 - power) < 10.0 ** (power + 1), F.regexp_replace(cut, r"\.?0+$", "") if power < 5 else cut)
-    return text.otherwise(x.cast("string"))
-
-
 def caption(include=CAPTION, custom: str = "", known: Column | None = None) -> Column:
     """(left, right): the chosen parts of a shot's data in CAPTION's order, and a text of one's own.
 

@@ -121,6 +121,37 @@ def store_invalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.invalidated(store.latest(_store_tables(spark, sf_dir)[1]), SCHEMA).select("path", "params_key")
 
 
+def _store_files(spark, sf_dir):
+    """Files of 60 folders' stores from orders: measurements, previews, logs of up to three parts, and strangers."""
+    o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    name = n.cast("string")
+    folder = F.concat(F.lit("/s/"), (F.col("o_custkey") % 60).cast("string"))
+    log = F.concat(F.lit("/logs/log=export_"), F.floor(n / 12).cast("string"), F.lit("/part-"), name, F.lit(".json"))
+    file = (
+        F.when(F.col("o_custkey") % 60 < 50, F.when(n % 4 == 1, log).when(n % 20 == 2, F.concat(F.lit("/note-"), name)))
+        .otherwise(F.lit(None).cast("string"))
+    )
+    file = F.coalesce(file, F.when(n % 3 == 0, F.concat(F.lit("/analysis/part-"), name, F.lit(".parquet"))), F.concat(F.lit("/thumbs/"), name, F.lit(".jpg")))
+    return o.select(F.concat(folder, file).alias("path"), (n % 1000).alias("size"))
+
+
+_STORE_FILES_SQL = """WITH named AS (SELECT '/s/' || o_custkey % 60 AS folder, o_orderkey AS n, o_orderkey % 1000 AS size, o_orderkey // 12 AS log,
+  CASE WHEN o_custkey % 60 < 50 AND o_orderkey % 4 = 1 THEN 'log' WHEN o_custkey % 60 < 50 AND o_orderkey % 20 = 2 THEN 'other' WHEN o_orderkey % 3 = 0 THEN 'analysis' ELSE 'thumbnail' END AS kind FROM orders)"""
+
+
+def store_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "customer").where("c_custkey % 7 > 0").select(F.concat(F.lit("/s/"), (F.col("c_custkey") % 45).cast("string")).alias("folder"))
+    return store.statistics_by_kind(_store_files(spark, sf_dir), entries)
+
+
+def store_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.after_clearing(_store_files(spark, sf_dir))
+
+
+def store_cleared_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.after_clearing(_store_files(spark, sf_dir), keep_logs=False)
+
+
 def gathered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, kept = _store_tables(spark, sf_dir)
     return store.gathered(files, kept, _fresh(files, spark, sf_dir), KEY, SCHEMA).select("path", "input_order", "sharpness")
@@ -162,7 +193,8 @@ def _plan(spark, sf_dir):
         F.when(n % 4 > 0, F.concat(F.lit("_"), (n % 12).cast("string"))).otherwise(""), "suffix",
     )
     # Graded once; the plan and the listing both come from it.
-    df = stored(df.select("batch_id", "path", "input_order", "final_grade", "capture_time", "score", "stem", "suffix"), "export-frames")
+    develop = F.when(n % 3 == 0, F.concat(F.lit("preset "), (n % 5).cast("string"))).alias("develop")
+    df = stored(df.select("batch_id", "path", "input_order", "final_grade", "capture_time", "score", "stem", "suffix", develop), "export-frames")
     existing = df.where(n % 29 != 0).select("path").union(df.where(n % 31 == 0).select(standing.alias("path")))
     return export.plan(df, existing, "/out", "{grade}_{score}", ["keep", "review"], shared_root=True)
 
@@ -174,7 +206,7 @@ stands AS (SELECT DISTINCT lower(final_grade || '_' || input_order % 90 || ext)
   FROM final WHERE input_order % 31 = 0 AND NOT (input_order % 4 > 0 AND input_order % 12 = 0)),
 free AS (SELECT name, list(k - j) AS gs FROM (SELECT name, k, row_number() OVER (PARTITION BY name ORDER BY k) - 1 AS j FROM stands) GROUP BY 1),
 placed AS (SELECT turns.*, r + coalesce(len(list_filter(gs, lambda g: g <= r)), 0) AS k FROM turns LEFT JOIN free ON free.name = lower(base || ext)),
-plan AS (SELECT batch_id, index, path AS source, '/out/_' || final_grade || '/' || base || CASE WHEN k = 0 THEN '' ELSE '_' || k END || ext AS destination, final_grade AS grade FROM placed)"""
+plan AS (SELECT batch_id, index, path AS source, '/out/_' || final_grade || '/' || base || CASE WHEN k = 0 THEN '' ELSE '_' || k END || ext AS destination, final_grade AS grade, CASE WHEN input_order % 3 = 0 THEN 'preset ' || input_order % 5 END AS develop FROM placed)"""
 
 
 def export_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +266,12 @@ def queue_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.queue_changes(export.queue(df.where("seq % 3 = 0")), df.where("seq % 3 <> 0"))
 
 
+def queue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A queue with settings: a source's last entry decides whether it is developed, if that has none too."""
+    develop = F.when(F.col("seq") % 5 < 3, F.concat(F.lit("s"), (F.col("seq") % 7).cast("string")))
+    return export.queue_counts(_entries(spark, sf_dir).withColumn("develop", develop))
+
+
 def queue_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _entries(spark, sf_dir)
     return export.without(export.queue(df), df.where("seq % 4 = 0")).select("source", "seq")
@@ -282,7 +320,7 @@ QUERIES = {
     for f in (
         file_inventory, file_companions, store_hits, pending_frames, count_ready, store_upsert, store_statistics,
         store_invalidated, gathered_frames, analysis_progress, manual_grades, export_plan, export_skipped, export_counts,
-        undo_plan, undo_counts, queue_merge, queue_changes, queue_removal, newest_logs, camera_gain, uncalibrated_cameras,
+        undo_plan, undo_counts, queue_merge, queue_changes, queue_removal, queue_counts, store_by_kind, store_cleared, store_cleared_whole, newest_logs, camera_gain, uncalibrated_cameras,
     )
 }
 
@@ -297,16 +335,20 @@ ORACLES = {
     "store_upsert": f"WITH {_STORE_SQL}, {_FRESH_SQL} SELECT path, 'k1' AS params_key, 9::BIGINT AS written_at FROM todo UNION ALL SELECT path, params_key, written_at FROM kept ANTI JOIN todo USING (path)",
     "store_statistics": f"WITH {_STORE_SQL} SELECT params_key, count(*) AS entries, count(error) AS failed, CAST(sum(size) AS BIGINT) AS bytes FROM kept GROUP BY 1",
     "store_invalidated": f"WITH {_STORE_SQL} SELECT path, params_key FROM kept WHERE schema_version = 3",
+    "store_by_kind": f"{_STORE_FILES_SQL}, e AS (SELECT '/s/' || c_custkey % 45 AS folder, count(*) AS c FROM customer WHERE c_custkey % 7 > 0 GROUP BY 1), k AS (SELECT folder, coalesce(sum(size) FILTER (kind = 'analysis'), 0) AS a, count(*) FILTER (kind = 'thumbnail') AS thumbnails, coalesce(sum(size) FILTER (kind = 'thumbnail'), 0) AS t, count(DISTINCT log) FILTER (kind = 'log') AS logs FROM named GROUP BY 1) SELECT folder, CAST(a AS BIGINT) AS analysis_bytes, thumbnails, CAST(t AS BIGINT) AS thumbnail_bytes, logs, coalesce(c, 0) AS analysis_entries, CAST(a + t AS BIGINT) AS total_bytes FROM k LEFT JOIN e USING (folder)",
+    "store_cleared": f"{_STORE_FILES_SQL} SELECT folder, CAST(coalesce(sum(size) FILTER (kind IN ('analysis', 'thumbnail')), 0) AS BIGINT) AS freed, count(*) FILTER (kind IN ('log', 'other')) AS left, count(*) FILTER (kind IN ('log', 'other')) = 0 AS gone FROM named GROUP BY 1",
+    "store_cleared_whole": f"{_STORE_FILES_SQL} SELECT folder, CAST(coalesce(sum(size) FILTER (kind <> 'other'), 0) AS BIGINT) AS freed, count(*) FILTER (kind = 'other') AS left, count(*) FILTER (kind = 'other') = 0 AS gone FROM named GROUP BY 1",
     "gathered_frames": f"WITH {_STORE_SQL}, {_FRESH_SQL} SELECT path, input_order, sharpness FROM inv JOIN good USING (path, mtime, size) UNION ALL SELECT path, input_order, mtime FROM todo",
     "analysis_progress": f"WITH {_STORE_SQL}, {_FRESH_SQL} SELECT count(*) AS done, count(*) AS total, (SELECT count(*) FROM inv SEMI JOIN good USING (path, mtime, size)) AS cached, (SELECT count(error) FROM inv JOIN good USING (path, mtime, size)) + (SELECT count(*) FROM todo WHERE size % 290 = 0) AS failed FROM inv",
     "manual_grades": f"{_EDITED_SQL} SELECT batch_id, count(*) FILTER (final_grade = 'keep') AS keep, count(*) FILTER (final_grade = 'review') AS review, count(*) FILTER (final_grade = 'reject') AS reject FROM final GROUP BY 1",
     "export_plan": f"{_PLAN_SQL} SELECT * FROM plan",
     "export_skipped": f"{_PLAN_SQL} SELECT batch_id, path, 'missing source' AS reason FROM numbered WHERE input_order % 29 = 0",
-    "export_counts": f"{_PLAN_SQL} SELECT batch_id, count(*) FILTER (grade = 'keep') AS keep, count(*) FILTER (grade = 'review') AS review, count(*) FILTER (grade = 'reject') AS reject FROM plan GROUP BY 1",
+    "export_counts": f"{_PLAN_SQL} SELECT batch_id, count(*) FILTER (grade = 'keep') AS keep, count(*) FILTER (grade = 'review') AS review, count(*) FILTER (grade = 'reject') AS reject, count(develop) AS develop FROM plan GROUP BY 1",
     "undo_plan": f"{_UNDO_SQL} SELECT * FROM steps",
     "undo_counts": f"{_UNDO_SQL} SELECT batch_id, count(*) FILTER (status = 'ok' AND action = 'move_back') AS restored, count(*) FILTER (status = 'ok' AND action = 'delete') AS deleted, count(*) FILTER (status <> 'ok') AS failed FROM steps GROUP BY 1",
     "queue_merge": "SELECT '/q/' || o_custkey AS source, min(o_orderkey) AS seq, arg_max(o_orderpriority, o_orderkey) AS preset_name FROM orders GROUP BY 1",
     "queue_changes": "WITH o AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey % 3 <> 0) SELECT count(*) FILTER (o.c IS NULL) AS added, count(o.c) AS updated FROM n LEFT JOIN o USING (c)",
+    "queue_counts": "SELECT count(*) AS entries, count(*) FILTER (last % 5 < 3) AS develop FROM (SELECT o_custkey, max(o_orderkey) AS last FROM orders GROUP BY 1)",
     "queue_removal": "SELECT '/q/' || o_custkey AS source, min(o_orderkey) AS seq FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0) GROUP BY 1",
     "newest_logs": "SELECT o_custkey % 20 AS root, 'log' || max(o_orderkey) AS file, max(o_orderkey) AS created FROM orders GROUP BY 1",
     "camera_gain": f"{_SAMPLES_SQL} SELECT camera_key, samples, round(CASE WHEN neutral THEN 1.0::DOUBLE ELSE b / mean END, 9) AS gain_b, round(CASE WHEN neutral THEN 1.0::DOUBLE ELSE g / mean END, 9) AS gain_g, round(CASE WHEN neutral THEN 1.0::DOUBLE ELSE r / mean END, 9) AS gain_r FROM d",

@@ -314,7 +314,7 @@ ORACLES = {
     "raw_count": f"WITH {FRAMES_SQL} SELECT count(*) FILTER (name SIMILAR TO '.*\\.(ARW|CR3|NEF)') AS raws, count(*) FILTER (NOT name SIMILAR TO '.*\\.(ARW|CR3|NEF)') AS others FROM frames",
     "face_size_bonus": f"WITH {FRAMES_SQL} SELECT path, round(8.0::DOUBLE * least(1.0::DOUBLE, face_area_ratio / 0.10::DOUBLE), 9) AS value FROM frames WHERE error IS NULL AND sharpness IS NOT NULL AND face_count > 0",
     "export_folders": f"{_PLACES}, {_EDITED_SQL.removeprefix('WITH RECURSIVE ').replace(FRAMES_SQL + ',', '', 1)} SELECT path AS source, '/out/' || coalesce(printf('p%02d', place_id), '_위치없음') || '/_keep/' || name AS destination FROM final LEFT JOIN placed USING (path) WHERE final_grade = 'keep'",
-    "log_read_back": f"{_UNDO_SQL} SELECT CAST(row_number() OVER (ORDER BY pos) - 1 AS INTEGER) AS pos, 'copy' AS mode, '/o' AS root, CASE WHEN n % 37 <> 0 THEN '/a/' || n END AS source, path AS destination, n % 4 = 0 AS rendered FROM log",
+    "log_read_back": f"{_UNDO_SQL} SELECT pos, 'copy' AS mode, '/o' AS root, CASE WHEN n % 37 <> 0 THEN '/a/' || n END AS source, path AS destination, n % 4 = 0 AS rendered FROM log",
     "queue_read_back": "SELECT o_orderkey AS seq, '/q/' || o_custkey AS source, o_orderpriority AS preset_name FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0",
     "calibrations_read_back": "SELECT 'cam' || c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 12 ELSE CAST(c_custkey % 9 AS INTEGER) END AS samples, 1.1::DOUBLE AS first_gain FROM customer WHERE c_custkey % 5 > 1 AND (c_custkey % 2 = 0 OR c_custkey % 3 <> 0) AND c_custkey % 8 <> 4",
     "lens_catalogue_files": f"WITH {_CATALOGUE_SQL} SELECT CAST(low % 2 AS INTEGER) AS layer, maker, model, count(*) AS n, max(low) AS low, max(low) * 3 AS high, 2 AS mounts FROM cat GROUP BY 1, 2, 3",

@@ -5,11 +5,14 @@ All readers take an explicit schema; rows that can't be one are dropped, never a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-LOG = (
+LOG = "version int, created string, mode string, root string, pos long, source string, destination string, grade string, rendered boolean"
+LOG_DOCUMENT = (
     "version int, created string, mode string, root string, "
     "operations array<struct<source:string,destination:string,grade:string,rendered:boolean>>"
 )
@@ -17,28 +20,46 @@ QUEUE = "seq long, source string, develop string, grade string, preset_name stri
 CALIBRATION = "key string, camera string, gain array<double>, samples int"
 
 
-def write_log(operations: DataFrame, path: str, created: str, mode: str, root: str, version: int = 1) -> None:
-    """One log of a plan: its operations (source, destination, grade, rendered) in the order of index."""
-    cells = F.struct("index", F.struct("source", "destination", "grade", "rendered").alias("op"))
-    ordered = F.transform(F.array_sort(F.collect_list(cells)), lambda x: x["op"])
+def write_log(operations: DataFrame, path: str, created: str, mode: str, root: str, version: int = 2, name: str | None = None) -> None:
+    """One log of a plan (index, source, destination, grade, rendered) as the folder log=name below path.
+
+    Every task writes its own operations, a row each with its place in the plan; a first row without a place says that the
+    log exists, so that a plan without operations has one too.  name is letters, digits, dots, dashes and underscores, by
+    default taken from created; a name that stands already is an error.
+    """
+    name = name or "export_" + re.sub(r"\W", "", created)
+    if not re.fullmatch(r"[\w.-]+", name, re.ASCII):
+        raise ValueError(f"not a log's name: {name}")
     head = [F.lit(v).alias(k) for k, v in (("version", version), ("created", created), ("mode", mode), ("root", root))]
-    operations.agg(ordered.alias("operations")).select(*head, "operations").coalesce(1).write.mode("append").json(path)
+    cells = ["source", "destination", "grade", "rendered"]
+    rows = operations.select(*head, F.col("index").cast("long").alias("pos"), *cells)
+    first = operations.sparkSession.range(1).select(*head)
+    first.unionByName(rows, allowMissingColumns=True).write.json(f"{path}/log={name}")
+
+
+def _log_rows(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.schema(LOG).option("recursiveFileLookup", True).json(path)
+    file = F.regexp_extract(F.col("_metadata.file_path"), r"/log=([^/]+)/[^/]+$", 1)
+    return rows.withColumn("file", file).where("file <> '' and created is not null")
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, created, mode, root, pos, source, destination, grade, rendered): every operation of every log."""
-    rows = spark.read.schema(LOG).json(path).select("*", F.col("_metadata.file_name").alias("file"))
-    rows = rows.where("operations is not null")
-    return rows.select("file", "created", "mode", "root", F.posexplode("operations").alias("pos", "op")).select(
-        "file", "created", "mode", "root", "pos", "op.*"
-    )
+    """(file, created, mode, root, pos, source, destination, grade, rendered): every operation of every log below path."""
+    return _log_rows(spark, path).where("pos is not null").select("file", *[c.split()[0] for c in LOG.split(", ")[1:]])
+
+
+def read_log_documents(spark: SparkSession, path: str) -> DataFrame:
+    """read_logs() for logs that are one JSON document each, with an array of operations, as desktop tools write them."""
+    rows = spark.read.schema(LOG_DOCUMENT).option("multiLine", True).json(path).select("*", F.col("_metadata.file_name").alias("file"))
+    found = rows.where("operations is not null").select("file", "created", "mode", "root", F.posexplode("operations").alias("pos", "op"))
+    return found.select("file", "created", "mode", "root", F.col("pos").cast("long").alias("pos"), "op.*")
 
 
 def newest_log(spark: SparkSession, path: str) -> DataFrame:
-    """The operations of each root's newest log, last one first."""
-    logs = read_logs(spark, path)
-    last = logs.groupBy("root").agg(F.max_by("file", F.struct("created", "file")).alias("file"))
-    return logs.join(last, ["root", "file"], "left_semi").orderBy("root", F.desc("pos"))
+    """The operations of each root's newest log, last one first; none where that log is empty."""
+    heads = _log_rows(spark, path).where("pos is null")
+    last = heads.groupBy("root").agg(F.max_by("file", F.struct("created", "file")).alias("file"))
+    return read_logs(spark, path).join(last, ["root", "file"], "left_semi").orderBy("root", F.desc("pos"))
 
 
 def write_queue(entries: DataFrame, path: str) -> None:
@@ -114,3 +135,28 @@ class FileListing(DataSource):
 def listing(spark: SparkSession, root: str) -> DataFrame:
     spark.dataSource.register(FileListing)
     return spark.read.format("file_listing").load(root)
+
+
+def _remove(frames):
+    from pyarrow import fs
+
+    for frame in frames:
+        for uri in frame["path"]:
+            store, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+            if store.get_file_info(path).type == fs.FileType.File:
+                store.delete_file(path)
+        yield frame
+
+
+def clear_store(spark: SparkSession, root: str, keep_logs: bool = True) -> DataFrame:
+    """Deletes what store.clearing() names below root, each task its share, and returns the listing from before.
+
+    A file that is gone already, as when a lost task is run again, is passed over.
+    """
+    from framesieve.operators import store
+    from framesieve.sources.shared import stored
+
+    before = stored(listing(spark, root), "store-listing")
+    doomed = store.clearing(before, keep_logs).where("deleted").select("path")
+    doomed.mapInPandas(_remove, "path string").write.format("noop").mode("overwrite").save()
+    return before

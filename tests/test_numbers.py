@@ -33,7 +33,7 @@ def test_labels_of_means(spark):
 def test_short_numbers(spark):
     rng = random.Random(5)
     values = [24.0, 2.8, 0.0125, 10.0, 100.0, 123456.0, 70.123456, 99.99995, 999999.4, 1e-4, 35.0000001] + [rng.uniform(0.001, 9999) for _ in range(200)]
-    for r in spark.createDataFrame([(v,) for v in values], "x double").select("x", report.short(F.col("x")).alias("t")).collect():
+    for r in spark.createDataFrame([(v,) for v in values], "x double").select("x", numbers.short(F.col("x")).alias("t")).collect():
         assert r.t == f"{r.x:g}"
 
 
