@@ -48,6 +48,19 @@ def nearest_face(points: DataFrame, faces: DataFrame) -> DataFrame:
     return df.groupBy("frame_id").agg(F.min_by("idx", F.struct(dx * dx + dy * dy, "idx")).alias("af_face"))
 
 
+def area_ratio(w: Column, h: Column, width: Column, height: Column) -> Column:
+    """The share of a picture that a box covers, both in the same pixels; null where the picture has no size."""
+    return F.when((width > 0) & (height > 0), w.cast("double") * h / (width.cast("double") * height))
+
+
+def main_face_ratios(faces: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(frame_id, main_face, face_area_ratio): the main face and its share of the frame's picture (frame_id, width, height)."""
+    chosen = main_face(faces).select("frame_id", F.col("main_face").alias("idx"))
+    rows = faces.select("frame_id", "idx", "w", "h").join(chosen, ["frame_id", "idx"]).join(sizes.select("frame_id", "width", "height"), "frame_id")
+    ratio = area_ratio(F.col("w"), F.col("h"), F.col("width"), F.col("height"))
+    return rows.select("frame_id", F.col("idx").alias("main_face"), ratio.alias("face_area_ratio"))
+
+
 def overlap(a: str, b: str) -> Column:
     """Whether two boxes (structs x, y, w, h) share area."""
     p, q = F.col(a), F.col(b)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framesieve.operators.faces import clip_box
+
 FEATURES = (
     "path string, error string, mean_luma double, clipped_highlights double, clipped_shadows double, dhash long, "
     "noise double, laplacian double, tenengrad double, sharpness double"
@@ -192,34 +194,68 @@ def look_errors(pixels: DataFrame, tones: DataFrame) -> DataFrame:
 
 # -- regions -----------------------------------------------------------------------------------------------------------
 
+#: Fixed value: tiles with fewer pixels on a side are none.
+LEAST_TILE = 8
 TILES = "path string, row int, col int, x int, y int, w int, h int, energy double"
 
 
+def gradient_energy(patch: np.ndarray) -> float:
+    """Mean square of the patch's own gradient, not measured against its variance: tiles of one picture share their light."""
+    p = np.pad(patch, 1, mode="reflect")
+    gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
+    gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
+    return float((gx**2 + gy**2).mean())
+
+
 def _tiles_of(frames):
     names = [x.split()[0] for x in TILES.split(", ")]
     for frame in frames:
         out = []
         for path, height, width, channels, data in frame.itertuples(index=False):
-            if data is None or len(data) != height * width * channels:
+            down, across = height // 4, width // 6
+            if data is None or len(data) != height * width * channels or min(down, across) < LEAST_TILE:
                 continue
             image = gray(np.frombuffer(data, np.uint8).reshape(height, width, channels).squeeze())
             for r in range(4):
                 for c in range(6):
-                    y0, y1 = r * height // 4, (r + 1) * height // 4
-                    x0, x1 = c * width // 6, (c + 1) * width // 6
-                    if y1 > y0 and x1 > x0:
-                        gx = np.diff(image[y0:y1, x0:x1], axis=1)
-                        gy = np.diff(image[y0:y1, x0:x1], axis=0)
-                        energy = float((gx**2).mean() if gx.size else 0) + float((gy**2).mean() if gy.size else 0)
-                        out.append((path, r, c, x0, y0, x1 - x0, y1 - y0, energy))
+                    y, x = r * down, c * across
+                    out.append((path, r, c, x, y, across, down, gradient_energy(image[y : y + down, x : x + across])))
         yield pd.DataFrame(out, columns=names)
 
 
 def tiles(images: DataFrame) -> DataFrame:
-    """The 6 by 4 tiles of every picture with their gradient energy; pictures of a wrong size have none."""
+    """The 6 by 4 equal tiles of every picture with their gradient energy, what is left at the far edges in none.
+
+    Pictures of a wrong size have none, nor have those with tiles below 8 pixels.
+    """
     return images.select("path", "height", "width", "channels", "data").mapInPandas(_tiles_of, TILES)
 
 
+def widened(rows: DataFrame) -> DataFrame:
+    """rows with box: their tile by half its size around its centre, in the full picture and cut at its borders.
+
+    rows needs tile (struct x, y, w, h in the reduced picture), scale (reduced over full), full_width and full_height.
+    """
+    t, scale = F.col("tile"), F.col("scale")
+    x, y = (t["x"] - t["w"] * 0.25) / scale, (t["y"] - t["h"] * 0.25) / scale
+    wide = F.struct(x.alias("x"), y.alias("y"), (t["w"] * 1.5 / scale).alias("w"), (t["h"] * 1.5 / scale).alias("h"))
+    return rows.withColumn("_wide", wide).withColumn("box", clip_box("_wide", "full_width", "full_height")).drop("_wide")
+
+
+def tile_boxes(images: DataFrame, faces: DataFrame | None = None) -> DataFrame:
+    """(path, box): where the most detail of every picture is, as a box of the full picture.
+
+    Without faces a picture whose tiles are too small is its own box; with faces (path, x, y, w, h in the reduced picture)
+    the box is the background's, and null where no tile is free of them.  images needs scale, full_width and full_height.
+    """
+    found = best_tile(tiles(images), faces).select("path", "tile")
+    rows = images.select("path", "scale", "full_width", "full_height").join(found, "path", "left")
+    boxes = widened(rows)
+    whole = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("full_width").alias("w"), F.col("full_height").alias("h"))
+    box = F.when(F.col("tile").isNotNull(), F.col("box"))
+    return boxes.select("path", (F.coalesce(box, whole) if faces is None else box).alias("box"))
+
+
 def best_tile(tile_rows: DataFrame, faces: DataFrame | None = None) -> DataFrame:
     """(path, tile, energy): the tile of most energy, the first in reading order of equals.
 

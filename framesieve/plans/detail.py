@@ -145,6 +145,63 @@ def _levels(spark, sf_dir):
 _LEVELS_SQL = "WITH l AS (SELECT vec_id AS frame_id, 'luma' AS channel, greatest(0, least(255, CAST(floor((x::DOUBLE + 0.5::DOUBLE) * 255) AS INTEGER))) AS level FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings)), c AS (SELECT frame_id, channel, level, count(*) AS n FROM l GROUP BY 1, 2, 3)"
 
 
+def face_area_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("o_orderkey")
+    sizes = table(spark, sf_dir, "orders").select(n.alias("frame_id"), F.when(n % 9 == 0, 0).otherwise(1000 + n % 50).alias("width"), F.lit(600).alias("height"))
+    found = faces.main_face_ratios(_faces(spark, sf_dir), sizes)
+    return found.withColumn("face_area_ratio", F.round("face_area_ratio", 12))
+
+
+def exif_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions of all orders' tags, whole ones and short ones; focal lengths and apertures with places of their own."""
+    n = F.col("path").cast("long")
+    df = meta.metadata(_tags(spark, sf_dir)).withColumns({
+        "name": F.concat("path", F.lit(".arw")), "focal_length": F.when(n % 10 > 0, F.col("focal_length") + n % 977 / 977), "aperture": F.col("aperture") + n % 3 / 8192
+    })
+    whole, short = report.caption(custom="studio"), report.caption(["lens", "focal_length"], known=n % 4 > 0)
+    return df.select("path", whole["left"].alias("caption"), whole["right"].alias("custom"), short["left"].alias("short"))
+
+
+def _tiled_pictures(spark, sf_dir):
+    """Gray pictures of 50 by 35 pixels from embeddings, every eleventh of 40 by 35, whose tiles are too small."""
+    width = F.when(F.col("vec_id") % 11 == 5, 40).otherwise(50)
+    number = lambda k: F.get("embedding", (k % 64).cast("int")).cast("double")
+    level = lambda i: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((number(i * i + F.floor(i / 7)) + 0.5) * 255).cast("int")))
+    shown = F.transform(F.sequence(F.lit(0), width * 35 - 1), lambda i: F.lpad(F.hex(level(i).cast("long")), 2, "0"))
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("path"), F.lit(35).alias("height"), width.alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(shown, "")).alias("data"),
+        F.lit(0.25).alias("scale"), (width * 4).alias("full_width"), F.lit(140).alias("full_height"),
+    )
+
+
+_TILED_SQL = """WITH px AS (SELECT vec_id, i, CASE WHEN vec_id % 11 = 5 THEN 40 ELSE 50 END AS width, embedding FROM embeddings, (SELECT unnest(range(0, 1750)) AS i)),
+v AS (SELECT vec_id, i // 50 // 8 AS tr, i % 50 // 8 AS tc, i // 50 AS r, i % 50 AS c, greatest(0, least(255, CAST(floor((embedding[(i * i + i // 7) % 64 + 1]::DOUBLE + 0.5::DOUBLE) * 255) AS INTEGER))) AS v
+  FROM px WHERE width = 50 AND i // 50 < 32 AND i % 50 < 48),
+side AS (SELECT *, coalesce(lag(v) OVER w, lead(v) OVER w) AS l, coalesce(lead(v) OVER w, lag(v) OVER w) AS o FROM v WINDOW w AS (PARTITION BY vec_id, tr, tc, r ORDER BY c)),
+near AS (SELECT *, coalesce(lag(v) OVER w, lead(v) OVER w) AS u, coalesce(lag(l) OVER w, lead(l) OVER w) AS ul, coalesce(lag(o) OVER w, lead(o) OVER w) AS uo,
+  coalesce(lead(v) OVER w, lag(v) OVER w) AS d, coalesce(lead(l) OVER w, lag(l) OVER w) AS dl, coalesce(lead(o) OVER w, lag(o) OVER w) AS dq FROM side WINDOW w AS (PARTITION BY vec_id, tr, tc, c ORDER BY r)),
+energy AS (SELECT vec_id, tr, tc, sum(pow((uo + 2 * o + dq) - (ul + 2 * l + dl), 2) + pow((dl + 2 * d + dq) - (ul + 2 * u + uo), 2)) AS e FROM near GROUP BY 1, 2, 3),"""
+
+_TILE_BOX_SQL = """spread AS (SELECT vec_id, (tc * 8 - 2) * 4 AS x, (tr * 8 - 2) * 4 AS y FROM best),
+box AS (SELECT vec_id, greatest(0, x) AS x, greatest(0, y) AS y, least(200, x + 48) - greatest(0, x) AS w, least(140, y + 48) - greatest(0, y) AS h FROM spread)"""
+
+
+def subject_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = images.tile_boxes(_tiled_pictures(spark, sf_dir))
+    return found.select("path", *(F.col("box")[c].alias(c) for c in "xywh"))
+
+
+def background_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pictures with a face each, in every seventh so large that no tile is left."""
+    k = F.col("vec_id")
+    big = k % 7 == 0
+    boxes = table(spark, sf_dir, "embeddings").select(
+        k.cast("string").alias("path"), F.when(big, 0).otherwise(k % 40).alias("x"), F.when(big, 0).otherwise(k % 20).alias("y"), F.when(big, 50).otherwise(10).alias("w"), F.when(big, 35).otherwise(12).alias("h")
+    )
+    found = images.tile_boxes(_tiled_pictures(spark, sf_dir), boxes)
+    return found.select("path", *(F.col("box")[c].alias(c) for c in "xywh"))
+
+
 def level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.histogram(_levels(spark, sf_dir)).withColumn("height", F.round("height", 9))
 
@@ -242,7 +299,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exif_metadata, patched_metadata, af_modes, shot_facts, settings_merge, top_faces, main_face, central_face,
-        nearest_face, level_histogram, exposure, tone_quantiles, image_features, lens_match, camera_variants, available_lenses,
+        nearest_face, face_area_ratios, exif_captions, subject_tiles, background_boxes, level_histogram, exposure, tone_quantiles, image_features, lens_match, camera_variants, available_lenses,
         catalogue_coverage,
     )
 }
@@ -267,6 +324,18 @@ SELECT frame_id, first(idx ORDER BY w * h * score DESC, idx) AS main_face FROM d
     "central_face": f"""{_FACES_SQL}, m AS (SELECT *, round(0.25::DOUBLE * (sqrt(w * h) / max(sqrt(w * h)) OVER (PARTITION BY frame_id)) + greatest(0.0::DOUBLE, 1.0::DOUBLE - sqrt(pow((x + w / 2 - 500) / 500, 2) + pow((y + h / 2 - 300) / 300, 2)))
   + 0.25::DOUBLE * (sqrt(energy) / max(sqrt(energy)) OVER (PARTITION BY frame_id)), 9) AS mark FROM f) SELECT frame_id, first(idx ORDER BY mark DESC, idx) AS main_face FROM m GROUP BY 1""",
     "nearest_face": f"{_FACES_SQL}, p AS (SELECT o_orderkey AS frame_id, (o_custkey % 1000)::DOUBLE AS px FROM orders) SELECT frame_id, first(idx ORDER BY pow(x + w / 2 - px, 2) + pow(y + h / 2 - 300, 2), idx) AS af_face FROM f JOIN p USING (frame_id) GROUP BY 1",
+    "face_area_ratios": f"""{_FACES_SQL}, a AS (SELECT *, max(score >= 0.75) OVER (PARTITION BY frame_id) AS sure FROM f), b AS (SELECT *, max(contrast >= 8) OVER (PARTITION BY frame_id) AS rich FROM a WHERE NOT sure OR score >= 0.75),
+c AS (SELECT * FROM b WHERE NOT rich OR contrast >= 8 QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY w * h * score DESC, idx) <= 8), d AS (SELECT *, max(sqrt(energy)) OVER (PARTITION BY frame_id) AS best FROM c),
+m AS (SELECT frame_id, arg_min(struct_pack(idx := idx, area := w * h), struct_pack(p := -w * h * score, i := idx)) AS face FROM d WHERE sqrt(energy) >= 0.85::DOUBLE * best GROUP BY 1)
+SELECT frame_id, face.idx AS main_face, CASE WHEN frame_id % 9 <> 0 THEN round(face.area / ((1000 + frame_id % 50) * 600::DOUBLE), 12) END AS face_area_ratio FROM m JOIN orders ON o_orderkey = frame_id""",
+    "exif_captions": f"""WITH {_META_SQL}, c AS (SELECT *, CASE WHEN n % 10 > 0 THEN printf('%g', focal_length + (n % 977)::DOUBLE / 977) || 'mm' END AS focal, 'f/' || printf('%g', aperture + (n % 3)::DOUBLE / 8192) AS f FROM timed)
+SELECT path, concat_ws('  ·  ', path || '.arw', camera_model, lens_model, focal, f, CASE WHEN shutter_speed < 1 THEN '1/' || CAST(round_even(1 / shutter_speed, 0) AS BIGINT) || 's' WHEN shutter_speed >= 1 THEN '1s' END, CASE WHEN iso <> 0 THEN 'ISO ' || iso END, strftime(capture_time, '%Y-%m-%d %H:%M')) AS caption,
+  'studio' AS custom, CASE WHEN n % 4 = 0 THEN path || '.arw' ELSE concat_ws('  ·  ', lens_model, focal) END AS short FROM c""",
+    "subject_tiles": f"""{_TILED_SQL} best AS (SELECT vec_id, tr, tc FROM energy QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, tr, tc) = 1), {_TILE_BOX_SQL}
+SELECT CAST(e.vec_id AS VARCHAR) AS path, CAST(coalesce(x, 0) AS INTEGER) AS x, CAST(coalesce(y, 0) AS INTEGER) AS y, CAST(coalesce(w, 160) AS INTEGER) AS w, CAST(coalesce(h, 140) AS INTEGER) AS h FROM embeddings e LEFT JOIN box USING (vec_id)""",
+    "background_boxes": f"""{_TILED_SQL} best AS (SELECT vec_id, tr, tc FROM energy WHERE vec_id % 7 <> 0 AND NOT (tc * 8 < vec_id % 40 + 10 AND vec_id % 40 < tc * 8 + 8 AND tr * 8 < vec_id % 20 + 12 AND vec_id % 20 < tr * 8 + 8)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, tr, tc) = 1), {_TILE_BOX_SQL}
+SELECT CAST(e.vec_id AS VARCHAR) AS path, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h FROM embeddings e LEFT JOIN box USING (vec_id)""",
     "level_histogram": f"{_LEVELS_SQL} SELECT frame_id, channel, level, n, round(ln(1 + n) / ln(1 + max(n) OVER (PARTITION BY frame_id)), 9) AS height FROM c",
     "exposure": f"{_LEVELS_SQL} SELECT frame_id, round(avg(level), 9) AS mean_luma, round(avg(CASE WHEN level >= 250 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS clipped_highlights, round(avg(CASE WHEN level <= 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS clipped_shadows FROM l GROUP BY 1",
     "tone_quantiles": f"{_LEVELS_SQL}, q AS (SELECT frame_id, quantile_cont(level::DOUBLE, [{', '.join(repr(0.02 + 0.96 * i / 15) for i in range(16))}]) AS q FROM l GROUP BY 1) SELECT frame_id, CAST(unnest(range(0, 16)) AS INTEGER) AS step, round(unnest(q), 6) AS level FROM q",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from framesieve import config
 from framesieve.config import GroupConfig, ScoreConfig
-from framesieve.operators import calibrate, export, grade, images, lenses, places, report, review, scenes, score, store
+from framesieve.operators import calibrate, export, faces, grade, images, lenses, places, report, review, scenes, score, store
 from framesieve.sources import inventory, metadata
 
 FRAME = (
@@ -211,7 +211,7 @@ def test_small_rules(spark):
 def test_regions_and_means(spark):
     image = np.full((80, 120), 100, np.uint8)
     image[20:40, 40:60] = np.random.default_rng(3).integers(0, 255, (20, 20))
-    image[60:80, 100:120:2] = 130
+    image[60:80, 108:114] = 130
     colour = np.full((20, 20, 3), 120, np.uint8)
     colour[:, :, 2] = 126
     rows = [("/a", 80, 120, 1, image.tobytes()), ("/c", 20, 20, 3, colour.tobytes()), ("/bad", 5, 5, 3, b"x"), ("/none", 5, 5, 3, None)]
@@ -220,6 +220,16 @@ def test_regions_and_means(spark):
     assert images.best_tile(tiles).first().tile.asDict() == {"x": 40, "y": 20, "w": 20, "h": 20}
     face = spark.createDataFrame([("/a", 45, 25, 5, 5)], "path string, x int, y int, w int, h int")
     assert images.best_tile(tiles, face).first().tile.asDict() == {"x": 100, "y": 60, "w": 20, "h": 20}
+    big = pictures.where("path in ('/a', '/bad')").withColumns({"scale": F.lit(0.5), "full_width": F.lit(240), "full_height": F.lit(160)})
+    box = lambda faces=None: {r.path: r.box and tuple(r.box) for r in images.tile_boxes(big, faces).collect()}
+    assert box() == {"/a": (70, 30, 60, 60), "/bad": (0, 0, 240, 160)}
+    assert box(face) == {"/a": (190, 110, 50, 50), "/bad": None}
+    whole = spark.createDataFrame([("/a", 0, 0, 120, 80)], "path string, x int, y int, w int, h int")
+    assert box(whole) == {"/a": None, "/bad": None}
+    # Stripes that alternate from pixel to pixel have no gradient across two pixels.
+    assert images.gradient_energy(np.tile([0.0, 9.0], (8, 4))) == 0 < images.gradient_energy(np.tile([0.0, 0.0, 9.0, 9.0], (8, 2)))
+    one = spark.range(1).select(faces.area_ratio(F.lit(30), F.lit(20), F.lit(100), F.lit(60)).alias("a"), faces.area_ratio(F.lit(3), F.lit(2), F.lit(0), F.lit(6)).alias("b")).first()
+    assert (one.a, one.b) == (0.1, None)
     means = images.channel_means(pictures).collect()
     assert [(r.path, r.mean_b, r.mean_r) for r in means] == [("/c", 120.0, 126.0)]
     box = "struct<x:int,y:int,w:int,h:int>"
