@@ -1,12 +1,16 @@
 """Article text of web pages by wrapper induction.
 
-Every page is parsed once into a tree of its block elements, stored without scripts, forms, navigation and what else the
-HTML standard keeps out of a text.  Pages of a host whose trees have the same kinds of text blocks share a layout.  One
-page of each layout is its reference; all its pages are aligned with it by simple tree matching.  What stands at each node
-of the reference is counted over all of them: nodes with one text on different pages are template, all others are slots.
+Every page is parsed once into a tree of all its block elements; only scripts and other raw elements are left out.  Pages
+of a host whose trees have the same kinds of text blocks share a layout.  One page of each layout is its reference; all
+its pages are aligned with it by simple tree matching.  What stands at each node of the reference is counted over all of
+them: nodes with one text on different pages are template, all others are slots.
 The container of the article is the node under which most of the slots' text lies, text in links left out; content are its
 slots that are no link lists, and blocks of a page that the reference lacks but that stand in the container.
 
+Elements and names that never stand for an article (dom.APART and the lists beside it) only mark pieces of text.  A layout
+of ENOUGH different pages ignores the marks: its wrapper comes from the alignment.  One of fewer pages cannot show what
+varies, so its marked pieces are left out before induction.  Pages are different where their unmarked texts are.
+
 Counts are per layout and node, summed before the shuffle; no group is gathered but one reference tree and its counts.
 """
 
@@ -22,8 +26,10 @@ from .dom import BLOCK, HEADINGS, parse
 
 #: Weight of a matched node; an equal text adds one.
 NODE = 4096
+#: As many different pages of a layout tell its template from its slots.
+ENOUGH = 3
 TEXTS = "page_id long, url string, text string"
-TREE = "labels array<long>, parents array<int>, owners array<int>, keys array<long>, sizes array<int>, links array<int>"
+TREE = "labels array<long>, parents array<int>, owners array<int>, keys array<long>, sizes array<int>, links array<int>, marks array<boolean>"
 PAGES = "page_id long, url string, host string, layout long, whole long, texts array<string>, " + TREE
 COUNTED = "host string, layout long, node int, text long, chars long, links long"
 WRAPPER = "host string, layout long, keep array<int>, inside array<int>"
@@ -42,16 +48,16 @@ def _key(text: str, seed: int = 0) -> int:
 
 
 class Tree:
-    """The block elements of a page that are not apart, and their own texts.
+    """The block elements of a page and their own texts.
 
     labels: a hash of tag and classes each, the lowest bit set for headings; parents come before children, node 0 is the
-    root.  owners, keys, sizes, links: the node, hash, characters and characters in links of each piece of text, in page
-    order; texts: the pieces themselves, where they are at hand.
+    root.  owners, keys, sizes, links, marks: the node, hash, characters, characters in links and mark of each piece of
+    text, in page order; texts: the pieces themselves, where they are at hand.
     """
 
-    def __init__(self, labels, parents, owners, keys, sizes, links, texts=()):
+    def __init__(self, labels, parents, owners, keys, sizes, links, marks, texts=()):
         self.labels, self.parents, self.owners, self.texts = labels, parents, owners, texts
-        self.keys, self.sizes, self.links = keys, sizes, links
+        self.keys, self.sizes, self.links, self.marks = keys, sizes, links, marks
         self.children: list[list[int]] = [[] for _ in labels]
         for node, parent in enumerate(parents[1:], 1):
             self.children[parent].append(node)
@@ -62,15 +68,19 @@ class Tree:
         at = {0: 0}
         labels, parents = [0], [-1]
         for e in range(1, len(page.tags)):
-            if page.tags[e] in BLOCK and not page.apart[e]:
+            if page.tags[e] in BLOCK:
                 at[e] = len(labels)
                 labels.append(_key(page.labels[e]) >> 1 << 1 | (page.tags[e] in HEADINGS))
                 parents.append(at[page.parents[e]])
             else:
                 at[e] = at[page.parents[e]]
-        kept = [(at[e], text, n) for e, text, n in page.blocks if not page.apart[e]]
-        owners, texts, links = ([x[i] for x in kept] for i in range(3))
-        return cls(labels, parents, owners, [_key(t) for t in texts], [len(t) for t in texts], links, texts)
+        owners, texts, links = ([x[i] for x in page.blocks] for i in range(3))
+        marks, nodes = [page.apart[e] for e in owners], [at[e] for e in owners]
+        return cls(labels, parents, nodes, [_key(t) for t in texts], [len(t) for t in texts], links, marks, texts)
+
+    def unmarked(self, values) -> list:
+        """Of values, one a piece, those of pieces without a mark."""
+        return [v for v, mark in zip(values, self.marks) if not mark]
 
     def paths(self) -> list[int]:
         out = [0]
@@ -96,10 +106,12 @@ class Tree:
                 sizes[self.parents[node]] += sizes[node]
         return out
 
-    def node_texts(self) -> dict[int, tuple[int, int, int]]:
-        """(hash of the text, characters, characters in links) by node."""
+    def node_texts(self, marked: bool = True) -> dict[int, tuple[int, int, int]]:
+        """(hash of the text, characters, characters in links) by node; without marked pieces if marked is false."""
         found: dict[int, tuple[int, int, int]] = {}
-        for e, key, size, n in zip(self.owners, self.keys, self.sizes, self.links):
+        for e, key, size, n, mark in zip(self.owners, self.keys, self.sizes, self.links, self.marks):
+            if mark and not marked:
+                continue
             old = found.get(e)
             found[e] = (_key(f"{old[0]} {key}"), old[1] + size, old[2] + n) if old else (key, size, n)
         return found
@@ -212,7 +224,7 @@ def induce(reference: Tree, counts: dict[int, tuple[int, int, int, int]], share:
     distinct texts, characters, characters in links) over all pages of the layout.  A text that three or more different
     pages share is template, whatever page the reference is.
     """
-    slots = {e: c for e, c in counts.items() if e < 0 or c[1] > max(1, c[0] // 10) or c[0] < 3}
+    slots = {e: c for e, c in counts.items() if e < 0 or c[1] > max(1, c[0] // 10) or c[0] < ENOUGH}
     size = len(reference.labels)
     own, heading = [0.0] * size, [False] * size
     for e, (_, _, chars, links) in slots.items():
@@ -248,7 +260,7 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-_KINDS = [pa.list_(k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())]
+_KINDS = [pa.list_(k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())]
 
 
 def _parse(batches, most: int = 500):
@@ -257,7 +269,7 @@ def _parse(batches, most: int = 500):
             batch = whole.slice(low, most)
             trees = [Tree.of(x.as_py() or "") for x in batch.column(3)]
             cells = [[getattr(t, n) for t in trees] for n in _names(TREE)]
-            wholes = [_key(" ".join(map(str, t.keys))) for t in trees]
+            wholes = [_key(" ".join(map(str, t.unmarked(t.keys)))) for t in trees]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i) for i in range(3)),
@@ -271,8 +283,8 @@ def _parse(batches, most: int = 500):
 
 
 def _trees(batch, first: int) -> list[Tree]:
-    """The trees in six columns of a batch; None where a column is null."""
-    columns = [batch.column(i).to_pylist() for i in range(first, first + 6)]
+    """The trees in the columns of a batch from first on; None where a column is null."""
+    columns = [batch.column(i).to_pylist() for i in range(first, first + len(_KINDS))]
     return [Tree(*cells) if cells[0] else None for cells in zip(*columns)]
 
 
@@ -281,10 +293,12 @@ def _count(batches, most: int = 500):
         for low in range(0, whole.num_rows, most):
             batch = whole.slice(low, most)
             rows: list[tuple] = []
-            hosts, layouts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for host, layout, page, reference in zip(hosts, layouts, _trees(batch, 2), _trees(batch, 8)):
+            hosts, layouts, pages = (batch.column(i).to_pylist() for i in range(3))
+            trees = zip(hosts, layouts, pages, _trees(batch, 3), _trees(batch, 3 + len(_KINDS)))
+            for host, layout, n_pages, page, reference in trees:
                 nodes = aligned(reference, page)
-                rows += [(host, layout, nodes[e], t, n, k) for e, (t, n, k) in page.node_texts().items()]
+                found = page.node_texts(n_pages >= ENOUGH)
+                rows += [(host, layout, nodes[e], t, n, k) for e, (t, n, k) in found.items()]
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _names(COUNTED))
@@ -307,18 +321,21 @@ def _extract(batches, most: int = 500):
     for whole in batches:
         for low in range(0, whole.num_rows, most):
             batch = whole.slice(low, most)
-            keeps, pieces, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
-            for keep, own, page, reference in zip(keeps, pieces, _trees(batch, 4), _trees(batch, 10)):
+            (keeps, pages, pieces), texts = (batch.column(i).to_pylist() for i in (2, 3, 4)), []
+            trees = zip(keeps, pages, pieces, _trees(batch, 5), _trees(batch, 5 + len(_KINDS)))
+            for keep, n_pages, own, page, reference in trees:
                 if reference is None or keep is None:
-                    texts.append(" ".join(own))
+                    texts.append(" ".join(page.unmarked(own)))
                     continue
                 nodes, kept = aligned(reference, page), set(keep)
-                texts.append(" ".join(t for e, t in zip(page.owners, own) if nodes[e] in kept))
+                free = [n_pages >= ENOUGH or not mark for mark in page.marks]
+                texts.append(" ".join(t for e, t, f in zip(page.owners, own, free) if f and nodes[e] in kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], _names(TEXTS))
 
 
 def wrappers(parsed: DataFrame) -> DataFrame:
-    """Per host and layout the reference's tree, keep and inside, from all parsed pages of it; copies of a page count once."""
+    """Per host and layout the number of different pages, the reference's tree, keep and inside, from all parsed pages of it;
+    copies of a page count once."""
     tree, layout = _names(TREE), ["host", "layout"]
     # Equal pages are one: a copy shows nothing about what varies.
     once = parsed.groupBy(*layout, "whole").agg(F.min("_row").alias("_row"))
@@ -328,7 +345,7 @@ def wrappers(parsed: DataFrame) -> DataFrame:
     # Texts stay where they are: hashes and lengths are all that counting needs.
     pages = parsed.select("_row", *layout, *tree).join(once.select("_row"), "_row", "left_semi").where(F.size("keys") > 0)
     refs = [f"ref_{c}" for c in tree]
-    rows = pages.join(reference, layout).select(*layout, *tree, *refs).mapInArrow(_count, COUNTED)
+    rows = pages.join(reference, layout).select(*layout, "n", *tree, *refs).mapInArrow(_count, COUNTED)
     texts = rows.groupBy(*layout, "node", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     nodes = texts.groupBy(*layout, "node").agg(
         F.sum("n").alias("pages"), F.count("*").alias("variants"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
@@ -336,7 +353,7 @@ def wrappers(parsed: DataFrame) -> DataFrame:
     # As many rows as a reference has nodes, twice at most.
     stats = nodes.groupBy(*layout).agg(F.collect_list(F.struct("node", "pages", "variants", "chars", "links")).alias("stats"))
     made = stats.join(reference, layout).select(*layout, "stats", *refs).mapInArrow(_induce, WRAPPER)
-    return stored(made.join(reference, layout).select(*layout, "keep", "inside", *refs), "wrappers")
+    return stored(made.join(reference, layout).select(*layout, "n", "keep", "inside", *refs), "wrappers")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -353,4 +370,4 @@ def main_text(pages: DataFrame) -> DataFrame:
     found = wrappers(parsed)
     tree = _names(TREE)
     joined = parsed.join(found, ["host", "layout"], "left")
-    return joined.select("page_id", "url", "keep", "texts", *tree, *(f"ref_{c}" for c in tree)).mapInArrow(_extract, TEXTS)
+    return joined.select("page_id", "url", "keep", "n", "texts", *tree, *(f"ref_{c}" for c in tree)).mapInArrow(_extract, TEXTS)

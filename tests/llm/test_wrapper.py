@@ -64,6 +64,23 @@ def test_layouts_of_one_host(spark):
     assert all(got[4 + i] == f"Other {i} {'words of its own ' * 5}{i}" for i in range(4))
 
 
+def test_marks_count_only_where_pages_are_few(spark):
+    """Three different pages show what varies, whatever a class is called; of one page marked pieces are no text."""
+    source = "<body><div>Fixed {w}</div><div class=promo><h2>Title {i}</h2><p>{a}</p><p>End {i}</p></div></body>"
+    sources = [source.format(w="words", i=i, a=f"Told {i} " * 9) for i in range(4)]
+    got = {r.page_id: r.text for r in wrapper.main_text(_rows(spark, sources)).collect()}
+    assert got == {i: f"Title {i} " + (f"Told {i} " * 9).strip() + f" End {i}" for i in range(4)}
+    small = source.replace("<div>Fixed {w}</div>", "<div>Fixed {w} " + "and many more of them " * 30 + "</div>")
+    one = wrapper.main_text(_rows(spark, [small.format(w="words", i=1, a="Told 1 " * 9)])).first().text
+    assert one.startswith("Fixed words") and "Told" not in one
+
+
+def test_alignment_is_what_cuts(spark, sf):
+    """Of the given pages every text is shorter than the page's pieces: without a wrapper none would be right."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert all(" ".join(Tree.of(r.html).texts) != slow_article(r.html) for r in pages)
+
+
 def test_copies_are_no_template(spark):
     """Copies of one page say nothing about what is fixed; more or fewer paragraphs than the reference are content."""
     sources = [_page(1)] * 6 + [_page(2).replace("<p>Second", "<p>One more 2<p>Second"), _page(3), _page(4)]
@@ -106,9 +123,7 @@ def test_tree_match():
 
 
 def test_parse():
-    def texts(source):
-        return Tree.of(source).texts
-
+    texts = _unmarked
     assert texts("<p>a <b>b</b>c<br>d<p>e&nbsp;&lt;p&gt; f") == ["a bc d", "e <p> f"]
     assert texts('<a title="x > y">k</a><script>var t="</p>";</script><!-- z -->q') == ["kq"]
     assert texts("<nav>n<ul><li>m</nav>k<form>f</form><div class='ad x'>g</div>") == ["k"]
@@ -122,17 +137,22 @@ def test_parse():
         dom.parse(bad)
 
 
+def _unmarked(source):
+    tree = Tree.of(source)
+    return tree.unmarked(tree.texts)
+
+
 def test_marked_wrappers_keep_their_content():
     """An element around the article is no part to leave out, whatever its class says; real parts inside it are."""
     for tag in ('div class="layout sidebar"', 'div class="nav"', 'section id="comments"', 'form id="aspnetForm"'):
         name = tag.split()[0]
         for kind in ("article", "main"):
             page = f"<body><{tag}><nav>menu</nav><div class=sidebar>side</div><{kind}><p>The text</{kind}></{name}><footer>f</footer>"
-            assert Tree.of(page).texts == ["The text"], (tag, kind)
+            assert _unmarked(page) == ["The text"], (tag, kind)
         page = f"<body><{tag}><nav>menu</nav><div class=sidebar>side</div><div><p>{'The text ' * 9}</div></{name}>"
-        assert Tree.of(page).texts == [("The text " * 9).strip()]
+        assert _unmarked(page) == [("The text " * 9).strip()]
     page = "<article>own</article><div class=comments><article>a comment</article></div><aside><main>m</main></aside>"
-    assert Tree.of(page).texts == ["own"]
+    assert _unmarked(page) == ["own"]
 
 
 def test_odd_rows(spark):
