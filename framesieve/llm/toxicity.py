@@ -100,16 +100,32 @@ def words_in(raws: list[bytes], order: int) -> Words:
     return Words(grams, starts, sizes, np.searchsorted(ends, keep[starts], "right"))
 
 
-def distinct_words(words: Words) -> np.ndarray:
-    """Which words are the first of their kind in their text; words are told apart by 64-bit hashes."""
+def word_keys(words: Words, texts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word and the number of its text."""
     if not len(words.starts):
-        return np.zeros(0, bool)
+        return np.zeros(0, np.uint64)
     place = np.arange(len(words.grams)) - np.repeat(words.starts, words.sizes)
     mixed = _mix(words.grams.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    key = _mix(np.add.reduceat(mixed, words.starts) + words.owner.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    first = np.zeros(len(key), bool)
-    first[np.unique(key, return_index=True)[1]] = True
-    return first
+    return _mix(np.add.reduceat(mixed, words.starts) + texts.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+class Distinct:
+    """Which words are the first of their kind in their text, for parts in their order; a text may go on in later parts."""
+
+    def __init__(self):
+        self.text, self.seen = -1, np.zeros(0, np.uint64)
+
+    def first(self, words: Words, owners: np.ndarray) -> np.ndarray:
+        """owners: the text of each part that words were found in."""
+        texts = owners[words.owner]
+        keys = word_keys(words, texts)
+        first = np.zeros(len(keys), bool)
+        first[np.unique(keys, return_index=True)[1]] = True
+        first &= ~np.isin(keys, self.seen)
+        ours = np.unique(keys[texts == owners[-1]])
+        self.seen = np.union1d(self.seen, ours) if owners[-1] == self.text else ours
+        self.text = owners[-1]
+        return first
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -149,10 +165,10 @@ def _partial(order: int, most_keys: int = 4_000_000):
         for batch in batches:
             label, picked = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             kinds = label.astype(np.int64) + 2 * picked.astype(np.int64)
-            # A text cut into segments may count a word once in each; such texts are beyond a million bytes.
+            distinct = Distinct()
             for parts, owners in batched(x.as_py() or b"" for x in batch.column(0)):
                 words = words_in(parts, order)
-                first = distinct_words(words)
+                first = distinct.first(words, owners)
                 kind = kinds[owners[words.owner]]
                 keys = words.grams.astype(np.int64) * 4 + np.repeat(kind, words.sizes)
                 held.append(np.unique(keys[np.repeat(first, words.sizes)], return_counts=True))

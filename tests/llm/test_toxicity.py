@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framesieve.llm import queries, toxicity
@@ -85,8 +86,6 @@ def test_against_the_definition():
 
 def test_counts_of_a_task():
     """Each distinct word of a text counts once, however the texts are batched."""
-    import pyarrow as pa
-
     texts = ["aa aa b", "b", "", "c aa"]
     batch = pa.RecordBatch.from_arrays(
         [pa.array([t.encode() for t in texts]), pa.array([1, 0, 1, 0], pa.int32()), pa.array([False, False, True, True])],
@@ -108,6 +107,28 @@ def test_long_texts_are_read_whole():
     assert toxicity.evidence(model, [raw, b"a b"])[0, 4] == math.log1p(400_002)
 
 
+def test_words_of_a_long_text_count_once():
+    """A text beyond one part counts each of its words once, as short texts do; empty texts may stand between."""
+    long = " ".join(f"w{'abcdefgh'[k % 8]} x{'stuv'[k % 4]}" for k in range(400_000))
+    texts = ["wa wa", long, "", "wa", long[::-1], None]
+    assert len(long.encode()) > 2_000_000
+    order = 3
+    kept = Counter()
+    for text in texts:
+        for word in set((text or "").split()):
+            kept[word] += 1
+    want = Counter()
+    for word, n in kept.items():
+        found = toxicity.words_in([word.encode()], order)
+        for gram in found.grams:
+            want[int(gram)] += n
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([None if t is None else t.encode() for t in texts]), pa.array([0] * 6), pa.array([False] * 6)], ["raw", "toxic", "picked"]
+    )
+    out = next(toxicity._partial(order)([batch]))
+    assert {k // 4: n for k, n in zip(*(c.to_pylist() for c in out.columns))} == want
+
+
 def test_held_out_accuracy(spark, sf):
     sf = sf.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
