@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 OWN = ["geometry", "masks"]
 OWN_OF_PRESET = [*OWN, "watermark"]
 
-#: Kinds of numbers as VARIANT names them, DECIMAL with its digits behind.
-_NUMBER = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 _LARGEST = float(1 << 63)
 
 
@@ -24,24 +22,35 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def _once(value: Column, then) -> Column:
+    """then(value) with value worked out once for a row, however often then names it.
+
+    A column that is named several times is otherwise written out, and run, as often: every key would parse the JSON anew.
+    """
+    return F.transform(F.array(value), then)[0]
+
+
 def coerced(value: Column, default) -> Column:
     """A variant brought to the type of default, or default.
 
     Truth: truth, or whether a number is not zero.  Whole numbers: numbers and texts of numbers, cut towards zero, but no
     truth.  Numbers: numbers and texts of numbers, finite ones.  Texts: texts alone.
     """
-    number = _kind(value).rlike(_NUMBER)
-    as_number = F.when(number | (_kind(value) == "STRING"), F.try_variant_get(value, "$", "double"))
-    finite = F.when(F.abs(as_number) < F.lit(float("inf")), as_number)
+    return _once(value, lambda v: _once(_kind(v), lambda kind: _coerced(v, kind, default)))
+
+
+def _coerced(value: Column, kind: Column, default) -> Column:
+    text = kind == "STRING"
+    if isinstance(default, str):
+        return F.when(text, F.try_variant_get(value, "$", "string")).otherwise(default)
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
     if isinstance(default, bool):
-        truth = F.when(_kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(number, as_number != 0)
-        return F.coalesce(truth, F.lit(default))
+        truth = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        return F.coalesce(truth.when(number, F.try_variant_get(value, "$", "double") != 0), F.lit(default))
+    as_number = F.when(number | text, F.try_variant_get(value, "$", "double"))
     if isinstance(default, int):
-        whole = F.when(F.abs(finite) < _LARGEST, finite).cast("long")
-        return F.coalesce(whole, F.lit(default).cast("long"))
-    if isinstance(default, float):
-        return F.coalesce(finite, F.lit(default))
-    return F.coalesce(F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string")), F.lit(default))
+        return _once(as_number, lambda x: F.coalesce(F.when(F.abs(x) < _LARGEST, x).cast("long"), F.lit(default).cast("long")))
+    return _once(as_number, lambda x: F.coalesce(F.when(F.abs(x) < F.lit(float("inf")), x), F.lit(default)))
 
 
 def typed(stored: Column, defaults: dict) -> Column:
@@ -49,22 +58,31 @@ def typed(stored: Column, defaults: dict) -> Column:
 
     defaults has a dict of keys per section; a section whose default is a list is kept whole where it is a list.
     """
-    whole = F.try_parse_json(stored)
-    sections = []
-    for name, keys in defaults.items():
-        at = F.try_variant_get(whole, f"$.{name}", "variant")
+
+    def section(keys):
         if isinstance(keys, list):
-            kept = F.when(_kind(at).startswith("ARRAY"), F.to_json(at))
-            sections.append(F.coalesce(kept, F.lit(json.dumps(keys))).alias(name))
-            continue
-        fields = [coerced(F.try_variant_get(at, f"$.{key}", "variant"), value).alias(key) for key, value in keys.items()]
-        sections.append(F.struct(*fields).alias(name))
-    return F.struct(*sections)
+            return lambda at: F.coalesce(F.when(_kind(at).startswith("ARRAY"), F.to_json(at)), F.lit(json.dumps(keys)))
+        return lambda at: F.struct(
+            *(coerced(F.try_variant_get(at, f"$.{key}", "variant"), value).alias(key) for key, value in keys.items())
+        )
+
+    def sections(whole: Column) -> Column:
+        found = {name: F.try_variant_get(whole, f"$.{name}", "variant") for name in defaults}
+        return F.struct(*(_once(at, section(defaults[name])).alias(name) for name, at in found.items()))
+
+    return _once(F.try_parse_json(stored), sections)
 
 
 def neutral(defaults: dict, names: list[str] | None = None) -> Column:
     """The struct of defaults, or of some of its sections."""
-    return typed(F.lit("{}"), {k: v for k, v in defaults.items() if names is None or k in names})
+
+    def section(keys) -> Column:
+        if isinstance(keys, list):
+            return F.lit(json.dumps(keys))
+        whole = lambda v: isinstance(v, int) and not isinstance(v, bool)
+        return F.struct(*((F.lit(v).cast("long") if whole(v) else F.lit(v)).alias(k) for k, v in keys.items()))
+
+    return F.struct(*(section(keys).alias(name) for name, keys in defaults.items() if names is None or name in names))
 
 
 def shared(own: Column, given: Column, defaults: dict, keep: list[str] = OWN) -> Column:

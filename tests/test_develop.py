@@ -83,3 +83,20 @@ def test_option_rules(spark):
     assert [tuple(r)[:4] for r in got] == [("webp", "none", "srgb", 8), ("tiff", "percent", "adobe_rgb", 16), ("jpeg", "none", "srgb", 8)]
     assert [[tuple(c) for c in r.changed] for r in got][:2] == [[("color_space", "adobe_rgb", "srgb"), ("bit_depth", "16", "8")], []]
     assert got[0].grades == ["keep", "keep"] and got[1].grades == got[2].grades == ["keep", "review", "reject"]
+
+
+def test_settings_are_parsed_once_a_row(spark):
+    """However many keys and sections are taken from them: what a plan parses, it parses in one place."""
+    defaults = {"a": {"n": 0, "x": 0.0, "on": False, "name": "p"}, "geometry": {"left": 0}, "masks": [], "watermark": {"text": ""}}
+    stored = spark.createDataFrame([(1, '{"a":{"n":"7.9","x":2},"masks":[1]}'), (2, "{oops"), (3, None)], "id int, s string").repartition(2)
+    given = settings.neutral(defaults)
+    own = F.when(F.col("id") > 0, settings.typed(F.col("s"), defaults))
+    df = stored.select("id", own.alias("own")).select("id", settings.with_preset(F.col("own"), given, defaults).alias("p"), "own")
+    most = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", most)
+    assert plan.lower().replace("_", "").count("parsejson(") == 1, plan
+    got = {r.id: r.own for r in df.collect()}
+    assert (got[1].a.n, got[1].a.x, got[1].a.on, got[1].a.name, got[1].masks) == (7, 2.0, False, "p", "[1]")
+    assert got[2] == got[3] and got[2].a.n == 0 and got[2].masks == "[]"
