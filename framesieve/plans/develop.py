@@ -258,9 +258,11 @@ def settings_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _two_settings(spark, sf_dir, neutral_every: int):
     df = _stored_settings(spark, sf_dir)
     own = F.when(F.col("id") % 8 != 0, settings.typed(F.col("stored"), DEFAULTS))
-    other = F.lit('{"basic":{"exposure":0.5,"contrast":4},"geometry":{"left":9},"masks":[{"x":9}],"watermark":{"text":"given"}}')
-    given = F.when(F.col("id") % neutral_every == 0, F.lit('{"geometry":{"left":9}}')).otherwise(other)
-    return df.select("id", own.alias("own"), settings.typed(given, DEFAULTS).alias("given"))
+    other = '{"basic":{"exposure":0.5,"contrast":4},"geometry":{"left":9},"masks":[{"x":9}],"watermark":{"text":"given"}}'
+    given = spark.createDataFrame([(False, other), (True, '{"geometry":{"left":9}}')], "is_neutral boolean, stored string")
+    given = given.select("is_neutral", settings.typed(F.col("stored"), DEFAULTS).alias("given"))  # two rows, for all frames
+    rows = df.select("id", own.alias("own"), (F.col("id") % neutral_every == 0).alias("is_neutral"))
+    return rows.join(F.broadcast(given), "is_neutral").drop("is_neutral")
 
 
 def settings_apply_all(spark: SparkSession, sf_dir: str) -> DataFrame:
