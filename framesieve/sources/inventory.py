@@ -57,7 +57,15 @@ def inventory(files: DataFrame, root: str, recursive: bool = True, output_folder
         df = df.where(F.col("parent") == base[:-1])
     df = without_twins(df)
     # The order of a listing is by path parts; row numbers within ranges avoid one task for all files.
-    return with_order(df, F.split("path", "/"))
+    return with_order(df, _by_parts("path"))
+
+
+def _by_parts(path: str) -> Column:
+    """A text that sorts as the parts of path do: what ends a part comes before all that can stand in one."""
+    text = F.col(path)
+    for old, new in (("\x01", "\x01\x02"), ("\x00", "\x01\x01"), ("/", "\x00")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def without_twins(photos: DataFrame) -> DataFrame:
@@ -72,21 +80,21 @@ def without_twins(photos: DataFrame) -> DataFrame:
 def with_order(df: DataFrame, key: Column) -> DataFrame:
     """df with input_order from 0 in the order of key.
 
-    Rows are dealt by ranges of key and numbered inside them; a range's first number is the sum of what lies before it.
-    The ranges are stored with their numbers: what sizes and places are counted from must be one and the same dealing.
+    Rows are dealt by ranges of key, sorted and numbered inside them; a range's first number is the sum of what lies before
+    it.  df is stored first, since ranges are found by a look at all rows before they are dealt.
     """
     from pyspark.sql import Window
 
+    from framesieve.operators.ordered import RANGE_BITS, in_ranges
+
     from .shared import stored
 
-    ranged = df.withColumn("_key", key).repartitionByRange("_key").withColumn("_part", F.spark_partition_id())
-    ranged = stored(ranged, "ranges")
-    own = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
+    ranged = in_ranges(stored(df, "unordered"), [key], "ranges")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = ranged.withColumn("_own", own).join(F.broadcast(starts), "_part")
-    return numbered.withColumn("input_order", F.col("_start") + F.col("_own") - 1).drop("_key", "_part", "_own", "_start")
+    own = F.col("_seq").bitwiseAND(F.lit((1 << RANGE_BITS) - 1).cast("long"))
+    return ranged.join(F.broadcast(starts), "_part").withColumn("input_order", F.col("_start") + own).drop("_seq", "_part", "_start")
 
 
 def companions(photos: DataFrame, files: DataFrame) -> DataFrame:
