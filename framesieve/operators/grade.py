@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framesieve.config import ScoreConfig, sanitise
 from framesieve.operators.score import eyes_are_closed, face_defocus, is_ok
+from framesieve.sources.shared import stored
 
 
 def ranked(frames: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def keep_thresholds(frames: DataFrame, c: ScoreConfig) -> DataFrame:
 def graded(frames: DataFrame, config: ScoreConfig | None = None) -> DataFrame:
     """scored frames with scenes, graded keep, review or reject; adds group_rank, group_best, threshold, keep_at, grade."""
     c = sanitise(config or ScoreConfig())
-    df = ranked(frames)
+    df = stored(ranked(frames), "ranked")  # both thresholds and the rows come from it, so scenes are walked once
     df = df.join(reject_thresholds(df, c), "batch_id").join(keep_thresholds(df, c), "batch_id")
     may_keep = (F.col("face_count") > 0) if c.face_priority else F.lit(True)
     grade = (

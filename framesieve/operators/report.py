@@ -133,8 +133,12 @@ def write_json(frames: DataFrame, path: str) -> None:
 
 
 def write_by_grade(frames: DataFrame, path: str) -> None:
-    """Rows laid out by place and grade."""
-    frames.write.mode("overwrite").partitionBy("place_label", "grade").parquet(path)
+    """Rows laid out by place and grade.
+
+    A folder's rows are brought together first, else each task opens a file in nearly every folder; only folders too large
+    for one task are dealt to several.
+    """
+    frames.hint("rebalance", "place_label", "grade").write.mode("overwrite").partitionBy("place_label", "grade").parquet(path)
 
 
 def merge_settings(current: Column, applied: Column, keep: list[str], schema: str) -> Column:

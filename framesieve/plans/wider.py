@@ -57,7 +57,8 @@ def results_by_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _new_path(spark, "by-grade")
     label = F.when(F.col("place_id").isNull(), "none").otherwise(F.concat(F.lit("p"), F.col("place_id").cast("string")))
     report.write_by_grade(df.select("path", label.alias("place_label"), "grade"), path)
-    return spark.read.parquet(path).groupBy("place_label", "grade").agg(F.count("*").alias("frames"))
+    read = spark.read.schema("path string, place_label string, grade string").parquet(path)
+    return read.groupBy("place_label", "grade").agg(F.count("*").alias("frames"))
 
 
 # -- filters -----------------------------------------------------------------------------------------------------------
@@ -96,7 +97,9 @@ def export_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _edited(spark, sf_dir).withColumns(
         {"stem": F.regexp_replace("name", r"\.[^.]*$", ""), "suffix": F.regexp_extract("name", r"\.[^.]*$", 0)}
     )
-    df = places.with_places(df)
+    # Graded once, placed once; the plan, the listing and the labels come from it.
+    df = df.select("batch_id", "path", "name", "input_order", "final_grade", "capture_time", "score", "stem", "suffix", "latitude", "longitude")
+    df = shared.stored(places.with_places(shared.stored(df, "export-frames")), "export-placed")
     named = df.select("batch_id", "place_id", F.format_string("p%02d", "place_id").alias("label")).where("place_id is not null").distinct()
     operations, _ = export.plan(df, df.select("path"), "/out", "{name}", ["keep"], places=named)
     return operations.select("source", "destination")

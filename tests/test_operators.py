@@ -306,3 +306,37 @@ def test_unknown_grades_are_errors(spark):
     with pytest.raises(ValueError):
         review.by_grade(spark.createDataFrame([("keep",)], "final_grade string"), "best")
     assert export.wanted_grades(["reject", "keep"]) == ["keep", "reject"] and export.wanted_grades([]) == export.GRADES
+
+
+def test_listing_order_is_by_path_parts_whatever_they_hold(spark):
+    paths = ["/r/a/b.jpg", "/r/a b/c.jpg", "/r/a-b/c.jpg", "/r/a\x01/c.jpg", "/r/a\x00/c.jpg", "/r/a\x01\x01/d.jpg", "/r/a.b/c.jpg", "/r/ä/c.jpg"]
+    files = spark.createDataFrame([(p,) for p in reversed(paths)], "path string").repartition(3)
+    df = inventory.inventory(files, "/r")
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString().replace("Window [sum", "")
+    got = [r.path for r in df.orderBy("input_order").collect()]
+    assert got == sorted(paths, key=lambda p: [x.encode() for x in p.split("/")])
+
+
+def test_a_place_and_grade_has_one_file(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("cast(id as string) as path", "concat('p', id % 20) as place_label", "'keep' as grade").repartition(8)
+    report.write_by_grade(rows, str(tmp_path / "out"))
+    found = [len(list(d.glob("*.parquet"))) for d in (tmp_path / "out").glob("place_label=*/grade=*")]
+    assert len(found) == 20 and max(found) == 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4000
+
+
+def test_skipped_and_counts_need_no_names(spark, tmp_path, monkeypatch):
+    frames = spark.createDataFrame([("b", f"/s/{i}", i, "keep", 50.0, "x", ".jpg") for i in range(6)], "batch_id string, path string, input_order long, final_grade string, score double, stem string, suffix string")
+    frames = frames.withColumn("capture_time", F.lit(None).cast("timestamp_ntz"))
+    there = frames.where("input_order <> 2").select("path")
+    operations, skipped = export.plan(frames, there, "/out")
+    monkeypatch.setattr(export, "_free_names", None)
+    rows, missing = export.chosen(frames, there, "/out")
+    assert missing.collect() == skipped.collect() and missing.count() == 1
+    assert export.plan_counts(rows).collect() == export.plan_counts(operations).collect()
+
+
+def test_graded_frames_are_ranked_once(spark):
+    base = spark.range(40).selectExpr("'b' as batch_id", "cast(id / 4 as int) as group_id", "cast(id as double) as score", "cast(id as string) as name", "id as input_order", "cast(null as string) as error", "1.0D as sharpness", "1 as face_count")
+    plan = grade.graded(base)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
