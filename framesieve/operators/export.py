@@ -66,6 +66,19 @@ def plan(frames: DataFrame, existing: DataFrame, root: str, pattern: str = "{nam
     together, so that they are numbered as one plan in the order of batch_id; else each batch is a plan of its own.  A column
     develop of frames (the settings to develop with, or null) goes along with the operations.
     """
+    rows, skipped = chosen(frames, existing, root, pattern, grades, places, by_grade, run_time)
+    named = _free_names(rows.withColumnRenamed("grade", "final_grade"), existing, shared_root)
+    develop = [c for c in ("develop",) if c in frames.columns]
+    return named.select(
+        "batch_id", "index", F.col("path").alias("source"), F.concat("folder", F.lit("/"), "name").alias("destination"), F.col("final_grade").alias("grade"), *develop
+    ), skipped
+
+
+def chosen(frames: DataFrame, existing: DataFrame, root: str, pattern: str = "{name}", grades=None, places: DataFrame | None = None, by_grade: bool = True, run_time: str = "20000101000000", shared_root: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, skipped) of a plan (which see) before its names are made free: one row per operation.
+
+    rows has batch_id, index, path, grade, folder, stem, suffix and a column develop of frames.
+    """
     develop = [c for c in ("develop",) if c in frames.columns]
     df = numbered(frames, grades)
     folder = F.lit(root)
@@ -79,11 +92,8 @@ def plan(frames: DataFrame, existing: DataFrame, root: str, pattern: str = "{nam
     df = df.join(found, df["path"] == found["_there"], "left")
     skipped = df.where("_is_there is null").select("batch_id", "path", F.lit("missing source").alias("reason"))
     stem = F.expr("substring(file, 1, length(file) - length(suffix))")
-    chosen = df.where("_is_there").select("batch_id", "index", "path", "final_grade", "folder", stem.alias("stem"), "suffix", *develop)
-    named = _free_names(chosen, existing, shared_root)
-    return named.select(
-        "batch_id", "index", F.col("path").alias("source"), F.concat("folder", F.lit("/"), "name").alias("destination"), F.col("final_grade").alias("grade"), *develop
-    ), skipped
+    rows = df.where("_is_there").select("batch_id", "index", "path", F.col("final_grade").alias("grade"), "folder", stem.alias("stem"), "suffix", *develop)
+    return rows, skipped
 
 
 #: A number that names get behind their stem, as plans write it.
