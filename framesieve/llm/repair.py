@@ -41,7 +41,7 @@ def _sorted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, (keys >> half << np.uint64(32)) | (keys & low)
 
 
-def compress(ids: np.ndarray, first: int, rounds: int | None = None, per_round: int = 1024, least: int = 4):
+def compress(ids: np.ndarray, first: int, rounds: int | None = None, per_round: int = 2048, least: int = 4):
     """(symbols, rules): rules[k] is the pair that nonterminal first + k stands for.
 
     Rounds go on until no pair occurs least times, or for at most rounds of them.

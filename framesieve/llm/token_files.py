@@ -18,12 +18,14 @@ from .common import exclusive_prefix, new_folder, stored, text_bytes
 from .tokens import encoder, slices
 
 MANIFEST = "part int, shard int, file string, at long, size long, n_docs long, n_ids long"
+#: Distinct chunks whose ids a worker keeps: rare words fill a smaller table within some 25 MB of text, and are learnt anew.
+MOST_CHUNKS = 1_000_000
 READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def _write(path: str, byte_level: bool, end_id: int, first: int, folder: str, shard_ids: int, file_bytes: int):
     def run(batches):
-        coder = encoder(path, byte_level)
+        coder = encoder(path, byte_level, MOST_CHUNKS)
         end = np.array([end_id], coder.kind).tobytes()
         part, shard = TaskContext.get().partitionId(), 0
         held: list[tuple] = []  # (key, ids) of the shard being filled
@@ -89,7 +91,7 @@ def write(
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "raw")
     )
-    first = encoder(path, byte_level).tokenizer.get_vocab_size()
+    first = encoder(path, byte_level, MOST_CHUNKS).tokenizer.get_vocab_size()
     run = _write(path, byte_level, end_id, first, new_folder(spark, "token-files"), shard_ids, file_bytes)
     return stored(ranged.mapInArrow(run, MANIFEST), "token-manifest")
 

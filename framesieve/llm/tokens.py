@@ -173,9 +173,9 @@ def _cells(column) -> list[bytes]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, byte_level: bool) -> ChunkEncoder:
+def encoder(path: str, byte_level: bool, max_chunks: int = 400_000) -> ChunkEncoder:
     """One encoder per worker process and vocabulary."""
-    return ChunkEncoder(path, byte_level)
+    return ChunkEncoder(path, byte_level, max_chunks)
 
 
 def slices(column, most_bytes: int = 3_000_000):

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from framesieve.llm import queries, repair, token_files
+from framesieve.llm import queries, repair, token_files, tokens
 
 BYTES = queries.vocabulary("byte_bpe_50k.json")
 
@@ -70,3 +70,12 @@ def test_odd_rows(spark, odd_docs):
     want = _expected(sorted(odd_docs.collect(), key=key))
     assert [(r.doc_id, r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in got] == want
     assert token_files.read(token_files.write(odd_docs.limit(0), BYTES, end_id=2)).collect() == []
+
+
+def test_rare_chunks_are_kept():
+    """A worker that has met 450,000 words still knows the first ones."""
+    coder = tokens.encoder(BYTES, True, token_files.MOST_CHUNKS)
+    for low in range(0, 450_000, 150_000):
+        coder.encode([b" ".join(b"%d" % n for n in range(low, low + 150_000))])
+    coder.encode([b"one more"])
+    assert b"17" in coder.after and b"449999" in coder.after
