@@ -16,6 +16,9 @@ import numpy as np
 MAGIC = b"RPG2"
 _HEAD = struct.Struct("<4sIIIIQQ")  # magic, first nonterminal, rules, documents, bits of a length, symbols, ids
 BLOCK = 4096
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A reader expands the shorter nonterminals of a shard once, so many ids in all, and longer ones where they stand.
+EXPANDED = 1 << 21
 
 
 def _apart(at: np.ndarray) -> np.ndarray:
@@ -26,19 +29,16 @@ def _apart(at: np.ndarray) -> np.ndarray:
     return (order - np.maximum.accumulate(np.where(fresh, order, 0))) % 2 == 0
 
 
-def _sorted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, pairs in that order): sorted as one number each, pair and place, where these fit 64 bits."""
-    place = np.uint64(len(pairs).bit_length())
-    half = np.uint64(int(max((pairs >> np.uint64(32)).max(), (pairs & np.uint64(0xFFFFFFFF)).max())).bit_length())
-    if 2 * int(half) + int(place) > 64:
-        order = np.argsort(pairs)
-        return order, pairs[order]
-    low = (np.uint64(1) << half) - np.uint64(1)
-    short = (pairs >> np.uint64(32) << half) | (pairs & low)
-    keys = np.sort(short << place | np.arange(len(pairs), dtype=np.uint64))
-    order = (keys & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
-    keys >>= place
-    return order, (keys >> half << np.uint64(32)) | (keys & low)
+def _sorted(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, keys in that order), keys of that many bits: sorted as one number each, key and place, where these fit 64 bits."""
+    place = len(keys).bit_length()
+    if bits + place > 64:
+        order = np.argsort(keys)
+        return order, keys[order]
+    both = np.sort(keys << np.uint64(place) | np.arange(len(keys), dtype=np.uint64))
+    order = (both & np.uint64((1 << place) - 1)).view(np.int64)
+    both >>= np.uint64(place)
+    return order, both
 
 
 def compress(ids: np.ndarray, first: int, rounds: int | None = None, per_round: int = 2048, least: int = 4):
@@ -51,17 +51,18 @@ def compress(ids: np.ndarray, first: int, rounds: int | None = None, per_round:
     live = np.arange(max(0, len(seq) - 1))  # places whose pair may occur least times; counts of old pairs only fall
     while len(live) and (rounds is None or rounds > 0):
         rounds = None if rounds is None else rounds - 1
-        pairs = (seq[live].astype(np.uint64) << np.uint64(32)) | seq[live + 1]
+        left, right = seq[live], seq[live + 1]
         # Occurrences in a run of one symbol overlap, so every second one counts.
-        same = np.flatnonzero(seq[live] == seq[live + 1])
+        same = np.flatnonzero(left == right)
         if len(same):
             counts_here = np.ones(len(live), bool)
             counts_here[same] = _apart(live[same])
             skipped = live[~counts_here]
-            live, pairs = live[counts_here], pairs[counts_here]
+            live, left, right = live[counts_here], left[counts_here], right[counts_here]
         else:
             skipped = live[:0]
-        order, ordered = _sorted(pairs)
+        half = (first + made).bit_length()
+        order, ordered = _sorted(left.astype(np.uint64) << np.uint64(half) | right, 2 * half)
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         sizes = np.diff(np.append(starts, len(ordered)))
         frequent = np.flatnonzero(sizes >= least)
@@ -70,12 +71,14 @@ def compress(ids: np.ndarray, first: int, rounds: int | None = None, per_round:
         top = frequent
         if len(top) > per_round:
             top = top[np.argpartition(sizes[top], -per_round)[-per_round:]]
-        top = top[np.argsort(-sizes[top], kind="stable")]
+        # Equal counts in mixed order: of the pairs of a long repeat, one in three or so wins then, in order only the first.
+        top = top[np.lexsort((ordered[starts[top]] * _MIX, -sizes[top]))]
         group_rank = np.where(sizes >= least, len(top), len(top) + 1).astype(np.int32)
         group_rank[top] = np.arange(len(top), dtype=np.int32)
         rank = np.empty(len(live), np.int32)
         rank[order] = np.repeat(group_rank, sizes)
-        at, of = live[rank < len(top)], rank[rank < len(top)]
+        chosen = np.flatnonzero(rank < len(top))
+        at, of = live[chosen], rank[chosen]
         # Of places that overlap the more frequent pair is replaced, so the first pair of all is replaced everywhere.
         wins = np.ones(len(at), bool)
         touch = np.flatnonzero(at[1:] == at[:-1] + 1)
@@ -86,7 +89,7 @@ def compress(ids: np.ndarray, first: int, rounds: int | None = None, per_round:
         at, of = at[used[of]], of[used[of]]
         name = np.cumsum(used) - 1
         pair = ordered[starts[top[used]]]
-        rules.append(np.stack((pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
+        rules.append(np.stack((pair >> np.uint64(half), pair & np.uint64((1 << half) - 1)), 1).astype(np.uint32))
         seq[at] = first + made + name[of]
         made += len(pair)
         keep = np.ones(len(seq), bool)
@@ -115,21 +118,23 @@ def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return lengths
 
 
+def _split(seq: np.ndarray, at: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+    """seq with the pairs that the nonterminals at these places stand for."""
+    pairs = rules[seq[at] - np.uint32(first)]
+    width = np.ones(len(seq), np.int64)
+    width[at] = 2
+    start = np.cumsum(width) - width
+    out = np.repeat(seq, width)
+    out[start[at]] = pairs[:, 0]
+    out[start[at] + 1] = pairs[:, 1]
+    return out
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     """The ids that symbols stand for."""
     seq = symbols.astype(np.uint32)
-    while len(seq):
-        at = np.flatnonzero(seq >= first)
-        if not len(at):
-            break
-        pairs = rules[seq[at] - np.uint32(first)]
-        width = np.ones(len(seq), np.int64)
-        width[at] = 2
-        start = np.cumsum(width) - width
-        out = np.repeat(seq, width)
-        out[start[at]] = pairs[:, 0]
-        out[start[at] + 1] = pairs[:, 1]
-        seq = out
+    while len(at := np.flatnonzero(seq >= first)):
+        seq = _split(seq, at, rules, first)
     return seq
 
 
@@ -144,9 +149,19 @@ def pack(values: np.ndarray, bits: int) -> bytes:
 
 
 def unpack(raw: np.ndarray, bits: int, count: int) -> np.ndarray:
-    wide = np.zeros((count, 32), np.uint8)
-    wide[:, 32 - bits :] = np.unpackbits(raw, count=count * bits).reshape(count, bits)
-    return np.packbits(wide, axis=1).view(">u4").ravel().astype(np.uint32)
+    """count values of that many bits each; eight of them fill as many bytes as one has bits."""
+    rows = np.zeros((-(-count // 8), bits), np.uint8)
+    used = -(-count * bits // 8)
+    rows.ravel()[:used] = raw[:used]
+    columns = rows.T.astype(np.uint64)  # a value of 32 bits may lie in five bytes
+    out = np.empty((len(rows), 8), np.uint32)
+    for k in range(8):
+        low, high = k * bits // 8, -(-(k + 1) * bits // 8)
+        value = columns[low]
+        for column in columns[low + 1 : high]:
+            value = value << np.uint64(8) | column
+        out[:, k] = value >> np.uint64(8 * high - (k + 1) * bits) & np.uint64((1 << bits) - 1)
+    return out.ravel()[:count]
 
 
 def encode_shard(ids: np.ndarray, counts: np.ndarray, keys: np.ndarray, known: np.ndarray, first: int, **tune) -> bytes:
@@ -193,6 +208,16 @@ class Shard:
         self.keys, self.known = take("<i8", n_docs), take("u1", n_docs)
         self.counts = take("<u8", n_docs).astype(np.int64)
         self.n_symbols, self.packed = n_symbols, take("u1", -(-n_symbols * self.bits // 8))
+        by_length = np.argsort(self.lengths, kind="stable")
+        short = by_length[np.cumsum(self.lengths[by_length], dtype=np.int64) <= EXPANDED]
+        short.sort()
+        #: The ids of every id and short nonterminal in a row, and where and how many those of each symbol are: none of a long one.
+        ids = expand(short + self.first, self.rules, self.first)
+        self.flat = np.concatenate((np.arange(self.first, dtype=np.uint32), ids))
+        self.width = np.zeros(self.first + n_rules, np.int64)
+        self.width[: self.first] = 1
+        self.width[short + self.first] = self.lengths[short]
+        self.place = np.cumsum(self.width) - self.width
 
     def symbols(self, low: int, high: int) -> np.ndarray:
         """The symbols of blocks low to high."""
@@ -205,9 +230,18 @@ class Shard:
             return np.zeros(0, np.uint32)
         low = int(np.searchsorted(self.blocks, start, "right")) - 1
         high = int(np.searchsorted(self.blocks, start + length, "left"))
-        ids = expand(self.symbols(low, high), self.rules, self.first)
+        ids = self._ids(low, high)
         skip = start - int(self.blocks[low])
         return ids[skip : skip + length]
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols(0, len(self.blocks)), self.rules, self.first)
+        return self._ids(0, len(self.blocks))
+
+    def _ids(self, low: int, high: int) -> np.ndarray:
+        """The ids of blocks low to high."""
+        seq = self.symbols(low, high)
+        while len(at := np.flatnonzero(self.width[seq] == 0)):
+            seq = _split(seq, at, self.rules, self.first)
+        width = self.width[seq]
+        start = np.cumsum(width) - width
+        return self.flat[np.repeat(self.place[seq] - start, width) + np.arange(width.sum())]

@@ -20,6 +20,8 @@ from .tokens import encoder, slices
 MANIFEST = "part int, shard int, file string, at long, size long, n_docs long, n_ids long"
 #: Distinct chunks whose ids a worker keeps: rare words fill a smaller table within some 25 MB of text, and are learnt anew.
 MOST_CHUNKS = 1_000_000
+#: Shards that one task reads back; starting it costs about as much as decoding one.
+SHARDS_A_TASK = 8
 READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -111,7 +113,7 @@ def _read(batches, most_docs: int = 2000, most_ids: int = 1 << 18):
                 high = max(low + 1, min(high, low + most_docs))
                 part = slice(low, high)
                 begin = int(starts[low])
-                ids = shard.decode(begin, int(ends[high - 1]) - begin).astype("<u4")
+                ids = shard.decode(begin, int(ends[high - 1]) - begin).astype("<u4", copy=False)
                 cells = [ids[a:b].tobytes() for a, b in zip((starts[part] - begin).tolist(), (ends[part] - begin).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -132,6 +134,8 @@ def read(manifest: DataFrame) -> DataFrame:
     """
     # One row per shard of about a million ids, so the window over all of them is small.
     based = exclusive_prefix(manifest, ["part", "shard"], "n_ids", "base")
-    # Rows are few and what they name is large, so their number sets the number of tasks.
-    tasks = max(1, min(manifest.count(), 20_000))
+    # Rows are few and what they name is large, so their number sets the number of tasks: a few shards each, as soon as
+    # there are enough for all cores several times over.
+    shards = manifest.count()
+    tasks = max(1, min(shards, max(-(-shards // SHARDS_A_TASK), 4 * manifest.sparkSession.sparkContext.defaultParallelism), 20_000))
     return based.repartition(tasks, "file", "at").mapInArrow(_read, READ)

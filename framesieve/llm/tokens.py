@@ -32,6 +32,11 @@ _UNEVEN_MARK = r"[^\p{L}\p{N}][.,][ \n]|\x01"
 _UNEVEN = r"[ \n][ \n]| $|" + _UNEVEN_MARK
 GLUE = "\x01"
 
+#: GLUE or none, a word of letters as above, marks or none.
+_STEM = re.compile(rb"(\x01?)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)[!-&(-/:-@\[-`{-~]*")
+#: New words that go to the library's merges in one call.
+TOGETHER = 32
+
 _MARKS = frozenset((b".", b",", b";", b":", b"!", b"?", b")"))
 
 
@@ -67,6 +72,16 @@ class _Chunks(dict):
             self[chunk] = ids
         return ids
 
+    def of(self, chunks: list[bytes]) -> list[bytes | None]:
+        """What self[chunk] gives for each; new words are learnt many at a time."""
+        ids = list(map(self.get, chunks))
+        fresh = [n for n, x in enumerate(ids) if x is None]
+        if self.lead and self.coder.apart:
+            self.coder.learn_words([chunks[n] for n in fresh])
+        for n in fresh:
+            ids[n] = self[chunks[n]]
+        return ids
+
 
 class ChunkEncoder:
     """Encodes texts given as UTF-8; keeps the ids of at most max_chunks distinct chunks, of max_chunk_bytes each."""
@@ -81,6 +96,16 @@ class ChunkEncoder:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.letters = _byte_letters()
+        vocabulary = self.tokenizer.get_vocab()
+        #: By what stands before each of many words: the ids whose text begins with it.  They part the words again, as long as
+        #: no entry holds a blank behind letters, or letters and a line feed.
+        self.leading = {sign: np.zeros(1 + max(vocabulary.values()), bool) for sign in b" \n"}
+        for sign, leads in self.leading.items():
+            leads[[i for text, i in vocabulary.items() if text[:1] == self.letters[sign]]] = True
+        blank, feed = self.letters[32], self.letters[10]
+        plain = {self.letters[b] for b in range(256) if bytes((b,)).isalpha() or b == 0xC3 or 0x80 <= b <= 0xBF}
+        reach = (text.replace(blank, "").replace(feed, "") for text in vocabulary if blank in text[1:] or feed in text)
+        self.apart = byte_level and not any(text and plain.issuperset(text) for text in reach)
         self.first, self.after = _Chunks(self, b""), _Chunks(self, b" ")
 
     def _whole(self, raw: bytes) -> bytes:
@@ -93,6 +118,32 @@ class ChunkEncoder:
             raw = raw.decode("utf-8").lower().encode()
         return array(self.code, [t.id for t in self.merges.tokenize(raw.decode("latin-1").translate(self.letters))]).tobytes()
 
+    def _words(self, words: list[bytes], sign: int) -> list[bytes]:
+        """Ids of words of letters, with a blank before each (sign 32) or nothing (10): no merge reaches over the sign."""
+        found: list[int] = []
+        before = bytes((sign,))
+        for low in range(0, len(words), TOGETHER):
+            text = before.join([b"", *words[low : low + TOGETHER]]).decode("latin-1")
+            text = text.replace(chr(sign), self.letters[sign]) if text.isascii() else text.translate(self.letters)
+            found += [t.id for t in self.merges.tokenize(text)]
+        ids = np.array(found, self.kind)
+        item = self.kind.itemsize
+        bounds = [*(np.flatnonzero(self.leading[sign][ids]) * item).tolist(), ids.nbytes]
+        raw, skip = ids.tobytes(), item if sign == 10 else 0
+        return [raw[a + skip : b] for a, b in zip(bounds, bounds[1:])]
+
+    def learn_words(self, chunks: list[bytes]) -> None:
+        """Learn the words of letters in chunks that have a blank before them or GLUE, many in one call of the library."""
+        led, bare = {}, {}
+        for chunk in chunks:
+            if stem := _STEM.fullmatch(chunk):
+                glue, word = stem.groups()
+                if len(word) <= self.max_chunk_bytes:
+                    (bare if glue else led)[word] = None
+        for known, words, sign in ((self.after, led, 32), (self.first, bare, 10)):
+            words = [w for w in words if w not in known]
+            known.update(zip(words, self._words(words, sign), strict=True))
+
     def learn(self, chunk: bytes) -> bytes | None:
         """Ids of a chunk, None where the text around it decides."""
         plain = _PLAIN.fullmatch(chunk)
@@ -113,7 +164,7 @@ class ChunkEncoder:
     def _parts(self, raw: bytes) -> bytes | None:
         found = []
         for chunk in _BYTE_CHUNKS.findall(raw) if self.byte_level else raw.split():
-            led = chunk[:1] == b" " and chunk.strip(b" \n")
+            led = chunk[:1] == b" " and chunk.strip(b" \n") and chunk[1:2] != b"\x01"  # a text's own, not GLUE
             found.append(self.after[chunk[1:]] if led else self.first[chunk])
         return None if None in found else b"".join(found)
 
@@ -142,7 +193,7 @@ class ChunkEncoder:
         at, chunks = flat.indices.to_numpy().astype(np.int64), _cells(flat.dictionary)
         if self.byte_level:  # the first chunk of a text has no blank before it
             heads = ends[:-1]
-            ids = list(map(self.after.__getitem__, chunks)) + [self.first[chunks[i]] for i in at[heads].tolist()]
+            ids = self.after.of(chunks) + [self.first[chunks[i]] for i in at[heads].tolist()]
             at[heads] = np.arange(len(chunks), len(ids))
         else:
             ids = list(map(self.first.__getitem__, chunks))

@@ -79,3 +79,57 @@ def test_rare_chunks_are_kept():
         coder.encode([b" ".join(b"%d" % n for n in range(low, low + 150_000))])
     coder.encode([b"one more"])
     assert b"17" in coder.after and b"449999" in coder.after
+
+
+class _Counted:
+    """The library's merges, with the number of calls."""
+
+    def __init__(self, merges):
+        self.merges, self.calls = merges, 0
+
+    def tokenize(self, text):
+        self.calls += 1
+        return self.merges.tokenize(text)
+
+
+def test_new_words_are_merged_many_at_a_time():
+    """3,000 new words of letters, some with marks or at the start of a line, take far fewer calls of the library."""
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzéß"))
+    words = ["".join(row) for row in letters[np.random.default_rng(4).integers(0, 28, (3000, 9))]]
+    texts = [" ".join(words[:1500]), "!! ".join(words[1500:2250]), "\n".join(words[2250:])]
+    coder = tokens.ChunkEncoder(BYTES, True)
+    coder.merges = counted = _Counted(coder.merges)
+    got = coder.encode([t.encode() for t in texts])
+    assert counted.calls < 300
+    for text, ids in zip(texts, got):
+        want = coder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, coder.kind).tolist() == want
+
+
+def test_few_tasks_read_many_shards(spark):
+    """Starting a Python task costs as much as decoding a shard, so a task reads several of them."""
+    docs = spark.createDataFrame([(n, "some words " * 20) for n in range(600)], "doc_id long, text string").repartition(4)
+    manifest = token_files.write(docs, BYTES, end_id=2, shard_ids=40)
+    assert manifest.count() == 600
+    found = token_files.read(manifest)
+    assert found.rdd.getNumPartitions() <= max(600 // 8, 4 * spark.sparkContext.defaultParallelism)
+    assert found.count() == 600
+
+
+def test_long_nonterminals_are_expanded_where_they_stand(monkeypatch):
+    """A table that has no place for the longer nonterminals gives the same ids."""
+    ids = np.tile(np.random.default_rng(3).integers(0, 50, 977), 60).astype(np.uint32)
+    raw = repair.encode_shard(ids, np.array([len(ids)]), np.array([5]), np.array([True]), 50)
+    for most in (0, 500, 1 << 21):
+        monkeypatch.setattr(repair, "EXPANDED", most)
+        shard = repair.Shard(raw)
+        assert np.array_equal(shard.all_ids(), ids)
+        assert np.array_equal(shard.decode(4321, 30_000), ids[4321:34_321])
+
+
+@pytest.mark.parametrize("bits", [1, 7, 8, 9, 17, 25, 31, 32])
+def test_packed_values(bits):
+    for count in (0, 1, 7, 8, 1001):
+        values = np.random.default_rng(bits).integers(0, 1 << bits, count, dtype=np.uint64).astype(np.uint32)
+        raw = np.frombuffer(repair.pack(values, bits), np.uint8)
+        assert np.array_equal(repair.unpack(raw, bits, count), values)
