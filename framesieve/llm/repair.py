@@ -111,11 +111,15 @@ def compress(ids: np.ndarray, first: int, rounds: int | None = None, per_round:
 
 
 def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
-    """How many ids each nonterminal stands for."""
-    lengths = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[k] = (lengths[a - first] if a >= first else 1) + (lengths[b - first] if b >= first else 1)
-    return lengths
+    """How many ids each nonterminal stands for, found for all rules at once that name only earlier ones."""
+    lengths = np.ones(first + len(rules), np.int64)
+    newest, low = rules.max(axis=1, initial=0), 0
+    while low < len(rules):
+        late = np.flatnonzero(newest[low:] >= first + low)
+        high = low + int(late[0]) if len(late) else len(rules)
+        lengths[first + low : first + high] = lengths[rules[low:high]].sum(axis=1)
+        low = high
+    return lengths[first:]
 
 
 def _split(seq: np.ndarray, at: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
