@@ -133,3 +133,11 @@ def test_packed_values(bits):
         values = np.random.default_rng(bits).integers(0, 1 << bits, count, dtype=np.uint64).astype(np.uint32)
         raw = np.frombuffer(repair.pack(values, bits), np.uint8)
         assert np.array_equal(repair.unpack(raw, bits, count), values)
+
+
+def test_control_character_behind_a_blank():
+    """U+0001 in a text is the text's own, not the mark that stands for no blank."""
+    coder = tokens.ChunkEncoder(BYTES, True)
+    for text in ("a \x01", " \x01b c", "a, \x01 b\n \x01", "\x01 \x01"):
+        want = coder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(coder.encode([text.encode()])[0], coder.kind).tolist() == want
